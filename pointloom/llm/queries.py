@@ -17,7 +17,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, find
+
+    found = find(_read(spark, sf_dir, "documents"))
+    number = {k: F.size(F.expr(f"filter(spans, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE}
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    base = joined(F.filter("spans", lambda x: x["kind"].isin(*BASE)))
+    return found.select("doc_id", *number.values(), F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op10_pii": op10_pii,
     "op7_mixing": op7_mixing,
 }
 
