@@ -10,6 +10,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, pieces
+
+    return digested(pack(pieces(_read(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
+
+
+def digested(packed: DataFrame) -> DataFrame:
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import assign
 
@@ -28,6 +38,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op10_pii": op10_pii,
     "op7_mixing": op7_mixing,
 }
