@@ -9,6 +9,19 @@ from pointloom.plans.scratch import materialize, scratch_dir, shuffle_parts  # n
 #: A word, as a Java regular expression for Spark SQL.
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
+def by_bytes(batches, column: int = 1, most: int = 1 << 22):
+    """Record batches cut so that the texts of one take about so many bytes; one text is never cut."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        k = 0
+        while k < len(b):
+            e = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + most, side="right")))
+            yield b.slice(k, e - k)
+            k = e
+
+
 # ---- words of many texts at once -------------------------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,15 +63,17 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE, cuts: tuple[int, ...] = ()):
     """64-bit hashes of the words of all texts in order, A-Z lower-cased, and where each text's words begin.
 
-    Polynomial hashes modulo 2^64 from one running sum over the bytes, then mixed; texts never share a word.
+    Polynomial hashes modulo 2^64 from one running sum over the bytes, then mixed; texts never share a word. With cuts a
+    list: of whole words, then of the words' first bytes, as many as each cut says. space: which bytes end words.
     """
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    inside = ~_SPACE[raw]
+        none = np.zeros(0, np.uint64)
+        return [none] * (1 + len(cuts)) if cuts else none, np.zeros(len(at), np.int64)
+    inside = ~space[raw]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     starts = inside.copy()
@@ -67,7 +82,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:n]
     last = np.flatnonzero(ends)
-    out = np.empty(len(first), np.uint64)
+    out = [np.empty(len(first), np.uint64) for _ in range(1 + len(cuts))]
     step = 1 << 20  # words of so many bytes at a time: powers stay small and in cache
     k = 0
     while k < len(first):
@@ -76,7 +91,10 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         power = _powers(_BASE, b - a)
         total = np.zeros(b - a + 1, np.uint64)
         np.cumsum((_LOWER[raw[a:b]].astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-        span = total[last[k:e] + 1 - a] - total[first[k:e] - a]
-        out[k:e] = span * _powers(_BASE_INVERSE, b - a)[first[k:e] - a]
+        begin, end = first[k:e] - a, last[k:e] + 1 - a
+        back = _powers(_BASE_INVERSE, b - a)[begin]
+        for o, cut in zip(out, (None, *cuts)):
+            o[k:e] = (total[end if cut is None else np.minimum(end, begin + cut)] - total[begin]) * back
         k = e
-    return mix64(out), np.searchsorted(first, at)
+    hashed = [mix64(x) for x in out]
+    return hashed if cuts else hashed[0], np.searchsorted(first, at)
