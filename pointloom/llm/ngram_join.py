@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pointloom.operators.components import connected_components
 
-from .common import materialize, mix64, shuffle_parts, text_buffer, word_hashes
+from .common import by_bytes, materialize, mix64, shuffle_parts, text_buffer, word_hashes
 
 SHINGLE_WORDS = 5
 #: The threshold as a fraction, so that tests of it are exact.
@@ -138,24 +138,13 @@ def _sets_and_counts(docs: DataFrame, n: int) -> DataFrame:
     form = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n_shingles", pa.int64()), ("slice", pa.int32()), ("body", pa.binary())])
 
     def run(batches):
-        counts, waiting, held = np.zeros(COUNTERS, np.uint32), [], 0
-
-        def count() -> None:
-            if waiting:
-                counts[:] += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
-                waiting.clear()
-
-        for b in batches:
+        counts = np.zeros(COUNTERS, np.uint32)
+        for b in by_bytes(batches):
             sets = shingle_sets(*text_buffer(b.column(1)), n)
             for s in sets:
-                waiting.append(_counter(s, COUNTERS).astype(np.int32))
-                held += len(s)
-            if held > 1 << 22:
-                count()
-                held = 0
+                np.add.at(counts, _counter(s, COUNTERS), np.uint32(1))
             size = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_id, sets), pa.int64()), pa.array(size, pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=form)
-        count()
         rows = list(_sliced(counts))
         if rows:
             yield pa.RecordBatch.from_pylist([r | {"doc_id": None, "set_id": None, "n_shingles": None} for r in rows], schema=form)
@@ -172,7 +161,7 @@ def _prefixes(docs: DataFrame, n: int, rarity) -> DataFrame:
 
     def run(batches):
         seen, table = set(), rarity.value
-        for b in batches:
+        for b in by_bytes(batches):
             cols = [[], [], [], [], []]
             for s in shingle_sets(*text_buffer(b.column(1)), n):
                 own = set_id(s)
@@ -348,7 +337,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
     shared = spark.sparkContext.broadcast(bits)
 
     def again(batches):
-        for b in batches:
+        for b in by_bytes(batches):
             column = b.column(0).fill_null(-1)
             ids = column.to_numpy()
             hit = np.ones(len(ids), bool)
