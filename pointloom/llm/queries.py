@@ -28,6 +28,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity_held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_products
+
+    return top_products(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, pieces
 
@@ -56,6 +68,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_topk": op3_topk,
+    "op5_ann": op5_ann,
     "op2_toxicity": op2_toxicity,
     "op1_ngram_join": op1_ngram_join,
     "op4_packing": op4_packing,
@@ -81,6 +95,18 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a
 """
 
+_OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
 SQL: dict[str, str] = {
+    "op3_topk": _OP3_SQL,
     "op1_ngram_join": _OP1_SQL,
 }
