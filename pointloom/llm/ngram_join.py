@@ -33,6 +33,7 @@ SIMILARITY = (3, 4)
 #: Hashed counters for the order of shingles, and slices in which tasks' counters are added up.
 COUNTERS = 1 << 24
 SLICES = 64
+FAN_IN = 128
 #: Bits of the filter that tells which texts to shingle again for verification.
 FILTER_BITS = 1 << 25
 #: A shingle counted more often is dealt over salts of about so many sets.
@@ -104,11 +105,14 @@ def _added(rows: DataFrame, size: int, kind: str, combine, finish) -> np.ndarray
 
         return run
 
-    # Within groups of tasks first, so that no one task adds up the arrays of all of them.
-    parts = rows.withColumn("part", F.spark_partition_id() % 16).groupBy("slice", "part").applyInArrow(merge(False), _SLICE)
+    # A tree: no task adds up the arrays of more than FAN_IN others.
+    tasks = rows.groupBy("slice").count().agg(F.max("count")).first()[0] or 0
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("body"), F.lit(tasks))).groupBy("slice", "part").applyInArrow(merge(False), _SLICE)
     empty = finish(np.zeros(each, dtype))
     out = [empty] * SLICES
-    for r in parts.groupBy("slice").applyInArrow(merge(True), _SLICE).collect():
+    for r in rows.groupBy("slice").applyInArrow(merge(True), _SLICE).collect():
         out[r["slice"]] = np.frombuffer(r["body"], empty.dtype)
     return np.concatenate(out)
 
@@ -217,12 +221,12 @@ def _stars(prefixes: DataFrame) -> DataFrame:
             out = several & ~again & ~given
             # The last run may go on: its row waits in last if it is alone so far.
             last = (shingle[tail], salt[tail], pos[tail], size[tail], own[tail], star[tail], star_size[tail], star_pos[tail], bool(several[tail]))
-            cols = [pa.array(x[out]) for x in (shingle, pos, size, own)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(star[out], mask=~ok[out])], ["shingle", "pos", "size", "set_id", "star"])
+            cols = [pa.array(x[out]) for x in (shingle, salt, pos, size, own)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(star[out], mask=~ok[out])], ["shingle", "salt", "pos", "size", "set_id", "star"])
 
     parts = shuffle_parts(prefixes.sparkSession)
     dealt = prefixes.repartition(parts, "shingle", "salt").sortWithinPartitions("shingle", "salt", "pos", "set_id")
-    return dealt.mapInArrow(run, "shingle long, pos int, size int, set_id long, star long")
+    return dealt.mapInArrow(run, "shingle long, salt int, pos int, size int, set_id long, star long")
 
 
 def _may_link(size_a, pos_a, size_b, pos_b):
@@ -237,12 +241,14 @@ def _may_link(size_a, pos_a, size_b, pos_b):
 def _crossing(rows: DataFrame) -> DataFrame:
     """a, b: pairs of sets of different components that share a prefix shingle and pass the filters.
 
-    Shingles whose sets are all of one component go first, by partial aggregation. Sets of the others are dealt to cells:
-    one for a shingle of few sets, else one for each two salts, so no task holds more than a cell."""
-    spread = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("shingle", F.ceil(F.col("n") / CELL_SETS).cast("int").alias("salts"))
-    rows = rows.join(spread, "shingle").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    rows = rows.select("shingle", F.least("salt", "other").alias("row"), F.greatest("salt", "other").alias("col"), "salt", "pos", "size", "set_id", "component")
+    A shingle's sets are one cell, compared in blocks. Of salted shingles, those whose sets are all of one component go
+    first, by partial aggregation; sets of the others are dealt to a cell for each two salts of CELL_SETS sets."""
+    salted = rows.filter("salt >= 0").drop("salt")
+    spread = salted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("shingle", F.ceil(F.col("n") / CELL_SETS).cast("int").alias("salts"))
+    salted = salted.join(spread, "shingle").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int"))
+    salted = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    cols = ["shingle", "row", "col", "salt", "pos", "size", "set_id", "component"]
+    rows = rows.filter("salt < 0").withColumns({"row": F.lit(0), "col": F.lit(0), "salt": F.lit(0)}).select(*cols).unionByName(salted.withColumns({"row": F.least("salt", "other"), "col": F.greatest("salt", "other")}).select(*cols))
 
     def pairs(row: int, col: int, salt, pos, size, own, component):
         a = np.flatnonzero(salt == row)
@@ -322,7 +328,6 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
     """pairs (a, b of set ids) with ok. owners: one doc_id of each set. Only texts that the pairs need are shingled again."""
     spark = docs.sparkSession
     needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct().join(owners, "set_id")
-    needed = materialize(needed, "ngram-needed")
 
     def mark(batches):
         bits = np.zeros(FILTER_BITS, np.uint8)
@@ -337,23 +342,19 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
     shared = spark.sparkContext.broadcast(bits)
 
     def again(batches):
+        seen = set()
         for b in by_bytes(batches):
-            column = b.column(0).fill_null(-1)
-            ids = column.to_numpy()
+            ids = b.column(0).fill_null(-1).to_numpy()
             hit = np.ones(len(ids), bool)
             for at in _bits(ids, FILTER_BITS):
                 hit &= (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            which = pa.array(np.flatnonzero(hit))
-            sets = shingle_sets(*text_buffer(b.column(1).take(which)), n)
-            yield pa.RecordBatch.from_arrays([column.take(which), pa.array(map(set_id, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["its_doc", "its_set", "body"])
-
-    sets = _texts(docs).mapInArrow(again, "its_doc long, its_set long, body binary")
-    # A doc_id may have several rows: the row must be that of the set, and one row of equal ones will do.
-    sets = sets.join(needed, (F.col("its_doc") == F.col("doc_id")) & (F.col("its_set") == F.col("set_id")), "left_semi").select(F.col("its_set").alias("set_id"), "body")
-    sets = materialize(sets, "ngram-sets")
-    repeated = sets.groupBy("set_id").count().filter("count > 1").limit(1).count()
-    if repeated:
-        sets = materialize(sets.dropDuplicates(["set_id"]), "ngram-sets")
+            found = {set_id(x): x.tobytes() for x in shingle_sets(*text_buffer(b.column(1).take(pa.array(np.flatnonzero(hit)))), n) if len(x)}
+            new = [k for k in found if k not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[k] for k in new], pa.binary())], ["set_id", "body"])
+
+    # Sets that the filter lets through by chance join no pair; where rows repeat, a pair may be told twice, alike.
+    sets = materialize(_texts(docs).mapInArrow(again, "set_id long, body binary"), "ngram-sets")
 
     def check(batches):
         for b in batches:
@@ -389,7 +390,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     found = materialize(connected_components(edges), "ngram-components")
 
     labelled = meetings.join(found, F.col("set_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set_id"))
-    crossing = _crossing(labelled.select("shingle", "pos", "size", "set_id", "component")).distinct().join(stars, ["a", "b"], "left_anti")
+    crossing = _crossing(labelled.select("shingle", "salt", "pos", "size", "set_id", "component")).distinct().join(stars, ["a", "b"], "left_anti")
     crossing = materialize(crossing, "ngram-crossing")
     edges = edges.unionByName(_verify(docs, crossing, owners, n).filter("ok").select("a", "b"))
     found = materialize(connected_components(materialize(edges, "ngram-links")), "ngram-components")
