@@ -50,6 +50,14 @@ def digested(packed: DataFrame) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import scores
+
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    out = scores(_read(spark, sf_dir, "documents"), learn)
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import assign
 
@@ -68,6 +76,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_lm_scoring": op6_lm_scoring,
     "op3_topk": op3_topk,
     "op5_ann": op5_ann,
     "op2_toxicity": op2_toxicity,
