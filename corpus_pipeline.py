@@ -1,11 +1,60 @@
-"""Stages from raw documents to packed sequences."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All
+but the last return the columns of documents. Rows of one doc_id stay or go together, but for mixing, which deals each row.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointloom.llm.common import materialize
+from pointloom.llm.mixing import mix
+from pointloom.llm.ngram_join import near_duplicates
+from pointloom.llm.packing import pack, pieces
+from pointloom.llm.pii import redact
+from pointloom.llm.queries import digested, toxicity_held_out
+from pointloom.llm.toxicity import THRESHOLD, fit, score
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score(docs, fit(docs, labels, toxicity_held_out()))
+    return scored.filter(F.col("toxicity") < THRESHOLD).select(docs.columns)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest doc_id."""
+    groups = materialize(near_duplicates(docs), "pipeline-groups")
+    return docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced; n_chars follows the text."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of its shards."""
+    return mix(docs).repartition("shard").sortWithinPartitions("shard", "pos").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in training sequences."""
+    return digested(pack(pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
+
+
+STAGES = [("toxicity", toxicity), ("ngram_join", ngram_join), ("pii", pii), ("mixing", mixing), ("packing", packing)]
+
+#: SQL can express neither a trained classifier nor a tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -65,6 +65,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import collapse, render
+
+    return render(collapse(_read(spark, sf_dir, "conversations")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are sources; their paths are languages, as the first path segment of the pages' addresses is."""
+    from .quality import assess
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), held_out)
+    return out.select("doc_id", "site", "path", held_out.alias("held_out"), "evidence", "site_rate", "path_rate", "score", "keep")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE, find
 
@@ -76,6 +91,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_quality": op9_quality,
     "op6_lm_scoring": op6_lm_scoring,
     "op3_topk": op3_topk,
     "op5_ann": op5_ann,
@@ -115,7 +132,19 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY rank <= 5
 """
 
+_OP8_SQL = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+conv AS (
+    SELECT conv_id, count(*) AS n, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS l FROM turns GROUP BY conv_id),
+one AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, n, l FROM conv GROUP BY n, l),
+starts AS (SELECT DISTINCT k, l[1:k] AS p FROM (SELECT l, unnest(range(1, n)) AS k FROM one))
+SELECT conv_id, n AS n_turns, n_copies, array_to_string(list_transform(l, lambda x:
+    '<|' || coalesce(x.r, 'unknown') || '|>' || chr(10) || coalesce(x.t, '') || '<|end|>' || chr(10)), '') AS text
+FROM one LEFT JOIN starts ON starts.k = one.n AND starts.p = one.l WHERE starts.k IS NULL
+"""
+
 SQL: dict[str, str] = {
+    "op8_chat_formatting": _OP8_SQL,
     "op3_topk": _OP3_SQL,
     "op1_ngram_join": _OP1_SQL,
 }
