@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from pointloom.plans.scratch import materialize, scratch_dir, shuffle_parts  # noqa: F401
+from pointloom.plans.scratch import discard, materialize, scratch_dir, shuffle_parts  # noqa: F401
 
 #: A word, as a Java regular expression for Spark SQL.
 WORD = r"[^\\x20\\x09-\\x0D]+"

@@ -25,15 +25,14 @@ from pyspark.sql import functions as F
 
 from pointloom.operators.components import connected_components
 
-from .common import by_bytes, materialize, mix64, shuffle_parts, text_buffer, word_hashes
+from .common import by_bytes, discard, materialize, mix64, shuffle_parts, text_buffer, word_hashes
+from .slices import FORM, SCHEMA, added, sliced
 
 SHINGLE_WORDS = 5
 #: The threshold as a fraction, so that tests of it are exact.
 SIMILARITY = (3, 4)
-#: Hashed counters for the order of shingles, and slices in which tasks' counters are added up.
+#: Hashed counters for the order of shingles.
 COUNTERS = 1 << 24
-SLICES = 64
-FAN_IN = 128
 #: Bits of the filter that tells which texts to shingle again for verification.
 FILTER_BITS = 1 << 25
 #: A shingle counted more often is dealt over salts of about so many sets.
@@ -79,42 +78,7 @@ def linked(both, union) -> bool:
     return den * both >= num * union
 
 
-# ---- counters and bit filters: tasks' arrays added up in slices ------------------------------------------------------
-
-_SLICE = "slice int, body binary"
-
-
-def _sliced(counts: np.ndarray) -> Iterator[dict]:
-    codec = pa.Codec("zstd", 1)
-    for k, part in enumerate(np.split(counts, SLICES)):
-        if part.any():
-            yield {"slice": k, "body": codec.compress(part.tobytes(), asbytes=True)}
-
-
-def _added(rows: DataFrame, size: int, kind: str, combine, finish) -> np.ndarray:
-    """The array of all tasks' slices combined and finished: of fixed size whatever the input."""
-    dtype, each = np.dtype(kind), size // SLICES
-
-    def merge(last: bool):
-        def run(t: pa.Table) -> pa.Table:
-            codec, total = pa.Codec("zstd", 1), np.zeros(each, dtype)
-            for body in t.column("body"):
-                combine(total, np.frombuffer(codec.decompress(body.as_py(), each * dtype.itemsize), dtype), out=total)
-            body = finish(total).tobytes() if last else codec.compress(total.tobytes(), asbytes=True)
-            return pa.table([t.column("slice").slice(0, 1), pa.array([body], pa.binary())], names=["slice", "body"])
-
-        return run
-
-    # A tree: no task adds up the arrays of more than FAN_IN others.
-    tasks = rows.groupBy("slice").count().agg(F.max("count")).first()[0] or 0
-    while tasks > FAN_IN:
-        tasks = -(-tasks // FAN_IN)
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("body"), F.lit(tasks))).groupBy("slice", "part").applyInArrow(merge(False), _SLICE)
-    empty = finish(np.zeros(each, dtype))
-    out = [empty] * SLICES
-    for r in rows.groupBy("slice").applyInArrow(merge(True), _SLICE).collect():
-        out[r["slice"]] = np.frombuffer(r["body"], empty.dtype)
-    return np.concatenate(out)
+# ---- counters and bit filters ------------------------------------------------------------------------------------------
 
 
 def _quarter_octaves(counts: np.ndarray) -> np.ndarray:
@@ -149,7 +113,7 @@ def _sets_and_counts(docs: DataFrame, n: int) -> DataFrame:
                 np.add.at(counts, _counter(s, COUNTERS), np.uint32(1))
             size = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_id, sets), pa.int64()), pa.array(size, pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=form)
-        rows = list(_sliced(counts))
+        rows = list(sliced(counts))
         if rows:
             yield pa.RecordBatch.from_pylist([r | {"doc_id": None, "set_id": None, "n_shingles": None} for r in rows], schema=form)
 
@@ -334,11 +298,11 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
         for b in batches:
             for at in _bits(b.column(0).to_numpy(), FILTER_BITS):
                 bits[at] = 1
-        rows = list(_sliced(bits))
+        rows = list(sliced(bits))
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int32()), ("body", pa.binary())]))
+            yield pa.RecordBatch.from_pylist(rows, schema=FORM)
 
-    bits = _added(needed.select("doc_id").mapInArrow(mark, _SLICE), FILTER_BITS, "u1", np.bitwise_or, lambda x: np.packbits(x))
+    bits = added(needed.select("doc_id").mapInArrow(mark, SCHEMA), FILTER_BITS, "u1", np.bitwise_or, lambda x: np.packbits(x))
     shared = spark.sparkContext.broadcast(bits)
 
     def again(batches):
@@ -353,8 +317,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
             seen.update(new)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[k] for k in new], pa.binary())], ["set_id", "body"])
 
-    # Sets that the filter lets through by chance join no pair; where rows repeat, a pair may be told twice, alike.
-    sets = materialize(_texts(docs).mapInArrow(again, "set_id long, body binary"), "ngram-sets")
+    # Sets that the filter lets through by chance join no pair; where rows repeat, a pair may be told twice, alike. Both
+    # sides of the join read one shuffle of the sets.
+    sets = _texts(docs).mapInArrow(again, "set_id long, body binary")
 
     def check(batches):
         for b in batches:
@@ -378,8 +343,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     """
     spark = docs.sparkSession
     first = materialize(_sets_and_counts(docs, n), "ngram-counts")
-    texts = first.filter("slice IS NULL").select("doc_id", "set_id", "n_shingles")
-    counts = _added(first.filter("slice IS NOT NULL").select("slice", "body"), COUNTERS, "u4", np.add, _quarter_octaves)
+    texts = materialize(first.filter("slice IS NULL").select("doc_id", "set_id", "n_shingles"), "ngram-texts")
+    counts = added(first.filter("slice IS NOT NULL").select("slice", "body"), COUNTERS, "u4", np.add, _quarter_octaves)
+    discard(first)
     rarity = spark.sparkContext.broadcast(counts)
     owners = materialize(texts.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")), "ngram-owners")
 
