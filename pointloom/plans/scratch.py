@@ -34,14 +34,34 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+#: Spark removes an execution's shuffle files at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared scratch folder and read again: a lost executor costs no recomputation of what
-    came before, and later steps read columns they need. The table goes when the driver's process ends."""
+    came before, and later steps read columns they need. What was shuffled to make it is removed at once; the table goes
+    with discard() or when the driver's process ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _SCRATCH[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that materialize() has made and that no later step reads."""
+    path = table._scratch_path
+    p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH.pop(path, None)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
