@@ -1,0 +1,24 @@
+"""Column functions that several plans use."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def round_even(value: Column) -> Column:
+    """Half to even, as pixels, grid sizes and occupancy are rounded."""
+    return F.bround(value, 0)
+
+
+def norm(*parts: Column) -> Column:
+    return F.sqrt(sum(p * p for p in parts))
+
+
+def next_random(state: Column) -> Column:
+    """The next state of the 32-bit linear congruential generator behind occupancy."""
+    return (state * 1664525 + 1013904223).bitwiseAND(0xFFFFFFFF)
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")

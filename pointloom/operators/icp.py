@@ -95,12 +95,12 @@ def align(source: np.ndarray, target: np.ndarray, target_normals: np.ndarray, th
     return pose, fitness
 
 
-def best_orientation(points: DataFrame, vertices: DataFrame, faces: DataFrame, key: str, threshold: float = 0.02, rounds: int = 30, base: float = 0.0, at_least: int = 30) -> DataFrame:
+def best_orientation(points: DataFrame, vertices: DataFrame, faces: DataFrame, key: str, threshold: float = 0.02, rounds: int = 30, base: float = 0.0, scale: float = 1.0, at_least: int = 30) -> DataFrame:
     """key, angle (degrees) and fitness of each object with enough points: coarse, then fine angles; the first of the best
-    (G06, T04). vertices and faces: one template; it is bounded by what the driver holds."""
+    (G06, T04). vertices and faces: one template, scaled first; it is bounded by what the driver holds."""
     v = np.array([tuple(r) for r in vertices.orderBy("vid").select(*"xyz").collect()], float)
     f = np.array([tuple(r) for r in faces.select(*"abc").collect()], int)
-    v = v - (v.min(axis=0) + v.max(axis=0)) / 2
+    v = (v - (v.min(axis=0) + v.max(axis=0)) / 2) * scale
     kind = points.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, trial int, angle double, fitness double"
 
@@ -110,8 +110,7 @@ def best_orientation(points: DataFrame, vertices: DataFrame, faces: DataFrame, k
         fitness = 0.0
         if len(own) >= at_least:
             own = own - (own.min(axis=0) + own.max(axis=0)) / 2
-            size = np.maximum(np.ptp(own, axis=0), 1e-9)
-            template = sample_surface(v * np.cbrt(np.prod(size / np.maximum(np.ptp(v, axis=0), 1e-9))), f, min(1500, max(500, 3 * len(own))))
+            template = sample_surface(v, f, min(1500, max(500, 3 * len(own))))
             r = np.radians(base + angle)
             turned = template @ np.array([[np.cos(r), -np.sin(r), 0], [np.sin(r), np.cos(r), 0], [0, 0, 1]]).T
             fitness = align(turned, own, normals(own, 5 * threshold), threshold, rounds)[1]

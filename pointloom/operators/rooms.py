@@ -89,12 +89,13 @@ def auditorium_mesh(p: dict[str, float], close_stage_gap: bool = False) -> tuple
     """14 vertices and the inward faces of an auditorium (X05). Left vertices 0 to 6 run along the floor from the front, then the
     ceiling back to the front; the right ones follow in the same order. Steps without height or depth have no faces.
 
-    With close_stage_gap, a floor without stage height also covers what would have been the stage."""
+    With close_stage_gap, a floor without stage height also covers what would have been the stage, and the walls meet it."""
     stage, flat = p["zST"] - p["zF"] > 1e-6, p["yP"] - p["yS"] > 1e-6
     front = p["zST"] if stage else p["zF"]
     line = [(p["yF"], front), (p["yS"], front), (p["yS"], p["zF"]), (p["yP"], p["zF"]), (p["yB"], p["zB"]), (p["yB"], p["zC"]), (p["yF"], p["zC"])]
     vertices = [(x, y, z) for x in (p["xL"], p["xR"]) for y, z in line]
-    floor = [0, *([1, 2] if stage else []), *([3] if flat else []), 4]
+    gap = close_stage_gap and not stage and p["yS"] - p["yF"] > 1e-6
+    floor = [0, *([1, 2] if stage else []), *([3] if flat or gap else []), 4]
     left = [*floor, 5]
     right = [*(v + 7 for v in reversed(floor)), 13]
     faces = [(6, a, b) for a, b in zip(left, left[1:])] + [(12, a, b) for a, b in zip(right, right[1:])]
@@ -109,9 +110,9 @@ def auditorium_mesh(p: dict[str, float], close_stage_gap: bool = False) -> tuple
     if stage:
         strip(0, 1)
         faces += [(9, 2, 1), (9, 1, 8)]
-    elif close_stage_gap and p["yS"] - p["yF"] > 1e-6:
-        strip(0, 2)
-    if flat:
+    if gap:
+        strip(0, 3)
+    elif flat:
         strip(2, 3)
     strip(3, 4)
     return vertices, faces
