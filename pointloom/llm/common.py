@@ -9,6 +9,19 @@ from pointloom.plans.scratch import discard, materialize, scratch_dir, shuffle_p
 #: A word, as a Java regular expression for Spark SQL.
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers live on, and idle pools would add up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library
+
+
 def by_bytes(batches, column: int = 1, most: int = 1 << 22):
     """Record batches cut so that the texts of one take about so many bytes; one text is never cut."""
     import pyarrow.compute as pc
@@ -20,6 +33,7 @@ def by_bytes(batches, column: int = 1, most: int = 1 << 22):
             e = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + most, side="right")))
             yield b.slice(k, e - k)
             k = e
+    release()
 
 
 # ---- words of many texts at once -------------------------------------------------------------------------------------

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_bytes, materialize
 
 CAPACITY = 2048
 CHUNK_PIECES = 4096
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches):
             at, piece, start, length, ids = [], [], [], [], []
             for n, text in enumerate(b.column(1)):
                 own = np.append(token_ids(text.as_py() or "", path), end_id).astype("<u4")

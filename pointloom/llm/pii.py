@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 #: Kinds in their order of listing.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -126,7 +128,7 @@ def find(docs: DataFrame) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches):
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find_spans(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPANS)], ["doc_id", "spans"])
 
@@ -149,8 +151,10 @@ def redacted(text: str | None) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the spans of text replaced; all other columns and rows as they are, null texts null."""
 
+    docs_text = docs.columns.index("text")
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, docs_text):
             n = b.schema.get_field_index("text")
             yield b.set_column(n, b.schema.field(n), pa.array(map(redacted, b.column(n).to_pylist()), b.schema.field(n).type))
 

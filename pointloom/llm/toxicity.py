@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, text_buffer, word_hashes
+from .common import by_bytes, release, text_buffer, word_hashes
 
 #: Labelled rows that the classifier is fitted on at most: those of least hash, of either label.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
@@ -158,12 +158,16 @@ def train(column, labels: np.ndarray, seed: int = 0) -> Model:
     n = len(labels)
     apart = rng.permutation(n) % 5 == 0
     fit = np.flatnonzero(~apart)
-    doc = np.repeat(np.arange(n), np.diff(begin))
     prior = np.zeros(BUCKETS)
     if (labels[fit] == 1).any() and (labels[fit] == 0).any():
-        seen = np.unique((doc[~apart[doc], None] * BUCKETS + ids[~apart[doc]]).ravel())
-        toxic = labels[seen // BUCKETS] == 1
-        pos, neg = (np.bincount(seen[x] % BUCKETS, minlength=BUCKETS) for x in (toxic, ~toxic))
+        pos, neg = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for part in np.array_split(fit, max(1, len(fit) // 256)):  # in how many texts of either label a bucket occurs
+            words = np.concatenate([ids[begin[d] : begin[d + 1]] for d in part])
+            own = np.repeat(np.arange(len(part)), np.diff(begin)[part])
+            seen = np.unique((own[:, None] * BUCKETS + words).ravel())
+            toxic = labels[part][seen // BUCKETS] == 1
+            pos += np.bincount(seen[toxic] % BUCKETS, minlength=BUCKETS)
+            neg += np.bincount(seen[~toxic] % BUCKETS, minlength=BUCKETS)
         n_pos, n_neg = (labels[fit] == 1).sum(), (labels[fit] == 0).sum()
         rate = (pos + neg + 0.5) / (len(fit) + 1)
         odds = np.log((pos + rate) / (n_pos + 1)) - np.log((neg + rate) / (n_neg + 1))
@@ -242,6 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> bytes:
     def run(batches):
         t = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         yield pa.RecordBatch.from_arrays([pa.array([train(t.column("text"), t.column("toxic").to_numpy(), seed).dump()], pa.binary())], ["model"])
+        del t
+        release()
 
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").repartition(1).mapInArrow(run, "model binary").first()
     return bytes(found[0]) if found else train(pa.array([], pa.string()), np.zeros(0, np.int32)).dump()
