@@ -2,7 +2,8 @@
 
 Each object tries eight angles 45 degrees apart, then eight within 20 degrees of the best; all trials of a round run in
 parallel, one group each of an object and an angle. An object's points must fit one task. The fitness of a trial is the
-share of template samples with an object point within the threshold after alignment.
+share of template samples with an object point within the threshold after alignment. Alignment can turn a template itself, so
+trials of one fitness (to a thousandth) are told apart by how little it had to.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.plans.scratch import materialize
+
 from .util import small
 
 COARSE = [45.0 * k for k in range(8)]
@@ -102,31 +105,35 @@ def best_orientation(points: DataFrame, vertices: DataFrame, faces: DataFrame, k
     f = np.array([tuple(r) for r in faces.select(*"abc").collect()], int)
     v = (v - (v.min(axis=0) + v.max(axis=0)) / 2) * scale
     kind = points.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, trial int, angle double, fitness double"
+    schema = f"{key} {kind}, trial int, angle double, fitness double, turned double"
 
     def run(t: pa.Table) -> pa.Table:
         own = np.column_stack([t.column(c).to_numpy() for c in "xyz"])
         angle, trial = t.column("angle")[0].as_py(), t.column("trial")[0].as_py()
-        fitness = 0.0
+        fitness, pose = 0.0, np.eye(4)
         if len(own) >= at_least:
             own = own - (own.min(axis=0) + own.max(axis=0)) / 2
             template = sample_surface(v, f, min(1500, max(500, 3 * len(own))))
             r = np.radians(base + angle)
             turned = template @ np.array([[np.cos(r), -np.sin(r), 0], [np.sin(r), np.cos(r), 0], [0, 0, 1]]).T
-            fitness = align(turned, own, normals(own, 5 * threshold), threshold, rounds)[1]
-        return pa.table([t.column(key).slice(0, 1), pa.array([trial], pa.int32()), pa.array([angle]), pa.array([fitness])], names=[key, "trial", "angle", "fitness"])
+            pose, fitness = align(turned, own, normals(own, 5 * threshold), threshold, rounds)
+        turn = abs(float(np.degrees(np.arctan2(pose[1, 0], pose[0, 0]))))
+        return pa.table([t.column(key).slice(0, 1), pa.array([trial], pa.int32()), pa.array([angle]), pa.array([fitness]), pa.array([turn])], names=[key, "trial", "angle", "fitness", "turned"])
 
     def best(trials: DataFrame) -> DataFrame:
         scored = points.select(key, *[F.col(c).cast("double").alias(c) for c in "xyz"]).join(small(trials), key).groupBy(key, "trial").applyInArrow(run, schema)
-        return scored.groupBy(key).agg(F.max_by(F.struct("angle", "fitness"), F.struct("fitness", -F.col("trial"))).alias("best")).select(key, "best.angle", "best.fitness")
+        merit = F.struct(F.round("fitness", 3), -F.col("turned"), -F.col("trial"))
+        return scored.groupBy(key).agg(F.max_by(F.struct("angle", "fitness", "turned"), merit).alias("best")).select(key, "best.*")
 
     spread = lambda angles: F.posexplode(F.array(*map(F.lit, angles))).alias("trial", "step")
     keys = points.select(key).distinct()
     coarse = best(keys.select(key, spread(COARSE)).withColumn("angle", F.col("step")).drop("step"))
+    coarse = materialize(coarse, "icp-coarse")
     fine = best(coarse.select(key, F.col("angle").alias("from"), spread(FINE)).withColumn("angle", F.col("from") + F.col("step")).drop("from", "step"))
-    both = coarse.join(fine.select(key, F.col("angle").alias("angle2"), F.col("fitness").alias("fitness2")), key)
-    better = F.col("fitness2") > F.col("fitness")
-    return both.select(key, F.pmod(F.when(better, F.col("angle2")).otherwise(F.col("angle")) + F.lit(base), F.lit(360.0)).alias("angle"), F.greatest("fitness", "fitness2").alias("fitness"))
+    both = coarse.withColumn("stage", F.lit(0)).unionByName(fine.withColumn("stage", F.lit(1)))
+    merit = F.struct(F.round("fitness", 3), -F.col("turned"), -F.col("stage"))
+    best_of = both.groupBy(key).agg(F.max_by(F.struct("angle", "fitness"), merit).alias("best"))
+    return best_of.select(key, F.pmod(F.col("best.angle") + F.lit(base), F.lit(360.0)).alias("angle"), F.col("best.fitness").alias("fitness"))
 
 
 def accepted_angle(fitness, angle, configured: float, threshold: float):

@@ -235,4 +235,4 @@ def test_orientation_search_recovers_a_turn(spark):
     pts = icp.sample_surface(va, fa, 700, 1) @ np.array([[math.cos(r), -math.sin(r), 0], [math.sin(r), math.cos(r), 0], [0, 0, 1]]).T
     got = icp.best_orientation(spark.createDataFrame([("a", *map(float, p)) for p in pts], "object string, x double, y double, z double"), v, f, "object", threshold=0.08).first()
     assert got.fitness > 0.6
-    assert min(abs((got.angle - angle) % 180), 180 - abs((got.angle - angle) % 180)) <= 25
+    assert min(abs((got.angle - angle) % 180), 180 - abs((got.angle - angle) % 180)) <= 5
