@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def round_even(value: Column) -> Column:
     """Half to even, as pixels, grid sizes and occupancy are rounded."""
-    return F.bround(value, 0)
+    return F.rint(value)
 
 
 def norm(*parts: Column) -> Column:

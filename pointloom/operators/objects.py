@@ -89,10 +89,10 @@ def heights(objects: DataFrame, mode: str = "global_median", offset: float = 0.0
 def placements(classified: DataFrame, ref_footprint: float) -> DataFrame:
     """One row a placement: oversized objects as a grid of cells, others once at their centre (X03). Numbers of columns and
     rows round half to even; an object without depth has one row."""
-    n = F.greatest(F.lit(1.0), F.bround(F.col("footprint") / F.lit(ref_footprint)))
-    cols = F.greatest(F.lit(1.0), F.bround(F.sqrt(F.col("n_wanted") * F.col("size_x") / F.when(F.col("size_y") > 0, F.col("size_y")))))
+    n = F.greatest(F.lit(1.0), F.rint(F.col("footprint") / F.lit(ref_footprint)))
+    cols = F.greatest(F.lit(1.0), F.rint(F.sqrt(F.col("n_wanted") * F.col("size_x") / F.when(F.col("size_y") > 0, F.col("size_y")))))
     grid = classified.withColumn("big", F.col("classification") == "oversized").withColumn("n_wanted", n)
-    grid = grid.withColumn("n_cols", F.when(F.col("big"), F.coalesce(cols, F.lit(1.0))).otherwise(1.0)).withColumn("n_rows", F.when(F.col("big"), F.greatest(F.lit(1.0), F.bround(F.col("n_wanted") / F.col("n_cols")))).otherwise(1.0))
+    grid = grid.withColumn("n_cols", F.when(F.col("big"), F.coalesce(cols, F.lit(1.0))).otherwise(1.0)).withColumn("n_rows", F.when(F.col("big"), F.greatest(F.lit(1.0), F.rint(F.col("n_wanted") / F.col("n_cols")))).otherwise(1.0))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
     grid = grid.withColumn("i", upto("n_cols")).withColumn("j", upto("n_rows"))
     spot = lambda a, i, n: F.col(f"lo_{a}") + (F.col(i) + 0.5) * (F.col(f"size_{a}") / F.col(n))
@@ -116,19 +116,20 @@ def overlaps(boxes: DataFrame, ratio: float) -> DataFrame:
 
     Boxes are sent to the cells they touch, cells as long as the longest side; boxes that only touch don't overlap."""
     side = scalars(boxes, F.max(F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"])))[0] or 1.0
-    cells = boxes
+    dims = [f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"]
+    volume = (F.col("hi_x") - F.col("lo_x")) * (F.col("hi_y") - F.col("lo_y")) * (F.col("hi_z") - F.col("lo_z"))
+    cells = boxes.select("object_id", *dims, volume.alias("own_volume")).filter("own_volume > 0")
     for c in "xyz":
         cells = cells.withColumn(f"cell_{c}", F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / side), F.floor(F.col(f"hi_{c}") / side))))
     keys = ["cell_x", "cell_y", "cell_z"]
-    dims = [f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"]
-    b = cells.select(*keys, F.col("object_id").alias("b"), *[F.col(d).alias(f"{d}_b") for d in dims])
-    pairs = cells.select(*keys, F.col("object_id").alias("a"), *dims).join(b, keys).filter("a < b").dropDuplicates(["a", "b"])
-    inter, mine, other = F.lit(1.0), F.lit(1.0), F.lit(1.0)
-    for c in "xyz":
-        inter = inter * F.greatest(F.lit(0.0), F.least(f"hi_{c}", f"hi_{c}_b") - F.greatest(f"lo_{c}", f"lo_{c}_b"))
-        mine, other = mine * (F.col(f"hi_{c}") - F.col(f"lo_{c}")), other * (F.col(f"hi_{c}_b") - F.col(f"lo_{c}_b"))
-    smaller = F.least(mine, other)
-    return pairs.withColumn("overlap", F.when((inter > 0) & (smaller > 0), inter / smaller).otherwise(0.0)).filter((F.col("overlap") > 0) & (F.col("overlap") >= ratio)).select("a", "b", "overlap")
+    b = cells.select(*keys, *[F.col(d).alias(f"{d}_b") for d in ("object_id", *dims, "own_volume")])
+    pairs = cells.join(b, keys).filter("object_id < object_id_b")
+    inter = F.lit(1.0)
+    for c in "xyz":  # a pair counts in the cell where its intersection begins
+        pairs = pairs.filter((F.col(f"lo_{c}") < F.col(f"hi_{c}_b")) & (F.col(f"lo_{c}_b") < F.col(f"hi_{c}")) & (F.col(f"cell_{c}") == F.floor(F.greatest(f"lo_{c}", f"lo_{c}_b") / side)))
+        inter = inter * (F.least(f"hi_{c}", f"hi_{c}_b") - F.greatest(f"lo_{c}", f"lo_{c}_b"))
+    out = pairs.select(F.col("object_id").alias("a"), F.col("object_id_b").alias("b"), (inter / F.least("own_volume", "own_volume_b")).alias("overlap"))
+    return out.filter(F.col("overlap") >= ratio)
 
 
 def suppress(boxes: DataFrame, ratio: float) -> DataFrame:

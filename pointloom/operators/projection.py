@@ -81,10 +81,11 @@ def project(points: DataFrame, frames: DataFrame, k: Intrinsics) -> DataFrame:
 
     Points not farther than 1 mm before a camera (F01) or outside its image (F02) drop out; pixels round half to even. Each
     point meets each frame, the question itself; frames are few and sent to the points' tasks if their count allows."""
-    posed = small(world_to_camera(frames.filter("c2w IS NOT NULL")).select("frame_id", "w2c"))
-    w = lambda i: F.col("w2c")[i]
+    # Plain columns rather than array elements: the generated code stays small enough to be compiled.
+    posed = small(world_to_camera(frames.filter("c2w IS NOT NULL")).select("frame_id", *[F.col("w2c")[i].alias(f"w{i}") for i in range(12)]))
+    w = lambda i: F.col(f"w{i}")
     camera = {c: w(4 * i) * F.col("x") + w(4 * i + 1) * F.col("y") + w(4 * i + 2) * F.col("z") + w(4 * i + 3) for i, c in enumerate(("cam_x", "cam_y", "cam_z"))}
     seen = points.select("point_id", "x", "y", "z").crossJoin(posed).select("frame_id", "point_id", *[e.alias(c) for c, e in camera.items()]).filter("cam_z > 0.001")
-    pixel = lambda c, f, o: F.bround(F.col(c) * F.lit(f) / F.col("cam_z") + F.lit(o)).cast("int")
+    pixel = lambda c, f, o: F.rint(F.col(c) * F.lit(f) / F.col("cam_z") + F.lit(o)).cast("int")
     out = seen.select("frame_id", "point_id", pixel("cam_x", k.fx, k.cx).alias("u"), pixel("cam_y", k.fy, k.cy).alias("v"), F.col("cam_z").alias("z"))
     return out.filter((F.col("u") >= 0) & (F.col("u") < k.width) & (F.col("v") >= 0) & (F.col("v") < k.height))

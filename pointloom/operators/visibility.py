@@ -17,9 +17,12 @@ def depth_buffer(projected: DataFrame) -> DataFrame:
 
 
 def unoccluded(projected: DataFrame, tolerance: float, *keys: str) -> DataFrame:
-    """Points no deeper than their pixel's nearest plus a tolerance."""
-    nearest = F.min("z").over(W.partitionBy("frame_id", *keys, "u", "v"))
-    return projected.withColumn("nearest", nearest).filter(F.col("z") <= F.col("nearest") + F.lit(tolerance)).drop("nearest")
+    """Points no deeper than their pixel's nearest plus a tolerance.
+
+    Rows are dealt by frame and pixel row, so that a join with masks on these needs no shuffle of its own."""
+    # In order of depth the first row so far is the pixel's nearest: no group of rows is held for it.
+    nearest = F.first("z").over(W.partitionBy("frame_id", *keys, "u", "v").orderBy("z").rowsBetween(W.unboundedPreceding, 0))
+    return projected.repartition("frame_id", "v").withColumn("nearest", nearest).filter(F.col("z") <= F.col("nearest") + F.lit(tolerance)).drop("nearest")
 
 
 def loose_tolerance(z_threshold: float) -> float:
