@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import materialize
 from pointloom.llm.mixing import mix
-from pointloom.llm.ngram_join import near_duplicates
+from pointloom.llm.ngram_join import near_duplicates, without
 from pointloom.llm.packing import pack, pieces
 from pointloom.llm.pii import redact
 from pointloom.llm.queries import digested, toxicity_held_out
@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id."""
     groups = materialize(near_duplicates(docs), "pipeline-groups")
-    return docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, groups.filter("doc_id <> component_id").select("doc_id").distinct())
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,9 +90,47 @@ def _counter(shingles: np.ndarray, size: int) -> np.ndarray:
     return (shingles & np.uint64(size - 1)).astype(np.int64)
 
 
-def _bits(doc_ids: np.ndarray, size: int) -> list[np.ndarray]:
+def _bits(doc_ids: np.ndarray) -> list[np.ndarray]:
     h = mix64(doc_ids.astype(np.int64).view(np.uint64))
-    return [((h >> np.uint64(s)) % np.uint64(size)).astype(np.int64) for s in (0, 20, 39)]
+    return [((h >> np.uint64(s)) % np.uint64(FILTER_BITS)).astype(np.int64) for s in (0, 20, 39)]
+
+
+def bit_filter(doc_ids: DataFrame):
+    """A broadcast of FILTER_BITS bits, of which each doc_id (one column, no nulls) has set three."""
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS, np.uint8)
+        for b in batches:
+            for at in _bits(b.column(0).to_numpy()):
+                bits[at] = 1
+        rows = list(sliced(bits))
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=FORM)
+
+    return doc_ids.sparkSession.sparkContext.broadcast(added(doc_ids.mapInArrow(mark, SCHEMA), FILTER_BITS, "u1", np.bitwise_or, np.packbits))
+
+
+def maybe_in(bits: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+    """False only for doc_ids that aren't in the filter."""
+    hit = np.ones(len(doc_ids), bool)
+    for at in _bits(doc_ids):
+        hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't in removed (doc_id, distinct); null doc_ids stay.
+
+    A bit filter of fixed size lets most texts stay where they are; only rows that it can't tell are shuffled and looked up."""
+    ids = removed.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    shared = bit_filter(ids)
+
+    @F.pandas_udf("boolean")
+    def maybe(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(shared.value, doc_id.fillna(-1).to_numpy(np.int64)))
+
+    told = maybe(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    return docs.filter(~told).unionByName(docs.filter(told).join(ids, "doc_id", "left_anti").select(docs.columns))
 
 
 # ---- the passes over texts -------------------------------------------------------------------------------------------
@@ -121,8 +160,9 @@ def _sets_and_counts(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, n: int, rarity) -> DataFrame:
-    """shingle, salt, pos, size, set_id: each task's distinct sets by their prefix shingles, rarest first."""
-    form = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("pos", pa.int32()), ("size", pa.int32()), ("set_id", pa.int64())])
+    """shingle, salt, place, set_id: each task's distinct sets by their prefix shingles, rarest first; place: position above the
+    set's size in one number."""
+    form = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("place", pa.int64()), ("set_id", pa.int64())])
     # Counters also hold what other shingles add: what most hold is no sign of a frequent one.
     common = 2.0 ** (float(np.median(rarity.value)) / 4) - 1
     hot = float(_quarter_octaves(np.array([SALT_SETS + 2 * common]))[0])
@@ -130,7 +170,7 @@ def _prefixes(docs: DataFrame, n: int, rarity) -> DataFrame:
     def run(batches):
         seen, table = set(), rarity.value
         for b in by_bytes(batches):
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], []]
             for s in shingle_sets(*text_buffer(b.column(1)), n):
                 own = set_id(s)
                 if not len(s) or own in seen:
@@ -141,15 +181,14 @@ def _prefixes(docs: DataFrame, n: int, rarity) -> DataFrame:
                 over = np.maximum(0, rank[first] - hot) / 4  # salt -1: all sets of the shingle meet
                 cols[0].append(s[first].view(np.int64))
                 cols[1].append(np.where(over > 0, abs(own) % np.ceil(2**over), -1).astype(np.int32))
-                cols[2].append(np.arange(len(first), dtype=np.int32))
-                cols[3].append(np.full(len(first), len(s), np.int32))
-                cols[4].append(np.full(len(first), own, np.int64))
+                cols[2].append((np.arange(len(first), dtype=np.int64) << 32) + len(s))
+                cols[3].append(np.full(len(first), own, np.int64))
             if cols[0]:
                 whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], schema=form)
                 for k in range(0, len(whole), 1 << 16):
                     yield whole.slice(k, 1 << 16)
 
-    return _texts(docs).mapInArrow(run, "shingle long, salt int, pos int, size int, set_id long")
+    return _texts(docs).mapInArrow(run, "shingle long, salt int, place long, set_id long")
 
 
 def _stars(prefixes: DataFrame) -> DataFrame:
@@ -160,9 +199,10 @@ def _stars(prefixes: DataFrame) -> DataFrame:
     def run(batches):
         last = None  # the row before, its run's star, and whether it is still to be given out
         for b in batches:
-            shingle, salt, pos, size, own = (c.to_numpy() for c in b.columns)
             if not len(b):
                 continue
+            shingle, salt, place, own = (c.to_numpy() for c in b.columns)
+            pos, size = place >> 32, place & 0xFFFFFFFF
             if last is not None:
                 shingle, salt, pos, size, own = (np.concatenate([[x], y]) for x, y in zip(last[:5], (shingle, salt, pos, size, own)))
             new = np.ones(len(own), bool)
@@ -185,11 +225,11 @@ def _stars(prefixes: DataFrame) -> DataFrame:
             out = several & ~again & ~given
             # The last run may go on: its row waits in last if it is alone so far.
             last = (shingle[tail], salt[tail], pos[tail], size[tail], own[tail], star[tail], star_size[tail], star_pos[tail], bool(several[tail]))
-            cols = [pa.array(x[out]) for x in (shingle, salt, pos, size, own)]
+            cols = [pa.array(x[out]) for x in (shingle, salt, pos.astype(np.int32), size.astype(np.int32), own)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(star[out], mask=~ok[out])], ["shingle", "salt", "pos", "size", "set_id", "star"])
 
     parts = shuffle_parts(prefixes.sparkSession)
-    dealt = prefixes.repartition(parts, "shingle", "salt").sortWithinPartitions("shingle", "salt", "pos", "set_id")
+    dealt = prefixes.repartition(parts, "shingle", "salt").sortWithinPartitions("shingle", "salt", "place", "set_id")
     return dealt.mapInArrow(run, "shingle long, salt int, pos int, size int, set_id long, star long")
 
 
@@ -293,25 +333,12 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
     spark = docs.sparkSession
     needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct().join(owners, "set_id")
 
-    def mark(batches):
-        bits = np.zeros(FILTER_BITS, np.uint8)
-        for b in batches:
-            for at in _bits(b.column(0).to_numpy(), FILTER_BITS):
-                bits[at] = 1
-        rows = list(sliced(bits))
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=FORM)
-
-    bits = added(needed.select("doc_id").mapInArrow(mark, SCHEMA), FILTER_BITS, "u1", np.bitwise_or, lambda x: np.packbits(x))
-    shared = spark.sparkContext.broadcast(bits)
+    shared = bit_filter(needed.select("doc_id"))
 
     def again(batches):
         seen = set()
         for b in by_bytes(batches):
-            ids = b.column(0).fill_null(-1).to_numpy()
-            hit = np.ones(len(ids), bool)
-            for at in _bits(ids, FILTER_BITS):
-                hit &= (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            hit = maybe_in(shared.value, b.column(0).fill_null(-1).to_numpy())
             found = {set_id(x): x.tobytes() for x in shingle_sets(*text_buffer(b.column(1).take(pa.array(np.flatnonzero(hit)))), n) if len(x)}
             new = [k for k in found if k not in seen]
             seen.update(new)
@@ -358,6 +385,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     labelled = meetings.join(found, F.col("set_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set_id"))
     crossing = _crossing(labelled.select("shingle", "salt", "pos", "size", "set_id", "component")).distinct().join(stars, ["a", "b"], "left_anti")
     crossing = materialize(crossing, "ngram-crossing")
+    discard(meetings)
     edges = edges.unionByName(_verify(docs, crossing, owners, n).filter("ok").select("a", "b"))
     found = materialize(connected_components(materialize(edges, "ngram-links")), "ngram-components")
 

@@ -74,3 +74,11 @@ def test_filters_lose_no_link():
             assert len(shared)
             pa, pb = np.searchsorted(a, shared[0]), np.searchsorted(b, shared[0])
             assert J._may_link(*map(np.array, (len(a), pa, len(b), pb)))
+
+
+def test_without(spark):
+    docs = spark.createDataFrame([(i % 50 if i % 9 else None, f"t{i}") for i in range(200)], "doc_id long, text string")
+    gone = {3, 7, 44}
+    got = sorted(map(tuple, J.without(docs, spark.createDataFrame([(g,) for g in gone], "doc_id long")).collect()), key=repr)
+    assert got == sorted((tuple(r) for r in docs.collect() if r.doc_id not in gone), key=repr)
+    assert J.without(docs, docs.select("doc_id").limit(0)).count() == 200
