@@ -109,3 +109,11 @@ def manifest(placements: DataFrame) -> DataFrame:
 def next_version(names: list[str]) -> int:
     """The number after the highest of config_vN.yaml."""
     return 1 + max((int(m[1]) for n in names if (m := re.fullmatch(r"config_v(\d+)\.yaml", n))), default=0)
+
+
+def zip_by_order(left: DataFrame, right: DataFrame, left_by: str, right_by: str) -> DataFrame:
+    """The n-th row of left with the n-th of right (J13): for logs and files of one scene. Extra right rows drop out; if there are
+    too few, nothing is paired. Sorts one row an object."""
+    a = left.withColumn("nth", F.row_number().over(W.orderBy(left_by)))
+    b = right.withColumn("nth", F.row_number().over(W.orderBy(right_by)))
+    return a.join(b, "nth") if right.count() >= left.count() else a.join(b, "nth").limit(0)

@@ -191,3 +191,9 @@ def vertical_axis(points: DataFrame, key: str, override: tuple[float, float, flo
         return (0.0, 0.0, 1.0)
     v = np.linalg.eigh(np.array(r[1:], float).reshape(3, 3))[1][:, 0]
     return tuple(float(x) for x in (v if v[2] >= 0 else -v))
+
+
+def placement_stats(placed: DataFrame, column: str, threshold: float) -> DataFrame:
+    """One row: lowest, middle and highest value of a column, how many lie below a threshold, how many there are."""
+    v = F.col(column)
+    return placed.agg(F.min(v).alias("lowest"), F.median(v).alias("middle"), F.max(v).alias("highest"), F.count(F.when(v < threshold, 1)).alias("below"), F.count(F.lit(1)).alias("placed"))

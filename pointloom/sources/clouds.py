@@ -60,11 +60,13 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CLOUD)
 
 
-def read_txt(spark: SparkSession, path: str, comment: str = "/") -> DataFrame:
+def read_txt(spark: SparkSession, path: str, comment: str = "/", by_folder: bool = False) -> DataFrame:
     """Rows of whitespace-separated text files of 3 or 6 and more numbers (S08, S09): fragment (order of paths from 0), fragment_name,
     x ... blue. Files whose colours are all at most 1 are scaled to 255; lines that begin with the comment sign drop out, and so
-    do lines that are no numbers, while their file keeps its number."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
+    do lines that are no numbers, while their file keeps its number. by_folder: all files of a folder are one fragment, as write_fragments
+    leaves them."""
+    file = F.col("_metadata.file_path")
+    lines = spark.read.text(path).select((F.regexp_replace(file, "/[^/]*$", "") if by_folder else file).alias("path"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
     files = lines.select("path").distinct().withColumn("fragment", (F.row_number().over(W.orderBy("path")) - 1).cast("long"))
     w = F.split("value", r"\s+")
     number = lambda k: F.try_element_at(w, F.lit(k + 1)).try_cast("double")

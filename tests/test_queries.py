@@ -3,7 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from pointloom.plans import object_queries  # noqa: F401
+from pointloom.plans import io_queries  # noqa: F401
 from pointloom.plans.queries import QUERIES, SQL
 
 from .oracle import compare
