@@ -99,7 +99,7 @@ def e08(s):
     return s.spark.range(1).select(F.round(F.lit(editor.floor_tilt(at, rooms.Room())), 8).alias("slope"))
 
 
-@query("p15_added_object", "SELECT k::INTEGER AS vid, round(5 - CASE WHEN k & 2 <> 0 THEN 1.0 ELSE -1.0 END, 4) AS x, round(6 + CASE WHEN k & 4 <> 0 THEN 2.0 ELSE -2.0 END, 4) AS y, round(7 + CASE WHEN k & 1 <> 0 THEN 1.0 ELSE -1.0 END, 4) AS z FROM (SELECT unnest(range(8)) AS k)")
+@query("p15_added_object", "SELECT k::INTEGER AS vid, 5 - CASE WHEN k & 2 <> 0 THEN 1 ELSE -1 END::DOUBLE AS x, 6 + CASE WHEN k & 4 <> 0 THEN 2 ELSE -2 END::DOUBLE AS y, 7 + CASE WHEN k & 1 <> 0 THEN 1 ELSE -1 END::DOUBLE AS z FROM (SELECT unnest(range(8)) AS k)")
 def p15(s):
     box = s.spark.sql("SELECT 'm' AS mesh_id, 1D AS lo_x, 1D AS lo_y, 1D AS lo_z, 3D AS hi_x, 2D AS hi_y, 2D AS hi_z")
     out = editor.added_object(meshes.boxes(box)[0], (5.0, 6.0, 7.0), 2.0, 90.0)

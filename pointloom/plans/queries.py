@@ -110,7 +110,7 @@ mad AS (SELECT frame_id, mask_id, pu, pv, any_value(n) AS n, any_value(med) AS m
 
 @query(
     "a04_patch_bands",
-    with_views(*CLOUD_VIEWS, query="SELECT 1").removesuffix("\nSELECT 1") + REFINED + "x AS (SELECT 1) SELECT frame_id, mask_id, pu AS patch_u, pv AS patch_v, n, round(med, 6) AS med, round(mad, 6) AS mad FROM mad",
+    with_views(*CLOUD_VIEWS, query="SELECT 1").removesuffix("\nSELECT 1") + REFINED + "x AS (SELECT 1) SELECT frame_id, mask_id, pu::BIGINT AS patch_u, pv::BIGINT AS patch_v, n, round(med, 6) AS med, round(mad, 6) AS mad FROM mad",
 )
 def a04(s):
     own = visibility.unoccluded(_projected(s).join(visibility.consensus(_counts(s), 2), "point_id", "left_semi"), 0.5)
