@@ -49,6 +49,15 @@ def _features(column) -> tuple[np.ndarray, np.ndarray]:
     return ids, begin + np.arange(len(begin)) * pad
 
 
+def _all_features(column) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a whole column, a few MB of texts at a time."""
+    parts = [_features(b.column(0)) for b in by_bytes(pa.table([column], names=["text"]).to_batches(), 0)]
+    if not parts:
+        return np.zeros((0, 1 + len(CUTS)), np.int32), np.zeros(1, np.int64)
+    sizes = np.concatenate([np.diff(begin) for _, begin in parts])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _language_table() -> np.ndarray:
     table = np.zeros(BUCKETS, np.int8)
     for k, words in enumerate(LANGUAGES.values()):
@@ -154,7 +163,7 @@ def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float | None:
 def train(column, labels: np.ndarray, seed: int = 0) -> Model:
     """Fits on four fifths of the rows and calibrates on the others."""
     rng = np.random.default_rng(seed)
-    ids, begin = _features(column)
+    ids, begin = _all_features(column)
     n = len(labels)
     apart = rng.permutation(n) % 5 == 0
     fit = np.flatnonzero(~apart)
@@ -198,8 +207,10 @@ def train(column, labels: np.ndarray, seed: int = 0) -> Model:
             flat = z.reshape(len(z), -1)
             peak = []  # (text, largest or third, filter): where
             for first, end in zip(at, at[1:] - pad):
-                top = np.argsort(-flat[first:end], axis=0, kind="stable")[: 3 : 2]
-                peak.append(first + (top if len(top) == 2 else np.repeat(top, 2, axis=0)))
+                own = flat[first:end]
+                top = np.argpartition(own, len(own) - 3, axis=0)[-3:] if len(own) > 3 else np.tile(np.arange(len(own))[:, None], own.shape[1])
+                order = np.argsort(-np.take_along_axis(own, top, axis=0), axis=0, kind="stable")[[0, min(2, len(own) - 1)]]
+                peak.append(first + np.take_along_axis(top, order, axis=0))
             peak = np.stack(peak).reshape(len(batch), -1)
             pool = np.maximum(0, flat[peak, np.tile(np.arange(flat.shape[1]), 2)])
             p = 1 / (1 + np.exp(-np.clip(pool @ model.out + model.base[0], -30, 30)))

@@ -58,3 +58,11 @@ def test_steps_change_nothing():
     texts = pa.array(["", "a", "a b", "a b c zog x y z zog a zog b", "q " * 500 + "zog", None])
     ids, begin = X._features(texts)
     assert abs(model.pooled(ids, begin) - model.pooled(ids, begin, step=7)).max() < 1e-5
+
+
+def test_parts_change_nothing(monkeypatch):
+    texts = pa.array(["a b c", None, "", "d " * 50, "e f"] * 5)
+    whole = X._features(texts)
+    monkeypatch.setattr(X, "by_bytes", lambda batches, column: (b.slice(k, 3) for b in batches for k in range(0, len(b), 3)))
+    parts = X._all_features(texts)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
