@@ -257,8 +257,9 @@ def _crossing(rows: DataFrame) -> DataFrame:
     def pairs(row: int, col: int, salt, pos, size, own, component):
         a = np.flatnonzero(salt == row)
         b = a if row == col else np.flatnonzero(salt == col)
-        for k in range(0, len(a), 256):
-            i = a[k : k + 256, None]
+        step = max(1, (1 << 20) // max(1, len(b)))  # about a million comparisons at a time, however many sets meet
+        for k in range(0, len(a), step):
+            i = a[k : k + step, None]
             ok = (component[i] != component[b]) & _may_link(size[i], pos[i], size[b], pos[b])
             if row == col:
                 ok &= i < b
