@@ -27,8 +27,8 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
 OFFSPRING = 48
-#: Bins filled less than this share are dealt again.
-FULL = 0.995
+#: Bins filled less than this share are dealt again: all that have any room.
+FULL = 1.0
 
 _ENCODERS: dict[str, object] = {}
 
