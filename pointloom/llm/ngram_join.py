@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pointloom.operators.components import connected_components
 
-from .common import by_bytes, discard, materialize, mix64, shuffle_parts, text_buffer, word_hashes
+from .common import by_bytes, discard, materialize, mix64, release, shuffle_parts, text_buffer, word_hashes
 from .slices import FORM, SCHEMA, added, sliced
 
 SHINGLE_WORDS = 5
@@ -356,7 +356,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
 
     side = lambda k: sets.select(F.col("set_id").alias(k), F.col("body").alias(f"set_{k}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(check, "a long, b long, ok boolean")
+    links = materialize(joined.mapInArrow(check, "a long, b long, ok boolean"), "ngram-links")
+    shared.destroy()
+    return links
 
 
 # ---- the operator ----------------------------------------------------------------------------------------------------
@@ -375,11 +377,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     counts = added(first.filter("slice IS NOT NULL").select("slice", "body"), COUNTERS, "u4", np.add, _quarter_octaves)
     discard(first)
     rarity = spark.sparkContext.broadcast(counts)
+    del counts
+    release()
     owners = materialize(texts.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")), "ngram-owners")
 
     meetings = materialize(_stars(_prefixes(docs, n, rarity)), "ngram-meetings")
+    rarity.destroy()
     stars = meetings.filter("star IS NOT NULL").select(F.least("set_id", "star").alias("a"), F.greatest("set_id", "star").alias("b")).distinct()
-    stars = materialize(_verify(docs, materialize(stars, "ngram-stars"), owners, n), "ngram-links")
+    stars = _verify(docs, materialize(stars, "ngram-stars"), owners, n)
     edges = stars.filter("ok").select("a", "b")
     found = materialize(connected_components(edges), "ngram-components")
 
