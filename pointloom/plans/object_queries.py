@@ -182,8 +182,8 @@ def x02(s):
     return _round(meshes.boxes(meshes.table_parts(dims))[0], "x", "y", "z", places=5)
 
 
-def _object_boxes(s: Scene, every: int = 10) -> tuple[DataFrame, DataFrame]:
-    return meshes.boxes(s.objects().filter(F.col("object_id") % every == 0).withColumn("mesh_id", F.col("source")))
+def _object_boxes(s: Scene) -> tuple[DataFrame, DataFrame]:
+    return meshes.boxes(s.objects().withColumn("mesh_id", F.col("source")))
 
 
 BOX = """corner AS (SELECT unnest(range(8)) AS k),
@@ -265,7 +265,7 @@ def e02(s):
     from pyspark.sql import Window as W
 
     one = s.edits().withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("edit_id"))).filter("nth = 1").drop("nth")
-    v, _ = _object_boxes(s, 1)
+    v, _ = _object_boxes(s)
     return _round(edits.rebuild(v, one, s.objects()), "x", "y", "z", places=4)
 
 
@@ -288,7 +288,7 @@ def g08(s):
 
 @query("a19_room_bounds", with_views("objects", query="SELECT round(min(lo_x) - 0.1, 6) AS lo_x, round(min(lo_y) - 0.1, 6) AS lo_y, round(min(lo_z), 6) AS lo_z, round(max(hi_x) + 0.1, 6) AS hi_x, round(max(hi_y) + 0.1, 6) AS hi_y, round(max(hi_z) + 0.5, 6) AS hi_z FROM objects"))
 def a19(s):
-    return _round(rooms.room_bounds(_object_boxes(s, 1)[0], rooms.Room()), *[f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"])
+    return _round(rooms.room_bounds(_object_boxes(s)[0], rooms.Room()), *[f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"])
 
 
 @query("a12_floor_slope", with_views("objects", query="SELECT round(regr_slope((lo_z + hi_z) / 2, (lo_y + hi_y) / 2), 8) AS slope FROM objects WHERE (lo_y + hi_y) / 2 >= 2"))
@@ -299,18 +299,18 @@ def a12(s):
 
 @query("a20_floor_clearance", with_views("objects", query="SELECT round(min(least(lo_z - 0.05 * (lo_y - 3), CASE WHEN lo_y >= 3 THEN lo_z - 0.05 * (hi_y - 3) ELSE lo_z - 0.05 * (hi_y - 3) END)) FILTER (WHERE lo_y >= 3 OR hi_y >= 3), 6) AS base FROM (SELECT lo_z, greatest(lo_y, 3) AS lo_y, hi_y FROM objects WHERE hi_y >= 3)"))
 def a20(s):
-    return s.spark.range(1).select(F.round(F.lit(rooms.clearance(_object_boxes(s, 1)[0], 0.05, 3.0)), 6).alias("base"))
+    return s.spark.range(1).select(F.round(F.lit(rooms.clearance(_object_boxes(s)[0], 0.05, 3.0)), 6).alias("base"))
 
 
 @query("x04_box_room", "SELECT 'room' AS mesh_id, 8::BIGINT AS vertices, 12::BIGINT AS faces, 0::BIGINT AS boundary_edges, true AS is_watertight, round(v, 3) AS volume FROM (" + with_views("objects", query="SELECT -(max(hi_x) - min(lo_x) + 0.2) * (max(hi_y) - min(lo_y) + 0.2) * (max(hi_z) - min(lo_z) + 0.5) AS v FROM objects") + ")")
 def x04(s):
-    mesh = rooms.build_room(_object_boxes(s, 1)[0], rooms.Room())
+    mesh = rooms.build_room(_object_boxes(s)[0], rooms.Room())
     return _round(meshes.quality(*mesh), "volume", places=3).select("mesh_id", "vertices", "faces", "boundary_edges", "is_watertight", "volume")
 
 
 @query("x05_auditorium", "SELECT 'room' AS mesh_id, 14::BIGINT AS vertices, 24::BIGINT AS faces, 0::BIGINT AS boundary_edges, true AS is_watertight")
 def x05(s):
-    v, _ = _object_boxes(s, 1)
+    v, _ = _object_boxes(s)
     mesh = rooms.build_room(v, rooms.Room(floor_type="auditorium", stage_depth=1.0, flat_depth=2.0), s.objects().select(*[objects.centre(c).alias(c) for c in "xyz"]))
     return meshes.quality(*mesh).select("mesh_id", "vertices", "faces", "boundary_edges", "is_watertight")
 
@@ -318,7 +318,7 @@ def x05(s):
 @query("u05_vents", with_views("objects", query="SELECT round((max(hi_x) - min(lo_x) + 0.2) * (max(hi_y) - min(lo_y) + 0.2) - 0.5 * 0.4 - 0.6 * 0.3, 4) AS ceiling_area FROM objects"))
 def u05(s):
     vents = ({"type": "inlet", "size": (0.5, 0.4)}, {"type": "outlet", "size": (0.6, 0.3)})
-    v, f = rooms.build_room(_object_boxes(s, 1)[0], rooms.Room(vents=vents))
+    v, f = rooms.build_room(_object_boxes(s)[0], rooms.Room(vents=vents))
     t = meshes.corners(v, f)
     top = v.agg(F.max("z").alias("top"))
     area = F.abs((F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))) / 2
@@ -327,14 +327,14 @@ def u05(s):
 
 @query("k12_room_log")
 def k12(s):
-    v, _ = _object_boxes(s, 1)
+    v, _ = _object_boxes(s)
     mesh = rooms.build_room(v, rooms.Room())
     return rooms.room_log(v, mesh, meshes.quality(*mesh))
 
 
 @query("p16_aligned_scene", with_views("objects", query="").rstrip() + ",\n" + BOX.replace("object_id % 10 = 0", "true") + ", m AS (SELECT avg(x) AS mx, avg(y) AS my FROM bv) SELECT mesh_id, vid::INTEGER AS vid, round((x - mx) * cos(radians(-30)) - (y - my) * sin(radians(-30)) + mx, 4) + 0 AS x, round((x - mx) * sin(radians(-30)) + (y - my) * cos(radians(-30)) + my, 4) + 0 AS y, round(z, 4) + 0 AS z FROM bv, m")
 def p16(s):
-    return _round(rooms.aligned(_object_boxes(s, 1)[0], 30.0), "x", "y", "z", places=4)
+    return _round(rooms.aligned(_object_boxes(s)[0], 30.0), "x", "y", "z", places=4)
 
 
 # ---- orientation search ----------------------------------------------------------------------------------------------
