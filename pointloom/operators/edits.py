@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from pointloom.plans.scratch import materialize
+
 from .meshes import turn
 
 DIMENSIONS = ("width", "depth", "height", "tabletop_thickness", "leg_width", "leg_inset")
@@ -111,9 +113,17 @@ def next_version(names: list[str]) -> int:
     return 1 + max((int(m[1]) for n in names if (m := re.fullmatch(r"config_v(\d+)\.yaml", n))), default=0)
 
 
+def _placed(df: DataFrame, by: str) -> DataFrame:
+    """df with nth, the place of each row in order of ``by``, from 1; only row counts of partitions reach one task."""
+    dealt = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("zip_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt.withColumn("zip_part", F.shiftright("zip_at", 33)), "edits-order")
+    counts = dealt.groupBy("zip_part").agg(F.count(F.lit(1)).alias("n"))
+    above = counts.select("zip_part", (F.sum("n").over(W.orderBy("zip_part")) - F.col("n")).alias("zip_above"))
+    return dealt.join(F.broadcast(above), "zip_part").withColumn("nth", F.col("zip_above") + F.col("zip_at") - F.shiftleft("zip_part", 33) + 1).drop("zip_part", "zip_at", "zip_above")
+
+
 def zip_by_order(left: DataFrame, right: DataFrame, left_by: str, right_by: str) -> DataFrame:
     """The n-th row of left with the n-th of right (J13): for logs and files of one scene. Extra right rows drop out; if there are
-    too few, nothing is paired. Sorts one row an object."""
-    a = left.withColumn("nth", F.row_number().over(W.orderBy(left_by)))
-    b = right.withColumn("nth", F.row_number().over(W.orderBy(right_by)))
-    return a.join(b, "nth") if right.count() >= left.count() else a.join(b, "nth").limit(0)
+    too few, nothing is paired."""
+    a, b = _placed(left, left_by), _placed(right, right_by)
+    return a.join(b, "nth") if b.count() >= a.count() else a.join(b, "nth").limit(0)

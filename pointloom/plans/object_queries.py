@@ -128,7 +128,7 @@ def g04(s):
 
 @query("w04_names", with_views("objects", query="SELECT object_id, concat('chair_', lpad((row_number() OVER (ORDER BY point_count DESC, footprint DESC, object_id) - 1)::VARCHAR, 3, '0')) AS name FROM objects WHERE object_id % 4 = 0"))
 def w04(s):
-    return objects.named(s.objects().filter("object_id % 4 = 0"), "chair").select("object_id", "name")
+    return objects.named(s.objects(), "chair").select("object_id", "name")
 
 
 # ---- orientation and tables ------------------------------------------------------------------------------------------
@@ -274,7 +274,7 @@ def e02(s):
     round(CASE WHEN k & 1 <> 0 THEN 0.75 ELSE -0.75 END * size_z / 1.5 + 0.02 + (lo_z + hi_z) / 2, 4) + 0 AS z FROM objects, (SELECT unnest(range(8)) AS k) WHERE object_id % 5 = 0"""))
 def p12(s):
     box = s.spark.sql("SELECT 't' AS mesh_id, 0D AS lo_x, 0D AS lo_y, 0D AS lo_z, 0.4D AS hi_x, 0.2D AS hi_y, 1.5D AS hi_z")
-    chairs = s.objects().filter("object_id % 5 = 0").withColumn("mesh_id", F.col("source")).withColumn("angle", F.lit(90.0))
+    chairs = s.objects().withColumn("mesh_id", F.col("source")).withColumn("angle", F.lit(90.0))
     return _round(edits.mannequins(meshes.boxes(box)[0], chairs, offset=(0.0, 0.05, 0.02)), "x", "y", "z", places=4)
 
 

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from pointloom.operators import edits
 from pointloom.plans import io_queries  # noqa: F401
 from pointloom.plans.queries import QUERIES, SQL
 
@@ -23,3 +24,22 @@ def test_all_objects_are_reported(spark):
     broken = spark.read.parquet(f"{SF}/part.parquet").filter("p_partkey % 20 = 10").count()
     r = QUERIES["a23_watertight_report"](spark, SF).first()
     assert broken > 0 and (r.meshes, r.passed, r.failed) == (n, n - broken, broken)
+
+
+FILTERS = (" WHERE o_orderkey % 50 = 3", ""), ("object_id % 4 = 0", "true"), ("object_id % 5 = 0", "true"), ("object_id <= 20", "true")
+
+
+@pytest.mark.parametrize("name", ["e01_split_edits", "j12_overlay", "j12_unmatched_edits", "e02_rebuild", "j13_positional_zip", "p12_mannequins", "w04_names"])
+def test_all_orders_and_objects(spark, name):
+    sql = SQL[name]
+    for had, now in FILTERS:
+        sql = sql.replace(had, now)
+    assert sql != SQL[name]
+    compare(spark, SF, QUERIES[name], sql)
+
+
+def test_zip_numbers_many_partitions(spark):
+    left = spark.range(0, 5000, 1, 7).selectExpr("id * 7919 % 5000 AS a")
+    right = spark.range(0, 6000, 1, 5).selectExpr("3 * (id * 7919 % 6000) AS b")
+    assert {(r.a, r.b) for r in edits.zip_by_order(left, right, "a", "b").collect()} == {(n, 3 * n) for n in range(5000)}
+    assert edits.zip_by_order(right, left, "b", "a").count() == 0
