@@ -2,8 +2,9 @@
 
 Each object tries eight angles 45 degrees apart, then eight within 20 degrees of the best; all trials of a round run in
 parallel, one group each of an object and an angle. An object's points must fit one task. The fitness of a trial is the
-share of template samples with an object point within the threshold after alignment. Alignment can turn a template itself, so
-trials of one fitness (to a thousandth) are told apart by how little it had to.
+share of template samples with an object point within the threshold, or three times the object's spacing if that is more, after
+alignment. Alignment can turn a template itself, so trials of one fitness (to a thousandth) are told apart by how little it had
+to.
 """
 
 from __future__ import annotations
@@ -60,6 +61,13 @@ class Grid:
         return at, far
 
 
+def spacing(points: np.ndarray, k: int = 5) -> float:
+    """Median distance from every n-th point (200 to 399 probes) to its k nearest others; 0.01 where there are none."""
+    step = max(1, len(points) // min(200, len(points)))
+    found = [np.sort(np.delete(((points - points[n]) ** 2).sum(axis=1), n))[:k] for n in range(0, len(points), step)]
+    return float(np.median(np.sqrt(np.concatenate(found)))) if len(points) > 1 else 0.01
+
+
 def normals(points: np.ndarray, radius: float, most: int = 30) -> np.ndarray:
     """Of each point the direction in which its neighbours vary least, upward; straight up for fewer than three."""
     grid, out = Grid(points, radius), np.tile([0.0, 0.0, 1.0], (len(points), 1))
@@ -109,14 +117,17 @@ def best_orientation(points: DataFrame, vertices: DataFrame, faces: DataFrame, k
 
     def run(t: pa.Table) -> pa.Table:
         own = np.column_stack([t.column(c).to_numpy() for c in "xyz"])
+        own = own[np.lexsort(own.T)]  # the probes of spacing are the same however rows arrive
         angle, trial = t.column("angle")[0].as_py(), t.column("trial")[0].as_py()
         fitness, pose = 0.0, np.eye(4)
         if len(own) >= at_least:
             own = own - (own.min(axis=0) + own.max(axis=0)) / 2
-            template = sample_surface(v, f, min(1500, max(500, 3 * len(own))))
+            template = sample_surface(v, f, min(5000, max(3000, 3 * len(own))))
+            gap = spacing(own)
+            reach = max(threshold, 3 * gap)
             r = np.radians(base + angle)
             turned = template @ np.array([[np.cos(r), -np.sin(r), 0], [np.sin(r), np.cos(r), 0], [0, 0, 1]]).T
-            pose, fitness = align(turned, own, normals(own, 5 * threshold), threshold, rounds)
+            pose, fitness = align(turned, own, normals(own, max(5 * gap, reach)), reach, rounds)
         turn = abs(float(np.degrees(np.arctan2(pose[1, 0], pose[0, 0]))))
         return pa.table([t.column(key).slice(0, 1), pa.array([trial], pa.int32()), pa.array([angle]), pa.array([fitness]), pa.array([turn])], names=[key, "trial", "angle", "fitness", "turned"])
 

@@ -236,3 +236,12 @@ def test_orientation_search_recovers_a_turn(spark):
     got = icp.best_orientation(spark.createDataFrame([("a", *map(float, p)) for p in pts], "object string, x double, y double, z double"), v, f, "object", threshold=0.08).first()
     assert got.fitness > 0.6
     assert min(abs((got.angle - angle) % 180), 180 - abs((got.angle - angle) % 180)) <= 5
+
+
+def test_orientation_search_of_a_thin_scan(spark):
+    v, f = box_mesh(spark, (1.0, 0.4, 0.3))
+    va, fa = (np.array([tuple(r)[2:] for r in d.collect()]) for d in (v.orderBy("vid"), f))
+    pts = icp.sample_surface(va, fa, 60, 1) @ np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1]]).T
+    assert icp.spacing(pts) > 0.02 / 3 and icp.spacing(np.array([[0.0, 0, 0], [3, 4, 0]])) == 5
+    got = icp.best_orientation(spark.createDataFrame([("a", *map(float, p)) for p in pts], "object string, x double, y double, z double"), v, f, "object", threshold=0.02).first()
+    assert got.fitness > 0.6 and min(got.angle % 180 - 90, 0) > -6 and got.angle % 180 < 96
