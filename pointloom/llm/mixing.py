@@ -71,14 +71,45 @@ def _two_level(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _draws(blocks: DataFrame, seed: int) -> DataFrame:
-    """One row for each block that a copy draws: sid, block, copy, spot (0, 1, ... within the source), rest.
+    """One row for each block that a copy draws: sid, block, copy, spot (0, 1, ... within the source), rest, partial.
 
-    ``rest`` is null where the whole block is drawn, else the words to take of it."""
+    ``rest`` is null where the whole block is drawn, else the words to take of it. ``partial``: drawn by the extra copy."""
     copies = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("base")))).filter("copy < base OR extra > 0")
     copies = copies.withColumn("perm", _unit(F.lit(seed), "sid", "block", "copy")).withColumn("grp", F.floor(F.col("perm") * F.ceil(F.col("n_blocks") / GROUP_BLOCKS)))
     placed = _two_level(copies, ["sid", "copy"]).filter("copy < base OR before < extra")
     rest = F.when((F.col("copy") == F.col("base")) & (F.col("before") + F.col("words") > F.col("extra")), F.col("extra") - F.col("before"))
-    return placed.select("sid", "block", "copy", (F.col("copy") * F.col("n_blocks") + F.col("rank")).alias("spot"), rest.alias("rest"))
+    return placed.select("sid", "block", "copy", (F.col("copy") * F.col("n_blocks") + F.col("rank")).alias("spot"), rest.alias("rest"), (F.col("copy") == F.col("base")).alias("partial"))
+
+
+def _split(rows: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows in blocks of which only ``rest`` words are taken: the rows with nth, and of each block whether its nth row fits
+    and the words left. Its longest documents come first by size, then the others in a permuted order."""
+    nth = F.row_number().over(W.partitionBy("sid", "block").orderBy(F.when(F.col("size") * 64 > block_words, -F.col("size")).otherwise(0), "draw", "doc_id", "size"))
+    rows = rows.withColumn("nth", nth)
+    fold = "aggregate(sort_array(collect_list(struct(nth, size))), named_struct('left', max(rest), 'fits', cast(array() as array<boolean>)), (a, x) -> named_struct('left', if(x.size <= a.left, a.left - x.size, a.left), 'fits', concat(a.fits, array(x.size <= a.left))))"
+    return rows, rows.groupBy("sid", "block").agg(F.expr(fold).alias("fold")).select("sid", "block", "fold.fits", "fold.left")
+
+
+def _filled(draws: DataFrame, rows: DataFrame, seed: int, block_words: int) -> DataFrame:
+    """draws, with most (null: any size), and more draws of the extra copy where its last block leaves words open: of blocks it
+    hasn't drawn, the documents of at most ``most`` words, the words left then. Ends when no source has one that fits; the
+    words left shrink in every round."""
+    last = draws.withColumn("most", F.lit(None).cast("long"))
+    every = last
+    while True:
+        open_blocks = rows.join(last.filter("rest IS NOT NULL").select("sid", "block", "rest"), ["sid", "block"])
+        left = _split(open_blocks, block_words)[1].filter("left > 0").select("sid", F.col("left").alias("extra"))
+        left = materialize(left.join(every.groupBy("sid").agg(F.count(F.lit(1)).alias("drawn")), "sid"), "mix-left")  # one row a source: small to the planner
+        few = rows.withColumn("top", F.col("base")).drop("base", "extra", "n_blocks").join(left, "sid").filter("size > 0 AND size <= extra").join(every.filter("partial").select("sid", "block"), ["sid", "block"], "left_anti")
+        blocks = materialize(few.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"), F.first("drawn").alias("drawn"), F.first("top").alias("copy")), "mix-open")
+        if blocks.isEmpty():
+            return every
+        blocks = blocks.join(blocks.groupBy("sid").agg(F.count(F.lit(1)).alias("n_blocks")), "sid")
+        blocks = blocks.withColumn("perm", _unit(F.lit(seed), "sid", "block", "copy")).withColumn("grp", F.floor(F.col("perm") * F.ceil(F.col("n_blocks") / GROUP_BLOCKS)))
+        rest = F.when(F.col("before") + F.col("words") > F.col("extra"), F.col("extra") - F.col("before"))
+        placed = _two_level(blocks, ["sid"]).filter("before < extra")
+        last = materialize(placed.select("sid", "block", "copy", (F.col("drawn") + F.col("rank")).alias("spot"), rest.alias("rest"), F.lit(True).alias("partial"), F.col("extra").alias("most")), "mix-fill")
+        every = every.unionByName(last)
 
 
 def split_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
@@ -110,7 +141,7 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3
     the document), one row for each row of docs; with ``carry`` also row, all columns of docs.
 
     Null doc_ids, repeated doc_ids and repeated rows are dealt as any other: rows of one doc_id share a block and a draw,
-    so they are taken alike except in a source's last block. A null text has size 0, a null source is a source of its own,
+    so they are taken alike except in blocks that an extra copy draws in part. A null text has size 0, a null source is a source of its own,
     last in order. A source without words has target 0 and is not taken. No rows: no rows. Columns besides doc_id, text
     and source don't matter. Reruns agree, however the rows are partitioned.
     """
@@ -126,24 +157,23 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3
     blocks = materialize(rows.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("base").alias("base"), F.first("extra").alias("extra"), F.first("n_blocks").alias("n_blocks")), "mix-blocks")
     # Blocks without documents keep no rank, so a source's draws are counted from those that are there.
     blocks = blocks.drop("n_blocks").join(blocks.groupBy("sid").agg(F.count(F.lit(1)).alias("n_blocks")), "sid")
-    draws = materialize(_draws(blocks, seed), "mix-draws")
+    draws = _filled(materialize(_draws(blocks, seed), "mix-draws"), rows, seed, block_words)
     quotas = draws.groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
     n = quotas.agg(F.sum("k")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(1, n * block_words / shard_words))))
     shares = split_tree(quotas, depth, seed).filter("k > 0")
     until = F.sum("k").over(W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, 0))
     spots = shares.withColumn("until", until).select("sid", "shard", F.explode(F.sequence(F.col("until") - F.col("k"), F.col("until") - 1)).alias("spot"))
-    taken = draws.join(spots, ["sid", "spot"]).groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("copies"), F.max("rest").alias("rest"))
+    taken = draws.join(spots, ["sid", "spot"]).groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("copies"), F.max("rest").alias("rest"), F.max("most").alias("most"))
     taken = materialize(taken, "mix-taken")
     placed = (blocked(sizes(docs, seed, carry)) if carry else rows).join(taken, ["sid", "block"], "left").withColumn("copies", F.coalesce("copies", F.expr("cast(array() as array<struct<copy:int,shard:bigint>>)")))
     cols = ["row"] * carry + ["doc_id", "source", "size", "source_size", "target", "copies"]
-    # A source's last block: its longest documents by size, then the others in a permuted order, each if it still fits.
-    nth = F.row_number().over(W.partitionBy("sid", "block").orderBy(F.when(F.col("size") * 64 > block_words, -F.col("size")).otherwise(0), "draw", "doc_id", "size"))
-    split = placed.filter("rest IS NOT NULL").withColumn("nth", nth)
-    fold = "aggregate(sort_array(collect_list(struct(nth, size))), named_struct('left', max(rest), 'fits', cast(array() as array<boolean>)), (a, x) -> named_struct('left', if(x.size <= a.left, a.left - x.size, a.left), 'fits', concat(a.fits, array(x.size <= a.left))), a -> a.fits)"
-    fits = split.groupBy("sid", "block").agg(F.expr(fold).alias("fits"))
-    split = split.join(fits, ["sid", "block"]).withColumn("copies", F.expr("if(fits[nth - 1], copies, slice(copies, 1, size(copies) - 1))"))
-    return placed.filter("rest IS NULL").select(cols).unionByName(split.select(cols))
+    # A block that the extra copy draws in part: its documents that still fit, or those that are short enough.
+    but_last = "slice(copies, 1, size(copies) - 1)"
+    split, fits = _split(placed.filter("rest IS NOT NULL"), block_words)
+    split = split.join(fits, ["sid", "block"]).withColumn("copies", F.expr(f"if(fits[nth - 1], copies, {but_last})"))
+    short = placed.filter("rest IS NULL AND most IS NOT NULL").withColumn("copies", F.expr(f"if(`size` <= most, copies, {but_last})"))
+    return placed.filter("rest IS NULL AND most IS NULL").select(cols).unionByName(short.select(cols)).unionByName(split.select(cols))
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:

@@ -79,3 +79,15 @@ def test_query_on_empty_and_null(spark, tmp_path):
     assert op7_mixing(spark, str(tmp_path)).count() == 0
     r = M.assign(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).collect()
     assert [(x.doc_id, x["size"], x.target, x.copies) for x in r] == [(1, 0, 0.0, [])]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_documents_that_do_not_fit_are_made_up_for(spark, seed):
+    """Documents longer than what an extra copy has to take, among short ones that can fill it exactly."""
+    rows = [(n, "x " * 4000, "a") for n in range(6)] + [(10 + n, "x " * (1 + n % 3), "a") for n in range(1500)] + [(5000, "x " * 20_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.assign(docs, weights=(1, 15), block_words=500, shard_words=4000, seed=seed).collect()
+    taken = sum(r["size"] * len(r.copies) for r in got if r.source == "a")
+    target = next(r.target for r in got if r.source == "a")
+    assert 2500 < target < 3900 and abs(taken - target) <= 1
+    assert all(len({c["copy"] for c in r.copies}) == len(r.copies) for r in got)
