@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from pointloom.plans.scratch import materialize
+
 from .util import scalars
 
 
@@ -31,11 +33,32 @@ def close_pairs(left: DataFrame, right: DataFrame, reach: float, keys: tuple[str
 
 
 def nearest_neighbours(points: DataFrame, k: int, reach: float) -> DataFrame:
-    """a, rank, b, d2: the k nearest others within reach of each point, ties to the smaller id."""
-    pairs = close_pairs(points, points, reach).filter("a <> b")
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("d2", "b"))).filter(F.col("rank") <= k)
+    """a, b, d2, rank: the k nearest others of each point at any distance (all others where there are fewer), ties to the smaller
+    id (J10). reach: where the search begins; it is doubled for points that haven't found k yet. Points without a place have none."""
+    points = points.select("point_id", *"xyz").filter(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz"))
+    *sides, n = scalars(points, *[F.max(c) - F.min(c) for c in "xyz"], F.count(F.lit(1)))
+    across, want = 2 * sum(d or 0.0 for d in sides), min(k, n - 1)  # no pair is farther apart than that
+    out, todo = None, points
+    while True:
+        pairs = close_pairs(todo, points, reach).filter("a <> b")
+        found = pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("d2", "b"))).filter(F.col("rank") <= k)
+        found = materialize(found, "nearest")
+        done = found.filter(F.col("rank") == want).select("a")
+        last = reach >= across
+        part = found if last else found.join(done, "a", "left_semi")
+        out = part if out is None else out.unionByName(part)
+        if last:
+            return out
+        todo = materialize(todo.join(done, F.col("point_id") == F.col("a"), "left_anti"), "nearest-open")
+        if todo.isEmpty():
+            return out
+        reach *= 2
 
 
-def spacing(points: DataFrame, reach: float, k: int = 5) -> float:
-    """Median distance of up to k nearest neighbours within reach; 0.01 where there are none."""
-    return scalars(nearest_neighbours(points, k, reach), F.median(F.sqrt("d2")))[0] or 0.01
+def spacing(points: DataFrame, reach: float | None = None, k: int = 5, start: float = 0.1) -> float:
+    """Median distance of up to k nearest neighbours, at any distance or within reach if it is given; 0.01 where there are none
+    (A18)."""
+    found = nearest_neighbours(points, k, start)
+    if reach is not None:
+        found = found.filter(F.col("d2") <= F.lit(reach * reach))
+    return scalars(found, F.median(F.sqrt("d2")))[0] or 0.01

@@ -4,9 +4,9 @@ import os
 
 import pytest
 
-from pointloom.operators import edits
+from pointloom.operators import distance, edits
 from pointloom.plans import io_queries  # noqa: F401
-from pointloom.plans.queries import QUERIES, SQL
+from pointloom.plans.queries import PAIRS, QUERIES, SQL
 
 from .oracle import compare
 
@@ -43,3 +43,19 @@ def test_zip_numbers_many_partitions(spark):
     right = spark.range(0, 6000, 1, 5).selectExpr("3 * (id * 7919 % 6000) AS b")
     assert {(r.a, r.b) for r in edits.zip_by_order(left, right, "a", "b").collect()} == {(n, 3 * n) for n in range(5000)}
     assert edits.zip_by_order(right, left, "b", "a").count() == 0
+
+
+@pytest.mark.parametrize("name", ["j10_nearest_neighbours", "a18_spacing"])
+def test_neighbours_at_any_distance(spark, name):
+    sql = SQL[name].replace(f" WHERE {PAIRS} <= 0.1::DOUBLE * 0.1::DOUBLE", "")
+    assert sql != SQL[name]
+    compare(spark, SF, QUERIES[name], sql)
+
+
+def test_neighbours_of_outliers_and_few_points(spark):
+    xyz = "point_id long, x double, y double, z double"
+    p = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.01, 0.0, 0.0), (2, 50.0, 0.0, 0.0), (3, 51.0, 0.0, 0.0), (4, None, 0.0, 0.0), (5, float("nan"), 0.0, 0.0)], xyz)
+    got = {(r.a, r["rank"]): r.b for r in distance.nearest_neighbours(p, 2, 0.1).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 3, (2, 2): 1, (3, 1): 2, (3, 2): 1}
+    assert distance.nearest_neighbours(p, 9, 0.1).count() == 12 and distance.nearest_neighbours(p.limit(1), 5, 0.1).count() == 0
+    assert distance.spacing(p.filter("point_id IN (0, 2)")) == 50
