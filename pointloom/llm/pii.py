@@ -32,7 +32,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
 _AUTHORITY = re.compile(r"[^\s\"'<>|{}\\^`]+")
-_VALUE = re.compile(r"(?:[\x20_-]?(?:no|nr|number|id))?\.?[\x20\t]?(?:[:=#]|is)[\x20\t]?[\"']?([A-Za-z0-9](?:[A-Za-z0-9-]|\x20(?=[0-9]{2})){4,62}[A-Za-z0-9])", re.I)
+_SAYS = re.compile(r"(?:[\x20_-]?(?:no|nr|number|id))?\.?[\x20\t]?(?:[:=#]|is)[\x20\t]?[\"']?", re.I)
+_RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]*(?:\x20(?=[0-9]{2})[A-Za-z0-9-]*)*", re.I)
 _AUTOMATON = None
 
 
@@ -73,7 +74,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
         return []
     out: list[tuple[int, int, int]] = []
     done = [0] * len(KINDS)  # where each kind's last match ends, kept or dropped
-    digit = -2
+    digit, poor = -2, 0
     for i, anchor in _automaton().iter(text):
         if anchor == "digit":
             run, digit = digit == i - 1, i
@@ -110,10 +111,14 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
                     done[4] = i + 1 + len(address)
                     out.append((low + s.start(), 4, done[4]))
         elif i + 1 > done[5]:
-            if m := _VALUE.match(text, i + 1):
-                if sum(map(m[1].count, _DIGITS)) >= 4:
-                    done[5] = m.end(1)
-                    out.append((m.start(1), 5, m.end(1)))
+            # A value begun inside one with too few digits is its tail and has no more: so each run is read once.
+            if (says := _SAYS.match(text, i + 1)) and says.end() >= poor and (m := _RUN.match(text, says.end())):
+                value = m[0].rstrip("-")
+                if len(value) >= 6 and sum(map(value.count, _DIGITS)) >= 4:
+                    done[5] = m.start() + len(value)
+                    out.append((m.start(), 5, done[5]))
+                else:
+                    poor = m.start() + len(value)
     out.sort()
     return out
 
