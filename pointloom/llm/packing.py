@@ -234,7 +234,8 @@ def _solved(chunked: DataFrame, capacity: int, seed: int) -> DataFrame:
 
 
 def _placer(depth: int, full_from: float):
-    """Of a chunk's rows and its solution: the rows with sequence_id, offset and whether their bin is full enough."""
+    """Of a chunk's rows and its solution: the rows with sequence_id, offset, whether their bin is full enough, and whether it stays
+    where most bins aren't: all but the emptiest, which hold an eighth of the pieces or are one bin with at most half of them."""
 
     def place(t: pa.Table, solution: pa.Table) -> pa.Table:
         t = t.sort_by("pack_uid")
@@ -246,7 +247,13 @@ def _placer(depth: int, full_from: float):
         offset = np.empty(len(bins), np.int64)
         offset[order] = before - np.repeat(before[first], np.diff(np.append(first, len(bins))))
         ids = (np.int64(depth) << 57) + (np.int64(t.column("chunk")[0].as_py()) << 20) + bins
-        return t.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset)).append_column("pack_full", pa.array(fills(bins, lengths)[bins] >= full_from))
+        full = fills(bins, lengths)
+        emptiest = np.argsort(full, kind="stable")
+        pieces = np.cumsum(np.bincount(bins, minlength=len(full))[emptiest])
+        again = np.zeros(len(full), bool)
+        again[emptiest[(pieces <= len(bins) // 8) | (np.arange(len(full)) == 0) & (pieces <= len(bins) // 2)]] = True
+        out = t.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
+        return out.append_column("pack_full", pa.array(full[bins] >= full_from)).append_column("pack_stays", pa.array(~again[bins]))
 
     return place
 
@@ -267,15 +274,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_PIE
             break
         chunks = math.ceil(n / chunk_pieces)
         chunked = left.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), F.lit(depth), "pack_uid"), F.lit(chunks)))
-        schema = chunked.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).withColumn("pack_full", F.lit(True)).schema
+        schema = chunked.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).withColumn("pack_full", F.lit(True)).withColumn("pack_stays", F.lit(True)).schema
 
         solved = _solved(chunked, capacity, seed + depth)
         packed = chunked.groupBy("chunk").cogroup(solved.groupBy("chunk")).applyInArrow(_placer(depth, 0 if chunks == 1 else FULL * capacity), schema)
         packed = materialize(packed, "pack-round")
-        if chunks > 1 and packed.filter("NOT pack_full").count() > 0.5 * n:
-            # Lengths that no one can fill bins with: dealing them again would gain little, so they stay where they are.
-            out = out.unionByName(packed.select(*cols, "sequence_id", "offset"))
-            break
-        out = out.unionByName(packed.filter("pack_full").select(*cols, "sequence_id", "offset"))
-        left = packed.filter("NOT pack_full").select(*cols, "pack_uid")
+        # Lengths that no one can fill bins with: only the emptiest bins of all chunks are dealt again.
+        stays = "pack_stays" if chunks > 1 and packed.filter("NOT pack_full").count() > 0.5 * n else "pack_full"
+        out = out.unionByName(packed.filter(stays).select(*cols, "sequence_id", "offset"))
+        left = packed.filter(f"NOT {stays}").select(*cols, "pack_uid")
     return out

@@ -74,3 +74,10 @@ def test_crossover_keeps_every_item(seed):
     for x in [*pop, P.crossover(pop[0], pop[-1], n, n.tolist(), 2048, rng), P.mutate(pop[0], n, n.tolist(), 2048, rng)]:
         f = P.fills(x, n)
         assert f.max() <= 2048 and f.min() > 0 and x.min() == 0
+
+
+def test_emptiest_bins_of_all_chunks_meet(spark):
+    cut = spark.range(200).selectExpr("id", "40 AS length")
+    rows = P.pack(cut, capacity=100, chunk_pieces=9).collect()
+    assert sorted(r.id for r in rows) == list(range(200))
+    assert len({r.sequence_id for r in rows}) <= 101
