@@ -45,11 +45,17 @@ def octree_components(points: DataFrame, level: int) -> DataFrame:
     return grid.join(rooted, ["i", "j", "k"]).select("point_id", "root")
 
 
-def dbscan_components(points: DataFrame, level: int | None = None, eps: float | None = None) -> DataFrame:
-    """point_id and root of points that steps of at most eps connect; eps is the longest side over 2^level unless given."""
+def eps_of(points: DataFrame, level: int | None = None, eps: float | None = None) -> float:
+    """The longest side over 2^level unless given."""
     if eps is None:
         side = scalars(points, F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]))[0] or 0.0
         eps = side / (1 << (level or 0))
+    return eps
+
+
+def dbscan_components(points: DataFrame, level: int | None = None, eps: float | None = None) -> DataFrame:
+    """point_id and root of points that steps of at most eps connect; eps is the longest side over 2^level unless given."""
+    eps = eps_of(points, level, eps)
     found = connected_components(close_pairs(points, points, eps).filter("a < b").select("a", "b"))
     return points.select("point_id").join(found, F.col("point_id") == F.col("node"), "left").select("point_id", F.coalesce("component", "point_id").alias("root"))
 
@@ -72,7 +78,10 @@ def largest_components(labels: DataFrame, min_points: int, n: int = 10) -> DataF
     return component_sizes(labels).orderBy(F.desc("n_points"), "root").limit(n).withColumn("kept", F.col("n_points") >= min_points)
 
 
-def filtering_stats(labels: DataFrame, min_points: int) -> DataFrame:
-    """One row of counts."""
+def filtering_stats(labels: DataFrame, min_points: int, voxel_size: float | None = None, eps: float | None = None) -> DataFrame:
+    """One row of counts, the sizes of the 50 largest components and what they were found with."""
+    largest = largest_components(labels, min_points, 50).agg(F.sort_array(F.collect_list("n_points"), asc=False).alias("largest_sizes"))
     kept = F.col("n_points") >= min_points
-    return component_sizes(labels).agg(F.sum("n_points").alias("input_points"), F.sum(F.when(kept, F.col("n_points")).otherwise(0)).alias("output_points"), F.count(F.lit(1)).alias("components_found"), F.count(F.when(kept, 1)).alias("components_kept"), F.count(F.when(~kept, 1)).alias("components_removed"))
+    counts = component_sizes(labels).agg(F.sum("n_points").alias("input_points"), F.sum(F.when(kept, F.col("n_points")).otherwise(0)).alias("output_points"), F.count(F.lit(1)).alias("components_found"), F.count(F.when(kept, 1)).alias("components_kept"), F.count(F.when(~kept, 1)).alias("components_removed"))
+    found = counts.crossJoin(F.broadcast(largest))
+    return found.withColumns({n: F.lit(v).cast("double") for n, v in (("voxel_size", voxel_size), ("eps", eps))})

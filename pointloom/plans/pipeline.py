@@ -74,9 +74,14 @@ class Run:
             labels = voxels.octree_components(points, level)
         else:
             labels = voxels.dbscan_components(points, level, own.get("eps_override"))
+        size = eps = None
+        if own.get("enabled", True) and own.get("method", "octree") == "octree":
+            size = voxels.voxel_size(points, level).first().voxel
+        elif own.get("enabled", True):
+            eps = voxels.eps_of(points, level, own.get("eps_override"))
         least = own.get("min_points_per_component", 1)
         self.write(points.join(voxels.keep_components(labels, least), "point_id").withColumnRenamed("component_id", "fragment"), category, "filtered")
-        self.write(voxels.filtering_stats(labels, least), category, "filtering_stats")
+        self.write(voxels.filtering_stats(labels, least, size, eps), category, "filtering_stats")
 
     def heal(self, category: str) -> None:
         own = self.config.category(category)["healing"]

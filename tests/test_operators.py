@@ -245,3 +245,9 @@ def test_orientation_search_of_a_thin_scan(spark):
     assert icp.spacing(pts) > 0.02 / 3 and icp.spacing(np.array([[0.0, 0, 0], [3, 4, 0]])) == 5
     got = icp.best_orientation(spark.createDataFrame([("a", *map(float, p)) for p in pts], "object string, x double, y double, z double"), v, f, "object", threshold=0.02).first()
     assert got.fitness > 0.6 and min(got.angle % 180 - 90, 0) > -6 and got.angle % 180 < 96
+
+
+def test_filtering_stats_name_the_largest(spark):
+    labels = spark.range(60 * 61 // 2).selectExpr("id AS point_id", "cast(floor((sqrt(8D * id + 1) - 1) / 2) as long) AS root")
+    r = voxels.filtering_stats(labels, 3, voxel_size=0.02).first()
+    assert r.largest_sizes == list(range(60, 10, -1)) and (r.voxel_size, r.eps, r.components_found, r.components_kept) == (0.02, None, 60, 58)
