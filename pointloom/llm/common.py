@@ -42,8 +42,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Positions in a word whose bytes' values stand in a table.
+_NEAR = 32
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,10 +57,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
+def _byte_values(code: np.ndarray) -> np.ndarray:
+    """A fixed random-looking number for each position in a word and byte there (position * 256 + byte)."""
+    return mix64((code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_VALUES = _byte_values(np.arange(_NEAR << 8))
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +82,9 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(raw: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE, cuts: tuple[int, ...] = ()):
     """64-bit hashes of the words of all texts in order, A-Z lower-cased, and where each text's words begin.
 
-    Polynomial hashes modulo 2^64 from one running sum over the bytes, then mixed; texts never share a word. With cuts a
-    list: of whole words, then of the words' first bytes, as many as each cut says. space: which bytes end words.
+    A word's hash sums numbers drawn for each of its bytes by position, then mixes the sum: words differ by chance only,
+    whatever pattern they follow. One running sum over the bytes gives all; texts never share a word. With cuts a list: of
+    whole words, then of the words' first bytes, as many as each cut says. space: which bytes end words.
     """
     n = len(raw)
     if not n:
@@ -97,18 +100,21 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE, cut
     ends[:-1] &= ~inside[1:] | edge[1:n]
     last = np.flatnonzero(ends)
     out = [np.empty(len(first), np.uint64) for _ in range(1 + len(cuts))]
-    step = 1 << 20  # words of so many bytes at a time: powers stay small and in cache
+    step = 1 << 19  # words of so many bytes at a time: arrays stay small and in cache
     k = 0
     while k < len(first):
         e = max(k + 1, int(np.searchsorted(last, first[k] + step)))
         a, b = int(first[k]), int(last[e - 1]) + 1
-        power = _powers(_BASE, b - a)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum((_LOWER[raw[a:b]].astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
         begin, end = first[k:e] - a, last[k:e] + 1 - a
-        back = _powers(_BASE_INVERSE, b - a)[begin]
+        place = np.arange(b - a, dtype=np.int32) - np.repeat(begin.astype(np.int32), np.diff(begin, append=b - a))
+        code = (place << 8) + _LOWER[raw[a:b]] if b - a < 1 << 22 else (place.astype(np.int64) << 8) + _LOWER[raw[a:b]]
+        value = _VALUES.take(code, mode="clip")
+        if len(far := np.flatnonzero(place >= _NEAR)):
+            value[far] = _byte_values(code[far])
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
         for o, cut in zip(out, (None, *cuts)):
-            o[k:e] = (total[end if cut is None else np.minimum(end, begin + cut)] - total[begin]) * back
+            o[k:e] = total[end if cut is None else np.minimum(end, begin + cut)] - total[begin]
         k = e
     hashed = [mix64(x) for x in out]
     return hashed if cuts else hashed[0], np.searchsorted(first, at)
