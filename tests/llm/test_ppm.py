@@ -44,9 +44,9 @@ def plain_score(counts, text):
     return sum(math.log10(plain_probability(counts, s[i - 4 : i], s[i])) for i in range(4, len(s)))
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 25, 300])
-def test_equals_plain_model(spark, tmp_path, monkeypatch, group_bytes):
-    monkeypatch.setattr(ppm.scores, "__defaults__", (group_bytes,))
+@pytest.mark.parametrize("group_bytes,parts,fan_in", [(1 << 24, 1 << 10, 64), (300, 5, 3)])
+def test_equals_plain_model(spark, tmp_path, monkeypatch, group_bytes, parts, fan_in):
+    monkeypatch.setattr(ppm.scores, "__defaults__", (group_bytes, parts, fan_in))
     rows = list(enumerate(TEXTS)) + [(None, "abc"), (3, "same id"), (2, "abracadabra")]
     spark.createDataFrame([(d, t, 1, "g") for d, t in rows], "doc_id long, text string, row int, grp string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     learn = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 != 0
@@ -75,3 +75,25 @@ def test_no_rows_and_no_training(spark):
     r = ppm.scores(docs, F.lit(False)).first()
     assert abs(r.score - 3 * math.log10(1 / 256)) < 1e-9 and (r.n_tokens, r.n_known, r.train_tokens) == (2, 0, 0)
     assert abs(r.base_score - 2 * math.log10(0.1 / 0.1)) < 1e-9
+
+
+def thue_morse(n, letters):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join(letters[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomial_hashes_confuse_are_counted_apart(spark, n):
+    a, b = thue_morse(n, "ab"), thue_morse(n, "ba")
+    docs = spark.createDataFrame([(1, f"{a} {a}"), (2, b)], "doc_id long, text string")
+    known = {r.doc_id: r.n_known for r in ppm.scores(docs, F.col("doc_id") == 1).collect()}
+    assert known == {1: 3, 2: 1}  # of the second text only the end
+
+
+def test_repeated_rows_are_spread(spark):
+    docs = spark.range(64).selectExpr("7L AS doc_id", "'the same text again' AS text")
+    rows = ppm.scores(docs, F.lit(True), 100).collect()
+    assert len(rows) == 64 and len({r.score for r in rows}) == 1
+    assert rows[0].train_tokens == 64 * 5
