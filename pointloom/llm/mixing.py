@@ -5,7 +5,7 @@ A mix takes whole documents, each up to ``limit`` times. Documents of a source a
 blocks in a permuted order until the target is met (of the last block, documents in a permuted order). The draws of all
 sources are then shared among output shards: a binary tree halves the number of draws at each node and splits every
 source's exact quota between both halves as a multivariate-hypergeometric variate, so each shard's composition is that of
-a random deal, while no step ever sorts all draws. Shards then take disjoint ranges of each source's permuted draws.
+a random deal, while no step ever sorts all draws. Variates are exact at every size. Shards then take disjoint ranges of each source's permuted draws.
 
 Nothing is sorted or collected beyond a group of blocks: ranks and running sums within a source are found in two levels.
 What fits one row or task is one entry for each source, not for each block.
@@ -22,9 +22,6 @@ from .common import WORD, materialize, shuffle_parts
 
 #: Blocks of one rank group; a group is the most that a window sorts.
 GROUP_BLOCKS = 4096
-#: Hypergeometric draws up to so many blocks of a source are simulated block by block; a larger node uses the normal
-#: approximation, rounded and held to the variate's support.
-EXACT_DRAWS = 256
 
 
 def _unit(*key) -> Column:
@@ -112,19 +109,51 @@ def _filled(draws: DataFrame, rows: DataFrame, seed: int, block_words: int) -> D
         every = every.unionByName(last)
 
 
+def hypergeometric(population: str, good: str, drawn: str, unit: str) -> str:
+    """SQL for an exact hypergeometric variate by inversion: how many of ``drawn`` are good, for a uniform ``unit`` in [0, 1).
+
+    Probabilities are relative to that of the mode and follow from their neighbours' by recursion, upward and downward. Their
+    sum is over the mode's neighbourhood of 9 standard deviations and 30, outside of which all probabilities together are
+    less than what a double resolves. Steps grow with the standard deviation."""
+
+    def let(value: str, name: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    none = "cast(array() as array<bigint>)"
+    # Of either way: what the recursion passes through, the next probability, and where a walk is then.
+    ways = {
+        "up": (f"if(r.mode < r.hi, sequence(r.mode, r.hi - 1), {none})", "s.f * (1D * (p.good - x) * (p.take - x)) / (1D * (x + 1) * (p.pop - p.good - p.take + x + 1))", "x + 1"),
+        "down": (f"if(r.mode > r.lo, sequence(r.mode, r.lo + 1, -1L), {none})", "s.f * (1D * x * (p.pop - p.good - p.take + x)) / (1D * (p.good - x + 1) * (p.take - x + 1))", "x - 1"),
+    }
+
+    def mass(way: str) -> str:
+        path, ratio, _ = ways[way]
+        onward = let(ratio, "g", "named_struct('f', g, 's', s.s + g)")
+        return f"aggregate({path}, named_struct('f', 1D, 's', 0D), (s, x) -> {onward}, s -> s.s)"
+
+    def walk(way: str, rest: str) -> str:
+        path, ratio, at = ways[way]
+        onward = let(ratio, "g", f"named_struct('f', g, 't', s.t - g, 'x', {at}, 'go', s.t >= g)")
+        return f"aggregate({path}, named_struct('f', 1D, 't', {rest}, 'x', r.mode, 'go', true), (s, x) -> if(s.go, {onward}, s), s -> s.x)"
+
+    low, high = "greatest(0L, p.take - (p.pop - p.good))", "least(p.take, p.good)"
+    mode = f"greatest({low}, least({high}, cast(floor(1D * (p.take + 1) * (p.good + 1) / (p.pop + 2)) as bigint)))"
+    variance = "1D * p.take * p.good / greatest(1, p.pop) * (1 - 1D * p.good / greatest(1, p.pop)) * (p.pop - p.take) / greatest(1, p.pop - 1)"
+    pick = f"CASE WHEN t < 1 THEN r.mode WHEN t < 1 + m.up THEN {walk('up', 't - 1')} ELSE {walk('down', 't - 1 - m.up')} END"
+    pick = let(f"named_struct('up', {mass('up')}, 'down', {mass('down')})", "m", let("p.u * (1 + m.up + m.down)", "t", pick))
+    pick = let(f"named_struct('mode', mode, 'lo', greatest({low}, mode - w), 'hi', least({high}, mode + w))", "r", pick)
+    pick = let(mode, "mode", let(f"cast(30 + 9 * ceil(sqrt(greatest(0D, {variance}))) as bigint)", "w", pick))
+    return let(f"named_struct('pop', {population}, 'good', {good}, 'take', {drawn}, 'u', {unit})", "p", pick)
+
+
 def split_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     """2^depth shards of equal numbers of draws: shard, sid, k. ``quotas``: sid, k (draws of the source).
 
-    A node's left half draws from the node's sources in turn, each a hypergeometric variate given what is left."""
+    A node's left half draws from the node's sources in turn, each an exact hypergeometric variate given what is left."""
     item = "struct<sid:bigint,k:bigint>"
     node = quotas.agg(F.sort_array(F.collect_list(F.struct(F.col("sid").cast("long").alias("sid"), F.col("k").cast("long").alias("k")))).alias("q")).select(F.lit(1).cast("long").alias("node"), "q")
-    unit = lambda *x: f"(shiftrightunsigned(xxhash64({seed}L, node, {', '.join(x)}), 11) / {float(1 << 53)!r}D)"
-    one_by_one = f"aggregate(sequence(1L, q1.k), named_struct('n', a.n, 'm', a.m, 'h', 0L), (s, t) -> if({unit('q1.sid', 't')} * s.m < s.n, named_struct('n', s.n - 1, 'm', s.m - 1, 'h', s.h + 1), named_struct('n', s.n, 'm', s.m - 1, 'h', s.h)), s -> s.h)"
-    mean = "(a.n * (q1.k / a.m))"
-    sd = "sqrt(greatest(0D, a.n * (q1.k / a.m) * (1 - q1.k / a.m) * ((a.m - a.n) / greatest(1, a.m - 1))))"
-    normal = f"sqrt(-2 * ln(1 - {unit('q1.sid', '1')})) * cos(2 * pi() * {unit('q1.sid', '2')})"
-    at_once = f"cast(least(least(q1.k, a.n), greatest(greatest(0, a.n - (a.m - q1.k)), round({mean} + {sd} * {normal}))) as bigint)"
-    h = f"CASE WHEN q1.k = 0 THEN 0L WHEN q1.k <= {EXACT_DRAWS} THEN {one_by_one} ELSE {at_once} END"
+    unit = f"shiftrightunsigned(xxhash64({seed}L, node, q1.sid), 11) / {float(1 << 53)!r}D"
+    h = f"if(q1.k = 0 OR a.n = 0, 0L, {hypergeometric('a.m', 'q1.k', 'a.n', unit)})"
     step = f"transform(array({h}), h -> named_struct('n', a.n - h, 'm', a.m - q1.k, 'l', concat(a.l, array(named_struct('sid', q1.sid, 'k', h)))))[0]"
     left = f"aggregate(q, named_struct('n', total div 2, 'm', total, 'l', cast(array() as array<{item}>)), (a, q1) -> {step}, a -> a.l)"
     for level in range(depth):

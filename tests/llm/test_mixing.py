@@ -1,6 +1,8 @@
 import random
+from math import comb
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom.llm import mixing as M
 from pointloom.llm.queries import op7_mixing
@@ -60,6 +62,18 @@ def test_targets_and_takes(spark, tmp_path, block_words, shard_words):
     assert mixed.count() == sum(len(r.copies) for r in got)
 
 
+@pytest.mark.parametrize("population,good,drawn", [(20_000, 300, 8), (20_000, 8, 300), (700, 350, 300), (50, 49, 25), (5, 5, 3), (9, 0, 4), (4000, 1000, 2000)])
+def test_variates_are_hypergeometric(spark, population, good, drawn):
+    """The share of evenly spaced uniforms that give each value is its probability."""
+    n = 4000
+    units = spark.range(n).select(((F.col("id") + 0.5) / n).alias("u"))
+    rows = units.select(F.expr(M.hypergeometric(f"{population}L", f"{good}L", f"{drawn}L", "u")).alias("h")).groupBy("h").count().collect()
+    exact = {h: comb(good, h) * comb(population - good, drawn - h) / comb(population, drawn) for h in range(max(0, drawn - population + good), min(good, drawn) + 1)}
+    assert {r.h for r in rows} <= set(exact) and sum(r["count"] for r in rows) == n
+    got = {r.h: r["count"] / n for r in rows}
+    assert all(abs(got.get(h, 0) - p) <= 1.01 / n for h, p in exact.items())
+
+
 def test_shards_are_even_and_quotas_exact(spark):
     quotas = spark.createDataFrame([(1, 5000), (2, 700), (3, 40), (4, 0), (5, 1)], "sid long, k long")
     rows = M.split_tree(quotas, 4, 9).collect()
