@@ -3,15 +3,16 @@
 Documents become pieces of at most one sequence; whole-sequence pieces need no packing. The others are dealt by hash into
 chunks of a bounded number of pieces. Each chunk is solved on several islands, each a population of packings in a group of
 its own: crossover injects well-filled bins of one parent whole into the other, drops that parent's bins which hold any of
-the same pieces, and best-fits the displaced ones. After each epoch an island's elite moves on to the next island of its
-chunk by a shuffle. What a chunk's best packing leaves in bins that aren't full enough is dealt and packed again, over
-fewer and fewer chunks, so that chunks cost no more than a few bins in all.
+the same pieces, exchanges displaced pieces for ones of other bins where these get fuller, and best-fits the rest. After
+each epoch an island's elite moves on to the next island of its chunk by a shuffle. The emptiest bins that a chunk's best
+packing leaves are dealt and packed again with those of other chunks, over fewer and fewer chunks, until one is left.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,11 @@ CHUNK_PIECES = 4096
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
-OFFSPRING = 48
-#: Bins filled less than this share are dealt again: all that have any room.
-FULL = 1.0
+OFFSPRING = 96
+#: An epoch also ends after so many offspring in a row that bettered nothing.
+PATIENCE = 32
+#: The most of a chunk's pieces that are dealt again: those in its emptiest bins with room.
+AGAIN = 0.25
 
 _ENCODERS: dict[str, object] = {}
 
@@ -70,7 +73,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of each piece of each row of docs.
 
     A document is its text's ids, then end_id; a null text is empty. One longer than capacity is cut into pieces of
-    capacity of which the first may be shorter. Null and repeated doc_ids, repeated rows and other columns don't matter.
+    capacity of which the first may be shorter. Null and repeated doc_ids, repeated rows and other columns don't matter;
+    very long texts are read whole.
     """
     path = tokenizer or default_tokenizer()
 
@@ -128,8 +132,68 @@ def fitness(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int,
     return -len(f), float((f * f).sum()) / capacity**2
 
 
+def bound(lengths: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins (Martello and Toth): pieces above half need bins of their own, and of those shorter than these
+    leave room for, only what fits there is free."""
+    n = np.bincount(lengths, minlength=capacity + 1)
+    upto, words = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half, total = capacity // 2, upto[capacity]
+    short = np.arange(half + 1)  # pieces shorter than this are left aside
+    below = np.where(short > 0, words[np.maximum(short - 1, 0)], 0)
+    middle, middle_words = upto[capacity - short] - upto[half], words[capacity - short] - words[half]
+    extra = -((-(words[half] - below - (middle * capacity - middle_words))) // capacity)
+    return int((total - upto[half] + np.maximum(0, extra)).max(initial=0))
+
+
+def exchange(out: np.ndarray, rest: np.ndarray, as_list: list[int], room: list[int]) -> np.ndarray:
+    """Swaps pieces of bins with unplaced ones (rest), where that fills a bin more: one or two against one, or one against two.
+
+    Each bin takes the swap that fills it most of those tried. out and room are updated; what is unplaced then is returned."""
+    free = sorted((as_list[i], i) for i in rest.tolist())
+    placed = np.argsort(out, kind="stable")
+    placed = placed[out[placed] >= 0]
+    heads = np.flatnonzero(np.diff(out[placed], prepend=-1)).tolist()
+    placed = placed.tolist()
+    last = (1 << 60,)
+    for b, (s, e) in enumerate(zip(heads, [*heads[1:], len(placed)])):
+        if not room[b] or not free:
+            continue
+        items, gain, swap = placed[s:e], 0, None
+        for x, i in enumerate(items):
+            n = as_list[i]
+            top = bisect_right(free, (n + room[b], *last)) - 1
+            if top >= 0 and free[top][0] - n > gain:
+                gain, swap = free[top][0] - n, ((i,), (top,))
+            low, high = 0, top
+            for _ in range(24):
+                if low >= high:
+                    break
+                two = free[low][0] + free[high][0] - n
+                if two > room[b]:
+                    high -= 1
+                    continue
+                if two > gain:
+                    gain, swap = two, ((i,), (low, high))
+                low += 1
+            for j in items[x + 1 :] if len(items) <= 6 else ():
+                both = n + as_list[j]
+                top = bisect_right(free, (both + room[b], *last)) - 1
+                if top >= 0 and free[top][0] - both > gain:
+                    gain, swap = free[top][0] - both, ((i, j), (top,))
+        if swap:
+            come = [free[k][1] for k in swap[1]]
+            for k in reversed(swap[1]):
+                del free[k]
+            for i in swap[0]:
+                out[i] = -1
+                insort(free, (as_list[i], i))
+            out[come] = b
+            room[b] -= gain
+    return np.array([i for _, i in free], np.int64)
+
+
 def _rebuild(keep: np.ndarray, bins: np.ndarray, injected: np.ndarray | None, lengths: np.ndarray, as_list: list[int], capacity: int, rng) -> np.ndarray:
-    """bins where keep says so, injected's groups (-1: none) as new bins, all other items best-fitted, longest first."""
+    """bins where keep says so, injected's groups (-1: none) as new bins, other items exchanged for theirs or best-fitted, longest first."""
     out = np.full(len(bins), -1, np.int32)
     own = keep[bins]
     if injected is not None:
@@ -140,7 +204,7 @@ def _rebuild(keep: np.ndarray, bins: np.ndarray, injected: np.ndarray | None, le
         out[new] = group + out.max(initial=-1) + 1
     placed = out >= 0
     room = (capacity - np.bincount(out[placed], weights=lengths[placed])).astype(int).tolist() if placed.any() else []
-    rest = np.flatnonzero(~placed)
+    rest = np.sort(exchange(out, np.flatnonzero(~placed), as_list, room)) if room else np.flatnonzero(~placed)
     best_fit(rest[np.argsort(-lengths[rest] * rng.uniform(0.97, 1, len(rest)), kind="stable")].tolist(), as_list, out, room, capacity)
     return out
 
@@ -166,11 +230,12 @@ def mutate(a: np.ndarray, lengths: np.ndarray, as_list: list[int], capacity: int
 
 
 def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, rng, offspring: int = OFFSPRING) -> list[np.ndarray]:
-    """The population after so many offspring, best first; made here where there is none. Ends early at the lower bound."""
+    """The population after so many offspring, best first; made here where there is none. Ends early at the lower bound
+    or where nothing gets better."""
     as_list = lengths.tolist()
     nothing = np.zeros(1, bool)
     zero = np.zeros(len(lengths), np.int32)
-    goal = -math.ceil(lengths.sum() / capacity)
+    goal = -bound(lengths, capacity)
     scored = [(fitness(x, lengths, capacity), x) for x in population]
     if not scored:
         plain = np.full(len(lengths), -1, np.int32)
@@ -181,9 +246,11 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, rng
         x = _rebuild(nothing, zero, None, lengths, as_list, capacity, rng)
         scored.append((fitness(x, lengths, capacity), x))
     best_first = lambda: sorted(scored, key=lambda s: s[0], reverse=True)[:POPULATION]
+    best, since = None, 0
     for k in range(offspring):
         scored = best_first()
-        if done() or len(scored) < 2:
+        best, since = scored[0][0], since + 1 if scored[0][0] == best else 0
+        if done() or len(scored) < 2 or since > PATIENCE:
             break
         i, j = sorted(rng.choice(len(scored), 2, replace=False))
         child = mutate(scored[i][1], lengths, as_list, capacity, rng) if k % 4 == 3 else crossover(scored[i][1], scored[j][1], lengths, as_list, capacity, rng)
@@ -195,22 +262,22 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, rng
 
 # ---- chunks and rounds -----------------------------------------------------------------------------------------------
 
-_STATE = "chunk long, island int, lengths binary, population array<binary>"
+_STATE = "pack_chunk long, island int, lengths binary, population array<binary>"
 
 
 def _solved(chunked: DataFrame, capacity: int, seed: int) -> DataFrame:
-    """chunk and bins (32-bit, in the chunk's order of pack_uid): the best packing that any of its islands found."""
-    form = pa.schema([("chunk", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary()))])
+    """pack_chunk and bins (32-bit, in the chunk's order of pack_uid): the best packing that any of its islands found."""
+    form = pa.schema([("pack_chunk", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary()))])
 
     def start(t: pa.Table) -> pa.Table:
         t = t.sort_by("pack_uid")
         n = t.column("length").to_numpy().astype("<i4").tobytes()
-        k = t.column("chunk")[0].as_py()
+        k = t.column("pack_chunk")[0].as_py()
         return pa.table([[k] * ISLANDS, list(range(ISLANDS)), [n] * ISLANDS, [[]] * ISLANDS], schema=form)
 
     def epoch(e: int):
         def run(t: pa.Table) -> pa.Table:
-            k, island = t.column("chunk")[0].as_py(), t.column("island")[0].as_py()
+            k, island = t.column("pack_chunk")[0].as_py(), t.column("island")[0].as_py()
             lengths = np.frombuffer(max(t.column("lengths").to_pylist()), "<i4").astype(np.int64)
             arrived = sorted(x for p in t.column("population").to_pylist() for x in p)
             found = evolve(lengths, [np.frombuffer(x, "<i4") for x in arrived], capacity, np.random.default_rng([seed, k, island, e]))
@@ -225,17 +292,17 @@ def _solved(chunked: DataFrame, capacity: int, seed: int) -> DataFrame:
         lengths = np.frombuffer(max(t.column("lengths").to_pylist()), "<i4").astype(np.int64)
         found = sorted(x for p in t.column("population").to_pylist() for x in p)
         top = max(found, key=lambda x: fitness(np.frombuffer(x, "<i4"), lengths, capacity))
-        return pa.table([[t.column("chunk")[0].as_py()], [top]], names=["chunk", "bins"])
+        return pa.table([[t.column("pack_chunk")[0].as_py()], [top]], names=["pack_chunk", "bins"])
 
-    state = chunked.select("chunk", "pack_uid", "length").groupBy("chunk").applyInArrow(start, _STATE)
+    state = chunked.select("pack_chunk", "pack_uid", "length").groupBy("pack_chunk").applyInArrow(start, _STATE)
     for e in range(EPOCHS):
-        state = state.groupBy("chunk", "island").applyInArrow(epoch(e), _STATE)
-    return state.groupBy("chunk").applyInArrow(best, "chunk long, bins binary")
+        state = state.groupBy("pack_chunk", "island").applyInArrow(epoch(e), _STATE)
+    return state.groupBy("pack_chunk").applyInArrow(best, "pack_chunk long, bins binary")
 
 
-def _placer(depth: int, full_from: float):
-    """Of a chunk's rows and its solution: the rows with sequence_id, offset, whether their bin is full enough, and whether it stays
-    where most bins aren't: all but the emptiest, which hold an eighth of the pieces or are one bin with at most half of them."""
+def _placer(depth: int, capacity: int, again: float):
+    """Of a chunk's rows and its solution: the rows with sequence_id, offset, and whether their bin stays: all but the emptiest
+    ones with room, which hold at most a share ``again`` of the pieces, or are one bin with at most half of them."""
 
     def place(t: pa.Table, solution: pa.Table) -> pa.Table:
         t = t.sort_by("pack_uid")
@@ -246,25 +313,26 @@ def _placer(depth: int, full_from: float):
         first = np.flatnonzero(np.diff(bins[order], prepend=-1))
         offset = np.empty(len(bins), np.int64)
         offset[order] = before - np.repeat(before[first], np.diff(np.append(first, len(bins))))
-        ids = (np.int64(depth) << 57) + (np.int64(t.column("chunk")[0].as_py()) << 20) + bins
+        ids = (np.int64(depth) << 57) + (np.int64(t.column("pack_chunk")[0].as_py()) << 20) + bins
         full = fills(bins, lengths)
         emptiest = np.argsort(full, kind="stable")
         pieces = np.cumsum(np.bincount(bins, minlength=len(full))[emptiest])
-        again = np.zeros(len(full), bool)
-        again[emptiest[(pieces <= len(bins) // 8) | (np.arange(len(full)) == 0) & (pieces <= len(bins) // 2)]] = True
-        out = t.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
-        return out.append_column("pack_full", pa.array(full[bins] >= full_from)).append_column("pack_stays", pa.array(~again[bins]))
+        share = (pieces <= again * len(bins)) | (np.arange(len(full)) == 0) & (pieces <= len(bins) // 2) & (again > 0)
+        stays = np.ones(len(full), bool)
+        stays[emptiest[share]] = full[emptiest[share]] >= capacity
+        return t.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset)).append_column("pack_stays", pa.array(stays[bins]))
 
     return place
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_PIECES, seed: int = 0) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_PIECES, seed: int = 0, again: float = AGAIN) -> DataFrame:
     """The rows of cut (any columns; length: 1 to capacity) with sequence_id and offset, gapless from 0 in each sequence.
 
-    Ties and repeated rows are packed as any other. No rows: no rows. Columns with the names sequence_id, offset and pack_*
-    are replaced.
+    ``again`` (0 to 0.5): the share of a chunk's pieces, those of its emptiest bins with room, that meet the ones of other
+    chunks in a next round; one rule for all lengths. The last round has one chunk, all of whose bins stay. Ties and repeated
+    rows are packed as any other. No rows: no rows. Columns with the names sequence_id, offset and pack_* are replaced.
     """
-    cols = [c for c in cut.columns if c not in ("sequence_id", "offset") and not c.startswith("pack_") and c != "chunk"]
+    cols = [c for c in cut.columns if c not in ("sequence_id", "offset") and not c.startswith("pack_")]
     rows = materialize(cut.select(*cols).withColumn("pack_uid", F.monotonically_increasing_id()), "pack-pieces")
     whole = rows.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("pack_uid")).withColumn("offset", F.lit(0).cast("long"))
     out, left = whole.select(*cols, "sequence_id", "offset"), rows.filter(F.col("length") < capacity)
@@ -273,14 +341,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_PIE
         if not n:
             break
         chunks = math.ceil(n / chunk_pieces)
-        chunked = left.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), F.lit(depth), "pack_uid"), F.lit(chunks)))
-        schema = chunked.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).withColumn("pack_full", F.lit(True)).withColumn("pack_stays", F.lit(True)).schema
-
-        solved = _solved(chunked, capacity, seed + depth)
-        packed = chunked.groupBy("chunk").cogroup(solved.groupBy("chunk")).applyInArrow(_placer(depth, 0 if chunks == 1 else FULL * capacity), schema)
+        chunked = left.withColumn("pack_chunk", F.pmod(F.xxhash64(F.lit(seed), F.lit(depth), "pack_uid"), F.lit(chunks)))
+        schema = chunked.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).withColumn("pack_stays", F.lit(True)).schema
+        place = _placer(depth, capacity, 0 if chunks == 1 else min(0.5, again))
+        packed = chunked.groupBy("pack_chunk").cogroup(_solved(chunked, capacity, seed + depth).groupBy("pack_chunk")).applyInArrow(place, schema)
         packed = materialize(packed, "pack-round")
-        # Lengths that no one can fill bins with: only the emptiest bins of all chunks are dealt again.
-        stays = "pack_stays" if chunks > 1 and packed.filter("NOT pack_full").count() > 0.5 * n else "pack_full"
-        out = out.unionByName(packed.filter(stays).select(*cols, "sequence_id", "offset"))
-        left = packed.filter(f"NOT {stays}").select(*cols, "pack_uid")
+        out = out.unionByName(packed.filter("pack_stays").select(*cols, "sequence_id", "offset"))
+        left = packed.filter("NOT pack_stays").select(*cols, "pack_uid")
     return out
