@@ -4,7 +4,8 @@ A document's own evidence is a logistic classifier of text statistics, fitted to
 have quality rates of their own: labels where there are any, else the classifier's probabilities, summed by grouped
 aggregation. Rates of sites follow a beta distribution whose mean and strength are estimated from all sites by moments, and a
 path's rate shrinks toward its site's in the same way, so sparse sites and paths stay near what lies above them. A document's
-posterior combines its evidence with its path's rate as prior odds, its own share taken out.
+posterior combines its evidence with its path's rate as prior odds. What a document says of itself is taken out of every
+rate that it meets: its path's, its site's and the mean of all; only strengths are those of all documents.
 """
 
 from __future__ import annotations
@@ -105,29 +106,38 @@ def _strength(between: Column, mean: Column) -> Column:
 def posteriors(scored: DataFrame) -> DataFrame:
     """scored (site, path, known: a label or null, evidence, ...) with site_rate, path_rate, score and keep.
 
-    Null sites and paths are a site and a path of their own. A group of any size is summed by partial aggregation; what is
-    joined back has a row for each path."""
+    A document's value is its label where known, else its evidence. Its site_rate is (sum of the site's other documents'
+    values + s * m) / (their number + s), m the mean of all other documents' values (one half where there are none) and s the
+    sites' strength; its path_rate is the same of the path's other documents and its site_rate, with the path's strength. Null
+    sites and paths are a site and a path of their own. A group of any size is summed by partial aggregation; what is joined
+    back has a row for each path."""
     value = F.coalesce(F.col("known").cast("double"), F.col("evidence"))
     paths = materialize(scored.groupBy("site", "path").agg(F.sum(value).alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
     sites = paths.groupBy("site").agg(F.sum("good").alias("site_good"), F.sum("n").alias("site_n"))
-    total = sites.agg((F.sum("site_good") / F.sum("site_n")).alias("mean"))
+    total = sites.agg(F.sum("site_good").alias("all_good"), F.sum("site_n").alias("all_n"), (F.sum("site_good") / F.sum("site_n")).alias("mean"))
     # Moments: the variance of site rates beyond that of samples of their sizes.
     rate = F.col("site_good") / F.col("site_n")
-    spread = sites.crossJoin(F.broadcast(total)).agg(F.first("mean").alias("mean"), (F.sum(F.col("site_n") * ((rate - F.col("mean")) ** 2 - F.col("mean") * (1 - F.col("mean")) / F.col("site_n"))) / F.sum("site_n")).alias("between"))
-    prior = spread.select("mean", _strength(F.col("between"), F.col("mean")).alias("strength"))
-    sites = sites.crossJoin(F.broadcast(prior)).withColumn("site_rate", (F.col("site_good") + F.col("strength") * F.col("mean")) / (F.col("site_n") + F.col("strength"))).select(F.col("site").alias("its_site"), "site_rate", "mean")
+    between = F.sum(F.col("site_n") * ((rate - F.col("mean")) ** 2 - F.col("mean") * (1 - F.col("mean")) / F.col("site_n"))) / F.sum("site_n")
+    spread = sites.crossJoin(F.broadcast(total)).agg(F.first("mean").alias("mean"), F.first("all_good").alias("all_good"), F.first("all_n").alias("all_n"), between.alias("between"))
+    prior = spread.select("mean", "all_good", "all_n", _strength(F.col("between"), F.col("mean")).alias("strength"))
+    whole = (F.col("site_good") + F.col("strength") * F.col("mean")) / (F.col("site_n") + F.col("strength"))
+    sites = sites.crossJoin(F.broadcast(prior)).withColumn("whole", whole).withColumnRenamed("site", "its_site").drop("mean")
     paths = materialize(paths.join(sites, F.col("site").eqNullSafe(F.col("its_site"))).drop("its_site"), "quality-sites")
     below = F.col("good") / F.col("n")
-    within = paths.agg((F.sum(F.col("n") * ((below - F.col("site_rate")) ** 2 - F.col("site_rate") * (1 - F.col("site_rate")) / F.col("n"))) / F.sum("n")).alias("between"))
-    paths = paths.crossJoin(F.broadcast(within)).withColumn("path_strength", _strength(F.col("between"), F.col("site_rate")))
-    rates = paths.select(F.col("site").alias("its_site"), F.col("path").alias("its_path"), "good", "n", "site_rate", "path_strength", "mean")
+    within = paths.agg((F.sum(F.col("n") * ((below - F.col("whole")) ** 2 - F.col("whole") * (1 - F.col("whole")) / F.col("n"))) / F.sum("n")).alias("between"))
+    rates = paths.crossJoin(F.broadcast(within)).withColumn("path_strength", _strength(F.col("between"), F.col("whole")))
+    used = ["good", "n", "site_good", "site_n", "all_good", "all_n", "strength", "path_strength"]
+    rates = rates.select(F.col("site").alias("its_site"), F.col("path").alias("its_path"), *[F.col(c).alias(f"of_{c}") for c in used])
     out = scored.join(rates, F.col("site").eqNullSafe(F.col("its_site")) & F.col("path").eqNullSafe(F.col("its_path"))).drop("its_site", "its_path")
-    path_rate = (F.col("good") - value + F.col("path_strength") * F.col("site_rate")) / (F.col("n") - 1 + F.col("path_strength"))
+    others = lambda good, n, strength, prior: (F.col(f"of_{good}") - value + strength * prior) / (F.col(f"of_{n}") - 1 + strength)
+    mean = F.when(F.col("of_all_n") > 1, (F.col("of_all_good") - value) / (F.greatest(F.col("of_all_n"), F.lit(2)) - 1)).otherwise(0.5)
     bounded = lambda p: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
     logit = lambda p: F.log(bounded(p) / (1 - bounded(p)))
-    odds = logit(F.col("evidence")) - logit(F.col("mean")) + logit(F.col("path_rate"))
-    out = out.withColumn("path_rate", path_rate).withColumn("score", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("keep", F.col("score") >= KEEP).drop("good", "n", "path_strength", "mean")
+    out = out.withColumn("site_rate", others("site_good", "site_n", F.col("of_strength"), mean))
+    out = out.withColumn("path_rate", others("good", "n", F.col("of_path_strength"), F.col("site_rate")))
+    odds = logit(F.col("evidence")) - logit(mean) + logit(F.col("path_rate"))
+    out = out.withColumn("score", 1 / (1 + F.exp(-odds)))
+    return out.withColumn("keep", F.col("score") >= KEEP).drop(*[f"of_{c}" for c in used])
 
 
 def url_levels(url: Column) -> tuple[Column, Column]:
@@ -139,11 +149,14 @@ def url_levels(url: Column) -> tuple[Column, Column]:
 def assess(docs: DataFrame, labels: DataFrame, site: Column, path: Column, held_out: Column, seed: int = 0) -> DataFrame:
     """doc_id, site, path, evidence, site_rate, path_rate, score (posterior that quality is 1) and keep for each row of docs.
 
-    Labels of held-out doc_ids are used nowhere. Null and empty texts have the evidence of their statistics; null doc_ids
-    have no label; repeated rows are rows each. No labels: evidence says nothing, and rates stay near one half. No rows: no
-    rows. Other columns don't matter.
+    Labels of held-out doc_ids are used nowhere. Null and empty texts have the evidence of their statistics, very long ones
+    too, whole; null doc_ids have no label; repeated rows are rows each; scores of exactly KEEP are kept. No labels: evidence
+    says nothing, and rates stay near one half. No rows: no rows. Other columns don't matter, whatever their names.
     """
     rows = docs.select("doc_id", site.alias("site"), path.alias("path"), F.col("text").cast("string").alias("text"))
     scored = materialize(evidence(rows, fit(docs, labels, held_out, seed)), "quality-evidence")
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out).groupBy("doc_id").agg(F.max("quality").alias("known"))
-    return posteriors(scored.join(known, "doc_id", "left")).drop("known")
+    # Rows without an id have no label: they aren't looked up, so they don't meet in one task.
+    labelled = scored.filter("doc_id IS NOT NULL").join(known, "doc_id", "left")
+    nameless = scored.filter("doc_id IS NULL").withColumn("known", F.lit(None).cast(known.schema["known"].dataType))
+    return posteriors(labelled.unionByName(nameless)).drop("known")

@@ -37,10 +37,13 @@ def plain_posteriors(rows):
     logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
     out = []
     for r in rows:
-        g, n = p[r["site"], r["path"]]
-        k = strength(between, rate[r["site"]])
-        own = (g - value(r) + k * rate[r["site"]]) / (n - 1 + k)
-        out.append((r["doc_id"], rate[r["site"]], own, 1 / (1 + math.exp(-(logit(r["evidence"]) - logit(mean) + logit(own))))))
+        others = [x for x in rows if x is not r]
+        of = lambda *keys: [x for x in others if all(x[k] == r[k] for k in keys)]
+        near = lambda rs, k, prior: (sum(map(value, rs)) + k * prior) / (len(rs) + k)
+        m = sum(map(value, others)) / len(others) if others else 0.5
+        site = near(of("site"), k0, m)
+        path = near(of("site", "path"), strength(between, rate[r["site"]]), site)
+        out.append((r["doc_id"], site, path, 1 / (1 + math.exp(-(logit(r["evidence"]) - logit(m) + logit(path))))))
     return sorted(out)
 
 
@@ -53,6 +56,24 @@ def test_posteriors_equal_plain_version(spark):
     assert np.allclose(got, plain_posteriors(rows), rtol=1e-9)
 
 
+@pytest.mark.parametrize("known", [None, 0, 1])
+def test_lone_documents_do_not_vouch_for_themselves(spark, known):
+    """The rates that a lone document of a lone site meets are the others' mean, whatever it says of itself."""
+    rows = [(n, "big", "x", n % 2, 0.5) for n in range(100)] + [(900, "lone", "", known, 0.97)]
+    df = spark.createDataFrame(rows, "doc_id long, site string, path string, known int, evidence double")
+    r = Q.posteriors(df).filter("doc_id = 900").first()
+    assert abs(r.site_rate - 0.5) < 1e-12 and abs(r.path_rate - 0.5) < 1e-12 and abs(r.score - 0.97) < 1e-9
+
+
+def test_clashing_columns_change_nothing(spark):
+    rows = [(n, "good words here " * (1 + n % 7), f"s{n % 3}", "en") for n in range(40)] + [(None, "no id", "s1", "de")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(0, 40, 3)], "doc_id long, quality int")
+    more = docs.selectExpr("*", "9 AS known", "0.5D AS evidence", "'x' AS site", "1 AS path", "7L AS n", "true AS keep", "2 AS of_n")
+    rows = lambda d: sorted((str(r.doc_id), round(r.score, 9), r.keep) for r in Q.assess(d, labels, F.col("source"), F.col("lang"), F.lit(False)).collect())
+    assert rows(docs) == rows(more) and len(rows(docs)) == 43
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, "good text here", "s", "en"), (None, None, None, None), (2, "", "s", None), (2, "", "s", None), (3, "w " * 50_000, "t", "en")], "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (9, 1), (None, 0), (3, None)], "doc_id long, quality int")
