@@ -9,7 +9,8 @@ Groups of near copies would make all pairs of their members. To lose no link bet
 meet twice. First each prefix shingle pairs all its sets with one, that which holds it earliest in its order: it has
 the fewest rare shingles, so it is nearest to what the others were copied from. Pairs within what these links connect can
 no longer change a component; the second meeting pairs, on every shared prefix shingle, all sets of different components.
-A shingle shared by many sets is dealt out over salts in the first meeting and over cells of two salts in the second.
+A shingle shared by very many sets is dealt out over salts in the first meeting, whose work is linear; in the second, sets of
+every shingle with more than a few thousand are dealt over cells of two salts each.
 
 Shingles and sets are known by 64-bit hashes. Equal sets are one set throughout.
 """
@@ -27,18 +28,21 @@ from pyspark.sql import functions as F
 from pointloom.operators.components import connected_components
 
 from .common import by_bytes, discard, materialize, mix64, release, shuffle_parts, text_buffer, word_hashes
-from .slices import FORM, SCHEMA, added, sliced
+from .slices import FORM, SCHEMA, added, saturating, sliced
 
 SHINGLE_WORDS = 5
 #: The threshold as a fraction, so that tests of it are exact.
 SIMILARITY = (3, 4)
 #: Hashed counters for the order of shingles.
 COUNTERS = 1 << 24
-#: Bits of the filter that tells which texts to shingle again for verification.
+#: Bits of the filter that tells which texts to shingle again for verification, and the most texts it is used for: beyond
+#: these it would let most others through, and a join tells them.
 FILTER_BITS = 1 << 25
-#: A shingle counted more often is dealt over salts of about so many sets.
+FILTER_TEXTS = 1 << 22
+#: A shingle counted more often is dealt over salts of about so many sets where sets first meet.
 SALT_SETS = 1 << 18
-CELL_SETS = 1 << 12
+#: A shingle counted more often is dealt over cells of two times so many sets at most where sets meet again.
+CELL_SETS = 1 << 11
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, n: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -107,7 +111,10 @@ def bit_filter(doc_ids: DataFrame):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=FORM)
 
-    return doc_ids.sparkSession.sparkContext.broadcast(added(doc_ids.mapInArrow(mark, SCHEMA), FILTER_BITS, "u1", np.bitwise_or, np.packbits))
+    marks = materialize(doc_ids.mapInArrow(mark, SCHEMA), "ngram-marks")
+    shared = doc_ids.sparkSession.sparkContext.broadcast(added(marks, FILTER_BITS, "u1", np.bitwise_or, np.packbits))
+    discard(marks)
+    return shared
 
 
 def maybe_in(bits: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
@@ -121,8 +128,12 @@ def maybe_in(bits: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id isn't in removed (doc_id, distinct); null doc_ids stay.
 
-    A bit filter of fixed size lets most texts stay where they are; only rows that it can't tell are shuffled and looked up."""
-    ids = removed.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    A bit filter of fixed size lets most texts stay where they are; only rows that it can't tell are shuffled and looked up.
+    Where more are removed than the filter can tell, all rows are."""
+    ids = materialize(removed.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL"), "ngram-removed")
+    if ids.count() > FILTER_TEXTS:
+        named = docs.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").select(docs.columns)
+        return named.unionByName(docs.filter("doc_id IS NULL"))
     shared = bit_filter(ids)
 
     @F.pandas_udf("boolean")
@@ -165,7 +176,7 @@ def _prefixes(docs: DataFrame, n: int, rarity) -> DataFrame:
     form = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("place", pa.int64()), ("set_id", pa.int64())])
     # Counters also hold what other shingles add: what most hold is no sign of a frequent one.
     common = 2.0 ** (float(np.median(rarity.value)) / 4) - 1
-    hot = float(_quarter_octaves(np.array([SALT_SETS + 2 * common]))[0])
+    hot, several = (float(_quarter_octaves(np.array([n + 2 * common]))[0]) for n in (SALT_SETS, CELL_SETS))
 
     def run(batches):
         seen, table = set(), rarity.value
@@ -178,9 +189,9 @@ def _prefixes(docs: DataFrame, n: int, rarity) -> DataFrame:
                 seen.add(own)
                 rank = table[_counter(s, COUNTERS)]
                 first = np.argsort(rank, kind="stable")[: prefix_length(len(s))]  # s is sorted: ties by hash
-                over = np.maximum(0, rank[first] - hot) / 4  # salt -1: all sets of the shingle meet
+                over = np.maximum(0, rank[first] - hot) / 4  # salt -1: all sets of the shingle meet; -2: they do, to be counted for cells
                 cols[0].append(s[first].view(np.int64))
-                cols[1].append(np.where(over > 0, abs(own) % np.ceil(2**over), -1).astype(np.int32))
+                cols[1].append(np.where(over > 0, abs(own) % np.ceil(2**over), np.where(rank[first] >= several, -2, -1)).astype(np.int32))
                 cols[2].append((np.arange(len(first), dtype=np.int64) << 32) + len(s))
                 cols[3].append(np.full(len(first), own, np.int64))
             if cols[0]:
@@ -245,14 +256,14 @@ def _may_link(size_a, pos_a, size_b, pos_b):
 def _crossing(rows: DataFrame) -> DataFrame:
     """a, b: pairs of sets of different components that share a prefix shingle and pass the filters.
 
-    A shingle's sets are one cell, compared in blocks. Of salted shingles, those whose sets are all of one component go
+    A rare shingle's sets are one cell, compared in blocks. Of frequent ones, those whose sets are all of one component go
     first, by partial aggregation; sets of the others are dealt to a cell for each two salts of CELL_SETS sets."""
-    salted = rows.filter("salt >= 0").drop("salt")
+    salted = rows.filter("salt <> -1").drop("salt")
     spread = salted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("shingle", F.ceil(F.col("n") / CELL_SETS).cast("int").alias("salts"))
     salted = salted.join(spread, "shingle").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int"))
     salted = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     cols = ["shingle", "row", "col", "salt", "pos", "size", "set_id", "component"]
-    rows = rows.filter("salt < 0").withColumns({"row": F.lit(0), "col": F.lit(0), "salt": F.lit(0)}).select(*cols).unionByName(salted.withColumns({"row": F.least("salt", "other"), "col": F.greatest("salt", "other")}).select(*cols))
+    rows = rows.filter("salt = -1").withColumns({"row": F.lit(0), "col": F.lit(0), "salt": F.lit(0)}).select(*cols).unionByName(salted.withColumns({"row": F.least("salt", "other"), "col": F.greatest("salt", "other")}).select(*cols))
 
     def pairs(row: int, col: int, salt, pos, size, own, component):
         a = np.flatnonzero(salt == row)
@@ -334,12 +345,15 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
     spark = docs.sparkSession
     needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct().join(owners, "set_id")
 
-    shared = bit_filter(needed.select("doc_id"))
+    needed = materialize(needed.select("doc_id"), "ngram-needed")
+    told = needed.count() <= FILTER_TEXTS
+    shared = bit_filter(needed) if told else None
+    texts = _texts(docs) if told else _texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(needed.distinct(), "doc_id", "left_semi").select("doc_id", "text")
 
     def again(batches):
         seen = set()
         for b in by_bytes(batches):
-            hit = maybe_in(shared.value, b.column(0).fill_null(-1).to_numpy())
+            hit = maybe_in(shared.value, b.column(0).fill_null(-1).to_numpy()) if told else np.ones(len(b), bool)
             found = {set_id(x): x.tobytes() for x in shingle_sets(*text_buffer(b.column(1).take(pa.array(np.flatnonzero(hit)))), n) if len(x)}
             new = [k for k in found if k not in seen]
             seen.update(new)
@@ -347,7 +361,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
 
     # Sets that the filter lets through by chance join no pair; where rows repeat, a pair may be told twice, alike. Both
     # sides of the join read one shuffle of the sets.
-    sets = _texts(docs).mapInArrow(again, "set_id long, body binary")
+    sets = texts.mapInArrow(again, "set_id long, body binary")
 
     def check(batches):
         for b in batches:
@@ -357,7 +371,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
     side = lambda k: sets.select(F.col("set_id").alias(k), F.col("body").alias(f"set_{k}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
     links = materialize(joined.mapInArrow(check, "a long, b long, ok boolean"), "ngram-links")
-    shared.destroy()
+    if told:
+        shared.destroy()
+    discard(needed)
     return links
 
 
@@ -369,12 +385,12 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing. Texts of fewer than n words
     are one shingle. Equal sets link, so repeated rows share a component; a null doc_id counts as none when the smallest
-    is sought. No rows: no rows. Other columns don't matter.
+    is sought. Very long texts are shingled whole. No rows: no rows. Other columns don't matter.
     """
     spark = docs.sparkSession
     first = materialize(_sets_and_counts(docs, n), "ngram-counts")
     texts = materialize(first.filter("slice IS NULL").select("doc_id", "set_id", "n_shingles"), "ngram-texts")
-    counts = added(first.filter("slice IS NOT NULL").select("slice", "body"), COUNTERS, "u4", np.add, _quarter_octaves)
+    counts = added(first.filter("slice IS NOT NULL").select("slice", "body"), COUNTERS, "u4", saturating, _quarter_octaves)
     discard(first)
     rarity = spark.sparkContext.broadcast(counts)
     del counts

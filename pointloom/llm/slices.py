@@ -24,8 +24,17 @@ def sliced(array: np.ndarray) -> Iterator[dict]:
             yield {"slice": k, "body": codec.compress(part.tobytes(), asbytes=True)}
 
 
+def saturating(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+    """Sums of unsigned counts that stay at the largest number rather than begin again."""
+    total = a + b
+    total[total < a] = np.iinfo(total.dtype).max
+    out[:] = total
+
+
 def added(rows: DataFrame, size: int, kind: str, combine=np.add, finish=lambda x: x) -> np.ndarray:
-    """All tasks' arrays combined, then finished slice by slice: what reaches the driver has one size whatever the input."""
+    """All tasks' arrays combined, then finished slice by slice: what reaches the driver has one size whatever the input.
+
+    rows is read twice, so it should be a table."""
     dtype, each = np.dtype(kind), size // SLICES
 
     def merge(last: bool):

@@ -48,8 +48,9 @@ def corpus(seed):
     return rows + rows[:6] + [(5, "some other text of the same id as a row before")]
 
 
-@pytest.mark.parametrize("seed,cells,salts", [(1, 1 << 12, 1 << 18), (2, 4, 3)])
-def test_equals_brute_force(spark, tmp_path, monkeypatch, seed, cells, salts):
+@pytest.mark.parametrize("seed,cells,salts,told", [(1, 1 << 11, 1 << 18, 1 << 22), (2, 4, 3, 10)])
+def test_equals_brute_force(spark, tmp_path, monkeypatch, seed, cells, salts, told):
+    monkeypatch.setattr(J, "FILTER_TEXTS", told)
     monkeypatch.setattr(J, "CELL_SETS", cells)
     monkeypatch.setattr(J, "SALT_SETS", salts)
     rows = corpus(seed)
@@ -82,3 +83,26 @@ def test_without(spark):
     got = sorted(map(tuple, J.without(docs, spark.createDataFrame([(g,) for g in gone], "doc_id long")).collect()), key=repr)
     assert got == sorted((tuple(r) for r in docs.collect() if r.doc_id not in gone), key=repr)
     assert J.without(docs, docs.select("doc_id").limit(0)).count() == 200
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomial_hashes_confuse_are_different(spark, n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    docs = spark.createDataFrame([(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in J.near_duplicates(docs).collect()} == {(1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("told", [1, 1 << 22])
+def test_without_keeps_the_others_either_way(spark, monkeypatch, told):
+    monkeypatch.setattr(J, "FILTER_TEXTS", told)
+    docs = spark.createDataFrame([(None, "x"), (1, "a"), (1, "b"), (2, "c"), (3, "d")], "doc_id long, text string")
+    left = J.without(docs, spark.createDataFrame([(1,), (3,), (None,)], "doc_id long"))
+    assert sorted(map(str, left.select("text").toPandas()["text"])) == ["c", "x"]
+
+
+def test_counts_do_not_begin_again():
+    a = np.array([4_000_000_000, 5], np.uint32)
+    J.saturating(a, a, out=a)
+    assert a.tolist() == [2**32 - 1, 10]
