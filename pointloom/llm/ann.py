@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import blocks, cells, merged, opened, sound
+from .vectors import LEAST_BYTES, TILE_BYTES, blocks, merged, met, opened, sound
 
-SHARD, TILE = 8192, 1024
+#: Bytes of a shard's vectors; its index takes about as much again for each 21 components.
+SHARD_BYTES = 1 << 24
 PROJECTIONS = 32
 #: A window reaches this many radii to each side of the query; a vector within the radius is in it with a chance of 0.83.
 REACH = 1.36
@@ -79,7 +80,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, seed: int = 0) -> DataFram
     their own dimension only. Of several rows of one vec_id, that of the smallest embedding counts. No rows: no rows;
     other columns don't matter.
     """
-    v = sound(vectors, zero=False)
+    v = materialize(sound(vectors, zero=False), "ann-vectors")
     form = pa.schema([("block", pa.int64()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("ids", "body", "sorted", "place")), ("radius", pa.float64())])
 
     def index(batches):
@@ -90,26 +91,26 @@ def search(vectors: DataFrame, is_query, k: int = 10, seed: int = 0) -> DataFram
                 place = np.argsort(heights, axis=1, kind="stable")
                 yield pa.RecordBatch.from_pylist([r | {"sorted": np.take_along_axis(heights, place, axis=1).tobytes(), "place": place.astype("<i4").tobytes(), "radius": usual_radius(body, k)}], schema=form)
 
-    shards = materialize(blocks(v, SHARD, "shard").mapInArrow(index, INDEX), "ann-index")
-    tiles = materialize(blocks(v.filter(is_query), TILE, "tile"), "ann-tiles")
+    shards = materialize(blocks(v, "shard", SHARD_BYTES, LEAST_BYTES).mapInArrow(index, INDEX), "ann-index")
+    tiles = materialize(blocks(v.filter(is_query), "tile", TILE_BYTES), "ann-tiles")
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("shard", pa.int64()), ("shards", pa.int64())])
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                q_ids, q = opened(r["q_ids"], r["q_body"], r["dim"])
-                ids, body = opened(r["ids"], r["body"], r["dim"])
-                heights = np.frombuffer(r["sorted"], "<f8").reshape(PROJECTIONS, len(ids))
-                place = np.frombuffer(r["place"], "<i4").reshape(PROJECTIONS, len(ids))
-                projected = q @ directions(r["dim"], seed).T
-                cols = [[], [], []]
-                for x, own, p in zip(q, q_ids, projected):
-                    at, far = nearest(x, own, ids, body, p, heights, place, k, r["radius"])
-                    cols[0].append(np.full(len(at), own)), cols[1].append(ids[at]), cols[2].append(far)
-                if cols[0]:
-                    i, j, s = map(np.concatenate, cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(s), pa.array(np.full(len(i), r["block"])), pa.array(np.full(len(i), r["block"] + 1))], schema=out)
-
-    found = materialize(cells(shards, tiles).mapInArrow(run, "query_id long, vec_id long, score double, shard long, shards long"), "ann-found")
+    def prepare(r):
+        ids, body = opened(r["ids"], r["body"], r["dim"])
+        heights = np.frombuffer(r["sorted"], "<f8").reshape(PROJECTIONS, len(ids))
+        place = np.frombuffer(r["place"], "<i4").reshape(PROJECTIONS, len(ids))
+        return r["block"], ids, body, heights, place, r["radius"], directions(r["dim"], seed)
+
+    def answer(shard, q_ids, q):
+        block, ids, body, heights, place, radius, along = shard
+        cols = [[], [], []]
+        for x, own, p in zip(q, q_ids, q @ along.T):
+            at, far = nearest(x, own, ids, body, p, heights, place, k, radius)
+            cols[0].append(np.full(len(at), own)), cols[1].append(ids[at]), cols[2].append(far)
+        if cols[0]:
+            i, j, s = map(np.concatenate, cols)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(s), pa.array(np.full(len(i), block)), pa.array(np.full(len(i), block + 1))], schema=out)
+
+    found = materialize(met(shards, tiles, prepare, answer, "query_id long, vec_id long, score double, shard long, shards long"), "ann-found")
     order = "CASE WHEN x.score < y.score THEN -1 WHEN x.score > y.score THEN 1 WHEN x.vec_id < y.vec_id THEN -1 WHEN x.vec_id > y.vec_id THEN 1 ELSE 0 END"
     return merged(found, k, order)

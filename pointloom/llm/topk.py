@@ -1,8 +1,8 @@
 """Exact search of the highest inner products: tiled matrix products, a partial selection per tile, a tree of merges.
 
-Vectors lie in blocks. A tile is the product of a block of queries and a shard of candidates; of each query it keeps the k
-best, so what leaves a tile is small, and lists of tiles are merged a few at a time. Components are made integers first, so
-products are exact and ties are real ones.
+Candidates lie in shards of a few MB, each read once by a task, past which all blocks of queries stream. A tile is the product
+of some queries and a part of a shard; of each query it keeps the k best, so what leaves a shard is small, and lists of
+shards are merged a few at a time. Components are made integers first, so products are exact and ties are real ones.
 """
 
 from __future__ import annotations
@@ -13,18 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import blocks, cells, merged, opened, sound
+from .vectors import LEAST_BYTES, SHARD_BYTES, TILE_BYTES, blocks, merged, met, opened, sound
 
-SHARD, TILE = 8192, 8192
-#: Queries of one product; a task holds so many times SHARD scores.
-STEP = 512
+#: Queries and candidates of one product.
+STEP, PART = 512, 8192
 
 
 def tile_top(queries: np.ndarray, q_ids: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query index, shard index and score of each query's k best in the shard; ids ascend, so ties go to the smaller.
 
-    A candidate of the query's own id is no candidate. Sums below 2^53 are exact in doubles; larger ones use integers."""
+    A candidate of the query's own id is no candidate. Sums below 2^53 are exact in doubles; larger ones use integers, and
+    where 64 bits may not hold them, an error says so."""
     bound = np.abs(queries).max(initial=0) * np.abs(shard).max(initial=0) * max(1, queries.shape[1])
+    if bound >= 2.0**63:
+        raise OverflowError("inner products of these vectors may exceed 64-bit integers; use a smaller scale")
     product = queries @ shard.T if bound < 2.0**53 else (queries.astype(np.int64) @ shard.astype(np.int64).T)
     low = np.array(-np.inf) if product.dtype.kind == "f" else np.iinfo(np.int64).min
     product[q_ids[:, None] == ids[None]] = low
@@ -45,23 +47,33 @@ def top_products(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0)
     inner product of floor(scale * component), ties to the smaller vec_id.
 
     Vectors null, with a null id or holding null or non-finite components take no part. Vectors meet those of their own
-    dimension only. Of several rows of one vec_id, that of the smallest embedding counts. No rows: no rows; other columns
-    don't matter.
+    dimension only. Of several rows of one vec_id, that of the smallest embedding counts. Products that 64 bits may not hold
+    end in an error. No rows: no rows; other columns don't matter.
     """
-    v = sound(vectors).withColumn("embedding", F.expr(f"transform(embedding, x -> cast(floor({scale!r}D * x) as double))"))
-    shards = materialize(blocks(v, SHARD, "shard"), "topk-shards")
-    tiles = materialize(blocks(v.filter(is_query), TILE, "tile"), "topk-tiles")
+    # From 2^53 on doubles are whole numbers.
+    whole = "transform(embedding, x -> if(abs({0}D * x) < 9007199254740992D, cast(floor({0}D * x) as double), {0}D * x))"
+    v = materialize(sound(vectors).withColumn("embedding", F.expr(whole.format(repr(scale)))), "topk-vectors")
+    shards = materialize(blocks(v, "shard", SHARD_BYTES, LEAST_BYTES), "topk-shards")
+    tiles = materialize(blocks(v.filter(is_query), "tile", TILE_BYTES), "topk-tiles")
     form = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("shard", pa.int64()), ("shards", pa.int64())])
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                q_ids, q = opened(r["q_ids"], r["q_body"], r["dim"])
-                ids, body = opened(r["ids"], r["body"], r["dim"])
-                for a in range(0, len(q), STEP):
-                    i, j, s = tile_top(q[a : a + STEP], q_ids[a : a + STEP], body, ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + i]), pa.array(ids[j]), pa.array(s), pa.array(np.full(len(i), r["block"])), pa.array(np.full(len(i), r["block"] + 1))], schema=form)
+    def prepare(r):
+        return r["block"], *opened(r["ids"], r["body"], r["dim"])
 
-    found = materialize(cells(shards, tiles).mapInArrow(run, "query_id long, vec_id long, score long, shard long, shards long"), "topk-found")
+    def answer(shard, q_ids, q):
+        block, ids, body = shard
+        for a in range(0, len(q), STEP):
+            found = []
+            for b in range(0, len(ids), PART):
+                i, j, s = tile_top(q[a : a + STEP], q_ids[a : a + STEP], body[b : b + PART], ids[b : b + PART], k)
+                found.append((i, ids[b + j], s))
+            i, at, s = map(np.concatenate, zip(*found))
+            order = np.lexsort((at, -s, i))  # the k best of all parts; products are at least -2^63 + 1
+            i, at, s = i[order], at[order], s[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, at, s = i[best], at[best], s[best]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + i]), pa.array(at), pa.array(s), pa.array(np.full(len(i), block)), pa.array(np.full(len(i), block + 1))], schema=form)
+
+    found = materialize(met(shards, tiles, prepare, answer, "query_id long, vec_id long, score long, shard long, shards long"), "topk-found")
     order = "CASE WHEN x.score > y.score THEN -1 WHEN x.score < y.score THEN 1 WHEN x.vec_id < y.vec_id THEN -1 WHEN x.vec_id > y.vec_id THEN 1 ELSE 0 END"
     return merged(found, k, order)

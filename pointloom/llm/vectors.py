@@ -9,6 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
+#: Bytes of a shard where there are enough of them to go round, and the least.
+SHARD_BYTES, LEAST_BYTES = 1 << 26, 1 << 20
+#: Bytes of a query tile, which each shard's task reads after its shard.
+TILE_BYTES = 1 << 20
 BLOCK = "block long, dim int, ids binary, body binary"
 
 
@@ -23,12 +29,14 @@ def sound(vectors: DataFrame, zero: bool = True) -> DataFrame:
     return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def blocks(v: DataFrame, size: int, salt: str) -> DataFrame:
-    """Vectors of one dimension dealt by hash into blocks of about ``size``: block, dim, ids (int64), body (float64 rows).
- Within
-    a block vectors are in order of vec_id."""
+def blocks(v: DataFrame, salt: str, most: int, least: int | None = None) -> DataFrame:
+    """Vectors of one dimension dealt by hash into blocks: block, dim, ids (int64), body (float64 rows in order of vec_id).
+
+    A block has about ``most`` bytes; with ``least`` it has fewer where that gives all cores a block, but about so many."""
     v = v.select("vec_id", "embedding", F.size("embedding").alias("dim"))
-    n = v.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias("blocks"))
+    size = F.count(F.lit(1)) * 8 * F.greatest(F.lit(1), F.col("dim"))
+    go_round = F.least(F.lit(v.sparkSession.sparkContext.defaultParallelism), F.ceil(size / (least or most)))
+    n = v.groupBy("dim").agg(F.greatest(F.ceil(size / most), go_round if least else F.lit(1)).cast("long").alias("blocks"))
     dealt = v.join(F.broadcast(n) if _few(n) else n, "dim").withColumn("block", F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.col("blocks")))
 
     def gather(t: pa.Table) -> pa.Table:
@@ -42,7 +50,7 @@ def blocks(v: DataFrame, size: int, salt: str) -> DataFrame:
 
 
 def _few(n: DataFrame) -> bool:
-    """A count of dimensions small enough to send to all tasks."""
+    """A row for each dimension, few enough of them to send to all tasks."""
     return n.limit(1001).count() <= 1000
 
 
@@ -51,15 +59,34 @@ def opened(ids: bytes, body: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(body, "<f8").reshape(len(i), dim)
 
 
-def cells(shards: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Every query tile with every shard of its dimension, by an equality join on both numbers: one row a cell, so work is
-    dealt evenly. Columns: tile, q_ids, q_body, and those of shards."""
-    n = tiles.groupBy("dim").agg((F.max("block") + 1).alias("tiles")).join(shards.groupBy("dim").agg((F.max("block") + 1).alias("shards")), "dim")
+def met(shards: DataFrame, tiles: DataFrame, prepare, answer, schema: str) -> DataFrame:
+    """What ``answer`` makes of every query tile and every shard of its dimension.
+
+    A shard goes to one task, once, as its first row; the tiles, a small share of all vectors, are copied to every shard and
+    stream past it. ``prepare`` gets a shard's row as a dict, ``answer`` what it made and a tile's ids and rows, and yields
+    record batches of ``schema``."""
+    n = shards.groupBy("dim").agg((F.max("block") + 1).alias("shards"))
     n = F.broadcast(n) if _few(n) else n
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    a = shards.join(n, "dim").withColumn("tile", upto("tiles")).drop("tiles", "shards")
-    b = tiles.select(F.col("block").alias("tile"), "dim", F.col("ids").alias("q_ids"), F.col("body").alias("q_body")).join(n, "dim").withColumn("block", upto("shards")).drop("tiles", "shards")
-    return a.join(b, ["dim", "tile", "block"])
+    more = [c for c in shards.columns if c not in ("block", "dim", "ids", "body")]
+    of = {f.name: f.dataType for f in shards.schema.fields}
+    first = shards.select("block", "dim", F.lit(0).alias("tile"), "ids", "body", *more)
+    copies = tiles.join(n, "dim").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("block"), "dim", F.lit(1).alias("tile"), "ids", "body", *(F.lit(None).cast(of[c]).alias(c) for c in more))
+
+    def run(batches):
+        key, shard = None, None
+        for b in batches:
+            for k in range(len(b)):
+                r = b.slice(k, 1).to_pylist()[0]
+                if not r["tile"]:
+                    key, shard = (r["block"], r["dim"]), prepare(r)
+                elif key == (r["block"], r["dim"]):
+                    ids, body = opened(r["ids"], r["body"], r["dim"])
+                    yield from answer(shard, ids, body)
+        shard = None
+        release()
+
+    parts = max(1, shards.count())
+    return first.unionByName(copies).repartitionById(parts, F.col("block").cast("int")).sortWithinPartitions("block", "dim", "tile").mapInArrow(run, schema)
 
 
 def merged(found: DataFrame, k: int, best_first, fan_in: int = 16) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pointloom.llm import ann, topk, vectors
@@ -49,9 +50,11 @@ def test_topk_equals_brute_force(spark, tmp_path, monkeypatch):
     table(spark, rows, tmp_path)
     product = lambda a, b: -sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(a, b))
     want = [(q, n, i, -s) for q, n, i, s in brute(rows, 50, 5, product, True)]
-    for shard in (8192, 37):
-        monkeypatch.setattr(topk, "SHARD", shard)
-        monkeypatch.setattr(topk, "TILE", shard)
+    for vectors_, least, part in ((1 << 20, 1 << 14, 8192), (37, 37, 20)):
+        monkeypatch.setattr(topk, "SHARD_BYTES", 64 * vectors_)
+        monkeypatch.setattr(topk, "LEAST_BYTES", 64 * least)
+        monkeypatch.setattr(topk, "TILE_BYTES", 64 * least)
+        monkeypatch.setattr(topk, "PART", part)
         got = sorted(tuple(r) for r in op3_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
         assert got == sorted(want)
     assert topk.top_products(table(spark, []), F.col("vec_id") % 50 == 0).count() == 0
@@ -61,6 +64,14 @@ def test_large_products_are_exact():
     a = np.array([[2.0**28 + 1, 2.0**28 - 1]])
     _, _, s = topk.tile_top(a, np.array([1]), a, np.array([2]), 5)
     assert s.tolist() == [(2**28 + 1) ** 2 + (2**28 - 1) ** 2]
+    with pytest.raises(OverflowError):
+        topk.tile_top(16 * a, np.array([1]), 16 * a, np.array([2]), 5)
+
+
+def test_components_beyond_64_bits_are_not_cut(spark):
+    rows = spark.createDataFrame([(0, [1e30, 0.0]), (1, [0.0, 1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        topk.top_products(rows, F.col("vec_id") == 0).collect()
 
 
 def test_ann_recall_and_distances(spark, tmp_path, monkeypatch):
@@ -69,8 +80,9 @@ def test_ann_recall_and_distances(spark, tmp_path, monkeypatch):
     dist = lambda a, b: math.sqrt(sum((x - y) ** 2 for x, y in zip(np.float32(a).astype(float), np.float32(b).astype(float))))
     want = brute(rows, 100, 10, dist, False)
     for shard in (8192, 500):
-        monkeypatch.setattr(ann, "SHARD", shard)
-        monkeypatch.setattr(ann, "TILE", 16)
+        monkeypatch.setattr(ann, "SHARD_BYTES", 128 * shard)
+        monkeypatch.setattr(ann, "LEAST_BYTES", 128 * shard)
+        monkeypatch.setattr(ann, "TILE_BYTES", 128 * 16)
         got = op5_ann(spark, str(tmp_path)).collect()
         pairs = {(r.query_id, r.vec_id) for r in got}
         assert len(pairs) == len(got) == len(want)
