@@ -32,7 +32,8 @@ def collapse(turns: DataFrame) -> DataFrame:
     there were, of which that of the smallest conv_id (null only where it is alone) stays.
 
     Turns are in order of turn, then role, then text, nulls first; repeated rows count once; a null conv_id is an id like
-    any other, null roles and texts equal only nulls. No rows: no rows. Other columns don't matter.
+    any other, null roles and texts equal only nulls; very long texts are hashed and kept whole, empty ones are turns like any
+    other. No rows: no rows. Other columns don't matter.
     """
     t = materialize(prefixes(turns), "chat-prefixes")
     key = ["i", "h1", "h2"]

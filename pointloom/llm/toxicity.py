@@ -12,7 +12,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from .common import by_bytes, release, text_buffer, word_hashes
 
 #: Labelled rows that the classifier is fitted on at most: those of least hash, of either label.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
+#: Bytes of their texts at most: whole texts by hash until the next would pass this.
+TRAIN_BYTES = 1 << 26
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 17, 12, 10, (1, 2, 3)
 CUTS = (4, 5, 6)
 EPOCHS, BATCH, RATE = 6, 64, 0.05
@@ -248,11 +250,15 @@ def train(column, labels: np.ndarray, seed: int = 0) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> bytes:
     """A model of rows of docs with a label in labels (doc_id, toxic) whose doc_id isn't held out (a Column's test).
 
-    At most TRAIN_TOXIC and TRAIN_CLEAN rows; without labels, a model that finds nothing toxic."""
+    At most TRAIN_TOXIC and TRAIN_CLEAN rows and TRAIN_BYTES of texts, by a hash of doc_id, equal hashes by doc_id, rows of
+    one doc_id by text; where labels of a doc_id differ it is toxic. Null ids and labels other than 0 and 1 take no part, null
+    texts are empty. Without labels or rows, a model that finds nothing toxic. Other columns don't matter."""
     own = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out)
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     take = lambda y, n: own.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(take(1, TRAIN_TOXIC).unionByName(take(0, TRAIN_CLEAN)), "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(take(1, TRAIN_TOXIC).unionByName(take(0, TRAIN_CLEAN)), "doc_id")
+    order = W.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "text").rowsBetween(W.unboundedPreceding, 0)  # a bounded sample
+    rows = rows.withColumn("so_far", F.sum(F.octet_length("text")).over(order)).filter(F.col("so_far") <= TRAIN_BYTES)
 
     def run(batches):
         t = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])).sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -267,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> bytes:
 def score(docs: DataFrame, model: bytes) -> DataFrame:
     """docs with toxicity, a score from 0 to 1, appended (a column of that name is replaced).
 
-    Null and empty texts score as texts without words. Rows, nulls and other columns stay as they are."""
+    Null and empty texts score as texts without words; very long ones are scored whole, in steps of bounded memory. Repeated
+    rows score alike. Rows, nulls and other columns stay as they are; no rows: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("toxicity")
     at = docs.columns.index("text")
