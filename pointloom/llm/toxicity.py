@@ -247,18 +247,23 @@ def train(column, labels: np.ndarray, seed: int = 0) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> bytes:
-    """A model of rows of docs with a label in labels (doc_id, toxic) whose doc_id isn't held out (a Column's test).
-
-    At most TRAIN_TOXIC and TRAIN_CLEAN rows and TRAIN_BYTES of texts, by a hash of doc_id, equal hashes by doc_id, rows of
-    one doc_id by text; where labels of a doc_id differ it is toxic. Null ids and labels other than 0 and 1 take no part, null
-    texts are empty. Without labels or rows, a model that finds nothing toxic. Other columns don't matter."""
+def sample(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> DataFrame:
+    """doc_id, text and toxic of the rows to train on: of at most TRAIN_TOXIC and TRAIN_CLEAN labelled doc_ids, chosen by hash,
+    those whose texts by a hash take at most TRAIN_BYTES in all; equal hashes by doc_id, rows of one doc_id by text."""
     own = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out)
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     take = lambda y, n: own.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(take(1, TRAIN_TOXIC).unionByName(take(0, TRAIN_CLEAN)), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(take(1, TRAIN_TOXIC).unionByName(take(0, TRAIN_CLEAN)), "doc_id")
     order = W.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "text").rowsBetween(W.unboundedPreceding, 0)  # a bounded sample
-    rows = rows.withColumn("so_far", F.sum(F.octet_length("text")).over(order)).filter(F.col("so_far") <= TRAIN_BYTES)
+    rows = rows.withColumn("so_far", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order)).filter(F.col("so_far") <= TRAIN_BYTES)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> bytes:
+    """A model of rows of docs with a label in labels (doc_id, toxic) whose doc_id isn't held out (a Column's test).
+
+    Trained on a bounded sample() of them. Where labels of a doc_id differ it is toxic. Null ids and labels other than 0 and 1
+    take no part, null texts are empty. Without labels or rows, a model that finds nothing toxic. Other columns don't matter."""
 
     def run(batches):
         t = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])).sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -266,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> bytes:
         del t
         release()
 
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").repartition(1).mapInArrow(run, "model binary").first()
+    found = sample(docs, labels, held_out, seed).repartition(1).mapInArrow(run, "model binary").first()
     return bytes(found[0]) if found else train(pa.array([], pa.string()), np.zeros(0, np.int32)).dump()
 
 

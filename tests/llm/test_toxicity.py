@@ -66,3 +66,43 @@ def test_parts_change_nothing(monkeypatch):
     monkeypatch.setattr(X, "by_bytes", lambda batches, column: (b.slice(k, 3) for b in batches for k in range(0, len(b), 3)))
     parts = X._all_features(texts)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def plain_logit(model, ids):
+    """One text's forward pass by the definition: every filter at every position, the largest and the third largest response."""
+    import numpy as np
+
+    vectors = [sum(model.emb[k] for k in row) for row in ids]
+    features = []
+    for nth in (0, 2):
+        for i, width in enumerate(X.WIDTHS):
+            for f in range(X.FILTERS):
+                at = []
+                for p in range(len(ids) - max(X.WIDTHS) + 1):
+                    z = model.bias[i, f]
+                    for o in range(width):
+                        z += vectors[p + o] @ model.w[:, X._SHIFTS.index((width, o)), f]
+                    at.append(max(0.0, z))
+                features.append(sorted([*at, 0, 0, 0], reverse=True)[nth])
+    return float(np.dot(features, model.out) + model.base[0])
+
+
+def test_logits_equal_plain_forward_pass():
+    import numpy as np
+
+    model = X.train(pa.array(["a b c zog zog zog", "a b d e", "b c"] * 20), np.array([1, 0, 0] * 20))
+    texts = pa.array(["zog a b", "", "a", "a zog zog c d zog e f", "b"])
+    ids, begin = X._features(texts)
+    want = [plain_logit(model, ids[s:e]) for s, e in zip(begin, begin[1:])]
+    assert np.allclose(model.logits(ids, begin), want, atol=1e-4)
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(n, "word " * 200) for n in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(50)], "doc_id long, toxic int")
+    assert X.sample(docs, labels, F.lit(False)).count() == 50
+    monkeypatch.setattr(X, "TRAIN_BYTES", 10_500)
+    rows = X.sample(docs, labels, F.lit(False)).collect()
+    assert len(rows) == 10 and {r.toxic for r in rows} == {0, 1}
