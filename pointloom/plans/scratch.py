@@ -35,6 +35,21 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+def trim(spark: SparkSession) -> None:
+    """Has the driver's JVM give native memory that it has freed back to the system: what planning and compiling many queries
+    took would else stay with its allocator. Does nothing in JVMs that can't."""
+    try:
+        jvm, gateway = spark._jvm, spark.sparkContext._gateway
+        # The server's own class isn't accessible; its interface is.
+        method = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[1] = "systemTrimNativeHeap"
+        method.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Exception:  # another kind of JVM or of connection to it
+        return
+
+
 #: Spark removes an execution's shuffle files at its end where this is set.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -51,6 +66,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    trim(spark)
     _SCRATCH[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
