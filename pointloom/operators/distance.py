@@ -16,20 +16,23 @@ def _cells(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumns({n: F.floor(F.col(c) / F.lit(cell)).cast("long") for n, c in zip(("ci", "cj", "ck"), "xyz")})
 
 
-def close_pairs(left: DataFrame, right: DataFrame, reach: float, keys: tuple[str, ...] = ()) -> DataFrame:
+def close_pairs(left: DataFrame, right: DataFrame, reach: float, keys: tuple[str, ...] = (), carry: tuple[str, ...] = (), where: str | None = None) -> DataFrame:
     """a, b (point_ids of left and right) and d2, their squared distance, where it is at most reach squared.
 
-    keys: columns of both that must agree. Each right point is sent to its own and the 26 cells around it, so a pair meets
-    once. A reach of 0 finds points at the same place."""
+    keys: columns of both that must agree. carry: columns of both to keep, as name_a and name_b; where: a condition on these,
+    tested within the join. Each right point is sent to its own and the 26 cells around it, so a pair meets once. A reach of 0
+    finds points at the same place."""
     cell = reach if reach > 0 else 1.0
     around = F.explode(F.array(*[F.struct(*[F.lit(s).alias(n) for s, n in zip(d, ("di", "dj", "dk"))]) for d in product((-1, 0, 1), repeat=3)])).alias("d")
     cols = [F.col(k) for k in keys]
-    a = _cells(left, cell).select(*cols, F.col("point_id").alias("a"), *[F.col(c).alias(f"{c}1") for c in "xyz"], "ci", "cj", "ck")
-    b = _cells(right, cell).select(*cols, F.col("point_id").alias("b"), *[F.col(c).alias(f"{c}2") for c in "xyz"], "ci", "cj", "ck", around)
+    a = _cells(left, cell).select(*cols, F.col("point_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carry], *[F.col(c).alias(f"{c}1") for c in "xyz"], "ci", "cj", "ck")
+    b = _cells(right, cell).select(*cols, F.col("point_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in carry], *[F.col(c).alias(f"{c}2") for c in "xyz"], "ci", "cj", "ck", around)
     b = b.withColumns({n: F.col(n) + F.col(f"d.{s}") for n, s in zip(("ci", "cj", "ck"), ("di", "dj", "dk"))}).drop("d")
     gap = lambda c: F.col(f"{c}1") - F.col(f"{c}2")
     d2 = gap("x") * gap("x") + gap("y") * gap("y") + gap("z") * gap("z")
-    return a.join(b, [*keys, "ci", "cj", "ck"]).withColumn("d2", d2).filter(F.col("d2") <= F.lit(reach * reach)).select(*keys, "a", "b", "d2")
+    met = a.join(b, [*keys, "ci", "cj", "ck"])
+    met = met if where is None else met.filter(where)
+    return met.withColumn("d2", d2).filter(F.col("d2") <= F.lit(reach * reach)).select(*keys, "a", "b", "d2", *(f"{c}_{s}" for c in carry for s in "ab"))
 
 
 def nearest_neighbours(points: DataFrame, k: int, reach: float) -> DataFrame:

@@ -71,6 +71,7 @@ def rebuild(vertices: DataFrame, edits: DataFrame, originals: DataFrame) -> Data
 def occupied(n: int, percent: float, seed: int) -> set[int]:
     """Which of n chairs are taken (G08): a shuffle by a 32-bit linear congruential generator, from the last place down, then the
     first of the order. Sequential by definition, so it runs on the driver, over numbers of chairs only."""
+    # Multiplier, increment and modulus of the generator, which results depend on.
     fill = round(n * percent / 100)
     if percent >= 100 or fill >= n:
         return set(range(n))
@@ -87,8 +88,8 @@ def occupied(n: int, percent: float, seed: int) -> set[int]:
 def occupied_chairs(chairs: DataFrame, percent: float, seed: int) -> DataFrame:
     """Chairs (mesh_id) that are taken, numbered in order of mesh_id. Sorts one row a chair."""
     numbered = chairs.withColumn("number", F.row_number().over(W.orderBy("mesh_id")) - 1)
-    taken = sorted(occupied(numbered.count(), percent, seed))
-    return numbered.filter(F.array_contains(F.array(*map(F.lit, taken)), F.col("number"))) if taken else numbered.limit(0)
+    taken = chairs.sparkSession.createDataFrame([(k,) for k in sorted(occupied(chairs.count(), percent, seed))], "number int")
+    return numbered.join(taken, "number", "left_semi").select(numbered.columns)
 
 
 def mannequins(template: DataFrame, chairs: DataFrame, scale: float = 1.0, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:

@@ -26,12 +26,11 @@ def connections(points: DataFrame, gap: float, n_slabs: int = 10) -> DataFrame:
     """slab, a, b, d2, src, dst: for each point of a fragment and each higher-numbered fragment, its nearest point of that within
     the gap, slab by slab (J09, F13). Ties go to the smaller point_id.
 
-    A nearest point within the gap is the nearest at all, so candidates beyond it need not be seen."""
+    A nearest point within the gap is the nearest at all, so candidates beyond it need not be seen. Pairs within a fragment,
+    most of a dense scan's, end in the join that meets them: only those of two fragments are ever shuffled."""
     s = slabs(points, gap, n_slabs)
-    pairs = close_pairs(s, s, gap, ("slab",))
-    owner = s.select("slab", "point_id", "fragment", "x", "boundary")
-    side = lambda p, f, x: owner.select("slab", F.col("point_id").alias(p), F.col("fragment").alias(f), F.col("x").alias(x), *(["boundary"] if p == "a" else []))
-    pairs = pairs.join(side("a", "src", "xa"), ["slab", "a"]).join(side("b", "dst", "xb"), ["slab", "b"]).filter("src < dst")
+    pairs = close_pairs(s, s, gap, ("slab",), ("fragment", "x", "boundary"), "fragment_a < fragment_b")
+    pairs = pairs.withColumnsRenamed({"fragment_a": "src", "fragment_b": "dst", "x_a": "xa", "x_b": "xb", "boundary_a": "boundary"})
     best = pairs.groupBy("slab", "a", "src", "dst", "xa", "boundary").agg(F.min(F.struct("d2", "b", "xb")).alias("m"))
     return best.select("slab", "a", F.col("m.b").alias("b"), F.col("m.d2").alias("d2"), "src", "dst", "xa", F.col("m.xb").alias("xb"), "boundary").filter("xa <= boundary OR xb <= boundary").drop("xa", "xb", "boundary")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .util import one_row
+from .util import one_row, small
 
 #: Thresholds of the cumulative view histogram.
 VIEW_STEPS = (1, 2, 3, 5, 10, 20)
@@ -42,6 +42,18 @@ def view_counts(projected: DataFrame, runs: DataFrame) -> DataFrame:
     return hit.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_views"))
 
 
+def covered(projected: DataFrame, runs: DataFrame) -> DataFrame:
+    """Projected points whose pixel some mask of their frame covers. Masks cover whole pixels, so a pixel's z-buffer needs these
+    points only: what no mask covers goes before anything is shuffled, where the spans are few enough to be sent."""
+    spans = small(runs.select(F.col("frame_id").alias("of_frame"), F.col("v").alias("row"), "u_start", "u_end"))
+    return projected.join(spans, (F.col("frame_id") == F.col("of_frame")) & (F.col("v") == F.col("row")) & F.col("u").between(F.col("u_start"), F.col("u_end")), "left_semi")
+
+
+def seen_counts(projected: DataFrame, runs: DataFrame, z_threshold: float) -> DataFrame:
+    """n_views of each point that the loose z-buffer leaves in any mask: view_counts() of unoccluded points, masks first."""
+    return unoccluded(covered(projected, runs), loose_tolerance(z_threshold)).groupBy("point_id").agg(F.count(F.lit(1)).alias("n_views"))
+
+
 def consensus(counts: DataFrame, min_views: int) -> DataFrame:
     return counts.filter(F.col("n_views") >= min_views)
 
@@ -77,7 +89,7 @@ def refine(projected: DataFrame, runs: DataFrame, chosen: DataFrame, z_threshold
     no point beyond those of its mask that pass the band."""
     if not use_band and not use_zbuffer:
         return chosen.select("point_id")
-    own = unoccluded(projected.join(chosen.select("point_id"), "point_id", "left_semi"), loose_tolerance(z_threshold))
+    own = unoccluded(covered(projected, runs).join(chosen.select("point_id"), "point_id", "left_semi"), loose_tolerance(z_threshold))
     rows = in_masks(own, runs)
     if use_band:
         rows = patch_bands(rows, sigma, patch).filter("lo IS NULL OR z BETWEEN lo AND hi")
@@ -88,5 +100,5 @@ def refine(projected: DataFrame, runs: DataFrame, chosen: DataFrame, z_threshold
 
 def extract(projected: DataFrame, runs: DataFrame, min_views: int, z_threshold: float = 0.05, **filters) -> DataFrame:
     """point_id of the object's points: consensus over frames, then depth filters (the two passes of extraction)."""
-    chosen = consensus(view_counts(unoccluded(projected, loose_tolerance(z_threshold)), runs), min_views)
+    chosen = consensus(seen_counts(projected, runs, z_threshold), min_views)
     return refine(projected, runs, chosen, z_threshold, **filters)

@@ -60,7 +60,7 @@ class Run:
         projected = projection.project(projection.undo_dataparser(cloud, r, t, scale), frames.withColumnRenamed("frame", "frame_id"), k)
         threshold = own.get("z_threshold", 0.05)
         key = "view_counts_" + hashlib.sha256(repr((threshold, self.config.input_path("point_cloud", category), self.config.input_path("transforms", category))).encode()).hexdigest()[:16]
-        counts = self.write(visibility.view_counts(visibility.unoccluded(projected, visibility.loose_tolerance(threshold)), runs), category, key)
+        counts = self.write(visibility.seen_counts(projected, runs, threshold), category, key)
         chosen = visibility.consensus(counts, own.get("min_views", 2))
         ids = visibility.refine(projected, runs, chosen, threshold, own.get("depth_band_sigma", 2.0), own.get("depth_patch_size", 32), own.get("use_depth_band", True), own.get("use_zbuffer", True))
         self.write(cloud.join(ids, "point_id", "left_semi").drop("path"), category, "raw")
