@@ -73,7 +73,7 @@ def s18(s):
     return _round(stl.template_info(*_object_boxes(s)), "size_x", "size_z").select("mesh_id", "vertices", "faces", "size_x", "size_z")
 
 
-@query("j13_positional_zip", with_views("objects", "edits", query="SELECT object_id, edit_id FROM (SELECT object_id, row_number() OVER (ORDER BY object_id) AS nth FROM objects WHERE object_id <= 20) JOIN (SELECT edit_id, row_number() OVER (ORDER BY edit_id) AS nth FROM edits) USING (nth)"))
+@query("j13_positional_zip", with_views("objects", "edits", query="SELECT object_id, edit_id FROM (SELECT object_id, row_number() OVER (ORDER BY object_id) AS nth FROM objects) JOIN (SELECT edit_id, row_number() OVER (ORDER BY edit_id) AS nth FROM edits) USING (nth)"))
 def j13(s):
     return edits.zip_by_order(s.objects(), s.edits().select("edit_id"), "object_id", "edit_id").select("object_id", "edit_id")
 

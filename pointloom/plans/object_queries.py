@@ -126,7 +126,7 @@ def g04(s):
     return objects.suppress(s.objects(), 0.4)
 
 
-@query("w04_names", with_views("objects", query="SELECT object_id, concat('chair_', lpad((row_number() OVER (ORDER BY point_count DESC, footprint DESC, object_id) - 1)::VARCHAR, 3, '0')) AS name FROM objects WHERE object_id % 4 = 0"))
+@query("w04_names", with_views("objects", query="SELECT object_id, concat('chair_', lpad((row_number() OVER (ORDER BY point_count DESC, footprint DESC, object_id) - 1)::VARCHAR, 3, '0')) AS name FROM objects"))
 def w04(s):
     return objects.named(s.objects(), "chair").select("object_id", "name")
 
@@ -187,7 +187,7 @@ def _object_boxes(s: Scene) -> tuple[DataFrame, DataFrame]:
 
 
 BOX = """corner AS (SELECT unnest(range(8)) AS k),
-bv AS (SELECT source AS mesh_id, k AS vid, CASE WHEN k & 4 <> 0 THEN hi_x ELSE lo_x END AS x, CASE WHEN k & 2 <> 0 THEN hi_y ELSE lo_y END AS y, CASE WHEN k & 1 <> 0 THEN hi_z ELSE lo_z END AS z, footprint * size_z AS volume FROM objects, corner WHERE object_id % 10 = 0)
+bv AS (SELECT source AS mesh_id, k AS vid, CASE WHEN k & 4 <> 0 THEN hi_x ELSE lo_x END AS x, CASE WHEN k & 2 <> 0 THEN hi_y ELSE lo_y END AS y, CASE WHEN k & 1 <> 0 THEN hi_z ELSE lo_z END AS z, footprint * size_z AS volume FROM objects, corner)
 """
 
 
@@ -197,13 +197,13 @@ def a15(s):
     return _round(meshes.quality(*_object_boxes(s)), "volume", places=4)
 
 
-@query("a15_open_meshes", with_views("objects", query="SELECT source AS mesh_id, 11::BIGINT AS faces, 3::BIGINT AS boundary_edges, false AS is_watertight FROM objects WHERE object_id % 10 = 0"))
+@query("a15_open_meshes", with_views("objects", query="SELECT source AS mesh_id, 11::BIGINT AS faces, 3::BIGINT AS boundary_edges, false AS is_watertight FROM objects"))
 def a15_open(s):
     v, f = _object_boxes(s)
     return meshes.quality(v, f.filter("fid <> 5")).select("mesh_id", "faces", "boundary_edges", "is_watertight")
 
 
-@query("a23_watertight_report", with_views("objects", query="SELECT count(*) AS meshes, count(*) FILTER (WHERE object_id % 20 = 0) AS passed, count(*) FILTER (WHERE object_id % 20 <> 0) AS failed FROM objects WHERE object_id % 10 = 0"))
+@query("a23_watertight_report", with_views("objects", query="SELECT count(*) AS meshes, count(*) FILTER (WHERE object_id % 20 <> 10) AS passed, count(*) FILTER (WHERE object_id % 20 = 10) AS failed FROM objects"))
 def a23(s):
     v, f = _object_boxes(s)
     broken = s.objects().filter("object_id % 20 = 10").select(F.col("source").alias("mesh_id"))
@@ -256,7 +256,7 @@ def j12b(s):
 ONE_EDIT = "SELECT * FROM edits QUALIFY row_number() OVER (PARTITION BY source ORDER BY edit_id) = 1"
 
 
-@query("e02_rebuild", with_views("objects", "edits", query="").rstrip() + ",\n" + BOX.replace("object_id % 10 = 0", "true") + f""", one AS ({ONE_EDIT}),
+@query("e02_rebuild", with_views("objects", "edits", query="").rstrip() + ",\n" + BOX + f""", one AS ({ONE_EDIT}),
 mids AS (SELECT mesh_id, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM bv GROUP BY 1)
 SELECT b.mesh_id, vid::INTEGER AS vid, round(CASE WHEN one.source IS NULL THEN x ELSE (x - mx) * cos(radians(turn)) - (y - my) * sin(radians(turn)) + mx + dx END, 4) + 0 AS x,
     round(CASE WHEN one.source IS NULL THEN y ELSE (x - mx) * sin(radians(turn)) + (y - my) * cos(radians(turn)) + my + dy END, 4) + 0 AS y, round(z, 4) + 0 AS z
@@ -271,7 +271,7 @@ def e02(s):
 
 @query("p12_mannequins", with_views("objects", query="""SELECT source AS mesh_id, k::INTEGER AS vid,
     round(-(CASE WHEN k & 2 <> 0 THEN 0.1 ELSE -0.1 END * size_z / 1.5 + 0.05) + (lo_x + hi_x) / 2, 4) + 0 AS x, round(CASE WHEN k & 4 <> 0 THEN 0.2 ELSE -0.2 END * size_z / 1.5 + (lo_y + hi_y) / 2, 4) + 0 AS y,
-    round(CASE WHEN k & 1 <> 0 THEN 0.75 ELSE -0.75 END * size_z / 1.5 + 0.02 + (lo_z + hi_z) / 2, 4) + 0 AS z FROM objects, (SELECT unnest(range(8)) AS k) WHERE object_id % 5 = 0"""))
+    round(CASE WHEN k & 1 <> 0 THEN 0.75 ELSE -0.75 END * size_z / 1.5 + 0.02 + (lo_z + hi_z) / 2, 4) + 0 AS z FROM objects, (SELECT unnest(range(8)) AS k)"""))
 def p12(s):
     box = s.spark.sql("SELECT 't' AS mesh_id, 0D AS lo_x, 0D AS lo_y, 0D AS lo_z, 0.4D AS hi_x, 0.2D AS hi_y, 1.5D AS hi_z")
     chairs = s.objects().withColumn("mesh_id", F.col("source")).withColumn("angle", F.lit(90.0))
@@ -332,7 +332,7 @@ def k12(s):
     return rooms.room_log(v, mesh, meshes.quality(*mesh))
 
 
-@query("p16_aligned_scene", with_views("objects", query="").rstrip() + ",\n" + BOX.replace("object_id % 10 = 0", "true") + ", m AS (SELECT avg(x) AS mx, avg(y) AS my FROM bv) SELECT mesh_id, vid::INTEGER AS vid, round((x - mx) * cos(radians(-30)) - (y - my) * sin(radians(-30)) + mx, 4) + 0 AS x, round((x - mx) * sin(radians(-30)) + (y - my) * cos(radians(-30)) + my, 4) + 0 AS y, round(z, 4) + 0 AS z FROM bv, m")
+@query("p16_aligned_scene", with_views("objects", query="").rstrip() + ",\n" + BOX + ", m AS (SELECT avg(x) AS mx, avg(y) AS my FROM bv) SELECT mesh_id, vid::INTEGER AS vid, round((x - mx) * cos(radians(-30)) - (y - my) * sin(radians(-30)) + mx, 4) + 0 AS x, round((x - mx) * sin(radians(-30)) + (y - my) * cos(radians(-30)) + my, 4) + 0 AS y, round(z, 4) + 0 AS z FROM bv, m")
 def p16(s):
     return _round(rooms.aligned(_object_boxes(s)[0], 30.0), "x", "y", "z", places=4)
 

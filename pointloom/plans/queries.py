@@ -39,7 +39,7 @@ def _loose(s: Scene) -> DataFrame:
 
 
 def _counts(s: Scene) -> DataFrame:
-    return visibility.view_counts(_loose(s), s.mask_runs())
+    return visibility.seen_counts(_projected(s), s.mask_runs(), 0.05)
 
 
 # ---- extraction ------------------------------------------------------------------------------------------------------
@@ -113,7 +113,7 @@ mad AS (SELECT frame_id, mask_id, pu, pv, any_value(n) AS n, any_value(med) AS m
     with_views(*CLOUD_VIEWS, query="SELECT 1").removesuffix("\nSELECT 1") + REFINED + "x AS (SELECT 1) SELECT frame_id, mask_id, pu::BIGINT AS patch_u, pv::BIGINT AS patch_v, n, round(med, 6) AS med, round(mad, 6) AS mad FROM mad",
 )
 def a04(s):
-    own = visibility.unoccluded(_projected(s).join(visibility.consensus(_counts(s), 2), "point_id", "left_semi"), 0.5)
+    own = visibility.unoccluded(visibility.covered(_projected(s), s.mask_runs()).join(visibility.consensus(_counts(s), 2), "point_id", "left_semi"), 0.5)
     rows = visibility.patch_bands(visibility.in_masks(own, s.mask_runs()), 2.0, 32)
     return rows.select("frame_id", "mask_id", "patch_u", "patch_v", "n", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad")).distinct()
 
@@ -202,12 +202,12 @@ def j15(s):
     return distance.close_pairs(s.cloud(), s.cloud(), 0.05).filter("a < b").withColumn("d2", F.round("d2", 9))
 
 
-@query("j10_nearest_neighbours", with_views("cloud", query=f"SELECT a.point_id AS a, b.point_id AS b, row_number() OVER (PARTITION BY a.point_id ORDER BY {PAIRS}, b.point_id)::INTEGER AS rank FROM cloud a JOIN cloud b ON a.point_id <> b.point_id WHERE {PAIRS} <= 0.1::DOUBLE * 0.1::DOUBLE QUALIFY rank <= 5"))
+@query("j10_nearest_neighbours", with_views("cloud", query=f"SELECT a.point_id AS a, b.point_id AS b, row_number() OVER (PARTITION BY a.point_id ORDER BY {PAIRS}, b.point_id)::INTEGER AS rank FROM cloud a JOIN cloud b ON a.point_id <> b.point_id QUALIFY rank <= 5"))
 def j10(s):
     return distance.nearest_neighbours(s.cloud(), 5, 0.1).select("a", "b", "rank")
 
 
-@query("a18_spacing", with_views("cloud", query=f"SELECT round(quantile_cont(sqrt(d2), 0.5), 6) AS spacing FROM (SELECT {PAIRS} AS d2 FROM cloud a JOIN cloud b ON a.point_id <> b.point_id WHERE {PAIRS} <= 0.1::DOUBLE * 0.1::DOUBLE QUALIFY row_number() OVER (PARTITION BY a.point_id ORDER BY {PAIRS}, b.point_id) <= 5)"))
+@query("a18_spacing", with_views("cloud", query=f"SELECT round(quantile_cont(sqrt(d2), 0.5), 6) AS spacing FROM (SELECT {PAIRS} AS d2 FROM cloud a JOIN cloud b ON a.point_id <> b.point_id QUALIFY row_number() OVER (PARTITION BY a.point_id ORDER BY {PAIRS}, b.point_id) <= 5)"))
 def a18(s):
     return distance.nearest_neighbours(s.cloud(), 5, 0.1).agg(F.round(F.median(F.sqrt("d2")), 6).alias("spacing"))
 

@@ -80,7 +80,7 @@ SQL = {
     "cloud": """SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label AS fragment,
         ((vec_id * 7) % 256)::DOUBLE AS red, ((vec_id * 11) % 256)::DOUBLE AS green, ((vec_id * 13) % 256)::DOUBLE AS blue FROM embeddings""",
     "objects": "WITH base AS (SELECT " + _numbers(_OBJECT_COLUMNS, r"\1::DOUBLE") + " FROM part) " + _BOXES,
-    "edits": "SELECT " + _numbers(_EDIT_COLUMNS, r"\1::DOUBLE") + " FROM orders WHERE o_orderkey % 50 = 3",
+    "edits": "SELECT " + _numbers(_EDIT_COLUMNS, r"\1::DOUBLE") + " FROM orders",
     "projected": """SELECT * FROM (SELECT frame_id, point_id, round_even((c * x + s * y + 0 * z + -(c * 0.5 + s * 0.5 + 0 * tz)) * 200 / cam_z + 160, 0)::INTEGER AS u,
         round_even((-1 * -s * x + -1 * c * y + -0.0::DOUBLE * z + -(-1 * -s * 0.5 + -1 * c * 0.5 + -0.0::DOUBLE * tz)) * 200 / cam_z + 120, 0)::INTEGER AS v, cam_z AS z
         FROM (SELECT f.*, p.*, (-0.0::DOUBLE * x + -0.0::DOUBLE * y + -1 * z + -(-0.0::DOUBLE * 0.5 + -0.0::DOUBLE * 0.5 + -1 * tz)) AS cam_z FROM points p, frames f) WHERE cam_z > 0.001)
