@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All
 but the last return the columns of documents. Rows of one doc_id stay or go together, but for mixing, which deals each row.
+
+In every stage: no rows in, no rows out; very long texts are worked on whole; columns besides doc_id, text and source pass
+through whatever their names, and none of the stages' own columns stays.
 """
 
 from __future__ import annotations
@@ -19,31 +22,36 @@ from pointloom.llm.toxicity import THRESHOLD, fit, score
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold."""
+    """Documents whose score is below the threshold; one exactly at it goes. Null and empty texts stay, as texts without words
+    do; repeated rows score alike; null doc_ids are scored but never trained on."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(docs, fit(docs, labels, toxicity_held_out()))
     return scored.filter(F.col("toxicity") < THRESHOLD).select(docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id."""
+    """Of each group of near duplicates the document of the smallest doc_id: all its rows, if they repeat. Null and empty texts
+    and rows of null doc_id stay."""
     groups = materialize(near_duplicates(docs), "pipeline-groups")
     return without(docs, groups.filter("doc_id <> component_id").select("doc_id").distinct())
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced; n_chars follows the text."""
+    """Documents with personal data replaced; n_chars follows the text. Null and empty texts stay as they are, repeated rows
+    change alike."""
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in the order of its shards."""
+    """Documents as often as the mix takes them, in the order of its shards. Null and empty texts have size 0 and go with
+    their block; a null source is a source; repeated rows are taken each; a mix of no words takes nothing."""
     return mix(docs).repartition("shard").sortWithinPartitions("shard", "pos").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in training sequences."""
+    """Pieces of documents with their place in training sequences. Null and empty texts are a piece of the end id alone;
+    repeated rows and null doc_ids have pieces of their own."""
     return digested(pack(pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 
 
