@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from pointloom.plans.scratch import materialize
+
 from .components import connected_components
 from .distance import close_pairs
 from .util import one_row, scalars
@@ -54,10 +56,21 @@ def eps_of(points: DataFrame, level: int | None = None, eps: float | None = None
 
 
 def dbscan_components(points: DataFrame, level: int | None = None, eps: float | None = None) -> DataFrame:
-    """point_id and root of points that steps of at most eps connect; eps is the longest side over 2^level unless given."""
+    """point_id and root of points that steps of at most eps connect; eps is the longest side over 2^level unless given.
+
+    Points of a cell whose diagonal is shorter than eps hang together, so the smallest point_id of a cell stands for all and the
+    graph is one of cells. Points without a place, or at none that is finite, are by themselves."""
     eps = eps_of(points, level, eps)
-    found = connected_components(close_pairs(points, points, eps).filter("a < b").select("a", "b"))
-    return points.select("point_id").join(found, F.col("point_id") == F.col("node"), "left").select("point_id", F.coalesce("component", "point_id").alias("root"))
+    placed = points.select("point_id", *"xyz").filter(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz"))
+    side = eps / 3**0.5 * (1 - 1e-6)
+    cell = {n: F.floor(F.col(c) / F.lit(side)) if side > 0 else F.col(c) for n, c in zip(("i", "j", "k"), "xyz")}
+    placed = placed.withColumns(cell)
+    low = placed.groupBy("i", "j", "k").agg(F.min("point_id").alias("cell"))
+    tagged = materialize(placed.join(low, ["i", "j", "k"]).select("point_id", "cell", *"xyz"), "eps-cells")
+    links = close_pairs(tagged, tagged, eps, carry=("cell",), where="cell_a < cell_b").select(F.col("cell_a").alias("a"), F.col("cell_b").alias("b")).distinct()
+    found = connected_components(links)
+    rooted = tagged.select("point_id", "cell").join(found, F.col("cell") == F.col("node"), "left").select("point_id", F.coalesce("component", "cell").alias("root"))
+    return points.select("point_id").join(rooted, "point_id", "left").select("point_id", F.coalesce("root", "point_id").alias("root"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
