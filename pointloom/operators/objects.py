@@ -101,34 +101,45 @@ def placements(classified: DataFrame, ref_footprint: float) -> DataFrame:
 
 
 def cell_points(points: DataFrame, grid: DataFrame, key: str) -> DataFrame:
-    """placement and how many of the object's points lie in its cell; all of them where a cell has none."""
+    """placement, x, y, z: the points that each placement rests on (X03). Those in the cell, its upper sides left out, for cells of
+    oversized objects; all of the object's where a cell has none, and for objects placed once."""
     inside = F.lit(True)
     for a, i, n in (("x", "i", "n_cols"), ("y", "j", "n_rows")):
         step = F.col(f"size_{a}") / F.col(n)
         inside &= (F.col(a) >= F.col(f"lo_{a}") + F.col(i) * step) & (F.col(a) < F.col(f"lo_{a}") + (F.col(i) + 1) * step)
-    own = points.select(key, *"xyz").join(grid, key)
-    out = own.groupBy("placement").agg(F.count(F.when(inside, 1)).alias("n"), F.count(F.lit(1)).alias("all"))
-    return out.select("placement", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("all")).alias("point_count"))
+    found = points.select(key, *"xyz").join(grid, key).filter((F.col("classification") != "oversized") | inside).select("placement", *"xyz")
+    bare = grid.join(found.select("placement").distinct(), "placement", "left_anti").select(key, "placement")
+    return found.unionByName(points.join(bare, key).select("placement", *"xyz"))
 
 
 def overlaps(boxes: DataFrame, ratio: float) -> DataFrame:
     """a, b (a < b by object_id) and overlap: intersection over the smaller volume, of boxes where it reaches ratio.
 
-    Boxes are sent to the cells they touch, cells as long as the longest side; boxes that only touch don't overlap."""
-    side = scalars(boxes, F.max(F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"])))[0] or 1.0
+    Boxes fall into classes by the power of two that their longest side reaches, each with a grid of that cell size. A box meets
+    those of its own and of larger classes in the at most eight cells it touches there, so one large box makes no cell of all.
+    Boxes that only touch don't overlap; boxes without volume or with sides that aren't finite overlap none."""
     dims = [f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"]
+    longest = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"])
     volume = (F.col("hi_x") - F.col("lo_x")) * (F.col("hi_y") - F.col("lo_y")) * (F.col("hi_z") - F.col("lo_z"))
-    cells = boxes.select("object_id", *dims, volume.alias("own_volume")).filter("own_volume > 0")
-    for c in "xyz":
-        cells = cells.withColumn(f"cell_{c}", F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / side), F.floor(F.col(f"hi_{c}") / side))))
-    keys = ["cell_x", "cell_y", "cell_z"]
-    b = cells.select(*keys, *[F.col(d).alias(f"{d}_b") for d in ("object_id", *dims, "own_volume")])
-    pairs = cells.join(b, keys).filter("object_id < object_id_b")
+    own = boxes.select("object_id", *dims, volume.alias("own_volume"), F.ceil(F.log2(longest)).cast("int").alias("level")).filter((F.col("own_volume") > 0) & (longest < float("inf")))
+    levels = [r.level for r in own.select("level").distinct().collect()]  # exponents of doubles: some 2,000 at most
+    side = F.pow(F.lit(2.0), "meets")
+
+    def cells(df: DataFrame) -> DataFrame:
+        for c in "xyz":
+            df = df.withColumn(f"cell_{c}", F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / side), F.floor(F.col(f"hi_{c}") / side))))
+        return df
+
+    upwards = F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda n: n >= F.col("level")))
+    b = cells(own.withColumn("meets", F.col("level")))
+    keys = ["meets", "cell_x", "cell_y", "cell_z"]
+    b = b.select(*keys, *[F.col(d).alias(f"{d}_b") for d in ("object_id", *dims, "own_volume")])
+    pairs = cells(own.withColumn("meets", upwards)).join(b, keys).filter((F.col("level") < F.col("meets")) | (F.col("object_id") < F.col("object_id_b")))
     inter = F.lit(1.0)
     for c in "xyz":  # a pair counts in the cell where its intersection begins
         pairs = pairs.filter((F.col(f"lo_{c}") < F.col(f"hi_{c}_b")) & (F.col(f"lo_{c}_b") < F.col(f"hi_{c}")) & (F.col(f"cell_{c}") == F.floor(F.greatest(f"lo_{c}", f"lo_{c}_b") / side)))
         inter = inter * (F.least(f"hi_{c}", f"hi_{c}_b") - F.greatest(f"lo_{c}", f"lo_{c}_b"))
-    out = pairs.select(F.col("object_id").alias("a"), F.col("object_id_b").alias("b"), (inter / F.least("own_volume", "own_volume_b")).alias("overlap"))
+    out = pairs.select(F.least("object_id", "object_id_b").alias("a"), F.greatest("object_id", "object_id_b").alias("b"), (inter / F.least("own_volume", "own_volume_b")).alias("overlap"))
     return out.filter(F.col("overlap") >= ratio)
 
 

@@ -58,6 +58,14 @@ def s12(s):
     return _round(meshes.quality(*stl.indexed(tri)), "volume", places=4).select("mesh_id", "vertices", "faces", "is_watertight", "volume")
 
 
+@query("k17_scene_stl", with_views("objects", query="").rstrip() + ",\n" + BOX + "SELECT (count(*) // 8 * 12)::BIGINT AS faces, " + ", ".join(f"round({f}({c}), 4) AS {e}_{c}" for e, f in (("lo", "min"), ("hi", "max")) for c in "xyz") + " FROM bv")
+def k17(s):
+    """All objects as one STL text (K17, K18, U01), read again."""
+    at = _folder(s, "scene-stl")
+    stl.write_scene_stl(meshes.corners(*_object_boxes(s)), at, "scene")
+    return _round(stl.scene_stl_check(s.spark, at), *(f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"), places=4)
+
+
 @query("s15_scene_log", with_views("objects", query="SELECT object_id % 7 AS kind, count(*) AS n, round(sum(lo_x), 4) AS sum_x, sum(point_count)::BIGINT AS points FROM objects GROUP BY 1"))
 def s15(s):
     """Placements written as a log (K10) and read."""

@@ -95,6 +95,19 @@ def x03(s):
     return _round(objects.placements(_classified(s), REF), "place_x", "place_y").select("placement", "place_x", "place_y")
 
 
+IN_CELL = "px >= lo_x + i * (size_x / nc) AND px < lo_x + (i + 1) * (size_x / nc) AND py >= lo_y + j * (size_y / nr) AND py < lo_y + (j + 1) * (size_y / nr)"
+
+
+@query("x03_cell_points", with_views("objects", "cloud", query=f"""SELECT placement, (CASE WHEN any_value(classification) = 'oversized' AND count(*) FILTER (WHERE {IN_CELL}) > 0 THEN count(*) FILTER (WHERE {IN_CELL}) ELSE count(*) END)::BIGINT AS point_count
+    FROM (SELECT c.*, lo_x + (p.x - floor(p.x)) * size_x AS px, lo_y + (p.y - floor(p.y)) * size_y AS py FROM ({CELLS}) c JOIN cloud p ON c.object_id % 10 = p.fragment) GROUP BY placement"""))
+def x03_points(s):
+    """Every placement's points, where a fragment's points lie in each object's box as their coordinates' fractions say."""
+    grid = objects.placements(_classified(s), REF)
+    own = s.objects().withColumn("fragment", F.col("object_id") % 10).join(s.cloud().select("fragment", *"xyz"), "fragment")
+    points = own.select("object_id", *[(F.col(f"lo_{c}") + (F.col(c) - F.floor(c)) * F.col(f"size_{c}")).alias(c) for c in "xyz"])
+    return objects.cell_points(points, grid, "object_id").groupBy("placement").agg(F.count(F.lit(1)).alias("point_count"))
+
+
 @query("s17_manifest", with_views("objects", query=f"SELECT classification AS category, count(*) AS objects, list(placement ORDER BY placement) AS names FROM ({CELLS}) GROUP BY 1"))
 def s17(s):
     return edits.manifest(objects.placements(_classified(s), REF).withColumn("category", F.col("classification")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pointloom.operators import healing, icp, meshes, objects, projection, rooms, visibility, voxels
 from pointloom.operators.edits import mannequins, occupied_chairs
 from pointloom.sources import cameras, clouds, masks, stl
-from pointloom.sources.files import exists
+from pointloom.sources.files import exists, state
 
 from .config import Config
 
@@ -49,7 +49,8 @@ class Run:
     # -- steps of a category --
 
     def extract(self, category: str) -> None:
-        """Points that the category's masks select. View counts are kept by the settings that they depend on."""
+        """Points that the category's masks select. View counts are kept, and read again by later runs, under a key of
+        the threshold and of paths, lengths and times of all files that they depend on (S14)."""
         own = self.config.category(category)["extraction"]
         k = cameras.read_intrinsics(self.spark, self.config.input_path("transforms", category))
         cloud = clouds.read_cloud(self.spark, self.config.input_path("point_cloud", category))
@@ -59,8 +60,12 @@ class Run:
         runs = runs.withColumnRenamed("frame", "frame_id")
         projected = projection.project(projection.undo_dataparser(cloud, r, t, scale), frames.withColumnRenamed("frame", "frame_id"), k)
         threshold = own.get("z_threshold", 0.05)
-        key = "view_counts_" + hashlib.sha256(repr((threshold, self.config.input_path("point_cloud", category), self.config.input_path("transforms", category))).encode()).hexdigest()[:16]
-        counts = self.write(visibility.seen_counts(projected, runs, threshold), category, key)
+        inputs = [self.config.input_path(n, category) for n in ("point_cloud", "transforms", "dataparser")] + [f"{self.dir}/1_segmentation/{category}"]
+        key = "view_counts_" + hashlib.sha256(repr((threshold, [(i, state(self.spark, i)) for i in inputs])).encode()).hexdigest()[:16]
+        if exists(self.spark, self.path(category, f"{key}/_SUCCESS")):
+            counts = self.read(category, key)
+        else:
+            counts = self.write(visibility.seen_counts(projected, runs, threshold), category, key)
         chosen = visibility.consensus(counts, own.get("min_views", 2))
         ids = visibility.refine(projected, runs, chosen, threshold, own.get("depth_band_sigma", 2.0), own.get("depth_patch_size", 32), own.get("use_depth_band", True), own.get("use_zbuffer", True))
         self.write(cloud.join(ids, "point_id", "left_semi").drop("path"), category, "raw")
@@ -102,7 +107,9 @@ class Run:
         self.write(where, category, "placements")
         self.write(v, category, "vertices")
         self.write(f, category, "faces")
-        self.write(meshes.quality(self.read(category, "vertices"), self.read(category, "faces")), category, "mesh_quality")
+        v, f = self.read(category, "vertices"), self.read(category, "faces")
+        self.write(meshes.quality(v, f), category, "mesh_quality")
+        stl.write_stl(meshes.corners(v, f), self.path(category, "individual"))
         m = own.get("mannequin", {})
         if m.get("enabled", False):
             chairs = objects.bounds(self.read(category, "vertices"), "mesh_id").join(self.read(category, "placements").select("mesh_id", "angle"), "mesh_id")
@@ -137,10 +144,12 @@ class Run:
         ref = fit["scaled_footprint"] if own.get("use_stl_footprint", True) and fit["scaled_footprint"] > 0 else own["single_footprint"]
         kinds = objects.classify(placed, ref, own.get("min_footprint_ratio", 0.5), own.get("max_footprint_ratio", 1.5), own.get("skip_undersized", False))
         where = objects.placements(objects.heights(kinds, own.get("z_mode", "global_median"), own.get("z_offset", 0.0), fit["lift"] * fit["scale"]), ref)
+        rests = objects.cell_points(points, where, "source")
+        where = where.drop("point_count").join(rests.groupBy("placement").agg(F.count(F.lit(1)).alias("point_count")), "placement")
         base = float(own.get("rotation_degrees", 0.0))
         if own.get("use_icp", False):
-            turns = icp.best_orientation(points, tv, tf, "source", own.get("icp_threshold", 0.02), own.get("icp_iterations", 50), base, fit["scale"])
-            where = where.join(turns, "source", "left").withColumn("angle", F.coalesce(icp.accepted_angle(F.col("fitness"), F.col("angle"), base, own.get("icp_fitness_threshold", 0.3)), F.lit(base)))
+            turns = icp.best_orientation(rests, tv, tf, "placement", own.get("icp_threshold", 0.02), own.get("icp_iterations", 50), base, fit["scale"])
+            where = where.join(turns, "placement", "left").withColumn("angle", F.coalesce(icp.accepted_angle(F.col("fitness"), F.col("angle"), base, own.get("icp_fitness_threshold", 0.3)), F.lit(base)))
         else:
             where = where.withColumn("angle", F.lit(base)).withColumn("fitness", F.lit(0.0))
         where = where.withColumn("mesh_id", F.col("placement")).withColumn("scale", F.lit(fit["scale"])).withColumn("object_id", F.xxhash64("placement"))
@@ -154,6 +163,16 @@ class Run:
 
     # -- steps of the scene --
 
+    def export(self, name: str, v: DataFrame, f: DataFrame) -> None:
+        """A scene's STL, read again: a file that doesn't hold every face within the meshes' bounds ends the run."""
+        path = self.path("scene", f"{name}.stl")
+        stl.write_scene_stl(meshes.corners(v, f), path, name)
+        got = stl.scene_stl_check(self.spark, path).first()
+        box = v.agg(*[e(c).alias(f"{n}_{c}") for n, e in (("lo", F.min), ("hi", F.max)) for c in "xyz"]).first().asDict()
+        far = [n for n, x in box.items() if x is not None and abs(got[n] - x) > 1e-6 * max(1.0, abs(x))]
+        if far or got.faces != f.count():
+            raise ValueError(f"{path} holds {got.faces} faces; bounds that differ: {far}")
+
     def combine(self) -> None:
         """All categories' furniture, and with mannequins, as one table each (K17, U01), with checks."""
         for extra, name in (("", "furniture"), ("mannequin_", "mannequins")):
@@ -164,9 +183,17 @@ class Run:
             v, f = meshes.concatenate([(tag(self.read(c, f"{extra}vertices"), c), tag(self.read(c, f"{extra}faces"), c)) for c in have])
             self.write(v, "scene", f"{name}_vertices")
             self.write(f, "scene", f"{name}_faces")
+        both = [self.scene_mesh(n) for n in ("furniture", "mannequins") if exists(self.spark, self.path("scene", f"{n}_vertices"))]
+        self.export("furniture", *both[0])
+        if len(both) > 1:
+            both[1] = tuple(df.withColumn("mesh_id", F.concat("mesh_id", F.lit("/mannequin"))) for df in both[1])
+            self.export("furniture_with_mannequins", *meshes.concatenate(both))
         quality = meshes.quality(self.read("scene", "furniture_vertices"), self.read("scene", "furniture_faces"))
         self.write(quality, "scene", "watertight_log")
 
+    def scene_mesh(self, name: str) -> tuple[DataFrame, DataFrame]:
+        return self.read("scene", f"{name}_vertices"), self.read("scene", f"{name}_faces")
+
     def enclose(self) -> None:
         v = self.read("scene", "furniture_vertices")
         at = None
@@ -180,7 +207,11 @@ class Run:
         mesh = self.read("scene", "room_vertices"), self.read("scene", "room_faces")
         self.write(rooms.room_log(v, mesh, meshes.quality(*mesh)), "scene", "room_log")
         turned = rooms.aligned(v, self.config.room().rotation_deg)
-        self.write(turned, "scene", "aligned_vertices")
+        turned = self.write(turned, "scene", "aligned_vertices")
+        furniture = self.scene_mesh("furniture")
+        self.export("room", *mesh)
+        self.export("furniture_and_room", *meshes.concatenate([furniture, tuple(df.select(own.columns) for df, own in zip(mesh, furniture))]))
+        stl.write_stl(meshes.corners(turned, furniture[1]), self.path("scene", "aligned_individual"))
 
     def run(self, steps: Iterable[str] = ("all",), categories: Iterable[str] | None = None) -> None:
         each, scene = planned(list(steps))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -34,6 +35,12 @@ def first_existing(spark: SparkSession, paths: list[str], endings: tuple[str, ..
     return None
 
 
+def state(spark: SparkSession, path: str) -> tuple:
+    """Number of files at or below path, and a hash over their paths, lengths and times; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file, such as a configuration, as one text."""
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())

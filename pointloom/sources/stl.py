@@ -66,6 +66,23 @@ def write_stl(corners: DataFrame, path: str) -> None:
     both.repartition("mesh_id").sortWithinPartitions("mesh_id", "fid").select("mesh_id", "value").write.mode("overwrite").partitionBy("mesh_id").text(path)
 
 
+def write_scene_stl(corners: DataFrame, path: str, name: str) -> None:
+    """All meshes as one ASCII solid (K17, K18): a folder whose files, joined in order of their names, are the STL text. Facets
+    are dealt by ranges, so no task holds the scene."""
+    facets = text_stl(corners).withColumn("at", F.lit(1))
+    ends = corners.sparkSession.createDataFrame([("", 0, f"solid {name}", 0), ("", 0, f"endsolid {name}", 2)], "mesh_id string, fid int, value string, at int")
+    facets.unionByName(ends).orderBy("at", "mesh_id", "fid").select("value").write.mode("overwrite").text(path)
+
+
+def scene_stl_check(spark: SparkSession, path: str) -> DataFrame:
+    """One row of what a written scene holds when read again: faces, and bounds of its vertices."""
+    line = F.trim("value")
+    part = F.split(line, " ")
+    vertex = line.startswith("vertex ")
+    found = spark.read.text(path).select(line.startswith("facet ").alias("facet"), *[F.when(vertex, part[n + 1].cast("double")).alias(c) for n, c in enumerate("xyz")])
+    return found.agg(F.count(F.when(F.col("facet"), 1)).alias("faces"), *[f(c).alias(f"{e}_{c}") for e, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"])
+
+
 def template_info(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Of each mesh: sizes and counts."""
     v = vertices.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("vertices"), *[(F.max(c) - F.min(c)).alias(f"size_{c}") for c in "xyz"])

@@ -182,6 +182,56 @@ def test_suppression_is_greedy(spark):
     assert objects.suppress(df, 0).filter("accepted").count() == 120
 
 
+def test_overlaps_of_very_unlike_sizes(spark):
+    r = random.Random(3)
+    boxes = [(0, 0.0, 0.0, 0.0, 100.0, 100.0, 3.0), (1, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0), (2, -1.0, -1.0, -1.0, 0.0, 0.0, 0.0)]
+    for n in range(3, 90):
+        lo, size = [r.uniform(-2, 6) for _ in range(3)], [r.choice((0.01, 0.3, 1.0, 2.0, 4.0, 7.5)) for _ in range(3)]
+        boxes.append((n, *lo, *(a + b for a, b in zip(lo, size))))
+    boxes.append((90, 0.0, 0.0, 0.0, float("inf"), 1.0, 1.0))
+    df = spark.createDataFrame(boxes, "object_id long, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double")
+    volume = lambda b: math.prod(b[k + 3] - b[k] for k in (1, 2, 3))
+    want = {}
+    for a in boxes[:-1]:
+        for b in boxes[:-1]:
+            inter = math.prod(max(0.0, min(a[k + 3], b[k + 3]) - max(a[k], b[k])) for k in (1, 2, 3))
+            if a[0] < b[0] and inter > 0 and inter / min(volume(a), volume(b)) >= 0.1:
+                want[a[0], b[0]] = inter / min(volume(a), volume(b))
+    got = {(x.a, x.b): x.overlap for x in objects.overlaps(df, 0.1).collect()}
+    assert got.keys() == want.keys() and len(want) > 100 and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    assert objects.overlaps(df.limit(0), 0.1).count() == 0
+
+
+def test_eps_components_of_dense_cells(spark):
+    r = random.Random(11)
+    pts = [(n, *(r.gauss(c, 0.02) for c in r.choice(((0, 0, 0), (0.3, 0, 0), (0, 0.3, 0.1))))) for n in range(300)]
+    pts += [(300 + n, *(r.uniform(-0.5, 0.5) for _ in range(3))) for n in range(200)]
+    pts += [(500, None, 0.0, 0.0), (501, None, 0.0, 0.0), (502, float("nan"), 0.0, 0.0), (503, 9.0, 9.0, 9.0), (504, 9.0, 9.0, 9.0)]
+    df = spark.createDataFrame(pts, "point_id long, x double, y double, z double").repartition(5)
+    for eps in (0.0, 0.05, 0.12):
+        root = {p[0]: p[0] for p in pts}
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for a in pts:
+            for b in pts:
+                if a[0] < b[0] and None not in a + b and sum((u - v) ** 2 for u, v in zip(a[1:], b[1:])) <= eps * eps:
+                    x, y = find(a[0]), find(b[0])
+                    root[max(x, y)] = min(x, y)
+        assert {(x.point_id, x.root) for x in voxels.dbscan_components(df, eps=eps).collect()} == {(p[0], find(p[0])) for p in pts}
+
+
+def test_points_of_cells(spark):
+    grid = spark.createDataFrame([("a_g0_0", "a", "oversized", 0, 0, 2, 1), ("a_g1_0", "a", "oversized", 1, 0, 2, 1), ("b", "b", "normal", 0, 0, 1, 1)], "placement string, source string, classification string, i int, j int, n_cols int, n_rows int")
+    grid = grid.withColumns({f"{k}_{c}": F.lit(v) for k, v in (("lo", 0.0), ("size", 2.0)) for c in "xy"})
+    points = spark.createDataFrame([("a", 0.0, 0.0, 0.0), ("a", 0.5, 1.0, 0.0), ("b", 2.0, 2.0, 0.0)], "source string, x double, y double, z double")
+    n = {r.placement: r["count"] for r in objects.cell_points(points, grid, "source").groupBy("placement").count().collect()}
+    assert n == {"a_g0_0": 2, "a_g1_0": 2, "b": 1}  # the second cell is empty, the last point on its object's upper side
+
+
 def test_occupancy_golden():
     assert edits.occupied(10, 50, 42) == {3, 5, 6, 7, 8}
     assert edits.occupied(10, 25, 0) == {0, 5}

@@ -173,8 +173,22 @@ def test_whole_run(spark, tmp_path):
     assert stats.components_kept == 2 and stats.output_points <= 800
     log = run.read("scene", "room_log").first()
     assert log.watertight and run.read("scene", "watertight_log").count() == 2
+    checks = {n: stl.scene_stl_check(spark, run.path("scene", f"{n}.stl")).first() for n in ("furniture", "room", "furniture_and_room")}
+    assert checks["furniture"].faces == 120 and checks["furniture_and_room"].faces == 120 + checks["room"].faces
+    assert checks["furniture_and_room"].lo_x == checks["room"].lo_x < checks["furniture"].lo_x
+    text = [r.value for r in spark.read.text(run.path("scene", "furniture.stl")).collect()]
+    assert text[0] == "solid furniture" and text[-1] == "endsolid furniture"
+    assert len([f for f in (root / "runs" / "r").glob("**/individual/mesh_id=*")]) == 2
     run.run(["5"])
     assert run.read("scene", "room_log").first() == log
+    counts = lambda: sorted(p.name for p in (root / "runs" / "r").glob("**/view_counts_*"))
+    kept = [p.stat().st_mtime_ns for p in (root / "runs" / "r").glob("**/view_counts_*/_SUCCESS")]
+    before = counts()
+    run.run(["2"])
+    assert counts() == before and kept == [p.stat().st_mtime_ns for p in (root / "runs" / "r").glob("**/view_counts_*/_SUCCESS")]
+    (root / "runs" / "r" / "1_segmentation" / "table" / "f2" / "mask_000.png").unlink()
+    run.run(["2"])
+    assert len(counts()) == 2  # other masks, other counts
     with pytest.raises(NotImplementedError):
         run._procedural("chair", {}, None, None)
 
