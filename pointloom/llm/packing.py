@@ -32,6 +32,8 @@ OFFSPRING = 96
 PATIENCE = 32
 #: The most of a chunk's pieces that are dealt again: those in its emptiest bins with room.
 AGAIN = 0.25
+#: The most tasks that islands are dealt over; beyond so many islands a task has several, one after the other.
+ISLAND_TASKS = 65536
 
 _ENCODERS: dict[str, object] = {}
 
@@ -265,8 +267,10 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, rng
 _STATE = "pack_chunk long, island int, lengths binary, population array<binary>"
 
 
-def _solved(chunked: DataFrame, capacity: int, seed: int) -> DataFrame:
-    """pack_chunk and bins (32-bit, in the chunk's order of pack_uid): the best packing that any of its islands found."""
+def _solved(chunked: DataFrame, chunks: int, capacity: int, seed: int) -> DataFrame:
+    """pack_chunk and bins (32-bit, in the chunk's order of pack_uid): the best packing that any of its islands found.
+
+    Islands are few bytes and much work, so their tasks are counted by islands: adaptive execution would join them by bytes."""
     form = pa.schema([("pack_chunk", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("population", pa.list_(pa.binary()))])
 
     def start(t: pa.Table) -> pa.Table:
@@ -296,7 +300,7 @@ def _solved(chunked: DataFrame, capacity: int, seed: int) -> DataFrame:
 
     state = chunked.select("pack_chunk", "pack_uid", "length").groupBy("pack_chunk").applyInArrow(start, _STATE)
     for e in range(EPOCHS):
-        state = state.groupBy("pack_chunk", "island").applyInArrow(epoch(e), _STATE)
+        state = state.repartition(min(chunks * ISLANDS, ISLAND_TASKS), "pack_chunk", "island").groupBy("pack_chunk", "island").applyInArrow(epoch(e), _STATE)
     return state.groupBy("pack_chunk").applyInArrow(best, "pack_chunk long, bins binary")
 
 
@@ -344,7 +348,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_PIE
         chunked = left.withColumn("pack_chunk", F.pmod(F.xxhash64(F.lit(seed), F.lit(depth), "pack_uid"), F.lit(chunks)))
         schema = chunked.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).withColumn("pack_stays", F.lit(True)).schema
         place = _placer(depth, capacity, 0 if chunks == 1 else min(0.5, again))
-        packed = chunked.groupBy("pack_chunk").cogroup(_solved(chunked, capacity, seed + depth).groupBy("pack_chunk")).applyInArrow(place, schema)
+        packed = chunked.groupBy("pack_chunk").cogroup(_solved(chunked, chunks, capacity, seed + depth).groupBy("pack_chunk")).applyInArrow(place, schema)
         packed = materialize(packed, "pack-round")
         out = out.unionByName(packed.filter("pack_stays").select(*cols, "sequence_id", "offset"))
         left = packed.filter("NOT pack_stays").select(*cols, "pack_uid")
