@@ -69,52 +69,62 @@ def clearance(vertices: DataFrame, tilt: float, y_from: float) -> float | None:
     return scalars(vertices.filter(F.col("y") >= y_from), F.min(F.col("z") - tilt * (F.col("y") - y_from)))[0]
 
 
-def auditorium_profile(bounds, tilt: float, room: Room, lowest=lambda y_from: None) -> dict[str, float]:
-    """The levels and lines that an auditorium is built of. lowest(y): the base that clears all vertices from y on."""
-    p = {"xL": bounds["lo_x"], "xR": bounds["hi_x"], "yF": bounds["lo_y"], "yB": bounds["hi_y"], "zF": bounds["lo_z"], "zC": bounds["hi_z"]}
-    p["yS"] = min(p["yF"] + room.stage_depth, p["yB"])
-    p["yP"] = min(p["yF"] + room.stage_depth + room.flat_depth, p["yB"])
-    p["zST"] = p["zF"] + room.stage_height  # set before the floor may go down
-    run = p["yB"] - p["yP"]
-    p["zB"] = p["zF"] + tilt * run if run > 1e-6 else p["zF"]
-    if run > 1e-6 and (safe := lowest(p["yP"])) is not None and safe < p["zF"]:
-        p["zF"] = safe
-        p["zB"] = safe + tilt * run
-    if p["zB"] >= p["zC"]:
-        p["zC"] = p["zB"] + bounds["hi_z"] - bounds["lo_z"]
-    return p
-
-
-def auditorium_mesh(p: dict[str, float], close_stage_gap: bool = False) -> tuple[list[tuple[float, float, float]], list[tuple[int, int, int]]]:
-    """14 vertices and the inward faces of an auditorium (X05). Left vertices 0 to 6 run along the floor from the front, then the
-    ceiling back to the front; the right ones follow in the same order. Steps without height or depth have no faces.
-
-    With close_stage_gap, a floor without stage height also covers what would have been the stage, and the walls meet it."""
-    stage, flat = p["zST"] - p["zF"] > 1e-6, p["yP"] - p["yS"] > 1e-6
-    front = p["zST"] if stage else p["zF"]
-    line = [(p["yF"], front), (p["yS"], front), (p["yS"], p["zF"]), (p["yP"], p["zF"]), (p["yB"], p["zB"]), (p["yB"], p["zC"]), (p["yF"], p["zC"])]
-    vertices = [(x, y, z) for x in (p["xL"], p["xR"]) for y, z in line]
-    gap = close_stage_gap and not stage and p["yS"] - p["yF"] > 1e-6
-    floor = [0, *([1, 2] if stage else []), *([3] if flat or gap else []), 4]
-    left = [*floor, 5]
-    right = [*(v + 7 for v in reversed(floor)), 13]
-    faces = [(6, a, b) for a, b in zip(left, left[1:])] + [(12, a, b) for a, b in zip(right, right[1:])]
-
-    def strip(a: int, b: int, right_a: int | None = None) -> None:
-        """Two faces between a and b on the left and their fellows on the right."""
-        c, d = (a if right_a is None else right_a) + 7, b + 7
-        faces.extend([(a, c, d), (a, d, b)])
-
-    faces += [(6, 5, 12), (6, 12, 13), (0, 6, 13), (0, 13, 7)]  # ceiling, front
-    strip(4, 5)  # back wall
-    if stage:
-        strip(0, 1)
-        faces += [(9, 2, 1), (9, 1, 8)]
-    if gap:
-        strip(0, 3)
-    elif flat:
-        strip(2, 3)
-    strip(3, 4)
+def auditorium_section(bounds, tilt: float, room: Room, lowest=lambda y_from: None) -> list[tuple[float, float]]:
+    """The cross-section (y, z) of an auditorium, anticlockwise from the front of its floor: front and edge of the stage, its foot,
+    end of the flat floor, back of the floor, back and front of the ceiling. lowest(y): the base that clears all vertices from
+    y on; the floor goes down to it, the stage's top doesn't. The ceiling rises where the floor would reach it."""
+    front, back, base, top = (bounds[k] for k in ("lo_y", "hi_y", "lo_z", "hi_z"))
+    stage = base + room.stage_height
+    foot, bend = (min(front + d, back) for d in (room.stage_depth, room.stage_depth + room.flat_depth))
+    length = back - bend
+    if length <= 1e-6:
+        rise = 0.0
+    else:
+        rise, safe = tilt * length, lowest(bend)
+        base = base if safe is None else min(base, safe)
+    if base + rise >= top:
+        top += base + rise - bounds["lo_z"]
+    return [(front, stage), (foot, stage), (foot, base), (bend, base), (back, base + rise), (back, top), (front, top)]
+
+
+def triangles(polygon: list[tuple[float, float]], corners: list[int]) -> list[tuple[int, int, int]]:
+    """Triangles of a simple anticlockwise polygon, whose corners are places in ``polygon``, by cutting ears; flat ones come last."""
+    left, out = list(corners), []
+    at = polygon.__getitem__
+
+    def area(a: int, b: int, c: int) -> float:
+        (ax, ay), (bx, by), (cx, cy) = at(a), at(b), at(c)
+        return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+    def empty(t: tuple[int, int, int]) -> bool:
+        held = [k for k in left if at(k) not in map(at, t)]
+        return not any(area(t[0], t[1], k) >= 0 and area(t[1], t[2], k) >= 0 and area(t[2], t[0], k) >= 0 for k in held)
+
+    while len(left) > 2:
+        ears = [(left[n - 1], left[n], left[(n + 1) % len(left)]) for n in range(len(left))]
+        ear = next((t for t in ears if area(*t) > 1e-12 and empty(t)), None) or min(ears, key=lambda t: abs(area(*t)))
+        out.append(ear)
+        left.remove(ear[1])
+    return out
+
+
+def auditorium_mesh(section: list[tuple[float, float]], lo_x: float, hi_x: float, close_stage_gap: bool = False) -> tuple[list[tuple[float, float, float]], list[tuple[int, int, int]]]:
+    """14 vertices and the inward faces of an auditorium (X05): its section drawn from lo_x to hi_x. Vertex 2n is the section's point
+    n on the left, 2n + 1 on the right. Steps without height or depth have no faces.
+
+    Without stage height there is no floor where the stage would be, unless close_stage_gap, and then the walls meet it."""
+    stage, flat = section[0][1] - section[2][1] > 1e-6, section[3][0] - section[2][0] > 1e-6
+    gap = close_stage_gap and not stage and section[2][0] - section[0][0] > 1e-6
+    line = section if stage else [(section[0][0], section[2][1]), section[2], *section[2:]]
+    vertices = [(x, y, z) for y, z in line for x in (lo_x, hi_x)]
+    outline = [n for n, there in enumerate((True, stage, stage, flat or gap, True, True, True)) if there]
+    drawn = [(3, 4), (4, 5), (5, 6), (6, 0)]  # slope, back, ceiling, front
+    drawn += [(0, 1), (1, 2)] if stage else []
+    drawn += [(0, 3)] if gap else [(2, 3)] if flat else []
+    ends = triangles(line, outline)
+    faces = [(2 * a, 2 * b, 2 * c) for a, b, c in ends] + [(2 * c + 1, 2 * b + 1, 2 * a + 1) for a, b, c in ends]
+    for a, b in drawn:
+        faces += [(2 * a, 2 * a + 1, 2 * b + 1), (2 * a, 2 * b + 1, 2 * b)]
     return vertices, faces
 
 
@@ -161,8 +171,8 @@ def build_room(vertices: DataFrame, room: Room, positions: DataFrame | None = No
             tilt = math.tan(math.radians(room.floor_tilt_deg))
         else:
             tilt = slope(aligned(positions, room.rotation_deg, at), y_flat) if positions is not None else 0.0
-        p = auditorium_profile(b, tilt, room, lambda y: clearance(turned, tilt, y))
-        mesh = _frames(spark, *auditorium_mesh(p, room.close_stage_gap))
+        section = auditorium_section(b, tilt, room, lambda y: clearance(turned, tilt, y))
+        mesh = _frames(spark, *auditorium_mesh(section, b["lo_x"], b["hi_x"], room.close_stage_gap))
     elif room.vents:
         rectangles = vented_ceiling(b, vent_boxes(b, room.vents))
         base = [(b[f"{'hi' if n & 4 else 'lo'}_x"], b[f"{'hi' if n & 2 else 'lo'}_y"], b[f"{'hi' if n & 1 else 'lo'}_z"]) for n in range(8)]

@@ -291,7 +291,14 @@ def p12(s):
     return _round(edits.mannequins(meshes.boxes(box)[0], chairs, offset=(0.0, 0.05, 0.02)), "x", "y", "z", places=4)
 
 
-@query("g08_occupied_chairs")
+# Of an order whose last place takes a drawn chair, that chair leaves and the last one comes where it was: the same shuffle.
+@query("g08_occupied_chairs", with_views("objects", recursive=True, query="").rstrip() + """,
+numbered AS (SELECT object_id AS mesh_id, row_number() OVER (ORDER BY object_id) - 1 AS number FROM objects),
+draws AS (SELECT count(*) - 1 AS last, 42::BIGINT AS state, range(count(*)) AS chairs, NULL::BIGINT AS place, NULL::BIGINT AS chair FROM numbered
+    UNION ALL SELECT last - 1, drawn, CASE WHEN k = last THEN chairs[1:last] ELSE list_concat(list_concat(chairs[1:k], [chairs[last + 1]]), chairs[k + 2:last]) END, last, chairs[k + 1]
+    FROM (SELECT *, floor(drawn / 4294967296::DOUBLE * (last + 1))::BIGINT AS k FROM (SELECT *, (state * 1664525 + 1013904223) % 4294967296 AS drawn FROM draws WHERE last > 0))),
+places AS (SELECT place, chair FROM draws WHERE place IS NOT NULL UNION ALL SELECT 0, chairs[1] FROM draws WHERE last = 0)
+SELECT mesh_id, number::INTEGER AS number FROM numbered WHERE number IN (SELECT chair FROM places WHERE place < (SELECT round_even(count(*) * 30 / 100, 0) FROM objects))""")
 def g08(s):
     return edits.occupied_chairs(s.objects().select(F.col("object_id").alias("mesh_id")), 30, 42)
 
@@ -328,6 +335,20 @@ def x05(s):
     return meshes.quality(*mesh).select("mesh_id", "vertices", "faces", "boundary_edges", "is_watertight")
 
 
+@query("x05_vertices", with_views("objects", query="").rstrip() + ",\n" + BOX + """,
+b AS (SELECT min(x) - 0.1::DOUBLE AS x0, max(x) + 0.1::DOUBLE AS x1, min(y) - 0.1::DOUBLE AS y0, max(y) + 0.1::DOUBLE AS y1, min(z) AS z0, max(z) + 0.5::DOUBLE AS z1, least(y0 + 3, y1) AS bend FROM bv),
+t AS (SELECT coalesce(regr_slope((lo_z + hi_z) / 2, (lo_y + hi_y) / 2), 0) AS tilt FROM objects, b WHERE (lo_y + hi_y) / 2 >= bend),
+low AS (SELECT min(z - tilt * (y - bend)) AS safe FROM bv, b, t WHERE y >= bend),
+f AS (SELECT b.*, least(z0, safe) AS base, least(z0, safe) + tilt * (y1 - bend) AS rear FROM b, t, low),
+line AS (SELECT x0, x1, unnest([{'n': 0, 'y': y0, 'z': z0 + 0.05}, {'n': 1, 'y': y0 + 1, 'z': z0 + 0.05}, {'n': 2, 'y': y0 + 1, 'z': base}, {'n': 3, 'y': bend, 'z': base}, {'n': 4, 'y': y1, 'z': rear},
+    {'n': 5, 'y': y1, 'z': CASE WHEN rear >= z1 THEN rear + z1 - z0 ELSE z1 END}, {'n': 6, 'y': y0, 'z': CASE WHEN rear >= z1 THEN rear + z1 - z0 ELSE z1 END}]) AS p FROM f)
+SELECT (2 * p.n + side)::INTEGER AS vid, round(CASE side WHEN 0 THEN x0 ELSE x1 END, 4) + 0 AS x, round(p.y, 4) + 0 AS y, round(p.z, 4) + 0 AS z FROM line, (SELECT unnest([0, 1]) AS side)""")
+def x05_vertices(s):
+    v, _ = _object_boxes(s)
+    mesh = rooms.build_room(v, rooms.Room(floor_type="auditorium", stage_depth=1.0, flat_depth=2.0), s.objects().select(*[objects.centre(c).alias(c) for c in "xyz"]))
+    return _round(mesh[0].select("vid", "x", "y", "z"), "x", "y", "z", places=4)
+
+
 @query("u05_vents", with_views("objects", query="SELECT round((max(hi_x) - min(lo_x) + 0.2) * (max(hi_y) - min(lo_y) + 0.2) - 0.5 * 0.4 - 0.6 * 0.3, 4) AS ceiling_area FROM objects"))
 def u05(s):
     vents = ({"type": "inlet", "size": (0.5, 0.4)}, {"type": "outlet", "size": (0.6, 0.3)})
@@ -338,7 +359,12 @@ def u05(s):
     return t.crossJoin(F.broadcast(top)).filter("az = top AND bz = top AND cz = top").agg(F.round(F.sum(area), 4).alias("ceiling_area"))
 
 
-@query("k12_room_log")
+_PADDED = {"scene": ("min({0})", "max({0})", "min(z)", "max(z)"), "room": ("min({0}) - 0.1::DOUBLE", "max({0}) + 0.1::DOUBLE", "min(z)", "max(z) + 0.5::DOUBLE")}
+_LOGGED = [(n, c, *(e.format(c) for e in (_PADDED[n][2:] if c == "z" else _PADDED[n][:2]))) for n in _PADDED for c in "xyz"]
+
+
+@query("k12_room_log", with_views("objects", query="").rstrip() + ",\n" + BOX + " SELECT " + ", ".join(f"round({a}, 4) AS {n}_min_{c}, round({b}, 4) AS {n}_max_{c}, round(({b}) - ({a}), 4) AS {n}_size_{c}" for n, c, a, b in _LOGGED)
+    + ", count(*) AS scene_vertices, 8::BIGINT AS room_vertices, 12::BIGINT AS faces, true AS watertight, 0::BIGINT AS boundary_edges FROM bv")
 def k12(s):
     v, _ = _object_boxes(s)
     mesh = rooms.build_room(v, rooms.Room())

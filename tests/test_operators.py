@@ -130,14 +130,37 @@ def test_box_and_table_meshes(spark):
 
 @pytest.mark.parametrize("stage,flat,n_faces,open_,merged", [(1, 1, 24, 0, 0), (1, 0, 20, 6, 0), (0, 1, 16, 6, 6), (0, 0, 12, 6, 6)])
 def test_auditorium_cases(spark, stage, flat, n_faces, open_, merged):
-    p = rooms.auditorium_profile({"lo_x": 0.0, "lo_y": 0.0, "lo_z": 0.0, "hi_x": 4.0, "hi_y": 6.0, "hi_z": 3.0}, 0.1, rooms.Room(stage_depth=1.0, stage_height=0.5 * stage, flat_depth=1.0 * flat))
-    v, f = rooms._frames(spark, *rooms.auditorium_mesh(p))
+    section = rooms.auditorium_section({"lo_x": 0.0, "lo_y": 0.0, "lo_z": 0.0, "hi_x": 4.0, "hi_y": 6.0, "hi_z": 3.0}, 0.1, rooms.Room(stage_depth=1.0, stage_height=0.5 * stage, flat_depth=1.0 * flat))
+    v, f = rooms._frames(spark, *rooms.auditorium_mesh(section, 0.0, 4.0))
     assert (v.count(), f.count()) == (14, n_faces)
     assert meshes.quality(v, f).first().boundary_edges == open_
     assert meshes.quality(*meshes.merge_vertices(v, f)).first().boundary_edges == merged
-    if not stage:
-        v, f = rooms._frames(spark, *rooms.auditorium_mesh(p, close_stage_gap=True))
-        assert meshes.quality(*meshes.merge_vertices(v, f)).first().boundary_edges == 0
+    # What is inside: the box, less the stage and the wedge below the slope.
+    slope = 6.0 - 1.0 - flat
+    inside = 4 * (6 * 3 - 0.5 * stage - 0.1 * slope**2 / 2)
+    if stage:
+        q = meshes.quality(*meshes.merge_vertices(v, f)).first()
+        assert q.is_watertight and abs(-q.volume - inside) < 1e-9
+    else:
+        v, f = rooms._frames(spark, *rooms.auditorium_mesh(section, 0.0, 4.0, close_stage_gap=True))
+        q = meshes.quality(*meshes.merge_vertices(v, f)).first()
+        assert q.boundary_edges == 0 and abs(-q.volume - inside) < 1e-9
+
+
+def test_ears_of_a_polygon():
+    shape = [(0.0, 2.0), (1.0, 2.0), (1.0, 0.0), (3.0, 0.0), (6.0, 0.0), (6.0, 5.0), (0.0, 5.0)]
+    found = rooms.triangles(shape, list(range(7)))
+    area = lambda t: sum(shape[t[n]][0] * shape[t[n - 2]][1] - shape[t[n]][1] * shape[t[n - 2]][0] for n in range(3)) / 2
+    assert len(found) == 5 and all(area(t) >= 0 for t in found) and abs(sum(map(area, found)) - 28.0) < 1e-12
+    assert len(rooms.triangles([(0.0, 0.0), (1.0, 0.0), (1.0, 0.0), (1.0, 1.0)], [0, 1, 2, 3])) == 2  # repeated corners
+
+
+def test_auditorium_ceiling_rises_over_a_steep_floor():
+    bounds = {"lo_x": 0.0, "lo_y": 0.0, "lo_z": 1.0, "hi_x": 4.0, "hi_y": 6.0, "hi_z": 3.0}
+    section = rooms.auditorium_section(bounds, 1.0, rooms.Room(stage_depth=1.0, flat_depth=1.0))
+    assert section[4] == (6.0, 5.0) and section[5] == (6.0, 7.0)
+    section = rooms.auditorium_section(bounds, 0.1, rooms.Room(stage_depth=1.0, flat_depth=1.0, stage_height=0.5), lambda y: 0.25 if y == 2.0 else None)
+    assert section[0] == (0.0, 1.5) and section[2] == (1.0, 0.25)
 
 
 def test_rooms(spark):
