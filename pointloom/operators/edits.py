@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from pointloom.plans.scratch import materialize
 
-from .meshes import turn
+from .meshes import boxes, stand, table_parts, turn
 
-DIMENSIONS = ("width", "depth", "height", "tabletop_thickness", "leg_width", "leg_inset")
+# A table's dimensions where an edit gives none.
+TABLE = {"width": 1.0, "depth": 0.6, "height": 0.75, "tabletop_thickness": 0.03, "leg_width": 0.05, "leg_inset": 0.02}
+DIMENSIONS = tuple(TABLE)
 
 
 def split_edits(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +70,31 @@ def rebuild(vertices: DataFrame, edits: DataFrame, originals: DataFrame) -> Data
     return edited_vertices(left, deltas)
 
 
+def moves(edited: DataFrame, originals: DataFrame) -> DataFrame:
+    """Of each edited placement with an original (columns of logs; both by source): mesh_id, how far its mesh is turned (degrees) and
+    moved (dx, dy, dz), where its original stands (place_*, angle), its new dimensions, and resized: whether it is a table whose
+    dimensions changed. What an edit leaves null stays; edits of no original drop out; of a source's rows the last counts."""
+    last = lambda df: df.groupBy("source").agg(F.max_by(F.struct("position", "rotation_degrees", "dimensions", *[c for c in df.columns if c == "mode"]), "object_id").alias("own"))
+    old = last(originals).select("source", F.coalesce("own.position", F.array(*[F.lit(0.0)] * 3)).alias("at"), F.coalesce("own.rotation_degrees", F.lit(0.0)).alias("angle"), F.col("own.dimensions").alias("had"))
+    both = last(edited).select("source", "own.*").join(old, "source")
+    made = (F.col("mode") == "procedural") & (F.size("dimensions") > 0)
+    shift = [(F.coalesce(F.col("position")[n], F.col("at")[n]) - F.col("at")[n]).alias(f"d{c}") for n, c in enumerate("xyz")]
+    return both.select(F.col("source").alias("mesh_id"), *shift, (F.coalesce("rotation_degrees", "angle") - F.col("angle")).alias("turn"), "angle", *[F.col("at")[n].alias(f"place_{c}") for n, c in enumerate("xyz")], "dimensions", F.coalesce(made & dimensions_changed(F.col("dimensions"), F.col("had")), F.lit(False)).alias("resized"))
+
+
+def rebuild_placed(vertices: DataFrame, faces: DataFrame, edited: DataFrame, originals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A category's meshes (mesh_id: source) after an editor's log (E02): only placements of the edited log stay, tables of changed
+    dimensions are made anew where the original stood (F19), then all are turned and moved (P14)."""
+    rows = moves(edited, originals)
+    there = vertices.select("mesh_id").distinct()
+    tables = rows.filter("resized").join(there, "mesh_id", "left_semi")
+    new_v, new_f = boxes(table_parts(tables.select("mesh_id", *[F.coalesce(F.col("dimensions")[k], F.lit(d)).alias(k) for k, d in TABLE.items()]), *map(F.col, DIMENSIONS[3:])))
+    new_v = stand(new_v, tables.select("mesh_id", "angle", *[f"place_{c}" for c in "xyz"]))
+    same = rows.filter("NOT resized").select("mesh_id")
+    kept = lambda df, new: df.join(same, "mesh_id", "left_semi").select(*new.columns).unionByName(new)
+    return edited_vertices(kept(vertices, new_v), rows.select("mesh_id", "dx", "dy", "dz", "turn")), kept(faces, new_f)
+
+
 def occupied(n: int, percent: float, seed: int) -> set[int]:
     """Which of n chairs are taken (G08): a shuffle by a 32-bit linear congruential generator, from the last place down, then the
     first of the order. Sequential by definition, so it runs on the driver, over numbers of chairs only."""

@@ -29,16 +29,16 @@ def boxes(df: DataFrame, key: str = "mesh_id", inward: bool = False) -> tuple[Da
     return vertices, faces
 
 
-def table_parts(df: DataFrame, thickness: float = 0.03, leg: float = 0.05, inset: float = 0.02) -> DataFrame:
+def table_parts(df: DataFrame, thickness: float | Column = 0.03, leg: float | Column = 0.05, inset: float | Column = 0.02) -> DataFrame:
     """mesh_id, part and box of each table's top and legs, from mesh_id, width, depth, height; centred, standing on z = 0.
 
     Legs only where the height leaves room under the top; they never cross the middle."""
-    half = lambda c: F.col(c) / 2
-    off = lambda c: F.greatest(F.lit(0.0), half(c) - leg / 2 - inset)
+    half, foot = (lambda c: F.col(c) / 2), F.lit(leg) / 2
+    off = lambda c: F.greatest(F.lit(0.0), half(c) - foot - inset)
     box = lambda n, cx, cy, hx, hy, z0, z1: F.struct(F.lit(n).alias("part"), (cx - hx).alias("lo_x"), (cy - hy).alias("lo_y"), z0.alias("lo_z"), (cx + hx).alias("hi_x"), (cy + hy).alias("hi_y"), z1.alias("hi_z"))
     zero, under = F.lit(0.0), F.col("height") - thickness
     top = box(0, zero, zero, half("width"), half("depth"), under, F.col("height"))
-    legs = [box(n + 1, sx * off("width"), sy * off("depth"), F.lit(leg / 2), F.lit(leg / 2), zero, under) for n, (sx, sy) in enumerate(((1, 1), (-1, 1), (1, -1), (-1, -1)))]
+    legs = [box(n + 1, sx * off("width"), sy * off("depth"), foot, foot, zero, under) for n, (sx, sy) in enumerate(((1, 1), (-1, 1), (1, -1), (-1, -1)))]
     parts = F.when(under > 0, F.array(top, *legs)).otherwise(F.array(top))
     return df.select("mesh_id", F.inline(parts))
 
@@ -111,6 +111,12 @@ def place(template: DataFrame, where: DataFrame) -> DataFrame:
     return both.select("mesh_id", "vid", (x * F.cos("r") - y * F.sin("r") + F.col("place_x")).alias("x"), (x * F.sin("r") + y * F.cos("r") + F.col("place_y")).alias("y"), (z + F.col("place_z")).alias("z"))
 
 
+def stand(vertices: DataFrame, where: DataFrame) -> DataFrame:
+    """Each mesh's own vertices where it has a place (mesh_id, place_*, angle in degrees): turned about the vertical axis, moved."""
+    spun = turn(vertices, F.radians("angle"), (F.lit(0.0), F.lit(0.0))) | {"z": F.col("z")}
+    return vertices.join(where, "mesh_id").select("mesh_id", "vid", *[(spun[c] + F.col(f"place_{c}")).alias(c) for c in "xyz"])
+
+
 def concatenate(meshes: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Union of meshes; (mesh_id, vid) stays the key."""
     return tuple(reduce(DataFrame.unionByName, parts) for parts in zip(*meshes))

@@ -58,7 +58,7 @@ def template(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def table_stl(spark: SparkSession, dimensions: dict[str, float]) -> str:
     """A procedural table as ASCII STL."""
-    d = {"width": 1.0, "depth": 0.6, "height": 0.75, "tabletop_thickness": 0.03, "leg_width": 0.05, "leg_inset": 0.02} | dimensions
+    d = edits.TABLE | dimensions
     one = spark.createDataFrame([("table", float(d["width"]), float(d["depth"]), float(d["height"]))], "mesh_id string, width double, depth double, height double")
     v, f = meshes.boxes(meshes.table_parts(one, d["tabletop_thickness"], d["leg_width"], d["leg_inset"]))
     facets = stl.text_stl(meshes.corners(v, f)).orderBy("fid").collect()  # at most 60

@@ -282,6 +282,32 @@ def e02(s):
     return _round(edits.rebuild(v, one, s.objects()), "x", "y", "z", places=4)
 
 
+@query("e02_rebuild_full", with_views("objects", "edits", query="").rstrip() + ",\n" + CUBE + f""", one AS ({ONE_EDIT}),
+t AS (SELECT o.source, size_x + CASE WHEN edit_id % 3 = 0 THEN 0.2::DOUBLE ELSE 0::DOUBLE END AS width, size_y AS depth, size_z AS height, (lo_x + hi_x) / 2 AS px, (lo_y + hi_y) / 2 AS py, lo_z AS pz,
+    radians(object_id % 3 * 30) AS a, radians(coalesce(turn, 0)) AS r, coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy, coalesce(dz, 0) AS dz FROM objects o LEFT JOIN one ON one.source = o.source WHERE NOT coalesce(deleted, false)),
+sides AS (SELECT *, CASE WHEN part = 0 THEN 0 WHEN part IN (1, 3) THEN 1 ELSE -1 END * greatest(0, width / 2 - 0.045::DOUBLE) AS cx, CASE WHEN part = 0 THEN 0 WHEN part IN (1, 2) THEN 1 ELSE -1 END * greatest(0, depth / 2 - 0.045::DOUBLE) AS cy,
+    CASE part WHEN 0 THEN width / 2 ELSE 0.025::DOUBLE END AS hx, CASE part WHEN 0 THEN depth / 2 ELSE 0.025::DOUBLE END AS hy FROM (SELECT *, unnest(range(5)) AS part FROM t)),
+tv AS (SELECT *, part * 8 + k AS vid, CASE WHEN k & 4 <> 0 THEN cx + hx ELSE cx - hx END AS x, CASE WHEN k & 2 <> 0 THEN cy + hy ELSE cy - hy END AS y,
+    CASE WHEN (k & 1 <> 0) = (part = 0) THEN CASE part WHEN 0 THEN height ELSE 0 END ELSE height - 0.03::DOUBLE END AS z FROM sides, corner),
+stood AS (SELECT * REPLACE (x * cos(a) - y * sin(a) + px AS x, x * sin(a) + y * cos(a) + py AS y, z + pz AS z) FROM tv),
+mids AS (SELECT source, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM stood GROUP BY 1)
+SELECT source AS mesh_id, vid::INTEGER AS vid, round((x - mx) * cos(r) - (y - my) * sin(r) + mx + dx, 4) + 0 AS x, round((x - mx) * sin(r) + (y - my) * cos(r) + my + dy, 4) + 0 AS y, round(z + dz, 4) + 0 AS z FROM stood JOIN mids USING (source)""")
+def e02_full(s):
+    from pyspark.sql import Window as W
+
+    one = s.edits().withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("edit_id"))).filter("nth = 1").drop("nth")
+    dims = lambda width: F.create_map(F.lit("width"), width, F.lit("depth"), F.col("size_y"), F.lit("height"), F.col("size_z"))
+    at = [objects.centre("x"), objects.centre("y"), F.col("lo_z")]
+    was = s.objects().select("object_id", "source", "size_x", "size_y", "size_z", F.array(*at).alias("position"), (F.col("object_id") % 3 * 30.0).alias("rotation_degrees"), dims(F.col("size_x")).alias("dimensions"))
+    v, f = meshes.boxes(meshes.table_parts(was.select(F.col("source").alias("mesh_id"), F.col("size_x").alias("width"), F.col("size_y").alias("depth"), F.col("size_z").alias("height"))))
+    v = meshes.stand(v, was.select(F.col("source").alias("mesh_id"), F.col("rotation_degrees").alias("angle"), *[F.col("position")[n].alias(f"place_{c}") for n, c in enumerate("xyz")]))
+    wide = F.col("size_x") + F.when(F.col("edit_id") % 3 == 0, 0.2).otherwise(0.0)
+    moved = F.array(*[F.col("position")[n] + F.coalesce(f"d{c}", F.lit(0.0)) for n, c in enumerate("xyz")])
+    now = was.join(one, "source", "full").filter(~F.coalesce("deleted", F.lit(False)))  # edits of no object come too, and drop out
+    now = now.select(F.coalesce("object_id", F.lit(0)).alias("object_id"), "source", moved.alias("position"), (F.col("rotation_degrees") + F.coalesce("turn", F.lit(0.0))).alias("rotation_degrees"), dims(wide).alias("dimensions"), F.lit("procedural").alias("mode"))
+    return _round(edits.rebuild_placed(v, f, now, was)[0], "x", "y", "z", places=4)
+
+
 @query("p12_mannequins", with_views("objects", query="""SELECT source AS mesh_id, k::INTEGER AS vid,
     round(-(CASE WHEN k & 2 <> 0 THEN 0.1 ELSE -0.1 END * size_z / 1.5 + 0.05) + (lo_x + hi_x) / 2, 4) + 0 AS x, round(CASE WHEN k & 4 <> 0 THEN 0.2 ELSE -0.2 END * size_z / 1.5 + (lo_y + hi_y) / 2, 4) + 0 AS y,
     round(CASE WHEN k & 1 <> 0 THEN 0.75 ELSE -0.75 END * size_z / 1.5 + 0.02 + (lo_z + hi_z) / 2, 4) + 0 AS z FROM objects, (SELECT unnest(range(8)) AS k)"""))

@@ -131,9 +131,7 @@ class Run:
         dims = dims.select(F.col("source").alias("mesh_id"), "angle", (F.col("width") * scale).alias("width"), (F.col("depth") * scale).alias("depth"), F.lit(float(own.get("table_height", 0.75))).alias("height"))
         v, f = meshes.boxes(PROCEDURAL[category](dims))
         where = placed.crossJoin(F.broadcast(floor)).select(F.col("source").alias("mesh_id"), "point_count", "footprint", objects.centre("x").alias("place_x"), objects.centre("y").alias("place_y"), (F.col("floor_z") + own.get("z_offset", 0.0)).alias("place_z")).join(dims.select("mesh_id", "angle"), "mesh_id")
-        r = F.radians("angle")
-        v = v.join(where, "mesh_id").select("mesh_id", "vid", (F.col("x") * F.cos(r) - F.col("y") * F.sin(r) + F.col("place_x")).alias("x"), (F.col("x") * F.sin(r) + F.col("y") * F.cos(r) + F.col("place_y")).alias("y"), (F.col("z") + F.col("place_z")).alias("z"))
-        return v, f, where
+        return meshes.stand(v, where), f, where.join(dims.drop("angle"), "mesh_id")
 
     def _template(self, own, points, found):
         path = f"{self.config.root}/{self.config.tree.get('paths', {}).get('stl_templates', 'stl_templates')}/{own['stl_file']}"
