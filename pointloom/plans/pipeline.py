@@ -7,26 +7,28 @@ run one after the other; within a step all is one plan. A failing step ends the
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.operators import healing, icp, meshes, objects, projection, rooms, visibility, voxels
-from pointloom.operators.edits import mannequins, occupied_chairs
-from pointloom.sources import cameras, clouds, masks, stl
-from pointloom.sources.files import exists, state
+from pointloom.operators import edits, healing, icp, meshes, objects, projection, rooms, visibility, voxels
+from pointloom.sources import cameras, clouds, logs, masks, stl
+from pointloom.sources.files import exists, read_text, state
 
+from . import editor
 from .config import Config
 
-CATEGORY_STEPS, SCENE_STEPS = ("2", "2b", "3", "4"), ("combine", "5")
+#: "4b" is done only when asked for: without an editor's changes it has nothing to do.
+CATEGORY_STEPS, SCENE_STEPS = ("2", "2b", "3", "4"), ("combine", "4b", "5")
 #: Generators of meshes by category; other categories need a template.
 PROCEDURAL: dict[str, Callable[[DataFrame], DataFrame]] = {"table": meshes.table_parts}
 
 
 def planned(steps: Iterable[str]) -> tuple[list[str], list[str]]:
     """Steps for each category, then for the scene; placement is followed by combination."""
-    asked = set(steps) if "all" not in steps else {*CATEGORY_STEPS, *SCENE_STEPS}
+    asked = set(steps) if "all" not in steps else {*CATEGORY_STEPS, *SCENE_STEPS} - {"4b"} | {*steps} - {"all"}
     if unknown := asked - {*CATEGORY_STEPS, *SCENE_STEPS}:
         raise ValueError(f"no step {sorted(unknown)}")
     return [s for s in CATEGORY_STEPS if s in asked], [s for s in SCENE_STEPS if s in asked or s == "combine" and "4" in asked]
@@ -110,16 +112,31 @@ class Run:
         v, f = self.read(category, "vertices"), self.read(category, "faces")
         self.write(meshes.quality(v, f), category, "mesh_quality")
         stl.write_stl(meshes.corners(v, f), self.path(category, "individual"))
+        made = ("width", "depth", "height", "tabletop_thickness", "leg_width", "leg_inset")
+        known = [c for c in ("classification", "point_count", "footprint") if c in where.columns]
+        fixed = {k: F.lit(edits.TABLE[k]) for k in made[3:]}
+        sizes = [F.struct(*[fixed.get(k, F.col(k)).alias(k) for k in made]).alias("dimensions")] if mode == "procedural" else []
+        placed = self.read(category, "placements").withColumn("position", F.array(*[f"place_{c}" for c in "xyz"]))
+        placed = placed.select(F.col("mesh_id").alias("object_id"), F.col("mesh_id").alias("source"), "position", F.col("angle").alias("rotation_degrees"), *known, F.lit(mode).alias("mode"), *sizes)
+        logs.write_log(placed, f"{self.dir}/{category}", category, mode)
         m = own.get("mannequin", {})
         if m.get("enabled", False):
-            chairs = objects.bounds(self.read(category, "vertices"), "mesh_id").join(self.read(category, "placements").select("mesh_id", "angle"), "mesh_id")
-            taken = occupied_chairs(chairs, m.get("occupancy_pct", 100), m.get("occupancy_seed", 42))
-            tv, tf = stl.indexed(stl.read_stl(self.spark, f"{self.config.root}/{self.config.tree.get('paths', {}).get('stl_templates', 'stl_templates')}/{m['stl_file']}"))
-            for axis, degrees in zip(((1, 0, 0), (0, 1, 0), (0, 0, 1)), m.get("pre_rotation", (0, 0, 0))):
-                if abs(degrees) > 1e-6:
-                    tv = projection.transform(tv, projection.rotation_matrix(axis, degrees))
-            self.write(mannequins(tv, taken, m.get("scale_factor", 1.0), tuple(m.get("position_offset", (0, 0, 0)))), category, "mannequin_vertices")
-            self.write(taken.select("mesh_id").crossJoin(tf.drop("mesh_id")), category, "mannequin_faces")
+            angles = self.read(category, "placements").select("mesh_id", "angle")
+            self._mannequins(category, "mannequin", m, self.read(category, "vertices"), angles, {})
+
+    def _mannequins(self, category: str, name: str, m: dict, v: DataFrame, angles: DataFrame, adjusted: dict) -> None:
+        """Mannequins on a category's meshes by its settings, and an editor's adjustments of them."""
+        tv, tf = stl.indexed(stl.read_stl(self.spark, f"{self.templates()}/{m['stl_file']}"))
+        for axis, degrees in zip(((1, 0, 0), (0, 1, 0), (0, 0, 1)), m.get("pre_rotation", (0, 0, 0))):
+            if abs(degrees) > 1e-6:
+                tv = projection.transform(tv, projection.rotation_matrix(axis, degrees))
+        chairs = objects.bounds(v, "mesh_id").join(angles, "mesh_id")
+        adjusted = {k: m[k] for k in ("occupancy_pct", "occupancy_seed") if k in m} | adjusted
+        people = self.write(editor.regenerated_mannequins(tv, chairs, m, adjusted), category, f"{name}_vertices")
+        self.write(people.select("mesh_id").distinct().crossJoin(tf.drop("mesh_id")), category, f"{name}_faces")
+
+    def templates(self) -> str:
+        return f"{self.config.root}/{self.config.tree.get('paths', {}).get('stl_templates', 'stl_templates')}"
 
     def _procedural(self, category, own, points, found):
         if category not in PROCEDURAL:
@@ -134,8 +151,7 @@ class Run:
         return meshes.stand(v, where), f, where.join(dims.drop("angle"), "mesh_id")
 
     def _template(self, own, points, found):
-        path = f"{self.config.root}/{self.config.tree.get('paths', {}).get('stl_templates', 'stl_templates')}/{own['stl_file']}"
-        tv, tf = stl.indexed(stl.read_stl(self.spark, path))
+        tv, tf = stl.indexed(stl.read_stl(self.spark, f"{self.templates()}/{own['stl_file']}"))
         placed = objects.enough_points(found, own.get("min_points", 50))
         mid = meshes.centroid(tv, tf)
         fit = objects.template_fit(mid, objects.reference_size(placed), own.get("scale_adjustment", 1.0)).first()
@@ -189,6 +205,55 @@ class Run:
         quality = meshes.quality(self.read("scene", "furniture_vertices"), self.read("scene", "furniture_faces"))
         self.write(quality, "scene", "watertight_log")
 
+    def edit(self) -> None:
+        """Furniture and mannequins after what an editor saved in the run's folder (E02, step 4b); combined anew from the tables of
+        placement, so edits never add up. Categories without an edited log stay as they are."""
+        tag = lambda df, before, after="": df.withColumn("mesh_id", F.concat(F.lit(before), "mesh_id", F.lit(after)))
+        furniture, people, adjusted = [], [], logs.load_adjustments(self.spark, self.dir)
+        for c in self.config.enabled():
+            if not exists(self.spark, self.path(c, "vertices")):
+                continue
+            v, f = self.read(c, "vertices"), self.read(c, "faces")
+            was, now = (logs.read_log(self.spark, f"{self.dir}/{c}", (n,)) for n in ("scene_log.json", "scene_log_edited.json"))
+            if now is not None:
+                v, f = (self.write(df, c, f"edited_{n}") for df, n in zip(edits.rebuild_placed(v, f, now, was), ("vertices", "faces")))
+                stl.write_stl(meshes.corners(v, f), self.path(c, "individual_edited"))
+            furniture.append((tag(v, f"{c}/"), tag(f, f"{c}/")))
+            m = self.config.category(c).get("placement", {}).get("mannequin", {})
+            if m.get("enabled", False):
+                angles = (was if now is None else now).select(F.col("source").alias("mesh_id"), F.coalesce("rotation_degrees", F.lit(0.0)).alias("angle"))
+                self._mannequins(c, "edited_mannequin", m, v, angles, adjusted)
+                people.append(tuple(tag(self.read(c, f"edited_mannequin_{n}"), f"{c}/", "/mannequin") for n in ("vertices", "faces")))
+        furniture += self._added()
+        if not furniture:
+            return
+        own = [df.select("mesh_id", *names) for df, names in zip(meshes.concatenate(furniture), (("vid", "x", "y", "z"), ("fid", "a", "b", "c")))]
+        both = self.write(own[0], "scene", "furniture_edited_vertices"), self.write(own[1], "scene", "furniture_edited_faces")
+        self.export("furniture_edited", *both)
+        if people:
+            self.export("furniture_edited_with_mannequins", *meshes.concatenate([both, *people]))
+
+    def _added(self) -> list[tuple[DataFrame, DataFrame]]:
+        """Meshes of objects and tables that an editor added and didn't delete."""
+        kept = lambda name: [(n, o) for n, o in enumerate(self._saved(name), 1) if not o.get("deleted", False)]
+        out = []
+        for n, o in kept("added_objects"):
+            own, name = o.get("individual_stl_path"), f"added_{n:03d}_{editor.object_name(o)}"
+            v, f = stl.indexed(stl.read_stl(self.spark, f"{self.dir}/{own}" if own else f"{self.templates()}/{o['template_file']}"))
+            v = editor.added_object(v, tuple(o.get("position", (0.0, 0.0, 0.0))), o.get("scale", 1.0), o.get("rotation_degrees", 0.0))
+            out.append(tuple(df.withColumn("mesh_id", F.lit(name)) for df in (v, f)))
+        if tables := kept("added_procedural_objects"):
+            numbers = lambda o: [*(edits.TABLE | o.get("dimensions", {})).values(), o.get("rotation_degrees", 0.0), *o.get("position", (0.0, 0.0, 0.0))]
+            columns = [*edits.TABLE, "angle", "place_x", "place_y", "place_z"]
+            rows = self.spark.createDataFrame([(f"added_procedural_{n:03d}_table", *map(float, numbers(o))) for n, o in tables], "mesh_id string, " + ", ".join(f"{c} double" for c in columns))
+            v, f = meshes.boxes(meshes.table_parts(rows, *map(F.col, edits.DIMENSIONS[3:])))
+            out.append((meshes.stand(v, rows.select("mesh_id", *columns[-4:])), f))
+        return out
+
+    def _saved(self, name: str) -> list[dict]:
+        path = f"{self.dir}/{name}.json"
+        return json.loads(read_text(self.spark, path)) if exists(self.spark, path) else []
+
     def scene_mesh(self, name: str) -> tuple[DataFrame, DataFrame]:
         return self.read("scene", f"{name}_vertices"), self.read("scene", f"{name}_faces")
 
@@ -218,4 +283,4 @@ class Run:
             for step in each:
                 do[step](category)
         for step in scene:
-            {"combine": self.combine, "5": self.enclose}[step]()
+            {"combine": self.combine, "4b": self.edit, "5": self.enclose}[step]()

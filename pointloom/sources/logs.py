@@ -11,9 +11,9 @@ PLACEMENT = "struct<source:string, position:array<double>, rotation_degrees:doub
 LOG = f"category string, mode string, stats map<string,double>, placements array<{PLACEMENT}>, deleted array<{PLACEMENT}>"
 
 
-def read_log(spark: SparkSession, folder: str) -> DataFrame | None:
+def read_log(spark: SparkSession, folder: str, names: tuple[str, ...] = ("scene_log_edited.json", "scene_log.json")) -> DataFrame | None:
     """Placements of a category's log, the edited one if there is one (S15); None where there is no log."""
-    for name in ("scene_log_edited.json", "scene_log.json"):
+    for name in names:
         if exists(spark, f"{folder}/{name}"):
             log = spark.read.json(f"{folder}/{name}", schema=LOG, multiLine=True)
             return log.select("category", "mode", F.posexplode("placements").alias("nth", "p")).select("category", F.col("nth").cast("long").alias("object_id"), "p.*")

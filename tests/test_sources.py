@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom.operators import objects
+from pointloom.plans import editor
 from pointloom.plans.config import Config
 from pointloom.plans.pipeline import Run, planned
 from pointloom.sources import cameras, clouds, files, logs, masks, stl
@@ -140,10 +142,34 @@ def test_config(spark, tmp_path):
     with pytest.raises(ValueError):
         c.category("sofa")
     assert planned(["2", "4"]) == (["2", "4"], ["combine"])
+    assert planned(["all"])[1] == ["combine", "5"] and planned(["4b"]) == ([], ["4b"])
     with pytest.raises(ValueError):
         planned(["9"])
 
 
+def edit_run(spark, run, tmp_path):
+    """One table wider and moved, one deleted, one added, and a library object; then again, with nothing added up."""
+    placed = sorted(json.loads(files.read_text(spark, f"{run.dir}/table/scene_log.json"))["placements"], key=lambda p: p["position"][0])
+    stays, goes = placed
+    (tmp_path / "stl_templates").mkdir()
+    (tmp_path / "stl_templates" / "box.stl").write_text(editor.table_stl(spark, {"width": 1.0, "depth": 0.6, "height": 0.02}))
+    was = objects.bounds(run.read("table", "vertices"), "mesh_id").filter(F.col("mesh_id") == stays["source"]).first()
+    moved = stays | {"position": [p + 1.0 for p in stays["position"]], "dimensions": stays["dimensions"] | {"height": 2.0}}
+    added = [{"template_file": "box.stl", "position": [5.0, 5.0, 5.0], "scale": 2.0}, {"template_file": "none.stl", "deleted": True}]
+    payload = {"table": {"placements": [moved, goes | {"_deleted": True}]}, "_added_objects": added, "_added_procedural_objects": [{"position": [0, -5, 0], "rotation_degrees": 90}]}
+    logs.save_edits(spark, payload, run.dir)
+    for _ in range(2):
+        run.run(["4b"])
+        box = {r.mesh_id: r for r in objects.bounds(run.read("scene", "furniture_edited_vertices"), "mesh_id").collect()}
+        assert set(box) == {f"table/{stays['source']}", "added_001_box", "added_procedural_001_table"}
+        own, lib, new = box[f"table/{stays['source']}"], box["added_001_box"], box["added_procedural_001_table"]
+        assert abs(own.hi_z - own.lo_z - 2.0) < 1e-9 and abs(own.lo_z - was.lo_z - 1.0) < 1e-9 and abs(own.lo_x - was.lo_x - 1.0) < 1e-9
+        assert [round(x, 6) for x in (lib.lo_x, lib.hi_x, lib.lo_y, lib.lo_z, lib.hi_z)] == [4.0, 6.0, 4.4, 4.97, 5.03]
+        assert [round(x, 6) for x in (new.lo_x, new.hi_x, new.lo_y, new.hi_y, new.hi_z)] == [-0.3, 0.3, -5.5, -4.5, 0.75]
+        assert stl.scene_stl_check(spark, run.path("scene", "furniture_edited.stl")).first().faces == run.read("scene", "furniture_edited_faces").count() == 60 + 12 + 60
+    assert run.read("scene", "watertight_log").count() == 2  # what placement made stays
+
+
 def test_whole_run(spark, tmp_path):
     """Two clusters seen by three cameras become two tables in a room."""
     root = tmp_path / "projects" / "p"
@@ -181,6 +207,7 @@ def test_whole_run(spark, tmp_path):
     assert len([f for f in (root / "runs" / "r").glob("**/individual/mesh_id=*")]) == 2
     run.run(["5"])
     assert run.read("scene", "room_log").first() == log
+    edit_run(spark, run, tmp_path)
     counts = lambda: sorted(p.name for p in (root / "runs" / "r").glob("**/view_counts_*"))
     kept = [p.stat().st_mtime_ns for p in (root / "runs" / "r").glob("**/view_counts_*/_SUCCESS")]
     before = counts()
