@@ -1,7 +1,7 @@
 """Orientation of a template by point-to-plane alignment with an object's points.
 
-Each object tries eight angles 45 degrees apart, then eight within 20 degrees of the best; all trials of a round run in
-parallel, one group each of an object and an angle. An object's points must fit one task. The fitness of a trial is the
+Each object tries eight angles 45 degrees apart, then eight within 20 degrees of the best. An object is one group, shuffled
+once: its grid, spacing and normals serve all of its trials. An object's points must fit one task. The fitness of a trial is the
 share of template samples with an object point within the threshold, or three times the object's spacing if that is more, after
 alignment. Alignment can turn a template itself, so trials of one fitness (to a thousandth) are told apart by how little it had
 to.
@@ -14,10 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.plans.scratch import materialize
-
-from .util import small
-
 COARSE = [45.0 * k for k in range(8)]
 FINE = [-20.0, -15.0, -10.0, -5.0, 5.0, 10.0, 15.0, 20.0]
 
@@ -35,30 +31,56 @@ def sample_surface(vertices: np.ndarray, faces: np.ndarray, n: int, seed: int =
 
 
 class Grid:
-    """Nearest points within a radius by cells of that size."""
+    """Points by cells of a radius, cells by one number in order. Cells of equal numbers only add candidates, which their distance
+    rules out."""
+
+    #: Candidates that are held at a time, or those of one query if they are more.
+    MOST = 1 << 20
 
     def __init__(self, points: np.ndarray, radius: float):
         self.points, self.radius = points, radius
-        self.cells: dict[tuple, list[int]] = {}
-        for n, cell in enumerate(map(tuple, np.floor(points / radius).astype(int))):
-            self.cells.setdefault(cell, []).append(n)
-
-    def near(self, p: np.ndarray) -> np.ndarray:
-        i, j, k = np.floor(p / self.radius).astype(int)
-        found = [n for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for n in self.cells.get((i + a, j + b, k + c), ())]
-        return np.array(found, int)
+        cells = self._cells(points)
+        self.low = cells.min(axis=0, initial=0)
+        span = cells.max(axis=0, initial=0) - self.low + 3
+        self.weight = np.array([span[1] * span[2], span[2], 1])
+        self.around = np.array([a * self.weight[0] + b * self.weight[1] for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        number = (cells - self.low) @ self.weight
+        self.order = np.argsort(number, kind="stable")
+        self.number = number[self.order]
+
+    def _cells(self, p: np.ndarray) -> np.ndarray:
+        return np.floor(p / self.radius).astype(np.int64)
+
+    def near(self, q: np.ndarray):
+        """Blocks of (query, point, squared distance) of all pairs within the radius, in order of queries."""
+        number = ((self._cells(q) - self.low) @ self.weight)[:, None] + self.around
+        first = np.searchsorted(self.number, number - 1)  # three cells in a row have numbers in a row
+        count = np.searchsorted(self.number, number + 1, side="right") - first
+        total = np.cumsum(count.sum(axis=1))
+        at = 0
+        while at < len(q):
+            done = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, done + self.MOST, side="right")))
+            n = count[at:end].ravel()
+            run = np.repeat(first[at:end].ravel() - np.cumsum(n) + n, n)
+            point = self.order[run + np.arange(len(run))]
+            query = np.repeat(np.arange(at, end), count[at:end].sum(axis=1))
+            far = ((self.points[point] - q[query]) ** 2).sum(axis=1)
+            inside = far <= self.radius**2
+            yield query[inside], point[inside], far[inside]
+            at = end
 
     def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index (-1: none within the radius) and squared distance of each query's nearest point."""
-        at, far = np.full(len(q), -1), np.full(len(q), np.inf)
-        for n, p in enumerate(q):
-            near = self.near(p)
-            if len(near):
-                d = ((self.points[near] - p) ** 2).sum(axis=1)
-                best = d.argmin()
-                if d[best] <= self.radius**2:
-                    at[n], far[n] = near[best], d[best]
-        return at, far
+        """Index (-1: none within the radius) and squared distance of each query's nearest point; the first of equals."""
+        at, least = np.full(len(q), -1), np.full(len(q), np.inf)
+        for query, point, far in self.near(q):
+            first = np.flatnonzero(np.diff(query, prepend=-1))
+            if len(first):
+                low = np.minimum.reduceat(far, first)
+                tied = far == np.repeat(low, np.diff(np.append(first, len(query))))
+                at[query[first]] = np.minimum.reduceat(np.where(tied, point, len(self.points)), first)
+                least[query[first]] = low
+        return at, least
 
 
 def spacing(points: np.ndarray, k: int = 5) -> float:
@@ -69,21 +91,29 @@ def spacing(points: np.ndarray, k: int = 5) -> float:
 
 
 def normals(points: np.ndarray, radius: float, most: int = 30) -> np.ndarray:
-    """Of each point the direction in which its neighbours vary least, upward; straight up for fewer than three."""
-    grid, out = Grid(points, radius), np.tile([0.0, 0.0, 1.0], (len(points), 1))
-    for n, p in enumerate(points):
-        near = grid.near(p)
-        d = ((points[near] - p) ** 2).sum(axis=1)
-        near = near[d <= radius**2][np.argsort(d[d <= radius**2], kind="stable")[:most]]
-        if len(near) >= 3:
-            v = np.linalg.eigh(np.cov(points[near].T))[1][:, 0]
-            out[n] = v if v[2] >= 0 else -v
+    """Of each point the direction in which its neighbours (the nearest ``most``) vary least, upward; straight up for fewer than
+    three."""
+    out = np.tile([0.0, 0.0, 1.0], (len(points), 1))
+    for query, point, far in Grid(points, radius).near(points):
+        order = np.lexsort((point, far, query))
+        query, p = query[order], points[point[order]]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        size = np.diff(np.append(first, len(query)))
+        chosen = np.arange(len(query)) - np.repeat(first, size) < most
+        query, p = query[chosen], p[chosen]
+        size = np.minimum(size, most)
+        first = np.cumsum(size) - size
+        off = p - np.repeat(np.add.reduceat(p, first) / size[:, None], size, axis=0)
+        spread = np.add.reduceat(off[:, :, None] * off[:, None, :], first)
+        flat = np.linalg.eigh(spread)[1][:, :, 0]
+        some = size >= 3
+        out[query[first[some]]] = np.where(flat[some, 2:] >= 0, flat[some], -flat[some])
     return out
 
 
-def align(source: np.ndarray, target: np.ndarray, target_normals: np.ndarray, threshold: float, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Point-to-plane alignment (4x4) of source with target, and its fitness."""
-    grid, pose = Grid(target, threshold), np.eye(4)
+def align(source: np.ndarray, grid: Grid, target_normals: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Point-to-plane alignment (4x4) of source with the grid's points, partners within its radius, and its fitness."""
+    target, pose = grid.points, np.eye(4)
     fitness = 0.0
     for k in range(rounds + 1):
         moved = source @ pose[:3, :3].T + pose[:3, 3]
@@ -113,38 +143,38 @@ def best_orientation(points: DataFrame, vertices: DataFrame, faces: DataFrame, k
     f = np.array([tuple(r) for r in faces.select(*"abc").collect()], int)
     v = (v - (v.min(axis=0) + v.max(axis=0)) / 2) * scale
     kind = points.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, trial int, angle double, fitness double, turned double"
 
     def run(t: pa.Table) -> pa.Table:
         own = np.column_stack([t.column(c).to_numpy() for c in "xyz"])
-        own = own[np.lexsort(own.T)]  # the probes of spacing are the same however rows arrive
-        angle, trial = t.column("angle")[0].as_py(), t.column("trial")[0].as_py()
-        fitness, pose = 0.0, np.eye(4)
+        angle = fitness = 0.0
         if len(own) >= at_least:
+            own = own[np.lexsort(own.T)]  # the probes of spacing are the same however rows arrive
             own = own - (own.min(axis=0) + own.max(axis=0)) / 2
             template = sample_surface(v, f, min(5000, max(3000, 3 * len(own))))
             gap = spacing(own)
             reach = max(threshold, 3 * gap)
-            r = np.radians(base + angle)
-            turned = template @ np.array([[np.cos(r), -np.sin(r), 0], [np.sin(r), np.cos(r), 0], [0, 0, 1]]).T
-            pose, fitness = align(turned, own, normals(own, max(5 * gap, reach)), reach, rounds)
-        turn = abs(float(np.degrees(np.arctan2(pose[1, 0], pose[0, 0]))))
-        return pa.table([t.column(key).slice(0, 1), pa.array([trial], pa.int32()), pa.array([angle]), pa.array([fitness]), pa.array([turn])], names=[key, "trial", "angle", "fitness", "turned"])
-
-    def best(trials: DataFrame) -> DataFrame:
-        scored = points.select(key, *[F.col(c).cast("double").alias(c) for c in "xyz"]).join(small(trials), key).groupBy(key, "trial").applyInArrow(run, schema)
-        merit = F.struct(F.round("fitness", 3), -F.col("turned"), -F.col("trial"))
-        return scored.groupBy(key).agg(F.max_by(F.struct("angle", "fitness", "turned"), merit).alias("best")).select(key, "best.*")
-
-    spread = lambda angles: F.posexplode(F.array(*map(F.lit, angles))).alias("trial", "step")
-    keys = points.select(key).distinct()
-    coarse = best(keys.select(key, spread(COARSE)).withColumn("angle", F.col("step")).drop("step"))
-    coarse = materialize(coarse, "icp-coarse")
-    fine = best(coarse.select(key, F.col("angle").alias("from"), spread(FINE)).withColumn("angle", F.col("from") + F.col("step")).drop("from", "step"))
-    both = coarse.withColumn("stage", F.lit(0)).unionByName(fine.withColumn("stage", F.lit(1)))
-    merit = F.struct(F.round("fitness", 3), -F.col("turned"), -F.col("stage"))
-    best_of = both.groupBy(key).agg(F.max_by(F.struct("angle", "fitness"), merit).alias("best"))
-    return best_of.select(key, F.pmod(F.col("best.angle") + F.lit(base), F.lit(360.0)).alias("angle"), F.col("best.fitness").alias("fitness"))
+            grid, upright = Grid(own, reach), normals(own, max(5 * gap, reach))
+
+            def trial(angle: float) -> tuple[float, float, float]:
+                """Fitness to a thousandth, how little alignment turned, and the fitness itself."""
+                r = np.radians(base + angle)
+                turned = template @ np.array([[np.cos(r), -np.sin(r), 0], [np.sin(r), np.cos(r), 0], [0, 0, 1]]).T
+                pose, fit = align(turned, grid, upright, rounds)
+                return np.floor(fit * 1000 + 0.5), -abs(float(np.degrees(np.arctan2(pose[1, 0], pose[0, 0])))), fit
+
+            def best(angles: list[float]) -> tuple[tuple[float, float, float], float]:
+                return max(((trial(a), a) for a in angles), key=lambda x: x[0][:2])  # the first of equals
+
+            coarse = best(COARSE)
+            fine = best([coarse[1] + step for step in FINE])
+            (_, _, fitness), angle = max(coarse, fine, key=lambda x: x[0][:2])
+        return pa.table([t.column(key).slice(0, 1), pa.array([angle]), pa.array([fitness])], names=[key, "angle", "fitness"])
+
+    rows = points.filter(F.col(key).isNotNull()).select(key, *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    # Objects are few bytes and much work: adaptive execution would join their partitions by bytes, but leaves a given number.
+    rows = rows.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    found = rows.groupBy(key).applyInArrow(run, f"{key} {kind}, angle double, fitness double")
+    return found.select(key, F.pmod(F.col("angle") + F.lit(base), F.lit(360.0)).alias("angle"), "fitness")
 
 
 def accepted_angle(fitness, angle, configured: float, threshold: float):
