@@ -168,6 +168,12 @@ def edit_run(spark, run, tmp_path):
         assert [round(x, 6) for x in (new.lo_x, new.hi_x, new.lo_y, new.hi_y, new.hi_z)] == [-0.3, 0.3, -5.5, -4.5, 0.75]
         assert stl.scene_stl_check(spark, run.path("scene", "furniture_edited.stl")).first().faces == run.read("scene", "furniture_edited_faces").count() == 60 + 12 + 60
     assert run.read("scene", "watertight_log").count() == 2  # what placement made stays
+    run.config.tree["categories"]["table"]["placement"]["mannequin"] = {"enabled": True, "stl_file": "box.stl", "position_offset": [0.0, 0.0, 0.5]}
+    run.run(["4b"])
+    (one,) = objects.bounds(run.read("table", "edited_mannequin_vertices"), "mesh_id").collect()  # only the table that is left
+    assert one.mesh_id == stays["source"] and abs(one.hi_z - one.lo_z - 2.0) < 1e-9 and abs(one.lo_z - own.lo_z - 0.5) < 1e-9
+    assert abs(one.lo_x + one.hi_x - own.lo_x - own.hi_x) < 1e-9
+    assert stl.scene_stl_check(spark, run.path("scene", "furniture_edited_with_mannequins.stl")).first().faces == 132 + 12
 
 
 def test_whole_run(spark, tmp_path):
