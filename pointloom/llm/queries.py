@@ -90,7 +90,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *number.values(), F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import COUNTS, assess
+
+    return assess(_read(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fill_in_middle, restore
+
+    made = restore(fill_in_middle(_read(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_align import align
+
+    return align(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op11_quality_rules": op11_quality_rules,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_token_alignment": op13_token_alignment,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality": op9_quality,
     "op6_lm_scoring": op6_lm_scoring,
@@ -143,7 +166,55 @@ SELECT conv_id, n AS n_turns, n_copies, array_to_string(list_transform(l, lambda
 FROM one LEFT JOIN starts ON starts.k = one.n AND starts.p = one.l WHERE starts.k IS NULL
 """
 
+_OP11_SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+grams AS (SELECT r, unnest(range(1, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+twice AS (SELECT r, pos FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+again AS (SELECT r, count(DISTINCT pos + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+c AS (
+    SELECT w.r, doc_id, lang, source, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars,
+        (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN again USING (r)),
+m AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words END AS word_length, CASE WHEN word_chars > 0 THEN n_symbols * 10000 // word_chars END AS symbol_share,
+        CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // n_lines END AS line_share, CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words END AS repeat_share FROM c),
+e AS (
+    SELECT lang, source, unnest(['word_length', 'symbol_share', 'line_share', 'repeat_share']) AS measure, unnest([word_length, symbol_share, line_share, repeat_share]) AS v
+    FROM m WHERE NOT base_failed),
+b AS (SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 7)::BIGINT) << (length(bin(v)) - 7)::BIGINT END AS lo FROM e WHERE v IS NOT NULL),
+of_source AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(lo, 0.25) AS q1, quantile_disc(lo, 0.75) AS q3 FROM b GROUP BY ALL),
+of_lang AS (SELECT lang, measure, count(*) AS n, quantile_disc(lo, 0.25) AS q1, quantile_disc(lo, 0.75) AS q3 FROM b GROUP BY ALL),
+of_all AS (SELECT measure, quantile_disc(lo, 0.25) AS q1, quantile_disc(lo, 0.75) AS q3 FROM b GROUP BY ALL),
+q AS (
+    SELECT s.lang, s.source, s.measure, CASE WHEN s.n >= 100 THEN s.q1 WHEN l.n >= 100 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN s.n >= 100 THEN s.q3 WHEN l.n >= 100 THEN l.q3 ELSE a.q3 END AS q3
+    FROM of_source s JOIN of_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.measure = l.measure JOIN of_all a ON s.measure = a.measure),
+f AS (
+    SELECT lang, source, measure, CASE WHEN measure = 'word_length' THEN q1 - 4 * greatest(q3 - q1, 100) END AS least,
+        q3 + 4 * greatest(q3 - q1, CASE measure WHEN 'word_length' THEN 100 WHEN 'symbol_share' THEN 50 WHEN 'line_share' THEN 1000 ELSE 500 END) AS most FROM q),
+outside AS (
+    SELECT DISTINCT m.r FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source,
+    LATERAL (SELECT CASE measure WHEN 'word_length' THEN word_length WHEN 'symbol_share' THEN symbol_share WHEN 'line_share' THEN line_share ELSE repeat_share END AS v) x
+    WHERE x.v < f.least OR x.v > f.most)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM outside) AS kept FROM m
+"""
+
+_OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT *, length(x) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+c AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substring(x, 1, a) AS pre, substring(x, a + 1, b - a) AS mid, substring(x, b + 1, n - b) AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(x) AS restored_sha256 FROM p
+"""
+
 SQL: dict[str, str] = {
+    "op11_quality_rules": _OP11_SQL,
+    "op12_fill_in_middle": _OP12_SQL,
     "op8_chat_formatting": _OP8_SQL,
     "op3_topk": _OP3_SQL,
     "op1_ngram_join": _OP1_SQL,
