@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.plans.scratch import materialize
 
-from .util import one_row, scalars
+from .util import numbered, one_row, scalars
 
 
 def bounds(points: DataFrame, key: str) -> DataFrame:
@@ -169,10 +169,19 @@ def suppress(boxes: DataFrame, ratio: float) -> DataFrame:
     return out.join(first, F.col("object_id") == F.col("of"), "left").select("object_id", "accepted", F.when(~F.col("accepted"), F.col("merged_with")).alias("merged_with"))
 
 
+def first_merged(boxes: DataFrame, ratio: float, most: int = 10) -> DataFrame:
+    """source and merged_with (both by source) of the first boxes in order of quality that suppression merged."""
+    found = suppress(boxes, ratio).filter("NOT accepted AND merged_with IS NOT NULL")
+    into = boxes.select(F.col("object_id").alias("merged_with"), F.col("source").alias("into"))
+    own = found.join(boxes.select("object_id", "source", "point_count", "footprint"), "object_id").join(into, "merged_with")
+    first = own.orderBy(F.desc("point_count"), F.desc("footprint"), "object_id").limit(most)
+    return first.select("source", F.col("into").alias("merged_with"))
+
+
 def named(accepted: DataFrame, category: str) -> DataFrame:
-    """Accepted boxes with their file name by quality order (W04). Sorts one row an accepted object."""
-    order = W.orderBy(F.desc("point_count"), F.desc("footprint"), "object_id")
-    return accepted.withColumn("name", F.format_string(f"{category}_%03d", F.row_number().over(order) - 1))
+    """Accepted boxes with their file name by quality order."""
+    ranked = numbered(accepted, "nth", F.desc("point_count"), F.desc("footprint"), "object_id")
+    return ranked.withColumn("name", F.format_string(f"{category}_%03d", "nth")).drop("nth")
 
 
 def orientation(points: DataFrame, key: str) -> DataFrame:

@@ -56,13 +56,12 @@ def template(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stl.template_info(*stl.indexed(stl.read_stl(spark, f"{folder}/{name}")))
 
 
-def table_stl(spark: SparkSession, dimensions: dict[str, float]) -> str:
-    """A procedural table as ASCII STL."""
+def table_stl(spark: SparkSession, dimensions: dict[str, float]) -> bytes:
+    """A procedural table as binary STL."""
     d = edits.TABLE | dimensions
     one = spark.createDataFrame([("table", float(d["width"]), float(d["depth"]), float(d["height"]))], "mesh_id string, width double, depth double, height double")
     v, f = meshes.boxes(meshes.table_parts(one, d["tabletop_thickness"], d["leg_width"], d["leg_inset"]))
-    facets = stl.text_stl(meshes.corners(v, f)).orderBy("fid").collect()  # at most 60
-    return "\n".join(["solid table", *(r.value for r in facets), "endsolid table"]) + "\n"
+    return stl.stl_bytes(meshes.corners(v, f))  # at most 60 faces
 
 
 def floor_tilt(positions: DataFrame, room: rooms.Room) -> float:

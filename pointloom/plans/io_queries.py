@@ -5,16 +5,18 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators import edits, meshes, objects, rooms
+from pointloom.functions import generators
+from pointloom.operators import edits, meshes, objects, rooms, visibility
 from pointloom.sources import cameras, clouds, logs, masks, stl
 from pointloom.sources.files import write_text
 
 from . import editor
-from .object_queries import BOX, CLASSES, _classified, _object_boxes, _round
-from .queries import query
-from .scene import Scene, with_views
+from .object_queries import BOX, CLASSES, NMS_ROWS, NMS_TABLES, TABLES, _classified, _object_boxes, _round
+from .queries import _loose, query
+from .scene import CAMERA, Scene, with_views
 from .scratch import scratch_dir
 
 
@@ -47,23 +49,118 @@ def s06(s):
     return masks.frames_of(s.mask_runs().select(F.concat(F.lit("frame_"), "frame_id").alias("frame")))
 
 
-@query("s12_stl_roundtrip", with_views("objects", query="").rstrip() + ",\n" + BOX + "SELECT mesh_id, count(*) AS vertices, 12::BIGINT AS faces, true AS is_watertight, round(any_value(volume), 4) AS volume FROM bv GROUP BY 1")
+_SINGLE = BOX + ", sv AS (SELECT mesh_id, vid, " + ", ".join(f"{c}::FLOAT::DOUBLE AS {c}" for c in "xyz") + " FROM bv)"
+
+
+@query("s12_stl_roundtrip", with_views("objects", query="").rstrip() + ",\n" + _SINGLE + " SELECT mesh_id, count(*) AS vertices, 12::BIGINT AS faces, true AS is_watertight, round((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)), 4) AS volume FROM sv GROUP BY 1")
 def s12(s):
-    """Meshes written as ASCII STL (K09) and read (S12), vertices merged again."""
+    """Meshes written as binary STL, a file each (K09), and read (S12), vertices merged again."""
     at = _folder(s, "stl")
     stl.write_stl(meshes.corners(*_object_boxes(s)), at)
-    soup = s.spark.read.text(f"{at}/*/*.txt", wholetext=True).select(F.regexp_extract("_metadata.file_path", "mesh_id=([^/]+)/", 1).alias("mesh_id"), F.expr(r"regexp_extract_all(value, 'vertex ([^\\s]+) ([^\\s]+) ([^\\s]+)', 0)").alias("v"))
-    xyz = soup.select("mesh_id", F.posexplode("v").alias("n", "line")).select("mesh_id", "n", *[F.split("line", " ")[k + 1].cast("double").alias(c) for k, c in enumerate("xyz")])
-    tri = xyz.groupBy("mesh_id", F.expr("cast(n div 3 as int)").alias("fid")).agg(*[F.max(F.when(F.col("n") % 3 == k, F.col(c))).alias(f"{p}{c}") for k, p in enumerate("abc") for c in "xyz"])
-    return _round(meshes.quality(*stl.indexed(tri)), "volume", places=4).select("mesh_id", "vertices", "faces", "is_watertight", "volume")
+    return _round(meshes.quality(*stl.indexed(stl.read_stl(s.spark, at))), "volume", places=4).select("mesh_id", "vertices", "faces", "is_watertight", "volume")
+
+
+_BOUNDS = ", ".join(f"round({f}({c}), 4) AS {e}_{c}" for e, f in (("lo", "min"), ("hi", "max")) for c in "xyz")
 
 
-@query("k17_scene_stl", with_views("objects", query="").rstrip() + ",\n" + BOX + "SELECT (count(*) // 8 * 12)::BIGINT AS faces, " + ", ".join(f"round({f}({c}), 4) AS {e}_{c}" for e, f in (("lo", "min"), ("hi", "max")) for c in "xyz") + " FROM bv")
+def _written_scene(s: Scene, *parts) -> DataFrame:
+    """What one STL file of meshes holds when read in splits, and its bytes."""
+    at = _folder(s, "scene") + ".stl"
+    stl.write_scene_stl(meshes.corners(*meshes.concatenate([tuple(df.select("mesh_id", *names) for df, names in zip(p, (("vid", "x", "y", "z"), ("fid", "a", "b", "c")))) for p in parts])), at)
+    size = s.spark.read.format("binaryFile").load(at).select(F.col("length").alias("bytes"))
+    return _round(stl.scene_stl_check(s.spark, at), *(f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"), places=4).crossJoin(F.broadcast(size))
+
+
+@query("k17_scene_stl", with_views("objects", query="").rstrip() + ",\n" + BOX + f"SELECT (count(*) // 8 * 12)::BIGINT AS faces, (84 + 50 * (count(*) // 8 * 12))::BIGINT AS bytes, {_BOUNDS} FROM bv")
 def k17(s):
-    """All objects as one STL text (K17, K18, U01), read again."""
-    at = _folder(s, "scene-stl")
-    stl.write_scene_stl(meshes.corners(*_object_boxes(s)), at, "scene")
-    return _round(stl.scene_stl_check(s.spark, at), *(f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"), places=4)
+    """All objects as one binary STL file (K17, U01), read again."""
+    return _written_scene(s, _object_boxes(s))
+
+
+@query("k18_room_stl", with_views("objects", query="").rstrip() + ",\n" + BOX + """, rv AS (SELECT unnest([min(x) - 0.1::DOUBLE, max(x) + 0.1::DOUBLE]) AS x, unnest([min(y) - 0.1::DOUBLE, max(y) + 0.1::DOUBLE]) AS y, unnest([min(z), max(z) + 0.5::DOUBLE]) AS z FROM bv)
+SELECT (12 + n)::BIGINT AS faces, (84 + 50 * (12 + n))::BIGINT AS bytes, """ + _BOUNDS + " FROM rv, (SELECT count(*) // 8 * 12 AS n FROM bv) GROUP BY n")
+def k18(s):
+    """Furniture and the room around it as one binary STL file (K18), read again."""
+    furniture = _object_boxes(s)
+    return _written_scene(s, furniture, rooms.build_room(furniture[0], rooms.Room()))
+
+
+# ---- clouds as files -------------------------------------------------------------------------------------------------
+
+#: So small that the clouds of the small tables are read by several tasks.
+_SPLIT = 1 << 14
+
+
+@query("s01_ply_scan", with_views("points", query="SELECT row_number() OVER (ORDER BY point_id) - 1 AS point_id, x, z FROM points"))
+def s01(s):
+    """A cloud as a PLY, of which several tasks read ranges and two of three coordinates."""
+    at = _folder(s, "cloud") + ".ply"
+    clouds.write_ply(s.points().select("point_id", *"xyz"), at)
+    return clouds.read_ply(s.spark, at, ["point_id", "x", "z"], _SPLIT)
+
+
+@query("k01_ply_sink", with_views("cloud", query="SELECT row_number() OVER (ORDER BY point_id) - 1 AS point_id, x, y, z, red::BIGINT AS red, green::BIGINT AS green, blue::BIGINT AS blue FROM cloud"))
+def k01(s):
+    """Points with colours written to one PLY by many tasks (K01, K05) and read again."""
+    at = _folder(s, "cloud") + ".ply"
+    colours = ("red", "green", "blue")
+    clouds.write_ply(s.cloud().withColumns({c: F.col(c) / 255 for c in colours}), at)
+    return clouds.read_ply(s.spark, at, split_bytes=_SPLIT).select("point_id", *"xyz", *[F.rint(255 * F.col(c)).cast("long").alias(c) for c in colours])
+
+
+@query("k03_mask_clouds", with_views("points", "frames", "projected", "loose", "mask_runs", "masked", query="SELECT 'frame_' || frame_id AS frame, mask_id::INTEGER AS mask_id, count(*) AS n, round(sum(round(p.x, 6)), 4) AS sum_x, round(sum(round(p.y, 6)), 4) AS sum_y FROM masked m JOIN points p USING (point_id) GROUP BY ALL"))
+def k03(s):
+    """The points that each mask selects as a PLY in its frame's folder (K03), read again."""
+    at = _folder(s, "masks")
+    hit = visibility.in_masks(_loose(s), s.mask_runs()).select("frame_id", "mask_id", "point_id").distinct().join(s.points(), "point_id")
+    clouds.write_ply(hit.select("point_id", *"xyz", "frame_id", "mask_id"), at, file=F.format_string("frame_%d/mask_%03d.ply", "frame_id", "mask_id"))
+    name = lambda k: F.regexp_extract("path", r"([^/]+)/mask_(\d+)\.ply$", k)
+    got = clouds.read_ply(s.spark, at, ["path", "x", "y"])
+    total = [F.round(F.sum(F.round(c, 6)), 4).alias(f"sum_{c}") for c in "xy"]
+    return got.groupBy(name(1).alias("frame"), name(2).cast("int").alias("mask_id")).agg(F.count(F.lit(1)).alias("n"), *total)
+
+
+@query("k14_mask_files", with_views("mask_runs", query="SELECT 'frame_' || frame_id AS frame, mask_id::INTEGER AS mask_id, (mask_id % 1000) / 1000 AS score, v::INTEGER AS v, u_start::INTEGER AS u_start, least(u_end, 319)::INTEGER AS u_end FROM mask_runs"))
+def k14(s):
+    """A segmentation's masks written as PNGs with scores in their names (K14) and read as runs again."""
+    at = _folder(s, "masks")
+    score = (F.col("mask_id") % 1000) / 1000
+    masks.write_masks(s.mask_runs().withColumn("frame", F.concat(F.lit("frame_"), "frame_id")).withColumn("score", score), at, CAMERA.width, CAMERA.height)
+    return masks.read_masks(s.spark, at, CAMERA.width, CAMERA.height)
+
+
+# ---- generators ------------------------------------------------------------------------------------------------------
+
+_CHAIR = """dims AS (SELECT source AS mesh_id, size_x AS w, size_y AS d, size_z AS h FROM objects),
+chair AS (SELECT mesh_id, unnest([
+    {'part': 0, 'lo_x': -w / 2, 'lo_y': -d / 2, 'lo_z': h * 0.5 - 0.04, 'hi_x': w / 2, 'hi_y': d / 2, 'hi_z': h * 0.5},
+    {'part': 1, 'lo_x': -w / 2, 'lo_y': d / 2 - 0.04, 'lo_z': h * 0.5, 'hi_x': w / 2, 'hi_y': d / 2, 'hi_z': h},
+    {'part': 2, 'lo_x': w / 2 - 0.04, 'lo_y': d / 2 - 0.04, 'lo_z': 0, 'hi_x': w / 2, 'hi_y': d / 2, 'hi_z': h * 0.5 - 0.04},
+    {'part': 3, 'lo_x': -w / 2, 'lo_y': d / 2 - 0.04, 'lo_z': 0, 'hi_x': 0.04 - w / 2, 'hi_y': d / 2, 'hi_z': h * 0.5 - 0.04},
+    {'part': 4, 'lo_x': w / 2 - 0.04, 'lo_y': -d / 2, 'lo_z': 0, 'hi_x': w / 2, 'hi_y': 0.04 - d / 2, 'hi_z': h * 0.5 - 0.04},
+    {'part': 5, 'lo_x': -w / 2, 'lo_y': -d / 2, 'lo_z': 0, 'hi_x': 0.04 - w / 2, 'hi_y': 0.04 - d / 2, 'hi_z': h * 0.5 - 0.04}], recursive := true) FROM dims)
+"""
+
+
+@query("udf_generated_chairs", with_views("objects", query="").rstrip() + ",\n" + _CHAIR + "SELECT mesh_id, part::INTEGER AS part, " + ", ".join(f"round({e}_{c}, 6) + 0 AS {e}_{c}" for e in ("lo", "hi") for c in "xyz") + " FROM chair")
+def generated_chairs(s):
+    """A chair for each object by a table function, joined laterally in SQL."""
+    generators.register(s.spark)
+    sides = ", ".join(f"round(t.{e}_{c}, 6) + 0 AS {e}_{c}" for e in ("lo", "hi") for c in "xyz")
+    return s.spark.sql(f"SELECT source AS mesh_id, part, {sides} FROM {{objects}}, LATERAL make_chair(size_x, size_y, size_z, back => 0.04D) AS t", objects=s.objects())
+
+
+@query("udf_generated_tables", TABLES + "SELECT mesh_id, vid::INTEGER AS vid, round(x, 5) + 0 AS x, round(y, 5) + 0 AS y, round(z, 5) + 0 AS z FROM tv")
+def generated_tables(s):
+    """The tables of x02 by a table function and the DataFrame's lateral join."""
+    dims = objects.orientation(s.cloud(), "fragment").withColumn("height", F.lit(0.75)).withColumnRenamed("fragment", "mesh_id")
+    return _round(meshes.boxes(generators.generated(dims, "make_table", "width", "depth", "height"))[0], "x", "y", "z", places=5)
+
+
+@query("t07_first_merged", with_views("objects", query="", recursive=True).rstrip() + NMS_TABLES + f", nms AS (SELECT * FROM ({NMS_ROWS})) SELECT source, merged_with FROM (SELECT o.source, m.source AS merged_with, row_number() OVER (ORDER BY o.point_count DESC, o.footprint DESC, o.object_id) AS nth FROM nms JOIN objects o USING (object_id) JOIN objects m ON nms.merged_with = m.object_id WHERE NOT accepted) WHERE nth <= 10")
+def t07(s):
+    """The first ten boxes that suppression merged, by quality, and into which."""
+    return objects.first_merged(s.objects(), 0.4)
 
 
 @query("s15_scene_log", with_views("objects", query="SELECT object_id % 7 AS kind, count(*) AS n, round(sum(lo_x), 4) AS sum_x, sum(point_count)::BIGINT AS points FROM objects GROUP BY 1"))

@@ -134,12 +134,17 @@ SELECT r.object_id, list_contains(taken, r.rk) AS accepted, CASE WHEN NOT list_c
 FROM ranked r JOIN todo USING (rk), final LEFT JOIN ranked w ON w.rk = list_min(list_filter(highs, lambda x: list_contains(taken, x)))"""
 
 
-@query("g04_suppression", with_views("objects", query="", recursive=True).rstrip() + NMS.replace(", final LEFT JOIN", " CROSS JOIN final LEFT JOIN"))
+NMS = NMS.replace(", final LEFT JOIN", " CROSS JOIN final LEFT JOIN")
+#: Common tables of suppression, and its rows.
+NMS_TABLES, NMS_ROWS = NMS[: NMS.rindex("SELECT r.object_id")], NMS[NMS.rindex("SELECT r.object_id") :]
+
+
+@query("g04_suppression", with_views("objects", query="", recursive=True).rstrip() + NMS)
 def g04(s):
     return objects.suppress(s.objects(), 0.4)
 
 
-@query("w04_names", with_views("objects", query="SELECT object_id, concat('chair_', lpad((row_number() OVER (ORDER BY point_count DESC, footprint DESC, object_id) - 1)::VARCHAR, 3, '0')) AS name FROM objects"))
+@query("w04_names", with_views("objects", query="SELECT object_id, printf('chair_%03d', row_number() OVER (ORDER BY point_count DESC, footprint DESC, object_id) - 1) AS name FROM objects"))
 def w04(s):
     return objects.named(s.objects(), "chair").select("object_id", "name")
 

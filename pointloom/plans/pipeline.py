@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions import generators
 from pointloom.operators import edits, healing, icp, meshes, objects, projection, rooms, visibility, voxels
 from pointloom.sources import cameras, clouds, logs, masks, stl
 from pointloom.sources.files import exists, read_text, state
@@ -22,7 +23,8 @@ from .config import Config
 
 #: "4b" is done only when asked for: without an editor's changes it has nothing to do.
 CATEGORY_STEPS, SCENE_STEPS = ("2", "2b", "3", "4"), ("combine", "4b", "5")
-#: Generators of meshes by category; other categories need a template.
+#: Generators of meshes by category. Others name a table function (functions.generators) in their configuration, or use a
+#: template.
 PROCEDURAL: dict[str, Callable[[DataFrame], DataFrame]] = {"table": meshes.table_parts}
 
 
@@ -70,7 +72,14 @@ class Run:
             counts = self.write(visibility.seen_counts(projected, runs, threshold), category, key)
         chosen = visibility.consensus(counts, own.get("min_views", 2))
         ids = visibility.refine(projected, runs, chosen, threshold, own.get("depth_band_sigma", 2.0), own.get("depth_patch_size", 32), own.get("use_depth_band", True), own.get("use_zbuffer", True))
-        self.write(cloud.join(ids, "point_id", "left_semi").drop("path"), category, "raw")
+        raw = self.write(cloud.join(ids, "point_id", "left_semi").drop("path"), category, "raw")
+        clouds.write_ply(self._coloured(raw), self.path(category, "FINAL_combined_all_images.ply"))
+
+    @staticmethod
+    def _coloured(points: DataFrame) -> DataFrame:
+        """points for a PLY: without colours if none has any."""
+        colours = ("red", "green", "blue")
+        return points.drop(*colours) if points.filter(F.coalesce(*colours).isNotNull()).isEmpty() else points
 
     def filter(self, category: str) -> None:
         own = self.config.category(category)["filtering"]
@@ -87,7 +96,11 @@ class Run:
         elif own.get("enabled", True):
             eps = voxels.eps_of(points, level, own.get("eps_override"))
         least = own.get("min_points_per_component", 1)
-        self.write(points.join(voxels.keep_components(labels, least), "point_id").withColumnRenamed("component_id", "fragment"), category, "filtered")
+        kept = self.write(points.join(voxels.keep_components(labels, least), "point_id").withColumnRenamed("component_id", "fragment"), category, "filtered")
+        clouds.write_ply(self._coloured(kept), self.path(category, "FINAL_filtered.ply"))
+        if own.get("debug_colours", False):
+            shown = clouds.component_colours(kept.withColumnRenamed("fragment", "component_id"))
+            clouds.write_ply(kept.select("point_id", *"xyz").join(shown, "point_id"), self.path(category, "FINAL_components.ply"))
         self.write(voxels.filtering_stats(labels, least, size, eps), category, "filtering_stats")
 
     def heal(self, category: str) -> None:
@@ -139,14 +152,15 @@ class Run:
         return f"{self.config.root}/{self.config.tree.get('paths', {}).get('stl_templates', 'stl_templates')}"
 
     def _procedural(self, category, own, points, found):
-        if category not in PROCEDURAL:
+        generator = own.get("generator")
+        if generator is None and category not in PROCEDURAL:
             raise NotImplementedError(f"no generator for {category}")
         placed = objects.status(found, own.get("min_points", 50), own.get("min_footprint", 0.0)).filter("status = 'placed'")
         floor = objects.floor_height(placed)
         dims = objects.orientation(points.join(placed.select("source"), "source", "left_semi"), "source")
         scale = own.get("scale_adjustment", 1.0)
         dims = dims.select(F.col("source").alias("mesh_id"), "angle", (F.col("width") * scale).alias("width"), (F.col("depth") * scale).alias("depth"), F.lit(float(own.get("table_height", 0.75))).alias("height"))
-        v, f = meshes.boxes(PROCEDURAL[category](dims))
+        v, f = meshes.boxes(PROCEDURAL[category](dims) if generator is None else generators.generated(dims, generator, "width", "depth", "height"))
         where = placed.crossJoin(F.broadcast(floor)).select(F.col("source").alias("mesh_id"), "point_count", "footprint", objects.centre("x").alias("place_x"), objects.centre("y").alias("place_y"), (F.col("floor_z") + own.get("z_offset", 0.0)).alias("place_z")).join(dims.select("mesh_id", "angle"), "mesh_id")
         return meshes.stand(v, where), f, where.join(dims.drop("angle"), "mesh_id")
 
@@ -178,9 +192,10 @@ class Run:
     # -- steps of the scene --
 
     def export(self, name: str, v: DataFrame, f: DataFrame) -> None:
-        """A scene's STL, read again: a file that doesn't hold every face within the meshes' bounds ends the run."""
+        """A scene's STL, read again: a file that doesn't hold every face within the meshes' bounds ends the run (K17, K18). Its
+        numbers are single."""
         path = self.path("scene", f"{name}.stl")
-        stl.write_scene_stl(meshes.corners(v, f), path, name)
+        stl.write_scene_stl(meshes.corners(v, f), path)
         got = stl.scene_stl_check(self.spark, path).first()
         box = v.agg(*[e(c).alias(f"{n}_{c}") for n, e in (("lo", F.min), ("hi", F.max)) for c in "xyz"]).first().asDict()
         far = [n for n, x in box.items() if x is not None and abs(got[n] - x) > 1e-6 * max(1.0, abs(x))]

@@ -2,22 +2,55 @@
 
 from __future__ import annotations
 
-import struct
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader
+
+from pointloom.operators.util import placed
+from pointloom.plans.scratch import discard
+
+from . import records
+from .files import qualified
+from .records import json_option
 
 _PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
+_COLOURS = ("red", "green", "blue")
 CLOUD = "path string, point_id long, x double, y double, z double, red double, green double, blue double"
-_FORM = pa.schema([("path", pa.string()), ("point_id", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "z", "red", "green", "blue"))])
 
 
-def parse_ply(body: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-    """xyz and colours (0 to 1) of the vertices; ASCII or binary, further elements are passed over."""
-    end = body.index(b"end_header")
-    start = body.index(b"\n", end) + 1
+@dataclass(frozen=True)
+class PlyHeader:
+    """What comes before a PLY's vertices: byte order ("<", ">", or "" for text), their number, their properties (name and
+    type), and where they begin."""
+
+    order: str
+    count: int
+    props: tuple[tuple[str, str], ...]
+    start: int
+
+    @property
+    def dtype(self) -> np.dtype:
+        return np.dtype([(n, self.order + t) for n, t in self.props])
+
+    def values(self, cols: dict[str, np.ndarray], name: str) -> np.ndarray | None:
+        """A column as doubles: a colour from 0 to 1, None where the file has no colours."""
+        if name in _COLOURS and not all(c in cols for c in _COLOURS):
+            return None
+        return cols[name].astype(float) / (255 if name in _COLOURS and dict(self.props)["red"][0] in "iu" else 1)
+
+
+def ply_header(body: bytes) -> PlyHeader:
+    end = body.find(b"end_header")
+    stop = body.find(b"\n", end)
+    if end < 0 or stop < 0:
+        raise ValueError("no PLY header")
     form, count, props, element = "", 0, [], ""
     for line in body[:end].decode("ascii", "replace").splitlines():
         w = line.split()
@@ -30,34 +63,193 @@ def parse_ply(body: bytes) -> tuple[np.ndarray, np.ndarray | None]:
             count = int(w[2]) if element == "vertex" else count
         elif w[:1] == ["property"] and element == "vertex":
             props.append((w[2], _PLY_TYPES[w[1]]))
-    if form == "ascii":
-        rows = np.array([line.split()[: len(props)] for line in body[start:].decode("ascii").splitlines()[:count]], float).reshape(count, len(props))
-        cols = {n: rows[:, k] for k, (n, _) in enumerate(props)}
-    else:
-        order = {"binary_little_endian": "<", "binary_big_endian": ">"}[form]
-        rows = np.frombuffer(body, np.dtype([(n, order + t) for n, t in props]), count, start)
-        cols = {n: rows[n].astype(float) for n, _ in props}
-    xyz = np.column_stack([cols[c] for c in "xyz"]) if count else np.zeros((0, 3))
-    if not all(c in cols for c in ("red", "green", "blue")):
-        return xyz, None
-    rgb = np.column_stack([cols[c] for c in ("red", "green", "blue")])
-    return xyz, rgb / 255 if dict(props)["red"][0] in "iu" else rgb
-
-
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """Points of PLY files (S01); point_id is the place in the file, colours null where there are none. A file is one task's."""
+    return PlyHeader({"ascii": "", "binary_little_endian": "<", "binary_big_endian": ">"}[form], count, tuple(props), stop + 1)
+
+
+def _text_columns(head: PlyHeader, lines: list[bytes]) -> dict[str, np.ndarray]:
+    words = [w for line in lines for w in line.split()[: len(head.props)]]
+    rows = np.array(words, "S32").astype(float).reshape(len(lines), len(head.props))
+    return {n: rows[:, k] for k, (n, _) in enumerate(head.props)}
+
+
+def _batch(head: PlyHeader, path: str, first: int, cols: dict[str, np.ndarray], wanted: list[str]) -> pa.RecordBatch:
+    n = len(cols["x"])
+    out = []
+    for c in wanted:
+        if c == "path":
+            out.append(pa.array([path] * n, pa.string()))
+        elif c == "point_id":
+            out.append(pa.array(np.arange(first, first + n)))
+        else:
+            v = head.values(cols, c)
+            out.append(pa.nulls(n, pa.float64()) if v is None else pa.array(np.ascontiguousarray(v)))
+    return pa.RecordBatch.from_arrays(out, wanted)
+
+
+class PlyReader(DataSourceReader):
+    """Ranges of vertices. A file of text is one range, unless the option text_ranges says how many lines begin in each."""
+
+    def __init__(self, options: dict, schema):
+        self.options, self.wanted = options, [f.name for f in schema.fields]
+
+    def partitions(self) -> list[records.Ranges]:
+        split, ranges = int(self.options.get("split_bytes", records.SPLIT_BYTES)), json_option(self.options, "text_ranges")
+        texts, binary = {}, []
+        for path, first, start, end in ranges:
+            texts.setdefault(path, []).append((first, start, end))
+        out = []
+        for path in json_option(self.options, "files") or [self.options["path"]]:
+            head = ply_header(records.first_bytes(path, _HEADER))
+            if head.order:
+                binary.append((path, head.start, head.count, head.dtype.itemsize, (head,)))
+                continue
+            size = records.size_of(path)
+            for first, start, end in texts.get(path, [(0, head.start, size)]):
+                if first < head.count:
+                    out.append(records.Ranges([records.Range(path, first, head.count - first, start, (head, end))]))
+        return [*out, *records.planned(iter(binary), split)]
+
+    def read(self, partition: records.Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.value:
+            head = part.kind[0]
+            if head.order:
+                for first, rows in records.chunks(part, head.dtype):
+                    yield _batch(head, part.path, first, {n: rows[n] for n in rows.dtype.names}, self.wanted)
+            else:
+                done = 0
+                for lines in _lines(part.path, part.at, part.kind[1], head.start):
+                    lines = lines[: part.count - done]
+                    if lines:
+                        yield _batch(head, part.path, part.first + done, _text_columns(head, lines), self.wanted)
+                    done += len(lines)
+
+
+_HEADER = 1 << 16
+
+
+def _lines(path: str, start: int, end: int, least: int) -> Iterator[list[bytes]]:
+    """Lines that begin in bytes start to end of a file, some at a time; least is where its first line begins."""
+    with records.opened(path) as f:
+        if start > least:
+            f.seek(start - 1)
+            start += len(f.readline()) - 1  # the line that the byte before ends or belongs to
+        f.seek(start)
+        own = []
+        while start < end and (line := f.readline()):
+            start += len(line)
+            own.append(line)
+            if len(own) == records.BATCH:
+                yield own
+                own = []
+        yield own
+
+
+class PlyWriter(records.RecordWriter):
+    """Binary vertices: doubles, and bytes for colours if the rows have them."""
+
+    def __init__(self, options: dict, overwrite: bool, colours: bool):
+        super().__init__(options, overwrite)
+        self.colours = colours
+        self.dtype = np.dtype([(c, "<f8") for c in "xyz"] + [(c, "u1") for c in _COLOURS if colours])
+
+    def header(self, total: int) -> bytes:
+        own = [*(f"property double {c}" for c in "xyz"), *(f"property uchar {c}" for c in _COLOURS if self.colours)]
+        return "\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {total}", *own, "end_header", ""]).encode()
+
+    def pack(self, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(len(batch), self.dtype)
+        for c in self.dtype.names:
+            v = batch.column(c).to_numpy(zero_copy_only=False).astype(float)
+            out[c] = np.rint(255 * np.clip(np.nan_to_num(v, nan=0.5), 0, 1)) if c in _COLOURS else v
+        return out
+
+
+class PlySource(DataSource):
+    """``ply``: reads path or files (JSON list) in ranges of split_bytes; a schema given to the reader chooses columns."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ply"
+
+    def schema(self) -> str:
+        return CLOUD
+
+    def reader(self, schema) -> PlyReader:
+        return PlyReader(dict(self.options), schema)
+
+    def writer(self, schema, overwrite: bool) -> PlyWriter:
+        return PlyWriter(dict(self.options), overwrite, all(c in schema.fieldNames() for c in _COLOURS))
+
+
+def parse_ply(body: bytes) -> tuple[PlyHeader, dict[str, np.ndarray]]:
+    """Header and vertex columns of a whole file; ASCII or binary, further elements are passed over."""
+    head = ply_header(body)
+    if head.order:
+        rows = np.frombuffer(body, head.dtype, head.count, head.start)
+        return head, {n: rows[n] for n in rows.dtype.names}
+    return head, _text_columns(head, body[head.start :].splitlines()[: head.count])
+
+
+def _text_ranges(spark: SparkSession, files: list[tuple[str, int]], split: int) -> list[tuple[str, int, int, int]]:
+    """path, number of the first line, first byte and end of each range of text files longer than a split; lines are counted by
+    range in tasks, and only these counts reach the driver."""
+    cut = []
+    for path, size in files:
+        head = ply_header(records.first_bytes(path, _HEADER)) if size > split else None
+        if head and not head.order:
+            cut += [(path, head.start, b, min(b + split, size)) for b in range(head.start, size, split)]
+    if not cut:
+        return []
+
+    def count(batches):
+        for b in batches:
+            for path, least, start, end in zip(*(c.to_pylist() for c in b.columns)):
+                n = sum(map(len, _lines(path, start, end, least)))
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start]), pa.array([end]), pa.array([n])], ["path", "start", "end", "n"])
+
+    rows = spark.createDataFrame(cut, "path string, least long, start long, end long").repartition(len(cut), "path", "start")
+    counted = rows.mapInArrow(count, "path string, start long, end long, n long")
+    before = F.sum("n").over(W.partitionBy("path").orderBy("start")) - F.col("n")
+    return [tuple(r) for r in counted.select("path", before, "start", "end").collect()]  # a row for each split
+
+
+def read_ply(spark: SparkSession, path: str, columns: list[str] | None = None, split_bytes: int = records.SPLIT_BYTES) -> DataFrame:
+    """Points of PLY files (S01): path, point_id (the place in the file), x, y, z and colours from 0 to 1 (null where there are
+    none), or the columns asked for. A file of more than split_bytes is read by several tasks. From stores that only Spark
+    reads, a file is one task's."""
+    schema = T.StructType([f for f in T._parse_datatype_string(CLOUD).fields if not columns or f.name in columns])
+    files = records.listed(spark, path, "")
+    if not files:
+        return spark.createDataFrame([], schema)
+    if not all(records.readable(p) for p, _ in files):
+        return _whole_files(spark, path, schema)
+    spark.dataSource.register(PlySource)
+    own = {"files": json.dumps([p for p, _ in files]), "split_bytes": split_bytes, "text_ranges": json.dumps(_text_ranges(spark, files, split_bytes))}
+    return spark.read.format("ply").schema(schema).options(**own).load()
+
+
+def _whole_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    wanted = schema.fieldNames()
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                xyz, rgb = parse_ply(bytes(r["content"]))
-                for k in range(0, len(xyz), 1 << 16):
-                    part = xyz[k : k + (1 << 16)]
-                    n = len(part)
-                    colours = [pa.array(c) for c in rgb[k : k + n].T] if rgb is not None else [pa.nulls(n, pa.float64())] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * n), pa.array(np.arange(k, k + n)), *(pa.array(np.ascontiguousarray(c)) for c in part.T), *colours], schema=_FORM)
+                head, cols = parse_ply(bytes(r["content"]))
+                for k in range(0, head.count, records.BATCH):
+                    yield _batch(head, r["path"], k, {n: v[k : k + records.BATCH] for n, v in cols.items()}, wanted)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CLOUD)
+def write_ply(points: DataFrame, path: str, order: str = "point_id", file: Column | None = None) -> None:
+    """One binary PLY at a path (K01, K05, K06), of points (x, y, z and, if it has them, colours from 0 to 1) by order; no points,
+    no file. With file, a folder of one PLY for each of its values (K03). Replaces what was there."""
+    spark = points.sparkSession
+    colours = [c for c in _COLOURS if c in points.columns]
+    rows = placed(points.select(*"xyz", *colours, order, (F.lit("cloud.ply") if file is None else file).alias("its_file")), F.col("its_file"), [order])
+    spark.dataSource.register(PlySource)
+    records.write(rows.select("file", "place", "total", *"xyz", *colours), "ply", qualified(spark, path), single=file is None)
+    discard(rows)
 
 
 def read_txt(spark: SparkSession, path: str, comment: str = "/", by_folder: bool = False) -> DataFrame:
@@ -100,11 +292,3 @@ def component_colours(labels: DataFrame) -> DataFrame:
     h = F.xxhash64(F.lit(42), "component_id")
     byte = lambda k: (F.shiftrightunsigned(h, 8 * k).bitwiseAND(255) / 255.0)
     return labels.select("point_id", "component_id", byte(0).alias("red"), byte(1).alias("green"), byte(2).alias("blue"))
-
-
-def ply_bytes(rows: list[tuple], colours: bool) -> bytes:
-    """A binary PLY of bounded size, from rows of x, y, z and, with colours, red, green, blue from 0 to 1."""
-    head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}", *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue") if colours), "end_header", ""]
-    pack = struct.Struct("<fff" + "BBB" * colours).pack
-    byte = lambda v: max(0, min(255, int(255 * (0.5 if v is None else v))))
-    return "\n".join(head).encode() + b"".join(pack(*map(float, r[:3]), *(map(byte, r[3:6]) if colours else ())) for r in rows)

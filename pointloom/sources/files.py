@@ -11,6 +11,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Python workers need it."""
+    fs, p = _fs(spark, path)
+    return str(fs.makeQualified(p))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)

@@ -23,9 +23,9 @@ def test_artefacts_and_settings(spark, tmp_path):
 
 
 def test_templates_and_tables(spark, tmp_path):
-    text = editor.table_stl(spark, {"width": 2.0})
-    assert stl.parse_stl(text.encode()).shape == (60, 3, 3)
-    (tmp_path / "table_2.stl").write_text(text)
+    body = editor.table_stl(spark, {"width": 2.0})
+    assert stl.parse_stl(body).shape == (60, 3, 3)
+    (tmp_path / "table_2.stl").write_bytes(body)
     assert editor.templates(spark, f"file://{tmp_path}") == ["table_2.stl"]
     info = editor.template(spark, f"file://{tmp_path}", "table_2.stl").first()
     assert (info.faces, info.size_x, info.size_z) == (60, 2.0, 0.75)

@@ -15,18 +15,71 @@ from pointloom.sources import cameras, clouds, files, logs, masks, stl
 from pointloom.streaming.views import running_view_counts
 
 
+def ply_bytes(rows, colours, order="<"):
+    """A binary PLY of single numbers, from rows of x, y, z and, with colours, red, green, blue from 0 to 1."""
+    form = "little" if order == "<" else "big"
+    head = ["ply", f"format binary_{form}_endian 1.0", f"element vertex {len(rows)}", *(f"property float {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue") if colours), "end_header", ""]
+    pack = struct.Struct(order + "fff" + "BBB" * colours).pack
+    return "\n".join(head).encode() + b"".join(pack(*map(float, r[:3]), *(int(255 * v) for v in r[3:6] if colours)) for r in rows)
+
+
 def test_ply(spark, tmp_path):
-    rows = [(0.5, 1.5, -2.0, 0.0, 0.5, 1.0), (1.0, 2.0, 3.0, None, None, None)]
-    (tmp_path / "a.ply").write_bytes(clouds.ply_bytes(rows, True))
-    (tmp_path / "b.ply").write_bytes(clouds.ply_bytes([r[:3] for r in rows], False))
+    rows = [(0.5, 1.5, -2.0, 0.0, 0.5, 1.0), (1.0, 2.0, 3.0, 0.5, 0.5, 0.5)]
+    (tmp_path / "a.ply").write_bytes(ply_bytes(rows, True))
+    (tmp_path / "b.ply").write_bytes(ply_bytes(rows, False, ">"))
     (tmp_path / "c.ply").write_text("ply\nformat ascii 1.0\ncomment x\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n0 0 1 255 0 51\n1 2 3 0 0 0\n3 0 1 1\n")
     got = clouds.read_cloud(spark, f"file://{tmp_path}/a.ply").orderBy("point_id").collect()
     assert [(r.point_id, r.x, r.y, r.z) for r in got] == [(0, 0.5, 1.5, -2.0), (1, 1.0, 2.0, 3.0)]
     assert abs(got[0].green - 127 / 255) < 1e-9 and got[1].red == 127 / 255
-    assert clouds.read_ply(spark, f"file://{tmp_path}/b.ply").filter("red IS NULL").count() == 2
+    assert clouds.read_ply(spark, f"file://{tmp_path}/b.ply").filter("red IS NULL AND z IN (-2, 3)").count() == 2
     assert clouds.read_ply(spark, f"file://{tmp_path}/c.ply").orderBy("point_id").first().blue == 0.2
+    every = clouds.read_ply(spark, f"file://{tmp_path}")
+    whole = clouds._whole_files(spark, f"file://{tmp_path}", every.schema)
+    assert every.count() == 6 and sorted(every.collect(), key=repr) == sorted(whole.collect(), key=repr)
     with pytest.raises(ValueError):
         clouds.parse_ply(b"ply\nformat ascii 1.0\nelement face 1\nelement vertex 1\nend_header\n")
+    (tmp_path / "a.ply").write_bytes(ply_bytes(rows, True)[:-3])
+    with pytest.raises(Exception, match="ends before its last record"):
+        clouds.read_ply(spark, f"file://{tmp_path}/a.ply").collect()
+
+
+def test_a_large_ply_is_read_by_several_tasks(spark, tmp_path):
+    n = 5000
+    (tmp_path / "bin.ply").write_bytes(ply_bytes([(k, 2 * k, -k, 0.2, 0.4, 0.6) for k in range(n)], True))
+    head = f"ply\nformat ascii 1.0\nelement vertex {n}\nproperty double x\nproperty double y\nproperty double z\nelement face 3\nproperty list uchar int vertex_indices\nend_header\n"
+    (tmp_path / "asc.ply").write_text(head + "".join(f"{k}  {2 * k}.0 {-k}\n" for k in range(n)) + "3 0 1 2\n" * 3)
+    for name in ("bin", "asc"):
+        for split in (11_900, 1 << 30):
+            df = clouds.read_ply(spark, f"file://{tmp_path}/{name}.ply", ["point_id", "x", "z"], split)
+            assert df.columns == ["point_id", "x", "z"]
+            assert (df.rdd.getNumPartitions() > 5) == (split < 1 << 20)
+            assert sorted(map(tuple, df.collect())) == [(k, float(k), float(-k)) for k in range(n)]
+
+
+@pytest.mark.parametrize("in_place", [True, False])
+def test_ply_sink(spark, tmp_path, in_place):
+    from pointloom.operators.util import placed
+    from pointloom.sources import records
+
+    n = 3000
+    points = spark.range(0, n, 1, 7).selectExpr("id * 7919 % 3000 AS point_id").selectExpr("point_id", "point_id / 3D AS x", "-point_id AS y", "1D AS z", "(point_id % 256) / 255D AS red", "0D AS green", "if(point_id % 2 = 0, NULL, 1D) AS blue", "concat('d/f', point_id % 3, '.ply') AS file")
+    at = f"file://{tmp_path}/out.ply"
+    for _ in range(2):  # what was there is replaced
+        clouds.write_ply(points.drop("file"), at)
+    got = clouds.read_ply(spark, at, split_bytes=5000).orderBy("point_id").collect()
+    assert [(r.point_id, r.x, r.y, round(255 * r.red), r.green, r.blue) for r in got] == [(k, k / 3, -k, k % 256, 0, 128 / 255 if k % 2 == 0 else 1) for k in range(n)]
+    assert [p.name for p in tmp_path.iterdir()] == ["out.ply"]
+    rows = placed(points.drop("red", "green", "blue"), F.col("file"), ["point_id"])
+    spark.dataSource.register(clouds.PlySource)
+    records.write(rows.select("file", "place", "total", *"xyz"), "ply", f"file://{tmp_path}/many", in_place=in_place)
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.glob("many/**/*.ply")) == [f"many/d/f{k}.ply" for k in range(3)]
+    back = clouds.read_ply(spark, f"file://{tmp_path}/many").collect()
+    assert sorted((r.path[-6:], r.point_id, r.x) for r in back) == sorted((f"f{k % 3}.ply", k // 3, k / 3) for k in range(n))
+    clouds.write_ply(points.drop("file").limit(0), at)
+    assert not (tmp_path / "out.ply").exists()  # no points, no file
+    with pytest.raises(Exception, match="not each in its place"):
+        rows.filter("place <> 5").select("file", "place", "total", *"xyz").write.format("ply").mode("overwrite").options(rows=n, places=rows.agg(F.sum("place")).first()[0], in_place=str(in_place).lower()).save(f"file://{tmp_path}/short")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["many"]  # an abort leaves nothing
 
 
 def test_text_clouds(spark, tmp_path):
@@ -88,6 +141,15 @@ def test_masks(spark, tmp_path):
         back[x.v, x.u_start : x.u_end + 1] = True
         assert (x.frame, x.mask_id, x.score) == ("f_1", 3, 0.75)
     assert (back == (grey > 0)).all()
+    two = masks.read_masks(spark, f"file://{tmp_path}").unionByName(spark.createDataFrame([("f_2", 0, None, 6, -3, 1), ("f_2", 0, None, 0, 8, 30), ("f_2", 0, None, 0, 2, 9), ("f_2", 11, 0.25, 3, 3, 3)], masks.RUNS))
+    masks.write_masks(two, f"file://{tmp_path}/out", 9, 7)
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").glob("*/*")) == ["f_1/mask_003_score_0.750.png", "f_2/mask_000.png", "f_2/mask_011_score_0.250.png"]
+    assert masks.decode_png((tmp_path / "out" / "f_2" / "mask_000.png").read_bytes())[[0, 6]].tolist() == [[0, 0, *[255] * 7], [255, 255, *[0] * 7]]
+    again = masks.read_masks(spark, f"file://{tmp_path}/out", 9, 7)
+    assert sorted(map(tuple, again.filter("frame = 'f_1'").collect())) == sorted(map(tuple, runs))
+    with pytest.raises(Exception, match="row 7 of 7"):
+        masks.write_masks(two.withColumn("v", F.lit(7)), f"file://{tmp_path}/bad", 9, 7)
+    assert not list(tmp_path.glob("bad*"))
     with pytest.raises(Exception, match="pixels instead of"):
         masks.read_masks(spark, f"file://{tmp_path}", 10, 7).collect()
 
@@ -98,11 +160,18 @@ def test_stl(spark, tmp_path):
     box = spark.createDataFrame([("m", 0.0, 0.0, 0.0, 1.0, 2.0, 3.0)], "mesh_id string, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double")
     v, f = meshes.boxes(box)
     stl.write_stl(meshes.corners(v, f), f"file://{tmp_path}/out")
-    text = next((tmp_path / "out").glob("mesh_id=m/*.txt"))
-    assert text.read_text().startswith("solid m") and text.read_text().rstrip().endswith("endsolid m")
-    triangles = stl.parse_stl(text.read_bytes())
-    (tmp_path / "bin.stl").write_bytes(bytes(80) + struct.pack("<I", len(triangles)) + b"".join(struct.pack("<12fH", 0, 0, 0, *t.ravel(), 0) for t in triangles))
-    (tmp_path / "asc.stl").write_bytes(text.read_bytes())
+    body = (tmp_path / "out" / "m.stl").read_bytes()
+    assert len(body) == 84 + 50 * 12 and not body.startswith(b"solid")
+    triangles = stl.parse_stl(body)
+    normals = np.frombuffer(body, np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("attr", "<u2")]), offset=84)["n"]
+    assert np.allclose(normals, [np.cross(t[1] - t[0], t[2] - t[0]) / np.linalg.norm(np.cross(t[1] - t[0], t[2] - t[0])) for t in triangles])
+    (tmp_path / "bin.stl").write_bytes(body)
+    lines = lambda t: "facet normal 0 0 0\n outer loop\n" + "".join(f"  vertex {x:.9g} {y:.9g} {z:.9g}\n" for x, y, z in t) + " endloop\nendfacet\n"
+    (tmp_path / "asc.stl").write_text("solid m\n" + "".join(map(lines, triangles)) + "endsolid m\n")
+    stl.write_scene_stl(meshes.corners(v, f).unionByName(meshes.corners(v, f).withColumn("mesh_id", F.lit("n"))), f"file://{tmp_path}/scene.stl")
+    scene = stl.read_stl(spark, f"file://{tmp_path}/scene.stl", 500)
+    assert scene.rdd.getNumPartitions() == 3 and [r.fid for r in scene.orderBy("fid").collect()] == list(range(24))
+    assert stl.scene_stl_check(spark, f"file://{tmp_path}/scene.stl").first().asDict() == {"faces": 24, "lo_x": 0, "lo_y": 0, "lo_z": 0, "hi_x": 1, "hi_y": 2, "hi_z": 3}
     for name in ("bin", "asc"):
         iv, jf = stl.indexed(stl.read_stl(spark, f"file://{tmp_path}/{name}.stl"))
         q = meshes.quality(iv, jf).first()
@@ -152,7 +221,7 @@ def edit_run(spark, run, tmp_path):
     placed = sorted(json.loads(files.read_text(spark, f"{run.dir}/table/scene_log.json"))["placements"], key=lambda p: p["position"][0])
     stays, goes = placed
     (tmp_path / "stl_templates").mkdir()
-    (tmp_path / "stl_templates" / "box.stl").write_text(editor.table_stl(spark, {"width": 1.0, "depth": 0.6, "height": 0.02}))
+    (tmp_path / "stl_templates" / "box.stl").write_bytes(editor.table_stl(spark, {"width": 1.0, "depth": 0.6, "height": 0.02}))
     was = objects.bounds(run.read("table", "vertices"), "mesh_id").filter(F.col("mesh_id") == stays["source"]).first()
     moved = stays | {"position": [p + 1.0 for p in stays["position"]], "dimensions": stays["dimensions"] | {"height": 2.0}}
     added = [{"template_file": "box.stl", "position": [5.0, 5.0, 5.0], "scale": 2.0}, {"template_file": "none.stl", "deleted": True}]
@@ -184,7 +253,7 @@ def test_whole_run(spark, tmp_path):
     a, b = (np.column_stack([r.uniform(-0.2, 0.2, 400) + dx, r.uniform(-0.1, 0.1, 400), r.uniform(0, 0.02, 400)]) for dx in (-0.5, 0.5))
     pts = np.vstack([a, b, r.uniform(-1, 1, (100, 3)) * [1, 0.2, 0.01] + [0, 0.9, 0]])
     # The reconstruction's frame, before its transform is undone: x, y, z here are x, z, -y there.
-    (root / "input" / "cloud.ply").write_bytes(clouds.ply_bytes([(x, -z, y, 0.5, 0.5, 0.5) for x, y, z in pts], True))
+    (root / "input" / "cloud.ply").write_bytes(ply_bytes([(x, -z, y, 0.5, 0.5, 0.5) for x, y, z in pts], True))
     (root / "input" / "d.json").write_text(json.dumps({"transform": [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0]], "scale": 1.0}))
     look = lambda h: [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, h], [0, 0, 0, 1.0]]
     frames = [{"file_path": f"images/f{n}.png", "transform_matrix": look(2.0 + 0.1 * n)} for n in range(3)]
@@ -208,9 +277,11 @@ def test_whole_run(spark, tmp_path):
     checks = {n: stl.scene_stl_check(spark, run.path("scene", f"{n}.stl")).first() for n in ("furniture", "room", "furniture_and_room")}
     assert checks["furniture"].faces == 120 and checks["furniture_and_room"].faces == 120 + checks["room"].faces
     assert checks["furniture_and_room"].lo_x == checks["room"].lo_x < checks["furniture"].lo_x
-    text = [r.value for r in spark.read.text(run.path("scene", "furniture.stl")).collect()]
-    assert text[0] == "solid furniture" and text[-1] == "endsolid furniture"
-    assert len([f for f in (root / "runs" / "r").glob("**/individual/mesh_id=*")]) == 2
+    assert (root / "runs" / "r" / "scene" / "furniture.stl").stat().st_size == 84 + 50 * 120
+    assert len([f for f in (root / "runs" / "r").glob("**/individual/*.stl")]) == 2
+    for name, table in (("FINAL_combined_all_images", "raw"), ("FINAL_filtered", "filtered")):
+        found = clouds.read_ply(spark, run.path("table", f"{name}.ply"))
+        assert found.count() == run.read("table", table).count() and found.filter("red IS NULL").count() == 0
     run.run(["5"])
     assert run.read("scene", "room_log").first() == log
     edit_run(spark, run, tmp_path)
