@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window as W
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from pointloom.plans.scratch import materialize
 
-from .util import scalars
+from .util import numbered, scalars
 
 
 def _cells(df: DataFrame, cell: float) -> DataFrame:
@@ -35,33 +37,133 @@ def close_pairs(left: DataFrame, right: DataFrame, reach: float, keys: tuple[str
     return met.withColumn("d2", d2).filter(F.col("d2") <= F.lit(reach * reach)).select(*keys, "a", "b", "d2", *(f"{c}_{s}" for c in carry for s in "ab"))
 
 
-def nearest_neighbours(points: DataFrame, k: int, reach: float) -> DataFrame:
+#: Points of a leaf at least; a leaf has less than twice as many.
+LEAF_POINTS = 256
+_BITS = 20
+
+
+def _spread(v: Column) -> Column:
+    """The bits of a 20-bit number, two zeros after each."""
+    for by, keep in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(keep))
+    return v
+
+
+def leaves(points: DataFrame) -> DataFrame:
+    """points with leaf: runs of LEAF_POINTS and more along a curve that visits an octree's cells depth first (Morton order), so
+    leaves are small where points are dense. A table."""
+    edge = [e for c in "xyz" for e in (F.min(c), F.max(c))]
+    low = scalars(points, *edge, F.count(F.lit(1)))
+    n = low[6]
+    cell = lambda k, c: F.least(F.floor((F.col(c) - F.lit(low[2 * k])) * F.lit((1 << _BITS) / span)), F.lit((1 << _BITS) - 1)) if (span := (low[2 * k + 1] or 0.0) - (low[2 * k] or 0.0)) > 0 else F.lit(0)
+    code = F.lit(0).cast("long")
+    for k, c in enumerate("xyz"):
+        code = code.bitwiseOR(F.shiftleft(_spread(cell(k, c).cast("long")), k))
+    ranked = numbered(points.withColumn("code", code), "nth", "code", "point_id")
+    last = max(0, n // LEAF_POINTS - 1)
+    return materialize(ranked.withColumn("leaf", F.least(F.floor(F.col("nth") / LEAF_POINTS), F.lit(last)).cast("long")).drop("nth", "code"), "leaves")
+
+
+def _closest(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray, ids_b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of a the k nearest of b with another id: row of a, id and squared distance; ties to the smaller id."""
+    rows, found, far = [], [], []
+    order = np.argsort(ids_b)
+    b, ids_b = b[order], ids_b[order]
+    for s in range(0, len(a), 1024):
+        d = a[s : s + 1024, None, :] - b[None, :, :]
+        d2 = d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1] + d[:, :, 2] * d[:, :, 2]
+        d2[ids_a[s : s + 1024, None] == ids_b[None, :]] = np.inf
+        best = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(d2, best, axis=1)
+        r, c = np.nonzero(near < np.inf)
+        rows.append(r + s), found.append(ids_b[best[r, c]]), far.append(near[r, c])
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (rows, found, far))
+
+
+def _places(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.column_stack([t.column(c).to_numpy() for c in "xyz"]).reshape(-1, 3), t.column("point_id").to_numpy()
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, d2: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "d2": pa.array(d2.astype(float))})
+
+
+def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
     """a, b, d2, rank: the k nearest others of each point at any distance (all others where there are fewer), ties to the smaller
-    id (J10). reach: where the search begins; it is doubled for points that haven't found k yet. Points without a place have none."""
+    id (J10). Points without a place have none.
+
+    Points first meet those of their own leaf, which gives each a radius; those whose ball reaches other leaves' bounds then
+    visit these. Rows made are k a point and visit. Of points at one place the k + 1 of smallest id are searched and found:
+    they are the nearest of all others there."""
     points = points.select("point_id", *"xyz").filter(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz"))
-    *sides, n = scalars(points, *[F.max(c) - F.min(c) for c in "xyz"], F.count(F.lit(1)))
-    across, want = 2 * sum(d or 0.0 for d in sides), min(k, n - 1)  # no pair is farther apart than that
-    out, todo = None, points
-    while True:
-        pairs = close_pairs(todo, points, reach).filter("a <> b")
-        found = pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("d2", "b"))).filter(F.col("rank") <= k)
-        found = materialize(found, "nearest")
-        done = found.filter(F.col("rank") == want).select("a")
-        last = reach >= across
-        part = found if last else found.join(done, "a", "left_semi")
-        out = part if out is None else out.unionByName(part)
-        if last:
-            return out
-        todo = materialize(todo.join(done, F.col("point_id") == F.col("a"), "left_anti"), "nearest-open")
-        if todo.isEmpty():
-            return out
-        reach *= 2
-
-
-def spacing(points: DataFrame, reach: float | None = None, k: int = 5, start: float = 0.1) -> float:
+    points = points.withColumns({c: F.col(c) + 0.0 for c in "xyz"})  # one zero
+    here = W.partitionBy(*"xyz").orderBy("point_id")
+    kept = materialize(points.withColumn("nth", F.row_number().over(here)).filter(F.col("nth") <= k + 1), "places")
+    table = leaves(kept.drop("nth"))
+
+    def own(t: pa.Table) -> pa.Table:
+        p, ids = _places(t)
+        rows, found, d2 = _closest(p, ids, p, ids, k)
+        return _pairs(ids[rows], found, d2)
+
+    first = materialize(table.groupBy("leaf").applyInArrow(own, "a long, b long, d2 double"), "nearest-own")
+    reach = first.groupBy("a").agg(F.max("d2").alias("r2"), F.count(F.lit(1)).alias("n"))
+    # A point that its leaf has fewer than k others for is in the only leaf.
+    sought = materialize(table.join(reach.filter(F.col("n") == k).select(F.col("a").alias("point_id"), "r2"), "point_id"), "nearest-balls")
+    spans = [f(c).alias(f"{e}_{c}") for e, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"]
+    boxes = table.groupBy("leaf").agg(*spans)
+    ball = lambda c: F.sqrt("r2") * (1 + 1e-9) + F.abs(c) * 1e-12  # noqa: E731 - no rounding makes it smaller
+    grown = [e for c in "xyz" for e in (F.min(F.col(c) - ball(c)).alias(f"lo_{c}"), F.max(F.col(c) + ball(c)).alias(f"hi_{c}"))]
+    meet = materialize(_overlapping(sought.groupBy("leaf").agg(*grown), boxes), "nearest-leaves")
+    gap = [F.greatest(F.lit(0.0), F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}")) for c in "xyz"]
+    visits = sought.join(meet, "leaf").filter(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= F.col("r2"))
+    visits = visits.select(F.col("other").alias("leaf"), "point_id", *"xyz", "r2")
+
+    def visited(here: pa.Table, guests: pa.Table) -> pa.Table:
+        p, ids = _places(here)
+        g, own_ids = _places(guests)
+        rows, found, d2 = _closest(g, own_ids, p, ids, k)
+        near = d2 <= guests.column("r2").to_numpy()[rows.astype(np.int64)] if len(rows) else np.zeros(0, bool)
+        return _pairs(own_ids[rows[near].astype(np.int64)], found[near], d2[near])
+
+    further = table.groupBy("leaf").cogroup(visits.groupBy("leaf")).applyInArrow(visited, "a long, b long, d2 double")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("d2", "b"))).filter(F.col("rank") <= k)
+    found = ranked(first.unionByName(further))
+    # The others at a crowded place have its k of smallest id.
+    spare = points.join(kept.filter(F.col("nth") == k + 1).select(*"xyz", F.col("point_id").alias("after")), [*"xyz"]).filter(F.col("point_id") > F.col("after"))
+    crowded = spare.join(kept.filter(F.col("nth") <= k).select(*"xyz", F.col("point_id").alias("b"), "nth"), [*"xyz"])
+    return found.unionByName(crowded.select(F.col("point_id").alias("a"), "b", F.lit(0.0).alias("d2"), F.col("nth").alias("rank")))
+
+
+def _overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
+    """leaf (of a), other (of b, another leaf) and b's bounds where boxes touch. Boxes meet in the cells of a grid as wide as the
+    larger one's size class, so a box has at most eight cells of a class."""
+    sides = [f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"]
+    longest = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"], F.lit(1e-300))
+    a, b = (df.withColumn("level", F.ceil(F.log2(longest)).cast("int")) for df in (a, b))
+    levels = sorted({r.level for df in (a, b) for r in df.select("level").distinct().collect()})  # exponents of doubles: some 2,000 at most
+    width = F.pow(F.lit(2.0), "meets")
+
+    def cells(df: DataFrame) -> DataFrame:
+        df = df.withColumn("meets", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda n: n >= F.col("level"))))
+        for c in "xyz":
+            df = df.withColumn(f"cell_{c}", F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / width), F.floor(F.col(f"hi_{c}") / width))))
+        return df
+
+    if not levels:
+        return a.crossJoin(b.select(F.col("leaf").alias("other"))).select("leaf", "other", *sides)
+    left = cells(a).withColumnsRenamed({s: f"{s}_a" for s in [*sides, "level"]})
+    right = cells(b).withColumnRenamed("leaf", "other")
+    met = left.join(right, ["meets", "cell_x", "cell_y", "cell_z"]).filter((F.col("leaf") != F.col("other")) & (F.col("meets") == F.greatest("level", "level_a")))
+    for c in "xyz":  # a pair counts in the cell where what they share begins
+        met = met.filter((F.col(f"lo_{c}_a") <= F.col(f"hi_{c}")) & (F.col(f"lo_{c}") <= F.col(f"hi_{c}_a")) & (F.col(f"cell_{c}") == F.floor(F.greatest(f"lo_{c}", f"lo_{c}_a") / width)))
+    return met.select("leaf", "other", *sides)
+
+
+def spacing(points: DataFrame, reach: float | None = None, k: int = 5) -> float:
     """Median distance of up to k nearest neighbours, at any distance or within reach if it is given; 0.01 where there are none
     (A18)."""
-    found = nearest_neighbours(points, k, start)
+    found = nearest_neighbours(points, k)
     if reach is not None:
         found = found.filter(F.col("d2") <= F.lit(reach * reach))
     return scalars(found, F.median(F.sqrt("d2")))[0] or 0.01

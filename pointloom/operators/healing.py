@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import FEW, connected_components
 from .distance import close_pairs
 from .util import one_row
 
@@ -48,7 +48,7 @@ def fillers(links: DataFrame, points: DataFrame, resolution: float) -> DataFrame
 def groups(points: DataFrame, links: DataFrame) -> DataFrame:
     """fragment, group_root, n_fragments and name: fragments that connections hold together (G03); lone ones are isolated."""
     all_ = points.select("fragment").distinct()
-    found = connected_components(links.select("src", "dst").distinct(), "src", "dst")
+    found = connected_components(links.select("src", "dst").distinct(), "src", "dst", FEW)
     rooted = all_.join(found, F.col("fragment") == F.col("node"), "left").select("fragment", F.coalesce("component", "fragment").alias("group_root"))
     sizes = rooted.groupBy("group_root").agg(F.count(F.lit(1)).alias("n_fragments"))
     name = F.when(F.col("n_fragments") > 1, F.concat(F.lit("merged_group_"), "group_root")).otherwise(F.concat(F.lit("isolated_"), "fragment"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from pointloom.plans.scratch import materialize
 
+from .components import FEW, connected_components
 from .util import numbered, one_row, scalars
 
 
@@ -143,20 +146,59 @@ def overlaps(boxes: DataFrame, ratio: float) -> DataFrame:
     return out.filter(F.col("overlap") >= ratio)
 
 
-def suppress(boxes: DataFrame, ratio: float) -> DataFrame:
+#: Overlaps of one component that one task settles one by one: some 100 MB of arrays.
+GROUP_PAIRS = 1 << 21
+
+
+def suppress(boxes: DataFrame, ratio: float, group_pairs: int = GROUP_PAIRS) -> DataFrame:
     """object_id, accepted and merged_with: greedily, by falling point_count, footprint, then object_id, a box is accepted unless it
     overlaps an accepted one; merged_with is the first of those (G04, T03).
 
-    The same as one by one, in rounds over all at once: a box without a better undecided rival is accepted, its worse rivals
-    fall. A ratio of 0 or less accepts all."""
-    order = F.struct(-F.col("point_count"), -F.col("footprint"), F.col("object_id"))
-    rank = boxes.select("object_id", order.alias("rank"))
+    Boxes that no chain of overlaps connects don't matter to each other: components of up to group_pairs overlaps are settled
+    each in one group, one box after the other (all together where there are no more). Larger ones are settled in rounds over all their boxes at once: a box without
+    a better undecided rival is accepted, its worse rivals fall. A ratio of 0 or less accepts all."""
     if ratio <= 0:
         return boxes.select("object_id", F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("merged_with"))
+    ranked = numbered(boxes.select("object_id", "point_count", "footprint"), "nth", F.desc("point_count"), F.desc("footprint"), "object_id")
+    ranked = materialize(ranked.select("object_id", "nth"), "ranked")
     pairs = overlaps(boxes, ratio)
-    ranked = pairs.join(rank.withColumnRenamed("rank", "rank_a"), F.col("a") == F.col("object_id")).drop("object_id").join(rank.withColumnRenamed("rank", "rank_b"), F.col("b") == F.col("object_id")).drop("object_id")
-    worse = F.col("rank_a") > F.col("rank_b")
-    rivals = materialize(ranked.select(F.when(worse, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(worse, F.col("b")).otherwise(F.col("a")).alias("high"), F.when(worse, F.col("rank_b")).otherwise(F.col("rank_a")).alias("high_rank")), "rivals")
+    rank = lambda c: ranked.select(F.col("object_id").alias(c), F.col("nth").alias(f"nth_{c}"))
+    rivals = pairs.join(rank("a"), "a").join(rank("b"), "b").select(F.greatest("nth_a", "nth_b").alias("low"), F.least("nth_a", "nth_b").alias("high"))
+    rivals = materialize(rivals, "rivals")
+    if rivals.count() <= group_pairs:
+        grouped = rivals.withColumn("component", F.lit(0).cast("long"))
+    else:
+        groups = connected_components(rivals, "low", "high", FEW)
+        grouped = materialize(rivals.join(groups, F.col("low") == F.col("node")).select("component", "low", "high"), "rival-groups")
+    size = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(size.filter(F.col("n") > group_pairs).select("component"), "large-groups")
+    decided = grouped.join(large, "component", "left_anti").groupBy("component").applyInArrow(_one_by_one, "low long, accepted boolean, merged_with long")
+    if not large.isEmpty():
+        decided = decided.unionByName(_in_rounds(materialize(grouped.join(large, "component", "left_semi").select("low", "high"), "large-rivals")))
+    name = ranked.select(F.col("object_id").alias("into"), F.col("nth").alias("merged_with"))
+    out = ranked.join(decided, F.col("nth") == F.col("low"), "left").join(name, "merged_with", "left")
+    return out.select("object_id", F.coalesce("accepted", F.lit(True)).alias("accepted"), F.col("into").alias("merged_with"))
+
+
+def _one_by_one(rivals: pa.Table) -> pa.Table:
+    """Verdicts on all that have a better rival, in order of rank; those without are accepted."""
+    nodes, at = np.unique(np.concatenate([rivals.column(c).to_numpy() for c in ("low", "high")]), return_inverse=True)
+    low, high = at[: len(rivals)], at[len(rivals) :]
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    judged, begin = np.unique(low, return_index=True)
+    accepted, into = np.ones(len(nodes), bool), np.full(len(nodes), -1)
+    for x, a, b in zip(judged.tolist(), begin.tolist(), [*begin[1:].tolist(), len(low)]):
+        better = high[a:b]
+        better = better[accepted[better]]
+        if len(better):
+            accepted[x], into[x] = False, better[0]
+    out = accepted[judged]
+    merged = pa.array(nodes[into[judged]], pa.int64(), mask=out) if len(judged) else pa.array([], pa.int64())
+    return pa.table({"low": pa.array(nodes[judged], pa.int64()), "accepted": pa.array(out), "merged_with": merged})
+
+
+def _in_rounds(rivals: DataFrame) -> DataFrame:
     state = materialize(rivals.select(F.col("low").alias("id")).union(rivals.select("high")).distinct().withColumn("accepted", F.lit(None).cast("boolean")), "suppress")
     while state.filter("accepted IS NULL").limit(1).count():
         highs = rivals.join(state.withColumnRenamed("accepted", "high_in"), F.col("high") == F.col("id"))
@@ -164,9 +206,8 @@ def suppress(boxes: DataFrame, ratio: float) -> DataFrame:
         step = state.join(seen, F.col("id") == F.col("of"), "left")
         decided = F.coalesce("accepted", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True))
         state = materialize(step.select("id", decided.alias("accepted")), "suppress")
-    first = rivals.join(state.filter("accepted").select("id"), F.col("high") == F.col("id")).groupBy(F.col("low").alias("of")).agg(F.min_by("high", "high_rank").alias("merged_with"))
-    out = boxes.select("object_id").join(state, F.col("object_id") == F.col("id"), "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
-    return out.join(first, F.col("object_id") == F.col("of"), "left").select("object_id", "accepted", F.when(~F.col("accepted"), F.col("merged_with")).alias("merged_with"))
+    first = rivals.join(state.filter("accepted").select("id"), F.col("high") == F.col("id")).groupBy(F.col("low").alias("of")).agg(F.min("high").alias("merged_with"))
+    return state.join(first, F.col("id") == F.col("of"), "left").select(F.col("id").alias("low"), "accepted", F.when(~F.col("accepted"), F.col("merged_with")).alias("merged_with"))
 
 
 def first_merged(boxes: DataFrame, ratio: float, most: int = 10) -> DataFrame:
@@ -200,8 +241,6 @@ def orientation(points: DataFrame, key: str) -> DataFrame:
 def vertical_axis(points: DataFrame, key: str, override: tuple[float, float, float] | None = None) -> tuple[float, float, float]:
     """The direction in which the objects' lowest parts vary least, upward (A17): from the mean of each object's points up to
     its 10th percentile of z, if more than 10 are; straight up for fewer than three objects."""
-    import numpy as np
-
     if override is not None:
         return override
     low = F.percentile("z", 0.1).over(W.partitionBy(key))

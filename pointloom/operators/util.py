@@ -40,7 +40,8 @@ def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
 
 def placed(df: DataFrame, file: Column, order: list[str]) -> DataFrame:
     """df with file, place (rank from 0 within the file) and total (the file's rows), for records.write; a table."""
-    ranked = numbered(df.withColumn("file", file), "nth", "file", *order)
+    rows = materialize(df.withColumn("file", file), "records")  # dealing by ranges reads its rows twice
+    ranked = numbered(rows, "nth", "file", *order)
     files = materialize(ranked.groupBy("file").agg(F.min("nth").alias("from_nth"), F.count(F.lit(1)).alias("total")), "files")
     out = ranked.join(files, "file").withColumn("place", F.col("nth") - F.col("from_nth")).drop("nth", "from_nth")
     return materialize(out.repartitionByRange("file", "place").sortWithinPartitions("file", "place"), "placed")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .util import one_row, small
+from pointloom.plans.scratch import materialize
+
+from .util import one_row
 
 #: Thresholds of the cumulative view histogram.
 VIEW_STEPS = (1, 2, 3, 5, 10, 20)
@@ -29,24 +31,42 @@ def loose_tolerance(z_threshold: float) -> float:
     return max(10 * z_threshold, 0.5)
 
 
+def mask_words(runs: DataFrame, *keys: str) -> DataFrame:
+    """Masks as bits: for each frame, keys, pixel row and 64 columns (word) a number whose bits are the pixels of any run.
+
+    Runs that overlap become one set; a row has a bounded number of words however many masks there are. Written as a table, so
+    that its bytes tell the planner whether it may be sent to all tasks."""
+    own = runs.filter("u_start <= u_end AND u_end >= 0").select("frame_id", *keys, "v", F.greatest("u_start", F.lit(0)).alias("first"), F.col("u_end").alias("last"))
+    words = own.withColumn("word", F.explode(F.sequence(F.expr("first div 64"), F.expr("last div 64"))))
+    lo, hi = F.greatest(F.col("first") - 64 * F.col("word"), F.lit(0)).cast("int"), F.least(F.col("last") - 64 * F.col("word"), F.lit(63)).cast("int")
+    every = F.lit(-1).cast("long")
+    bits = F.call_function("shiftleft", every, lo).bitwiseAND(F.call_function("shiftrightunsigned", every, 63 - hi))
+    return materialize(words.groupBy("frame_id", *keys, "v", "word").agg(F.bit_or(bits).alias("bits")), "mask-words")
+
+
+def _on_words(projected: DataFrame, words: DataFrame, how: str = "inner") -> DataFrame:
+    """projected, u from 0, joined with the words whose bit of their pixel is set."""
+    own = words.withColumnsRenamed({"frame_id": "of_frame", "v": "row"})
+    same = (F.col("frame_id") == F.col("of_frame")) & (F.col("v") == F.col("row")) & (F.expr("u div 64") == F.col("word"))
+    bit = F.getbit("bits", F.pmod(F.col("u"), F.lit(64))) == 1
+    return projected.join(own, same & bit, how).drop("of_frame", "row", "word", "bits")
+
+
 def in_masks(projected: DataFrame, runs: DataFrame) -> DataFrame:
-    """Projected points with each mask (mask_id) they fall in; runs: frame_id, mask_id, v, u_start, u_end inclusive."""
-    spans = runs.select("frame_id", "mask_id", "v", "u_start", "u_end")
-    return projected.join(spans, ["frame_id", "v"]).filter("u BETWEEN u_start AND u_end").drop("u_start", "u_end").dropDuplicates(["frame_id", "mask_id", "point_id"])
+    """Projected points with each mask (mask_id) they fall in; runs: frame_id, mask_id, v, u_start, u_end inclusive (J04, F04). A
+    mask has one word at a pixel, so a point meets it once."""
+    return _on_words(projected, mask_words(runs, "mask_id"))
 
 
 def view_counts(projected: DataFrame, runs: DataFrame) -> DataFrame:
-    """n_views of each point: in how many frames it falls in any mask (A01, A21, U03). Spans join as a semi-join."""
-    spans = runs.select("frame_id", F.col("v").alias("row"), "u_start", "u_end").withColumnRenamed("frame_id", "of_frame")
-    hit = projected.join(spans, (F.col("frame_id") == F.col("of_frame")) & (F.col("v") == F.col("row")) & F.col("u").between(F.col("u_start"), F.col("u_end")), "left_semi")
-    return hit.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_views"))
+    """n_views of each point: in how many frames it falls in any mask."""
+    return covered(projected, runs).groupBy("point_id").agg(F.count(F.lit(1)).alias("n_views"))
 
 
 def covered(projected: DataFrame, runs: DataFrame) -> DataFrame:
     """Projected points whose pixel some mask of their frame covers. Masks cover whole pixels, so a pixel's z-buffer needs these
-    points only: what no mask covers goes before anything is shuffled, where the spans are few enough to be sent."""
-    spans = small(runs.select(F.col("frame_id").alias("of_frame"), F.col("v").alias("row"), "u_start", "u_end"))
-    return projected.join(spans, (F.col("frame_id") == F.col("of_frame")) & (F.col("v") == F.col("row")) & F.col("u").between(F.col("u_start"), F.col("u_end")), "left_semi")
+    points only: what no mask covers goes before anything is shuffled, where the words are few enough to be sent."""
+    return _on_words(projected, mask_words(runs), "left_semi")
 
 
 def seen_counts(projected: DataFrame, runs: DataFrame, z_threshold: float) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.plans.scratch import materialize
 
-from .components import connected_components
-from .distance import close_pairs
+from .components import FEW, connected_components
 from .util import one_row, scalars
 
 #: One of each two opposite neighbours of a voxel.
@@ -42,7 +41,7 @@ def octree_components(points: DataFrame, level: int) -> DataFrame:
     """point_id and root: the smallest point_id among points whose voxels hang together (G01). The graph is one of voxels."""
     grid = voxelize(points, level)
     voxels = grid.groupBy("i", "j", "k").agg(F.min("point_id").alias("vid"))
-    found = connected_components(voxel_edges(voxels))
+    found = connected_components(voxel_edges(voxels), few=FEW)
     rooted = voxels.join(found, F.col("vid") == F.col("node"), "left").select("i", "j", "k", F.coalesce("component", "vid").alias("root"))
     return grid.join(rooted, ["i", "j", "k"]).select("point_id", "root")
 
@@ -63,16 +62,77 @@ def dbscan_components(points: DataFrame, level: int | None = None, eps: float |
     eps = eps_of(points, level, eps)
     placed = points.select("point_id", *"xyz").filter(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz"))
     side = eps / 3**0.5 * (1 - 1e-6)
-    cell = {n: F.floor(F.col(c) / F.lit(side)) if side > 0 else F.col(c) for n, c in zip(("i", "j", "k"), "xyz")}
-    placed = placed.withColumns(cell)
+    placed = placed.withColumns({n: F.floor(F.col(c) / F.lit(side)) if side > 0 else F.col(c) for n, c in zip("ijk", "xyz")})
     low = placed.groupBy("i", "j", "k").agg(F.min("point_id").alias("cell"))
-    tagged = materialize(placed.join(low, ["i", "j", "k"]).select("point_id", "cell", *"xyz"), "eps-cells")
-    links = close_pairs(tagged, tagged, eps, carry=("cell",), where="cell_a < cell_b").select(F.col("cell_a").alias("a"), F.col("cell_b").alias("b")).distinct()
-    found = connected_components(links)
+    tagged = materialize(placed.join(low, ["i", "j", "k"]).select("point_id", "cell", *"ijk", *"xyz"), "eps-cells")
+    found = connected_components(_near_cells(tagged, eps, side) if side > 0 else tagged.select(F.col("cell").alias("a"), F.col("cell").alias("b")).limit(0), few=FEW)
     rooted = tagged.select("point_id", "cell").join(found, F.col("cell") == F.col("node"), "left").select("point_id", F.coalesce("component", "cell").alias("root"))
     return points.select("point_id").join(rooted, "point_id", "left").select("point_id", F.coalesce("root", "point_id").alias("root"))
 
 
+#: Pairs of points that one pair of boxes is compared by; boxes of more are divided.
+BOX_PAIRS = 4096
+
+
+def _boxes(tagged: DataFrame, side: float, depth: int) -> DataFrame:
+    """Occupied boxes of a depth below the cells (sides halve from depth to depth): which cell they are in, their place and the one
+    of the box above, what they span and how many points they have."""
+    width = F.lit(side / 2**depth)
+    rows = tagged.select("cell", *[F.floor(F.col(c) / width).alias(f"{n}0") for n, c in zip("ijk", "xyz")], *"xyz")
+    spans = [f(c).alias(f"{e}_{c}") for e, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"]
+    own = rows.groupBy("cell", "i0", "j0", "k0").agg(*spans, F.count(F.lit(1)).alias("n"))
+    return own.withColumn("above", F.struct(*[F.floor(F.col(f"{n}0") / 2).alias(n) for n in "ijk"])).withColumn("box", F.struct(*[F.col(f"{n}0").alias(n) for n in "ijk"])).drop("i0", "j0", "k0")
+
+
+def _apart(pairs: DataFrame) -> DataFrame:
+    """pairs of boxes a and b with near2 and far2: squares of the least and greatest distance that their points can have."""
+    axis = lambda e, c, s: F.col(f"{s}.{e}_{c}")
+    gaps = [F.greatest(F.lit(0.0), axis("lo", c, "b") - axis("hi", c, "a"), axis("lo", c, "a") - axis("hi", c, "b")) for c in "xyz"]
+    spans = [F.greatest(axis("hi", c, "b") - axis("lo", c, "a"), axis("hi", c, "a") - axis("lo", c, "b")) for c in "xyz"]
+    square = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+    return pairs.withColumn("near2", square(gaps)).withColumn("far2", square(spans))
+
+
+def _near_cells(tagged: DataFrame, eps: float, side: float) -> DataFrame:
+    """a, b: cells with points at most eps from each other. One verdict a pair of cells: what its boxes span mostly tells; of those
+    left, boxes of few points are compared point by point, and the others divided into eight, until all are decided. A pair
+    goes no further once any of its boxes is near. Rows grow with cells and with points along their borders."""
+    reach2 = F.lit(eps * eps)
+    steps = [d for d in product((-2, -1, 0, 1, 2), repeat=3) if d > (0, 0, 0)]
+    cells = materialize(_boxes(tagged, side, 0), "eps-boxes")
+    body = lambda s: F.struct(*[c for c in cells.columns if c != "above"]).alias(s)
+    around = F.explode(F.array(*[F.struct(*[(F.col(f"box.{n}") + d).alias(n) for n, d in zip("ijk", step)]) for step in steps])).alias("at")
+    met = cells.select(body("a"), around).join(cells.select(body("b"), F.col("box").alias("at")), "at").drop("at")
+    links, depth = [], 0
+    todo = materialize(_apart(met).filter(F.col("near2") <= reach2), "eps-pairs")
+    while True:
+        ids = [F.col("a.cell").alias("a"), F.col("b.cell").alias("b")]
+        sure = todo.filter(F.col("far2") <= reach2).select(*ids)
+        few = F.col("a.n") * F.col("b.n") <= BOX_PAIRS
+        open_ = todo.filter(F.col("far2") > reach2)
+        width = F.lit(side / 2**depth)
+        own = tagged.select("cell", F.struct(*[F.floor(F.col(c) / width).alias(n) for n, c in zip("ijk", "xyz")]).alias("box"), F.struct(*"xyz").alias("p"))
+        of = lambda s: own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns])
+        pick = open_.filter(few).select(*ids, F.col("a.box").alias("at_a"), F.col("b.box").alias("at_b"))
+        both = pick.join(of("a"), (F.col("a") == F.col("cell_a")) & (F.col("at_a") == F.col("box_a"))).join(of("b"), (F.col("b") == F.col("cell_b")) & (F.col("at_b") == F.col("box_b")))
+        gap = lambda c: F.col(f"p_a.{c}") - F.col(f"p_b.{c}")
+        near = both.filter(gap("x") * gap("x") + gap("y") * gap("y") + gap("z") * gap("z") <= reach2).select("a", "b")
+        links.append(materialize(sure.unionByName(near).distinct(), "eps-links"))
+        many = open_.filter(~few).join(links[-1].select(F.col("a").alias("near_a"), F.col("b").alias("near_b")), (F.col("a.cell") == F.col("near_a")) & (F.col("b.cell") == F.col("near_b")), "left_anti")
+        many = materialize(many.select(*ids, F.col("a.box").alias("above_a"), F.col("b.box").alias("above_b")), "eps-open")
+        if many.isEmpty():
+            break
+        depth += 1
+        inner = materialize(_boxes(tagged.join(many.select(F.explode(F.array("a", "b")).alias("cell")).distinct(), "cell", "left_semi"), side, depth), "eps-boxes")
+        parts = lambda s: inner.select(F.col("cell").alias(s), F.col("above").alias(f"above_{s}"), body(f"box_{s}"))
+        todo = many.join(parts("a"), ["a", "above_a"]).join(parts("b"), ["b", "above_b"]).select(F.col("box_a").alias("a"), F.col("box_b").alias("b"))
+        todo = materialize(_apart(todo).filter(F.col("near2") <= reach2), "eps-pairs")
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("root").agg(F.count(F.lit(1)).alias("n_points"))
 

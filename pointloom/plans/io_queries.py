@@ -114,10 +114,10 @@ def k03(s):
     at = _folder(s, "masks")
     hit = visibility.in_masks(_loose(s), s.mask_runs()).select("frame_id", "mask_id", "point_id").distinct().join(s.points(), "point_id")
     clouds.write_ply(hit.select("point_id", *"xyz", "frame_id", "mask_id"), at, file=F.format_string("frame_%d/mask_%03d.ply", "frame_id", "mask_id"))
-    name = lambda k: F.regexp_extract("path", r"([^/]+)/mask_(\d+)\.ply$", k)
+    part = lambda k: F.element_at(F.split("path", "/"), k)
     got = clouds.read_ply(s.spark, at, ["path", "x", "y"])
     total = [F.round(F.sum(F.round(c, 6)), 4).alias(f"sum_{c}") for c in "xy"]
-    return got.groupBy(name(1).alias("frame"), name(2).cast("int").alias("mask_id")).agg(F.count(F.lit(1)).alias("n"), *total)
+    return got.groupBy(part(-2).alias("frame"), F.regexp_extract(part(-1), r"^mask_(\d+)", 1).cast("int").alias("mask_id")).agg(F.count(F.lit(1)).alias("n"), *total)
 
 
 @query("k14_mask_files", with_views("mask_runs", query="SELECT 'frame_' || frame_id AS frame, mask_id::INTEGER AS mask_id, (mask_id % 1000) / 1000 AS score, v::INTEGER AS v, u_start::INTEGER AS u_start, least(u_end, 319)::INTEGER AS u_end FROM mask_runs"))

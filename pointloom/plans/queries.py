@@ -204,12 +204,12 @@ def j15(s):
 
 @query("j10_nearest_neighbours", with_views("cloud", query=f"SELECT a.point_id AS a, b.point_id AS b, row_number() OVER (PARTITION BY a.point_id ORDER BY {PAIRS}, b.point_id)::INTEGER AS rank FROM cloud a JOIN cloud b ON a.point_id <> b.point_id QUALIFY rank <= 5"))
 def j10(s):
-    return distance.nearest_neighbours(s.cloud(), 5, 0.1).select("a", "b", "rank")
+    return distance.nearest_neighbours(s.cloud(), 5).select("a", "b", "rank")
 
 
 @query("a18_spacing", with_views("cloud", query=f"SELECT round(quantile_cont(sqrt(d2), 0.5), 6) AS spacing FROM (SELECT {PAIRS} AS d2 FROM cloud a JOIN cloud b ON a.point_id <> b.point_id QUALIFY row_number() OVER (PARTITION BY a.point_id ORDER BY {PAIRS}, b.point_id) <= 5)"))
 def a18(s):
-    return distance.nearest_neighbours(s.cloud(), 5, 0.1).agg(F.round(F.median(F.sqrt("d2")), 6).alias("spacing"))
+    return distance.nearest_neighbours(s.cloud(), 5).agg(F.round(F.median(F.sqrt("d2")), 6).alias("spacing"))
 
 
 # ---- healing ---------------------------------------------------------------------------------------------------------

@@ -203,6 +203,21 @@ def test_suppression_is_greedy(spark):
     got = sorted(map(tuple, objects.suppress(df, 0.15).collect()))
     assert got == sorted((a, b, c if not b else None) for a, b, c in want)
     assert objects.suppress(df, 0).filter("accepted").count() == 120
+    assert sorted(map(tuple, objects.suppress(df, 0.15, group_pairs=30).collect())) == got  # large components in rounds
+
+
+def test_suppression_of_a_long_chain(spark):
+    """Each box overlaps the next, better first: every other one is accepted, in as many jobs as a short chain takes."""
+    def run(n):
+        df = spark.range(n).selectExpr("id AS object_id", "id * 1D AS lo_x", "0D AS lo_y", "0D AS lo_z", "id + 1.5D AS hi_x", "1D AS hi_y", "1D AS hi_z", "1D AS footprint", "cast(5000 - id AS int) AS point_count")
+        group = f"chain-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = sorted(map(tuple, objects.suppress(df, 0.3).collect()))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert found == [(k, k % 2 == 0, k - 1 if k % 2 else None) for k in range(n)]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert run(1000) <= run(10) + 3
 
 
 def test_overlaps_of_very_unlike_sizes(spark):
@@ -247,6 +262,29 @@ def test_eps_components_of_dense_cells(spark):
         assert {(x.point_id, x.root) for x in voxels.dbscan_components(df, eps=eps).collect()} == {(p[0], find(p[0])) for p in pts}
 
 
+def test_eps_components_divide_dense_cells(spark, monkeypatch):
+    """Two slabs of many points just within, or just beyond, reach of each other."""
+    monkeypatch.setattr(voxels, "BOX_PAIRS", 16)
+    r = random.Random(4)
+    slab = lambda x, n: [(x, r.uniform(0, 0.5), r.uniform(0, 0.5)) for _ in range(n)]
+    for gap, roots in ((0.999, 1), (1.001, 2)):
+        pts = slab(0.0, 400) + slab(gap, 400) + [(0.0, 0.25, 0.25), (gap, 0.25, 0.25)]
+        df = spark.createDataFrame([(n, *p) for n, p in enumerate(pts)], "point_id long, x double, y double, z double")
+        assert voxels.dbscan_components(df, eps=1.0).select("root").distinct().count() == roots
+
+
+def test_masks_as_words(spark):
+    r = random.Random(8)
+    runs = [(r.choice("ab"), r.randrange(4), r.randrange(6), a := r.randrange(-5, 200), a + r.choice((-1, 0, 3, 63, 64, 130))) for _ in range(80)]
+    pixels = [(n, f, u, v) for n, (f, u, v) in enumerate((r.choice("abc"), r.randrange(260), r.randrange(7)) for _ in range(2000))]
+    masks = spark.createDataFrame(runs, "frame_id string, mask_id int, v int, u_start int, u_end int")
+    projected = spark.createDataFrame([(f, n, u, v, 1.0) for n, f, u, v in pixels], "frame_id string, point_id long, u int, v int, z double")
+    want = {(n, m) for n, f, u, v in pixels for g, m, w, a, b in runs if f == g and v == w and a <= u <= b}
+    got = [(x.point_id, x.mask_id) for x in visibility.in_masks(projected, masks).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sorted(x.point_id for x in visibility.covered(projected, masks).collect()) == sorted({n for n, _ in want})
+
+
 def test_points_of_cells(spark):
     grid = spark.createDataFrame([("a_g0_0", "a", "oversized", 0, 0, 2, 1), ("a_g1_0", "a", "oversized", 1, 0, 2, 1), ("b", "b", "normal", 0, 0, 1, 1)], "placement string, source string, classification string, i int, j int, n_cols int, n_rows int")
     grid = grid.withColumns({f"{k}_{c}": F.lit(v) for k, v in (("lo", 0.0), ("size", 2.0)) for c in "xy"})

@@ -34,7 +34,22 @@ def test_zip_numbers_many_partitions(spark):
 def test_neighbours_of_outliers_and_few_points(spark):
     xyz = "point_id long, x double, y double, z double"
     p = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.01, 0.0, 0.0), (2, 50.0, 0.0, 0.0), (3, 51.0, 0.0, 0.0), (4, None, 0.0, 0.0), (5, float("nan"), 0.0, 0.0)], xyz)
-    got = {(r.a, r["rank"]): r.b for r in distance.nearest_neighbours(p, 2, 0.1).collect()}
+    got = {(r.a, r["rank"]): r.b for r in distance.nearest_neighbours(p, 2).collect()}
     assert got == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 3, (2, 2): 1, (3, 1): 2, (3, 2): 1}
-    assert distance.nearest_neighbours(p, 9, 0.1).count() == 12 and distance.nearest_neighbours(p.limit(1), 5, 0.1).count() == 0
+    assert distance.nearest_neighbours(p, 9).count() == 12 and distance.nearest_neighbours(p.limit(1), 5).count() == 0
     assert distance.spacing(p.filter("point_id IN (0, 2)")) == 50
+
+
+def test_neighbours_of_a_cloud_of_mixed_density(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(distance, "LEAF_POINTS", 16)
+    r = random.Random(5)
+    pts = [tuple(r.gauss(0, 0.001) for _ in range(3)) for _ in range(150)] + [tuple(r.uniform(-9, 9) for _ in range(3)) for _ in range(120)]
+    pts += [(1.0, 2.0, 3.0)] * 40 + [(float(x), float(y), 5.0) for x in range(6) for y in range(6)] + [(0.0, -0.0, 7.0), (-0.0, 0.0, 7.0), (1e6, 0.0, 0.0), (1e6, 1e-3, 0.0)]
+    df = spark.createDataFrame([(n * 7 % 1009, *p) for n, p in enumerate(pts)], "point_id long, x double, y double, z double").repartition(5)
+    places = {x.point_id: (x.x, x.y, x.z) for x in df.collect()}
+    gap = lambda p, q: (p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2])
+    for k in (1, 5):
+        want = {(a, n): b for a, p in places.items() for n, (_, b) in enumerate(sorted((gap(p, q), b) for b, q in places.items() if b != a)[:k], 1)}
+        assert {(x.a, x["rank"]): x.b for x in distance.nearest_neighbours(df, k).collect()} == want
