@@ -20,8 +20,10 @@ from .common import by_bytes, release, text_buffer, word_hashes
 
 #: Labelled rows that the classifier is fitted on at most: those of least hash, of either label.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
-#: Bytes of their texts at most: whole texts by hash until the next would pass this.
+#: Bytes of their texts at most: whole texts by hash until the next would pass this. One text is at most a small part of it.
 TRAIN_BYTES = 1 << 26
+#: The longest text that is trained on, in bytes.
+TRAIN_TEXT_BYTES = 1 << 20
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 17, 12, 10, (1, 2, 3)
 CUTS = (4, 5, 6)
 EPOCHS, BATCH, RATE = 6, 64, 0.05
@@ -249,13 +251,17 @@ def train(column, labels: np.ndarray, seed: int = 0) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> DataFrame:
     """doc_id, text and toxic of the rows to train on: of at most TRAIN_TOXIC and TRAIN_CLEAN labelled doc_ids, chosen by hash,
-    those whose texts by a hash take at most TRAIN_BYTES in all; equal hashes by doc_id, rows of one doc_id by text."""
+    those whose texts, in the order of a second hash, take at most TRAIN_BYTES in all; equal hashes by doc_id.
+
+    Texts of more than TRAIN_TEXT_BYTES aren't trained on, so one can't keep the others out. Of several rows of a doc_id that
+    of the smallest text counts, so repeated rows don't add up."""
     own = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out)
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     take = lambda y, n: own.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(take(1, TRAIN_TOXIC).unionByName(take(0, TRAIN_CLEAN)), "doc_id")
-    order = W.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "text").rowsBetween(W.unboundedPreceding, 0)  # a bounded sample
-    rows = rows.withColumn("so_far", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order)).filter(F.col("so_far") <= TRAIN_BYTES)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= TRAIN_TEXT_BYTES)
+    rows = texts.join(take(1, TRAIN_TOXIC).unionByName(take(0, TRAIN_CLEAN)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    order = W.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)  # a bounded sample
+    rows = rows.withColumn("so_far", F.sum(F.octet_length("text")).over(order)).filter(F.col("so_far") <= TRAIN_BYTES)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
 
 
@@ -263,7 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> bytes:
     """A model of rows of docs with a label in labels (doc_id, toxic) whose doc_id isn't held out (a Column's test).
 
     Trained on a bounded sample() of them. Where labels of a doc_id differ it is toxic. Null ids and labels other than 0 and 1
-    take no part, null texts are empty. Without labels or rows, a model that finds nothing toxic. Other columns don't matter."""
+    take no part, null texts are empty. Without labels of rows of docs, a model that finds nothing toxic; where there are some
+    but all of texts too long to train on, an error. Other columns don't matter."""
 
     def run(batches):
         t = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])).sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -272,7 +279,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, seed: int = 0) -> bytes:
         release()
 
     found = sample(docs, labels, held_out, seed).repartition(1).mapInArrow(run, "model binary").first()
-    return bytes(found[0]) if found else train(pa.array([], pa.string()), np.zeros(0, np.int32)).dump()
+    if found:
+        return bytes(found[0])
+    known = labels.filter(F.col("toxic").isin(0, 1)).filter(~held_out).join(docs.select("doc_id"), "doc_id", "left_semi")
+    if not known.isEmpty():
+        raise ValueError(f"all labelled texts have more than {TRAIN_TEXT_BYTES} bytes")
+    return train(pa.array([], pa.string()), np.zeros(0, np.int32)).dump()
 
 
 def score(docs: DataFrame, model: bytes) -> DataFrame:

@@ -117,3 +117,16 @@ def test_run_equals_stages(spark, stages):
     got = C.run(spark, folder).collect()
     key = lambda rs: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rs)
     assert key(got) == key(rows[5])
+
+
+def test_columns_called_like_the_stages_own(spark, stages, tmp_path):
+    """They pass through every stage with their values."""
+    _, tables, folder = stages
+    names = ("toxicity", "Shard", "pos", "copy", "row", "size", "aside_0", "component_id", "spans", "a.b")
+    docs = tables[0].select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for n, (name, stage) in enumerate(C.STAGES[:-1]):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        assert docs.columns == [*tables[0].columns, *names]
+        assert docs.count() == tables[n + 1].count()
+        assert docs.filter(F.greatest(*[F.col(f"`{c}`") != F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in names])).isEmpty(), name

@@ -106,3 +106,16 @@ def test_sample_is_bounded_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(X, "TRAIN_BYTES", 10_500)
     rows = X.sample(docs, labels, F.lit(False)).collect()
     assert len(rows) == 10 and {r.toxic for r in rows} == {0, 1}
+
+
+def test_a_long_text_leaves_the_others(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(X, "TRAIN_TEXT_BYTES", 3000)
+    monkeypatch.setattr(X, "TRAIN_BYTES", 50_000)
+    docs = spark.createDataFrame([(n, "word " * (2000 if n % 5 == 0 else 100)) for n in range(50)] + [(1, "a")] * 30 + [(1, None)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(50)], "doc_id long, toxic int")
+    rows = X.sample(docs, labels, F.lit(False)).collect()
+    assert sorted(r.doc_id for r in rows) == [n for n in range(50) if n % 5] and [r.text for r in rows if r.doc_id == 1] == [""]
+    with pytest.raises(ValueError, match="more than 3000 bytes"):
+        X.fit(docs.filter("doc_id % 5 = 0"), labels, F.lit(False))

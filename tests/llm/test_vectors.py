@@ -64,14 +64,34 @@ def test_large_products_are_exact():
     a = np.array([[2.0**28 + 1, 2.0**28 - 1]])
     _, _, s = topk.tile_top(a, np.array([1]), a, np.array([2]), 5)
     assert s.tolist() == [(2**28 + 1) ** 2 + (2**28 - 1) ** 2]
-    with pytest.raises(OverflowError):
-        topk.tile_top(16 * a, np.array([1]), 16 * a, np.array([2]), 5)
+    assert topk.tile_top(16 * a, np.array([1]), 16 * a, np.array([2]), 5)[2].tolist() == [topk.OVER]
+    assert topk.tile_top(16 * a, np.array([1]), -16 * a, np.array([2]), 5)[2].tolist() == [topk.UNDER]
 
 
-def test_components_beyond_64_bits_are_not_cut(spark):
-    rows = spark.createDataFrame([(0, [1e30, 0.0]), (1, [0.0, 1e30])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="64-bit"):
-        topk.top_products(rows, F.col("vec_id") == 0).collect()
+def test_large_rows_equal_whole_numbers():
+    r = np.random.default_rng(3)
+    for big_q, big_s in ((0, 0), (3, 0), (40, 0), (0, 3), (0, 40)):
+        q, s = (np.floor(r.uniform(-(2.0**20), 2.0**20, (40, 4))) for _ in range(2))
+        q[r.permutation(40)[:big_q]] *= 2.0**21
+        s[r.permutation(40)[:big_s]] *= 2.0**21
+        i, j, got = topk.tile_top(q, np.arange(40), s, np.arange(20, 60), 5)
+        for x in range(40):
+            want = sorted((-sum(int(a) * int(b) for a, b in zip(q[x], s[y])), y) for y in range(40) if y + 20 != x)[:5]
+            assert sorted(zip((-got[i == x]).tolist(), j[i == x].tolist()))[:5] == want
+
+
+def test_one_large_vector_takes_part(spark):
+    """Products of one pair fit though the larger vector's own with itself doesn't; only a wanted score that doesn't fit is an error."""
+    rows = [(0, [2.5e12, 1.0]), (1, [3.0, 2.0]), (2, [-5.0, 1.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {d: [int(256 * x) for x in e] for d, e in rows}
+    want = [(q, n, b, s) for q in (0, 50) for n, (s, b) in enumerate(sorted(((sum(x * y for x, y in zip(v[q], v[b])), b) for b in v if b != q), key=lambda t: (-t[0], t[1])), 1)]
+    assert sorted(tuple(r) for r in topk.top_products(df, F.col("vec_id") % 50 == 0).collect()) == want
+    low = spark.createDataFrame([*rows[1:], (3, [-1e30, 0.0])], "vec_id long, embedding array<double>")
+    assert len(topk.top_products(low, F.col("vec_id") == 50, k=2).collect()) == 2  # too low to matter
+    for k, e in ((3, low), (1, spark.createDataFrame([*rows[1:], (3, [1e30, 0.0])], "vec_id long, embedding array<double>"))):
+        with pytest.raises(Exception, match="64-bit"):
+            topk.top_products(e, F.col("vec_id") == 50, k=k).collect()
 
 
 def test_ann_recall_and_distances(spark, tmp_path, monkeypatch):
