@@ -9,6 +9,9 @@ through whatever their names, and none of the stages' own columns stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,32 +24,41 @@ from pointloom.llm.queries import digested, toxicity_held_out
 from pointloom.llm.toxicity import THRESHOLD, fit, score
 
 
+def _beside(docs: DataFrame, own: set[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs), of which the columns of docs are kept. Those that are called as one of the stage's own, or by names that need
+    quotes, stand aside meanwhile."""
+    free = (n for k in count() if (n := f"aside_{k}") not in docs.columns)
+    aside = {c: next(free) for c in docs.columns if c.lower() in own or "." in c or "`" in c}
+    return stage(docs.withColumnsRenamed(aside)).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold; one exactly at it goes. Null and empty texts stay, as texts without words
     do; repeated rows score alike; null doc_ids are scored but never trained on."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score(docs, fit(docs, labels, toxicity_held_out()))
-    return scored.filter(F.col("toxicity") < THRESHOLD).select(docs.columns)
+    model = fit(docs.select("doc_id", "text"), labels, toxicity_held_out())
+    return _beside(docs, {"toxicity"}, lambda d: score(d, model).filter(F.col("toxicity") < THRESHOLD))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id: all its rows, if they repeat. Null and empty texts
     and rows of null doc_id stay."""
     groups = materialize(near_duplicates(docs), "pipeline-groups")
-    return without(docs, groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return _beside(docs, set(), lambda d: without(d, others))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced; n_chars follows the text. Null and empty texts stay as they are, repeated rows
     change alike."""
-    out = redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    n_chars = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return _beside(docs, set(), lambda d: redact(d).withColumns(n_chars))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of its shards. Null and empty texts have size 0 and go with
     their block; a null source is a source; repeated rows are taken each; a mix of no words takes nothing."""
-    return mix(docs).repartition("shard").sortWithinPartitions("shard", "pos").select(docs.columns)
+    return _beside(docs, {"copy", "shard", "pos"}, lambda d: mix(d).repartition("shard").sortWithinPartitions("shard", "pos"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
