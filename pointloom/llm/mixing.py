@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree. DataFrame operations only.
 
-A mix takes whole documents, each up to ``limit`` times. Documents of a source are dealt by hash into blocks of about
-``block_words`` words; each full copy of a source draws all its blocks, and what its target needs beyond full copies draws
+A mix takes whole documents, each up to ``limit`` times. Documents of a source are dealt by a hash of doc_id and text into
+blocks of about ``block_words`` words; each full copy of a source draws all its blocks, and what its target needs beyond full copies draws
 blocks in a permuted order until the target is met (of the last block, documents in a permuted order). The draws of all
 sources are then shared among output shards: a binary tree halves the number of draws at each node and splits every
 source's exact quota between both halves as a multivariate-hypergeometric variate, so each shard's composition is that of
@@ -32,16 +32,16 @@ def _unit(*key) -> Column:
 def sizes(docs: DataFrame, seed: int = 0, carry: bool = False) -> DataFrame:
     """doc_id, source, size (words; null text: 0) and the document's place in permuted orders; its whole row if asked."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    return docs.select(*row, "doc_id", "source", F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.lit("doc"), "doc_id").alias("draw"))
+    return docs.select(*row, "doc_id", "source", F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.lit("doc"), "doc_id", "text").alias("draw"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
-    """One row for each source: sid (rank by code point, null last), source, source_size, weight, target.
+    """One row for each source: sid (rank by code point, null last), source, source_size, source_rows, weight, target.
 
     Targets share the words of all sources by weight; none exceeds ``limit`` times its source, and what that cuts off is
     shared again by weight among the others. Each round needs two sums, so nothing but two numbers reaches the driver.
     """
-    grouped = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    grouped = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), "mix-sources")
     order = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))  # one row a source
     pick = F.element_at(F.array(*map(F.lit, weights)), ((F.col("sid") - 1) % len(weights) + 1).cast("int"))
     src = materialize(grouped.withColumn("sid", order.cast("long")).withColumn("weight", pick), "mix-ranked")
@@ -169,18 +169,18 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3
     """doc_id, source, size, source_size, target and copies (an array of copy and shard, one entry each time the mix takes
     the document), one row for each row of docs; with ``carry`` also row, all columns of docs.
 
-    Null doc_ids, repeated doc_ids and repeated rows are dealt as any other: rows of one doc_id share a block and a draw,
-    so they are taken alike except in blocks that an extra copy draws in part. A null text has size 0, a null source is a source of its own,
+    Null doc_ids and repeated doc_ids are dealt as any other: rows of one doc_id and text share a block and a draw, so they
+    are taken alike except in blocks that an extra copy draws in part. A null text has size 0, a null source is a source of its own,
     last in order. A source without words has target 0 and is not taken. No rows: no rows. Columns besides doc_id, text
     and source don't matter. Reruns agree, however the rows are partitioned.
     """
     sized = materialize(sizes(docs, seed), "mix-sizes")
     src = targets(sized, weights, limit)
     base = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(limit))).otherwise(0)
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.greatest("source_size", "source_rows") / block_words))  # texts without words fill blocks, too
     src = materialize(src.withColumn("base", base.cast("int")).withColumn("extra", F.round(F.col("target") - F.col("base") * F.col("source_size")).cast("long")).withColumn("n_blocks", n_blocks.cast("long")), "mix-targets")
     named = src.select(F.col("source").alias("its_source"), "sid", "source_size", "target", "base", "extra", "n_blocks")
-    block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "doc_id"), F.col("n_blocks"))
+    block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "draw"), F.col("n_blocks"))
     blocked = lambda x: x.join(named, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source").withColumn("block", block)
     rows = blocked(sized)
     blocks = materialize(rows.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("base").alias("base"), F.first("extra").alias("extra"), F.first("n_blocks").alias("n_blocks")), "mix-blocks")
@@ -210,4 +210,4 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     of pos (a hash: the local shuffle). Repeated rows are each taken; columns of docs with these names are replaced."""
     kept = [c for c in docs.columns if c not in ("copy", "shard", "pos")]
     out = assign(docs, carry=True, **params).select(*[F.col(f"row.`{c}`") for c in kept], F.inline("copies"))
-    return out.withColumn("pos", F.xxhash64(F.lit(params.get("seed", 0)), F.lit("pos"), "doc_id", "copy"))
+    return out.withColumn("pos", F.xxhash64(F.lit(params.get("seed", 0)), F.lit("pos"), "doc_id", "text", "copy"))

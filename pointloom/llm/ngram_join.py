@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.components import connected_components
@@ -125,6 +125,16 @@ def maybe_in(bits: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
     return hit
 
 
+def _told(shared) -> Column:
+    """Whether doc_id (null: -1) may be in a bit filter."""
+
+    @F.pandas_udf("boolean")
+    def maybe(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(shared.value, doc_id.fillna(-1).to_numpy(np.int64)))
+
+    return maybe(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+
+
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id isn't in removed (doc_id, distinct); null doc_ids stay.
 
@@ -134,13 +144,7 @@ def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     if ids.count() > FILTER_TEXTS:
         named = docs.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").select(docs.columns)
         return named.unionByName(docs.filter("doc_id IS NULL"))
-    shared = bit_filter(ids)
-
-    @F.pandas_udf("boolean")
-    def maybe(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(maybe_in(shared.value, doc_id.fillna(-1).to_numpy(np.int64)))
-
-    told = maybe(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    told = _told(bit_filter(ids))
     return docs.filter(~told).unionByName(docs.filter(told).join(ids, "doc_id", "left_anti").select(docs.columns))
 
 
@@ -340,8 +344,9 @@ def verified(a: np.ndarray, b: np.ndarray) -> bool:
     return linked(both, len(a) + len(b) - both)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> DataFrame:
-    """pairs (a, b of set ids) with ok. owners: one doc_id of each set. Only texts that the pairs need are shingled again."""
+def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, often: DataFrame, n: int) -> DataFrame:
+    """pairs (a, b of set ids) with ok. owners: one doc_id of each set; often: doc_ids of several rows. Only texts that the pairs
+    need are shingled again, and rows that repeat once."""
     spark = docs.sparkSession
     needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct().join(owners, "set_id")
 
@@ -349,6 +354,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
     told = needed.count() <= FILTER_TEXTS
     shared = bit_filter(needed) if told else None
     texts = _texts(docs) if told else _texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(needed.distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    twice = materialize(needed.join(often, "doc_id", "left_semi").distinct(), "ngram-twice")
+    repeats = None if twice.isEmpty() else bit_filter(twice)
+    if repeats is not None:
+        texts = texts.filter(~_told(repeats)).unionByName(texts.filter(_told(repeats)).distinct())
 
     def again(batches):
         seen = set()
@@ -359,8 +368,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
             seen.update(new)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[k] for k in new], pa.binary())], ["set_id", "body"])
 
-    # Sets that the filter lets through by chance join no pair; where rows repeat, a pair may be told twice, alike. Both
-    # sides of the join read one shuffle of the sets.
+    # Sets that the filter lets through by chance join no pair, but for exact copies of ones that do: those may tell a pair
+    # twice, alike. Both sides of the join read one shuffle of the sets.
     sets = texts.mapInArrow(again, "set_id long, body binary")
 
     def check(batches):
@@ -371,9 +380,11 @@ def _verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, n: int) -> Dat
     side = lambda k: sets.select(F.col("set_id").alias(k), F.col("body").alias(f"set_{k}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
     links = materialize(joined.mapInArrow(check, "a long, b long, ok boolean"), "ngram-links")
-    if told:
-        shared.destroy()
+    for b in (shared, repeats):
+        if b is not None:
+            b.destroy()
     discard(needed)
+    discard(twice)
     return links
 
 
@@ -396,11 +407,12 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     del counts
     release()
     owners = materialize(texts.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")), "ngram-owners")
+    often = materialize(texts.filter("n_shingles > 0").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).count().filter("count > 1").select("doc_id"), "ngram-often")
 
     meetings = materialize(_stars(_prefixes(docs, n, rarity)), "ngram-meetings")
     rarity.destroy()
     stars = meetings.filter("star IS NOT NULL").select(F.least("set_id", "star").alias("a"), F.greatest("set_id", "star").alias("b")).distinct()
-    stars = _verify(docs, materialize(stars, "ngram-stars"), owners, n)
+    stars = _verify(docs, materialize(stars, "ngram-stars"), owners, often, n)
     edges = stars.filter("ok").select("a", "b")
     found = materialize(connected_components(edges), "ngram-components")
 
@@ -408,7 +420,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     crossing = _crossing(labelled.select("shingle", "salt", "pos", "size", "set_id", "component")).distinct().join(stars, ["a", "b"], "left_anti")
     crossing = materialize(crossing, "ngram-crossing")
     discard(meetings)
-    edges = edges.unionByName(_verify(docs, crossing, owners, n).filter("ok").select("a", "b"))
+    edges = edges.unionByName(_verify(docs, crossing, owners, often, n).filter("ok").select("a", "b"))
     found = materialize(connected_components(materialize(edges, "ngram-links")), "ngram-components")
 
     full = texts.filter("n_shingles > 0").join(found, F.col("set_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set_id"))

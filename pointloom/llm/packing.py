@@ -352,4 +352,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_PIE
         packed = materialize(packed, "pack-round")
         out = out.unionByName(packed.filter("pack_stays").select(*cols, "sequence_id", "offset"))
         left = packed.filter("NOT pack_stays").select(*cols, "pack_uid")
+    else:
+        raise RuntimeError("pieces are left after 64 rounds, each of which should halve them")
     return out

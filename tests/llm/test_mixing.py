@@ -105,3 +105,23 @@ def test_documents_that_do_not_fit_are_made_up_for(spark, seed):
     target = next(r.target for r in got if r.source == "a")
     assert 2500 < target < 3900 and abs(taken - target) <= 1
     assert all(len({c["copy"] for c in r.copies}) == len(r.copies) for r in got)
+
+
+def test_null_ids_and_texts_without_words_fill_many_blocks(spark):
+    """A block's rows go to one task: neither null ids nor rows of no words may gather in one."""
+    rows = [(None, f"w{n} " * 4, "nulls") for n in range(4000)] + [(n, None if n % 2 else " ", "void") for n in range(4000)] + [(9000, "x " * 4000, "rest")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+
+    def counted(blocks, *args):
+        seen.append(blocks.groupBy("sid").count().collect())
+        return draws(blocks, *args)
+
+    draws, M._draws = M._draws, counted
+    try:
+        got = M.assign(docs, block_words=1000, shard_words=4000).collect()
+    finally:
+        M._draws = draws
+    assert {r.sid: r["count"] for r in seen[0]} == {1: 16, 2: 1, 3: 4}
+    nulls = [r for r in got if r.source == "nulls"]
+    assert len(nulls) == 4000 and abs(sum(r["size"] * len(r.copies) for r in nulls) - nulls[0].target) <= 4

@@ -106,3 +106,20 @@ def test_counts_do_not_begin_again():
     a = np.array([4_000_000_000, 5], np.uint32)
     J.saturating(a, a, out=a)
     assert a.tolist() == [2**32 - 1, 10]
+
+
+@pytest.mark.parametrize("told", [0, 1 << 22])
+def test_repeated_rows_are_verified_once(spark, monkeypatch, told):
+    """Two near copies, each in 200 rows of 16 partitions, one of them of null doc_id: one pair, verified once."""
+    monkeypatch.setattr(J, "FILTER_TEXTS", told)
+    words = [f"w{n}" for n in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (None, " ".join(words[:-1] + ["other"]))] * 200, "doc_id long, text string").repartition(16)
+    seen, plain = [], J._verify
+
+    def counted(*args):
+        seen.append(plain(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(J, "_verify", counted)
+    got = {tuple(r) for r in J.near_duplicates(docs).collect()}
+    assert got == {(1, 96, 1), (None, 96, 1)} and sum(x.count() for x in seen) == 1
