@@ -27,6 +27,13 @@ def public_keys(settings: Column) -> Column:
     return F.map_filter(settings, lambda k, v: ~k.startswith("_"))
 
 
+def last_edits(edits: DataFrame) -> DataFrame:
+    """Of each source's edits the one of the highest edit_id: an editor's log holds a source once, as last saved. Sums up within
+    partitions first, so sources of many edits don't matter."""
+    last = edits.groupBy("source").agg(F.max_by(F.struct(*edits.columns), "edit_id").alias("own"))
+    return last.select("own.*")
+
+
 def overlay(edits: DataFrame, originals: DataFrame) -> DataFrame:
     """Kept edits with their originals by source; of repeated originals the last counts, edits of none drop out."""
     kept, _ = split_edits(edits)
@@ -63,7 +70,8 @@ def edited_vertices(vertices: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def rebuild(vertices: DataFrame, edits: DataFrame, originals: DataFrame) -> DataFrame:
-    """The scene's vertices after edits (E02): meshes (mesh_id: source) of deleted placements go, edited ones move, others stay."""
+    """The scene's vertices after edits (E02), one a source: meshes (mesh_id: source) of deleted placements go, edited ones move,
+    others stay."""
     kept, gone = split_edits(edits)
     deltas = overlay(kept, originals).select(F.col("source").alias("mesh_id"), "dx", "dy", "dz", "turn")
     left = vertices.join(gone.select(F.col("source").alias("mesh_id")).distinct(), "mesh_id", "left_anti")

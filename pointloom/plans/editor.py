@@ -85,6 +85,29 @@ def added_object(vertices: DataFrame, position: tuple[float, float, float], scal
     return moved.select("mesh_id", "vid", (x * math.cos(r) - y * math.sin(r) + position[0]).alias("x"), (x * math.sin(r) + y * math.cos(r) + position[1]).alias("y"), (z + position[2]).alias("z"))
 
 
+def added_objects(vertices: DataFrame, added: DataFrame) -> DataFrame:
+    """Library objects wherever an editor has put them (P15): a mesh for each row of added (name; mesh_id, the library's; x, y, z;
+    scale; rotation_degrees), about the middle of its own box. Rows of no library object drop out."""
+    box = vertices.groupBy("mesh_id").agg(*[((F.min(c) + F.max(c)) / 2).alias(f"mid_{c}") for c in "xyz"])
+    where = added.join(box, "mesh_id").select("mesh_id", "name", *[F.col(c).alias(f"to_{c}") for c in "xyz"], *[f"mid_{c}" for c in "xyz"], "scale", F.radians("rotation_degrees").alias("r"))
+    rows = vertices.join(where, "mesh_id")
+    x, y, z = ((F.col(c) - F.col(f"mid_{c}")) * F.col("scale") for c in "xyz")
+    turned = {"x": x * F.cos("r") - y * F.sin("r"), "y": x * F.sin("r") + y * F.cos("r"), "z": z}
+    return rows.select(F.col("name").alias("mesh_id"), "vid", *[(e + F.col(f"to_{c}")).alias(c) for c, e in turned.items()])
+
+
+def manifest(spark: SparkSession, folder: str, categories: list[str]) -> dict:
+    """What a run's folder offers an editor (S17, E06): of each category with a log and meshes, in the given order, the names of its
+    mesh files, in order, those of its mannequins, and how many meshes there are. Reads names only."""
+    meshes_in = lambda path: sorted(n for n in names(spark, path) if n.lower().endswith(".stl")) if exists(spark, path) else []
+    out = []
+    for c in categories:
+        found = meshes_in(f"{folder}/{c}/individual")
+        if found and exists(spark, f"{folder}/{c}/scene_log.json"):
+            out.append({"name": c, "objects": found, "mannequins": meshes_in(f"{folder}/{c}/mannequins"), "count": len(found)})
+    return {"categories": out}
+
+
 def object_name(added: dict) -> str:
     """The name of an added object, from its template or its own file."""
     path = added.get("template_file") or added.get("individual_stl_path") or "object"

@@ -204,11 +204,16 @@ def e08(s):
     return s.spark.range(1).select(F.round(F.lit(editor.floor_tilt(at, rooms.Room())), 8).alias("slope"))
 
 
-@query("p15_added_object", "SELECT k::INTEGER AS vid, 5 - CASE WHEN k & 2 <> 0 THEN 1 ELSE -1 END::DOUBLE AS x, 6 + CASE WHEN k & 4 <> 0 THEN 2 ELSE -2 END::DOUBLE AS y, 7 + CASE WHEN k & 1 <> 0 THEN 1 ELSE -1 END::DOUBLE AS z FROM (SELECT unnest(range(8)) AS k)")
+@query("p15_added_object", with_views("objects", query="").rstrip() + ",\n" + BOX + """, mids AS (SELECT mesh_id, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, (min(z) + max(z)) / 2 AS mz FROM bv GROUP BY 1),
+away AS (SELECT mesh_id, vid, (x - mx) * (1 + object_id % 4 * 0.5::DOUBLE) AS x, (y - my) * (1 + object_id % 4 * 0.5::DOUBLE) AS y, (z - mz) * (1 + object_id % 4 * 0.5::DOUBLE) AS z,
+    radians(object_id % 8 * 45) AS r, lo_y AS px, lo_x AS py, lo_z + 1 AS pz FROM bv JOIN mids USING (mesh_id) JOIN objects ON source = mesh_id)
+SELECT concat('added_', mesh_id) AS mesh_id, vid::INTEGER AS vid, round(x * cos(r) - y * sin(r) + px, 4) + 0 AS x, round(x * sin(r) + y * cos(r) + py, 4) + 0 AS y, round(z + pz, 4) + 0 AS z FROM away""")
 def p15(s):
-    box = s.spark.sql("SELECT 'm' AS mesh_id, 1D AS lo_x, 1D AS lo_y, 1D AS lo_z, 3D AS hi_x, 2D AS hi_y, 2D AS hi_z")
-    out = editor.added_object(meshes.boxes(box)[0], (5.0, 6.0, 7.0), 2.0, 90.0)
-    return _round(out, "x", "y", "z", places=4).select("vid", *"xyz").withColumns({c: F.col(c).cast("double") for c in "xyz"})
+    """Every object's box added to the scene once more: elsewhere, larger and turned."""
+    v, _ = _object_boxes(s)
+    n = F.col("object_id")
+    added = s.objects().select(F.concat(F.lit("added_"), "source").alias("name"), F.col("source").alias("mesh_id"), F.col("lo_y").alias("x"), F.col("lo_x").alias("y"), (F.col("lo_z") + 1).alias("z"), (1 + n % 4 * 0.5).alias("scale"), (n % 8 * 45).alias("rotation_degrees"))
+    return _round(editor.added_objects(v, added), "x", "y", "z", places=4).select("mesh_id", F.col("vid").cast("int").alias("vid"), *"xyz")
 
 
 @query("k06_component_colours")

@@ -271,7 +271,7 @@ def j12b(s):
     return edits.unmatched(s.edits(), s.objects()).select("edit_id", "source")
 
 
-ONE_EDIT = "SELECT * FROM edits QUALIFY row_number() OVER (PARTITION BY source ORDER BY edit_id) = 1"
+ONE_EDIT = "SELECT * FROM edits QUALIFY row_number() OVER (PARTITION BY source ORDER BY edit_id DESC) = 1"
 
 
 @query("e02_rebuild", with_views("objects", "edits", query="").rstrip() + ",\n" + BOX + f""", one AS ({ONE_EDIT}),
@@ -280,11 +280,8 @@ SELECT b.mesh_id, vid::INTEGER AS vid, round(CASE WHEN one.source IS NULL THEN x
     round(CASE WHEN one.source IS NULL THEN y ELSE (x - mx) * sin(radians(turn)) + (y - my) * cos(radians(turn)) + my + dy END, 4) + 0 AS y, round(z, 4) + 0 AS z
 FROM bv b JOIN mids USING (mesh_id) LEFT JOIN one ON one.source = b.mesh_id WHERE NOT coalesce(deleted, false)""")
 def e02(s):
-    from pyspark.sql import Window as W
-
-    one = s.edits().withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("edit_id"))).filter("nth = 1").drop("nth")
     v, _ = _object_boxes(s)
-    return _round(edits.rebuild(v, one, s.objects()), "x", "y", "z", places=4)
+    return _round(edits.rebuild(v, edits.last_edits(s.edits()), s.objects()), "x", "y", "z", places=4)
 
 
 @query("e02_rebuild_full", with_views("objects", "edits", query="").rstrip() + ",\n" + CUBE + f""", one AS ({ONE_EDIT}),
@@ -298,9 +295,7 @@ stood AS (SELECT * REPLACE (x * cos(a) - y * sin(a) + px AS x, x * sin(a) + y *
 mids AS (SELECT source, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM stood GROUP BY 1)
 SELECT source AS mesh_id, vid::INTEGER AS vid, round((x - mx) * cos(r) - (y - my) * sin(r) + mx + dx, 4) + 0 AS x, round((x - mx) * sin(r) + (y - my) * cos(r) + my + dy, 4) + 0 AS y, round(z + dz, 4) + 0 AS z FROM stood JOIN mids USING (source)""")
 def e02_full(s):
-    from pyspark.sql import Window as W
-
-    one = s.edits().withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("edit_id"))).filter("nth = 1").drop("nth")
+    one = edits.last_edits(s.edits())
     dims = lambda width: F.create_map(F.lit("width"), width, F.lit("depth"), F.col("size_y"), F.lit("height"), F.col("size_z"))
     at = [objects.centre("x"), objects.centre("y"), F.col("lo_z")]
     was = s.objects().select("object_id", "source", "size_x", "size_y", "size_z", F.array(*at).alias("position"), (F.col("object_id") % 3 * 30.0).alias("rotation_degrees"), dims(F.col("size_x")).alias("dimensions"))

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import meshes, rooms
+from pointloom.operators import edits, meshes, rooms
 from pointloom.plans import editor
 from pointloom.sources import stl
 from pointloom.sources.files import write_text
@@ -52,3 +52,26 @@ def test_regenerated_mannequins(spark):
     assert {r.mesh_id for r in out.select("mesh_id").distinct().collect()} == {"c0", "c5"}
     z = out.agg(F.min("z"), F.max("z")).first()
     assert (z[0], z[1]) == (0.5 + 1.0 - 1.5, 0.5 + 1.0 + 1.5)
+
+
+def test_added_objects_equal_one_added_object(spark):
+    box = "mesh_id string, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double"
+    v, _ = meshes.boxes(spark.createDataFrame([("m", 1.0, 1.0, 1.0, 3.0, 2.0, 2.0), ("other", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)], box))
+    added = spark.createDataFrame([("a", "m", 5.0, 6.0, 7.0, 2.0, 90.0), ("b", "m", 0.0, 0.0, 0.0, 1.0, 0.0), ("c", "none", 0.0, 0.0, 0.0, 1.0, 0.0)], "name string, mesh_id string, x double, y double, z double, scale double, rotation_degrees double")
+    got = editor.added_objects(v, added)
+    own = lambda df: [(r.vid, round(r.x, 9), round(r.y, 9), round(r.z, 9)) for r in df.orderBy("vid").collect()]
+    assert {r.mesh_id for r in got.select("mesh_id").distinct().collect()} == {"a", "b"}
+    assert own(got.filter("mesh_id = 'a'")) == own(editor.added_object(v.filter("mesh_id = 'm'"), (5.0, 6.0, 7.0), 2.0, 90.0))
+
+
+def test_manifest_lists_categories_with_log_and_meshes(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    for path in ("chair/individual/chair_2.stl", "chair/individual/chair_1.STL", "chair/individual/notes.txt", "chair/mannequins/m.stl", "chair/scene_log.json", "table/individual/t.stl", "lamp/scene_log.json"):
+        write_text(spark, f"{root}/{path}", "{}")
+    assert editor.manifest(spark, root, ["table", "chair", "lamp", "none"]) == {"categories": [{"name": "chair", "objects": ["chair_1.STL", "chair_2.stl"], "mannequins": ["m.stl"], "count": 2}]}
+
+
+def test_last_edits(spark):
+    rows = [("a", 1, True), ("a", 3, False), ("b", 2, True), ("a", 2, True)]
+    got = edits.last_edits(spark.createDataFrame(rows, "source string, edit_id long, deleted boolean"))
+    assert sorted(map(tuple, got.collect())) == [("a", 3, False), ("b", 2, True)]
