@@ -129,7 +129,8 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end in order of start, then kind) for each row of docs.
 
-    Null and empty texts have no spans; a null doc_id stays null; repeated rows are repeated; other columns don't matter.
+    Null and empty texts have no spans; very long ones are searched whole, in one pass; a null doc_id stays null; repeated rows
+    are repeated; no rows: no rows; other columns don't matter, whatever their names.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,9 @@ def redacted(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with the spans of text replaced; all other columns and rows as they are, null texts null."""
+    """docs with the spans of text replaced; all other columns, whatever their names, and rows as they are.
+
+    Null and empty texts stay null and empty; very long ones are redacted whole; repeated rows change alike; no rows: no rows."""
 
     docs_text = docs.columns.index("text")
 

@@ -15,14 +15,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from .common import by_bytes, materialize, text_buffer, word_hashes
 
 #: Labelled rows of each label that the classifier is fitted on at most: those of least hash.
 TRAIN_EACH = 6000
+#: Longer texts aren't trained on, and all that are take no more than this.
+TRAIN_TEXT_BYTES = 1 << 20
+TRAIN_BYTES = 64 << 20
 #: Least and most strength of a prior, in documents.
 STRENGTH = (1.0, 1000.0)
 KEEP = 0.5
+#: A path with more than one in so many documents is joined in as many parts; there are fewer such paths than this.
+PARTS = 256
 
 
 def statistics(column) -> np.ndarray:
@@ -69,10 +75,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, seed: int = 0) -> tuple[np.ndarray, ...]:
-    """The classifier, from at most TRAIN_EACH rows of docs of each label (doc_id, quality) that aren't held out."""
+    """The classifier, from rows of docs with a label in labels (doc_id, quality) whose doc_id isn't held out (a Column's test).
+
+    Of each label at most TRAIN_EACH doc_ids of least hash, and of their texts, in the order of a second hash, those that take at
+    most TRAIN_BYTES in all. Null texts are empty; texts of more than TRAIN_TEXT_BYTES aren't trained on, so one can't keep the
+    others out. Of several rows of a doc_id that of the smallest text counts; where its labels differ it is good. Null ids and
+    labels other than 0 and 1 take no part. Empty tables, or no labels of rows of docs: a classifier that says one half of every
+    text; where there are some but all of texts too long, an error. Other columns don't matter."""
     own = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     take = lambda y: own.filter(F.col("quality") == y).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(TRAIN_EACH)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(take(0).unionByName(take(1)), "doc_id")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= TRAIN_TEXT_BYTES)
+    rows = texts.join(take(0).unionByName(take(1)), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    order = W.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)  # a bounded sample
+    rows = rows.withColumn("so_far", F.sum(F.octet_length("text")).over(order)).filter(F.col("so_far") <= TRAIN_BYTES)
 
     def run(batches):
         t = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("quality", pa.int32())])).sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -80,7 +95,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, seed: int = 0) ->
         yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in found], ["mean", "scale", "w"])
 
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").repartition(1).mapInArrow(run, "mean array<double>, scale array<double>, w array<double>").first()
-    return tuple(map(np.array, found)) if found else fit_logistic(statistics(pa.array([], pa.string())), np.zeros(0))
+    if found:
+        return tuple(map(np.array, found))
+    if not own.join(docs.select("doc_id"), "doc_id", "left_semi").isEmpty():
+        raise ValueError(f"all labelled texts have more than {TRAIN_TEXT_BYTES} bytes")
+    return fit_logistic(statistics(pa.array([], pa.string())), np.zeros(0))
 
 
 def evidence(docs: DataFrame, model: tuple[np.ndarray, ...]) -> DataFrame:
@@ -110,7 +129,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     values + s * m) / (their number + s), m the mean of all other documents' values (one half where there are none) and s the
     sites' strength; its path_rate is the same of the path's other documents and its site_rate, with the path's strength. Null
     sites and paths are a site and a path of their own. A group of any size is summed by partial aggregation; what is joined
-    back has a row for each path."""
+    back has a row for each path, or some for a path that many documents share, each for a part of them."""
     value = F.coalesce(F.col("known").cast("double"), F.col("evidence"))
     paths = materialize(scored.groupBy("site", "path").agg(F.sum(value).alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
     sites = paths.groupBy("site").agg(F.sum("good").alias("site_good"), F.sum("n").alias("site_n"))
@@ -127,8 +146,14 @@ def posteriors(scored: DataFrame) -> DataFrame:
     within = paths.agg((F.sum(F.col("n") * ((below - F.col("whole")) ** 2 - F.col("whole") * (1 - F.col("whole")) / F.col("n"))) / F.sum("n")).alias("between"))
     rates = paths.crossJoin(F.broadcast(within)).withColumn("path_strength", _strength(F.col("between"), F.col("whole")))
     used = ["good", "n", "site_good", "site_n", "all_good", "all_n", "strength", "path_strength"]
-    rates = rates.select(F.col("site").alias("its_site"), F.col("path").alias("its_path"), *[F.col(c).alias(f"of_{c}") for c in used])
-    out = scored.join(rates, F.col("site").eqNullSafe(F.col("its_site")) & F.col("path").eqNullSafe(F.col("its_path"))).drop("its_site", "its_path")
+    of_path = lambda prefix: F.col("site").eqNullSafe(F.col(f"{prefix}_site")) & F.col("path").eqNullSafe(F.col(f"{prefix}_path"))
+    parts = F.ceil(F.col("n") * PARTS / F.col("all_n")).cast("int")
+    hot = rates.filter(F.col("n") * PARTS > F.col("all_n")).select(F.col("site").alias("hot_site"), F.col("path").alias("hot_path"), parts.alias("of_parts"))
+    part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("its_part")
+    rates = rates.select(F.col("site").alias("its_site"), F.col("path").alias("its_path"), part, *[F.col(c).alias(f"of_{c}") for c in used])
+    out = scored.join(F.broadcast(hot), of_path("hot"), "left").drop("hot_site", "hot_path")  # fewer than PARTS rows
+    out = out.withColumn("of_part", F.coalesce(F.pmod(F.xxhash64("doc_id", "evidence"), F.col("of_parts")).cast("int"), F.lit(0)))
+    out = out.join(rates, of_path("its") & (F.col("of_part") == F.col("its_part"))).drop("its_site", "its_path", "its_part")
     others = lambda good, n, strength, prior: (F.col(f"of_{good}") - value + strength * prior) / (F.col(f"of_{n}") - 1 + strength)
     mean = F.when(F.col("of_all_n") > 1, (F.col("of_all_good") - value) / (F.greatest(F.col("of_all_n"), F.lit(2)) - 1)).otherwise(0.5)
     bounded = lambda p: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
@@ -137,7 +162,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     out = out.withColumn("path_rate", others("good", "n", F.col("of_path_strength"), F.col("site_rate")))
     odds = logit(F.col("evidence")) - logit(mean) + logit(F.col("path_rate"))
     out = out.withColumn("score", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("keep", F.col("score") >= KEEP).drop(*[f"of_{c}" for c in used])
+    return out.withColumn("keep", F.col("score") >= KEEP).drop(*[f"of_{c}" for c in used], "of_parts", "of_part")
 
 
 def url_levels(url: Column) -> tuple[Column, Column]:
@@ -160,3 +185,27 @@ def assess(docs: DataFrame, labels: DataFrame, site: Column, path: Column, held_
     labelled = scored.filter("doc_id IS NOT NULL").join(known, "doc_id", "left")
     nameless = scored.filter("doc_id IS NULL").withColumn("known", F.lit(None).cast(known.schema["known"].dataType))
     return posteriors(labelled.unionByName(nameless)).drop("known")
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page: no scripts, styles and comments, a line for each block, a few entities decoded."""
+    text = F.regexp_replace(html.cast("string"), r"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(text, r"(?is)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|nav|header|footer|section|article|body)\b[^>]*>", "\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?s)<[^>]*>", ""), r"[ \t\r]*\n\s*", "\n")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.trim(text)
+
+
+def assess_pages(pages: DataFrame, docs: DataFrame, labels: DataFrame, held_out: Column, seed: int = 0) -> DataFrame:
+    """page_id, site, path, evidence, site_rate, path_rate, score and keep for each row of pages (page_id, url, html).
+
+    Pages have no labels: the classifier is that of docs and their labels, and a page's host and the first segment of its path
+    lend what their other pages show. Null addresses are a site of their own, as are those that name no host; null, empty and
+    very long pages have the evidence of their text's statistics; repeated rows are rows each. No rows: no rows. Other columns
+    don't matter, whatever their names."""
+    site, path = url_levels(F.col("url"))
+    rows = pages.select(F.col("page_id").alias("doc_id"), site.alias("site"), path.alias("path"), page_text(F.col("html")).alias("text"))
+    scored = materialize(evidence(rows, fit(docs, labels, held_out, seed)), "quality-pages")
+    found = posteriors(scored.withColumn("known", F.lit(None).cast("int")))
+    return found.select(F.col("doc_id").alias("page_id"), "site", "path", "evidence", "site_rate", "path_rate", "score", "keep")

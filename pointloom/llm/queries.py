@@ -80,6 +80,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "site", "path", held_out.alias("held_out"), "evidence", "site_rate", "path_rate", "score", "keep")
 
 
+def quality_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are hosts, paths the first segment of their addresses; evidence is that of the documents' classifier."""
+    from .quality import assess_pages
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return assess_pages(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), held_out)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE, find
 
@@ -116,6 +124,7 @@ QUERIES = {
     "op13_token_alignment": op13_token_alignment,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality": op9_quality,
+    "quality_of_pages": quality_of_pages,
     "op6_lm_scoring": op6_lm_scoring,
     "op3_topk": op3_topk,
     "op5_ann": op5_ann,

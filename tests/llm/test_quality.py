@@ -3,6 +3,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,39 @@ def test_edge_cases(spark):
     assert Q.assess(docs.limit(0), labels, F.col("source"), F.col("lang"), F.lit(False)).count() == 0
     urls = spark.createDataFrame([("https://u:p@www.Ex.org:80/En/1?q",), ("http://a.b",), ("nothing",), (None,)], "url string")
     assert [tuple(r) for r in urls.select(*Q.url_levels(F.col("url"))).collect()] == [("ex.org", "en"), ("a.b", ""), ("", ""), (None, None)]
+
+
+def test_long_texts_cannot_keep_others_out_of_training(spark, monkeypatch):
+    monkeypatch.setattr(Q, "TRAIN_TEXT_BYTES", 2000)
+    monkeypatch.setattr(Q, "TRAIN_BYTES", 3000)
+    good, bad = "Plain words make a sentence here. ", "### $$$ ### 99 "
+    docs = [(n, (good if n % 2 else bad) * 3) for n in range(40)] + [(n, bad * 1000) for n in range(40, 60)] + [(7, good * 3)] * 50
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(60)], "doc_id long, quality int")
+    mean, scale, w = Q.fit(docs, labels, F.lit(False))
+    p = lambda t: float(Q._design(Q.statistics(pa.array([t])), mean, scale)[0] @ w)
+    assert p(good * 3) > 0 > p(bad * 3)
+    with pytest.raises(ValueError):
+        Q.fit(docs.filter("doc_id >= 40"), labels, F.lit(False))
+    none = Q.fit(docs.filter("doc_id >= 90"), labels, F.lit(False))
+    assert not none[2].any()
+
+
+PAGE = "<html><head><title>t</title><style>p{a:b}</style><script>var t='</p>';</script></head><body><!-- c --><p>%s</p><div>x &amp;lt; <b>y</b></div></body></html>"
+
+
+def test_pages_by_host_equal_plain_version(spark):
+    assert spark.createDataFrame([(PAGE % "One two.",)], "h string").select(Q.page_text(F.col("h"))).first()[0].split("\n")[1:3] == ["One two.", "x &lt; y"]
+    docs = [(n, ("Plain words make a sentence here. " if n % 2 else "### $$$ ### 99 ") * (1 + n % 5)) for n in range(60)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(60)], "doc_id long, quality int")
+    said = ["Plain words make a sentence here. ", "### $$$ ### 99 ", "Words ### here "]
+    urls = ["http://www.Hot.org/en/%d", "http://hot.org:80/de/%d", "https://thin.net/%d", "nothing"]
+    pages = [(n, urls[(n * n) % 7 % 4] % n if n % 4 < 3 and "%" in urls[(n * n) % 7 % 4] else None, PAGE % (said[n % 3] * (1 + n % 4)), 1.0) for n in range(90)]
+    pages += [(5, "http://hot.org/en/", None, 1.0), (None, None, "", 1.0), (8, "http://one.net", "<p>" + "word " * 50_000, 1.0)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string, score double")
+    got = Q.assess_pages(pages, docs, labels, F.lit(False)).collect()
+    assert len(got) == 93 and {r.site for r in got} >= {"hot.org", "thin.net", "one.net", None}
+    plain = plain_posteriors([{"doc_id": r.page_id if r.page_id is not None else -1, "site": r.site, "path": r.path, "known": None, "evidence": r.evidence} for r in got])
+    assert np.allclose(sorted((r.page_id if r.page_id is not None else -1, r.site_rate, r.path_rate, r.score) for r in got), plain, rtol=1e-9)
+    assert Q.assess_pages(pages.limit(0), docs, labels, F.lit(False)).count() == 0
