@@ -3,8 +3,8 @@
 Each object tries eight angles 45 degrees apart, then eight within 20 degrees of the best. An object is one group, shuffled
 once: its grid, spacing and normals serve all of its trials. An object's points must fit one task. The fitness of a trial is the
 share of template samples with an object point within the threshold, or three times the object's spacing if that is more, after
-alignment. Alignment can turn a template itself, so trials of one fitness (to a thousandth) are told apart by how little it had
-to.
+alignment. Samples and points are centred by their means. A later trial wins only by a higher fitness, or by the same where
+alignment, which can turn a template itself, had to turn it less.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ def best_orientation(points: DataFrame, vertices: DataFrame, faces: DataFrame, k
     (G06, T04). vertices and faces: one template, scaled first; it is bounded by what the driver holds."""
     v = np.array([tuple(r) for r in vertices.orderBy("vid").select(*"xyz").collect()], float)
     f = np.array([tuple(r) for r in faces.select(*"abc").collect()], int)
-    v = (v - (v.min(axis=0) + v.max(axis=0)) / 2) * scale
+    v = v * scale
     kind = points.schema[key].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
@@ -149,25 +149,25 @@ def best_orientation(points: DataFrame, vertices: DataFrame, faces: DataFrame, k
         angle = fitness = 0.0
         if len(own) >= at_least:
             own = own[np.lexsort(own.T)]  # the probes of spacing are the same however rows arrive
-            own = own - (own.min(axis=0) + own.max(axis=0)) / 2
+            own = own - own.mean(axis=0)
             template = sample_surface(v, f, min(5000, max(3000, 3 * len(own))))
+            template = template - template.mean(axis=0)
             gap = spacing(own)
             reach = max(threshold, 3 * gap)
             grid, upright = Grid(own, reach), normals(own, max(5 * gap, reach))
 
             def trial(angle: float) -> tuple[float, float, float]:
-                """Fitness to a thousandth, how little alignment turned, and the fitness itself."""
+                """Fitness, how little alignment turned, and the angle."""
                 r = np.radians(base + angle)
                 turned = template @ np.array([[np.cos(r), -np.sin(r), 0], [np.sin(r), np.cos(r), 0], [0, 0, 1]]).T
                 pose, fit = align(turned, grid, upright, rounds)
-                return np.floor(fit * 1000 + 0.5), -abs(float(np.degrees(np.arctan2(pose[1, 0], pose[0, 0])))), fit
+                return fit, -abs(float(np.degrees(np.arctan2(pose[1, 0], pose[0, 0])))), angle
 
-            def best(angles: list[float]) -> tuple[tuple[float, float, float], float]:
-                return max(((trial(a), a) for a in angles), key=lambda x: x[0][:2])  # the first of equals
+            def best(trials) -> tuple[float, float, float]:
+                return max(trials, key=lambda x: x[:2])  # the first of equals
 
-            coarse = best(COARSE)
-            fine = best([coarse[1] + step for step in FINE])
-            (_, _, fitness), angle = max(coarse, fine, key=lambda x: x[0][:2])
+            coarse = best(map(trial, COARSE))
+            fitness, _, angle = best([coarse, *(trial(coarse[2] + step) for step in FINE)])
         return pa.table([t.column(key).slice(0, 1), pa.array([angle]), pa.array([fitness])], names=[key, "angle", "fitness"])
 
     rows = points.filter(F.col(key).isNotNull()).select(key, *[F.col(c).cast("double").alias(c) for c in "xyz"])

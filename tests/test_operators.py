@@ -358,6 +358,18 @@ def test_orientation_search_of_a_thin_scan(spark):
     assert got.fitness > 0.6 and min(got.angle % 180 - 90, 0) > -6 and got.angle % 180 < 96
 
 
+def test_orientation_search_takes_the_first_of_the_fittest(spark, monkeypatch):
+    v, f = box_mesh(spark, (1.0, 0.4, 0.3))
+    va, fa = (np.array([tuple(r)[2:] for r in d.collect()]) for d in (v.orderBy("vid"), f))
+    pts = icp.sample_surface(va, fa, 200, 1) + [7.0, -3.0, 2.0]
+    points = spark.createDataFrame([("a", *map(float, p)) for p in pts], "object string, x double, y double, z double")
+    # No alignment and a reach beyond everything: all trials are equally fit. Then, means (not box middles) are what meets.
+    found = icp.best_orientation(points, v, f, "object", threshold=9.0, rounds=0, base=15.0).first()
+    assert (found.angle, found.fitness) == (15.0, 1.0)
+    far = points.union(points.limit(1).selectExpr("object", "x + 5 AS x", "y", "z"))
+    assert icp.best_orientation(far, v, f, "object", threshold=0.15, rounds=0).first().fitness > 0.9
+
+
 def test_filtering_stats_name_the_largest(spark):
     labels = spark.range(60 * 61 // 2).selectExpr("id AS point_id", "cast(floor((sqrt(8D * id + 1) - 1) / 2) as long) AS root")
     r = voxels.filtering_stats(labels, 3, voxel_size=0.02).first()
