@@ -206,6 +206,17 @@ def test_suppression_is_greedy(spark):
     assert sorted(map(tuple, objects.suppress(df, 0.15, group_pairs=30).collect())) == got  # large components in rounds
 
 
+def test_suppression_pairs_no_crowd(spark, monkeypatch):
+    """Of a thousand boxes at one place only the first run's are paired among themselves; results don't depend on the runs."""
+    df = spark.range(1000).selectExpr("id AS object_id", "(id * 37) % 400 AS point_count", "1D AS footprint", "(id % 9) * 0.05D AS lo_x", "0D AS lo_y", "0D AS lo_z", "(id % 9) * 0.05D + 1 AS hi_x", "1D AS hi_y", "1D AS hi_z")
+    whole = sorted(map(tuple, objects.suppress(df, 0.4, first=1000).collect()))
+    paired, pairs = [], objects.overlaps
+    monkeypatch.setattr(objects, "overlaps", lambda *a: paired.append((found := pairs(*a)).count()) or found)
+    assert sorted(map(tuple, objects.suppress(df, 0.4, first=10).collect())) == whole
+    assert sum(paired) <= 45
+    assert [x[1] for x in whole].count(True) == 1
+
+
 def test_suppression_of_a_long_chain(spark):
     """Each box overlaps the next, better first: every other one is accepted, in as many jobs as a short chain takes."""
     def run(n):
