@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators import edits, meshes, rooms
+from pointloom.operators.util import dealt
 from pointloom.sources import logs, stl
 from pointloom.sources.files import _fs, exists, names, read_text
 
@@ -89,8 +90,8 @@ def added_objects(vertices: DataFrame, added: DataFrame) -> DataFrame:
     """Library objects wherever an editor has put them (P15): a mesh for each row of added (name; mesh_id, the library's; x, y, z;
     scale; rotation_degrees), about the middle of its own box. Rows of no library object drop out."""
     box = vertices.groupBy("mesh_id").agg(*[((F.min(c) + F.max(c)) / 2).alias(f"mid_{c}") for c in "xyz"])
-    where = added.join(box, "mesh_id").select("mesh_id", "name", *[F.col(c).alias(f"to_{c}") for c in "xyz"], *[f"mid_{c}" for c in "xyz"], "scale", F.radians("rotation_degrees").alias("r"))
-    rows = vertices.join(where, "mesh_id")
+    where = added.join(dealt(box), "mesh_id").select("mesh_id", "name", *[F.col(c).alias(f"to_{c}") for c in "xyz"], *[f"mid_{c}" for c in "xyz"], "scale", F.radians("rotation_degrees").alias("r"))
+    rows = vertices.join(dealt(where), "mesh_id")
     x, y, z = ((F.col(c) - F.col(f"mid_{c}")) * F.col("scale") for c in "xyz")
     turned = {"x": x * F.cos("r") - y * F.sin("r"), "y": x * F.sin("r") + y * F.cos("r"), "z": z}
     return rows.select(F.col("name").alias("mesh_id"), "vid", *[(e + F.col(f"to_{c}")).alias(c) for c, e in turned.items()])
