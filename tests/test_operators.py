@@ -206,6 +206,25 @@ def test_suppression_is_greedy(spark):
     assert sorted(map(tuple, objects.suppress(df, 0.15, group_pairs=30).collect())) == got  # large components in rounds
 
 
+def test_no_mesh_goes_through_the_driver(spark, tmp_path):
+    """What explode makes of a small file isn't small: joins of vertices, faces and cells' points are shuffled."""
+    from pointloom.plans import editor
+
+    spark.range(30).selectExpr("id AS object_id", "concat('m', id) AS mesh_id", "0D AS lo_x", "0D AS lo_y", "0D AS lo_z", "1D AS hi_x", "2D AS hi_y", "3D AS hi_z", "1D AS size_x", "2D AS size_y", "'oversized' AS classification", "1D AS n_cols", "1D AS n_rows", "0 AS i", "0 AS j", "mesh_id AS placement").write.parquet(str(tmp_path / "boxes"))
+    df = spark.read.parquet(str(tmp_path / "boxes"))
+    v, f = meshes.boxes(df)
+    where = df.selectExpr("mesh_id", "0D AS angle", "lo_x AS place_x", "lo_y AS place_y", "lo_z AS place_z")
+    added = df.selectExpr("concat('a', mesh_id) AS name", "mesh_id", "lo_x AS x", "lo_y AS y", "lo_z AS z", "1D AS scale", "0D AS rotation_degrees")
+    points = v.join(df.select("mesh_id", "object_id").hint("merge"), "mesh_id").select("object_id", *"xyz")
+    made = [meshes.corners(v, f), meshes.quality(v, f), meshes.centroid(v, f), *meshes.merge_vertices(v, f), meshes.stand(v, where), editor.added_objects(v, added), objects.cell_points(points, df, "object_id")]
+    for df in made:
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() > 0
+    out, faces = meshes.export(v, f)
+    assert [r.vid for r in out.orderBy("vid").collect()] == list(range(240))
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1  # one row a range
+
+
 def test_suppression_pairs_no_crowd(spark, monkeypatch):
     """Of a thousand boxes at one place only the first run's are paired among themselves; results don't depend on the runs."""
     df = spark.range(1000).selectExpr("id AS object_id", "(id * 37) % 400 AS point_count", "1D AS footprint", "(id % 9) * 0.05D AS lo_x", "0D AS lo_y", "0D AS lo_z", "(id % 9) * 0.05D + 1 AS hi_x", "1D AS hi_y", "1D AS hi_z")
