@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import objects
+from pointloom.operators import meshes, objects
 from pointloom.plans import editor
 from pointloom.plans.config import Config
 from pointloom.plans.pipeline import Run, planned
@@ -308,3 +308,18 @@ def test_streamed_counts(spark, tmp_path):
     finally:
         q.stop()
     assert got == {0: 1, 1: 2, 2: 3, 3: 3}
+
+
+def test_a_folder_of_stl_files_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver knows none of a folder's files; text, small and split binary files and folders in it are read."""
+    df = spark.range(40).selectExpr("concat('f', id % 3, '/m', id) AS mesh_id", "0D AS lo_x", "0D AS lo_y", "0D AS lo_z", "id + 1D AS hi_x", "2D AS hi_y", "3D AS hi_z")
+    stl.write_stl(meshes.corners(*meshes.boxes(df)), str(tmp_path / "all"))
+    (tmp_path / "all" / "text.stl").write_text("solid\nfacet\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 7\nendfacet\n")
+
+    def never(*a):
+        raise AssertionError("listed by the driver")
+
+    monkeypatch.setattr(stl.records, "listed", never)
+    got = stl.read_stl(spark, str(tmp_path / "all"), split_bytes=250).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fid").alias("fids"), F.max(F.greatest("ax", "bx", "cx")).alias("x"), F.max("cz").alias("z"))
+    rows = {r.mesh_id: tuple(r)[1:] for r in got.collect()}
+    assert rows == {f"m{k}": (12, 12, k + 1.0, 3.0) for k in range(40)} | {"text": (1, 1, 1.0, 7.0)}
