@@ -21,10 +21,11 @@ def depth_buffer(projected: DataFrame) -> DataFrame:
 def unoccluded(projected: DataFrame, tolerance: float, *keys: str) -> DataFrame:
     """Points no deeper than their pixel's nearest plus a tolerance.
 
-    Rows are dealt by frame and pixel row, so that a join with masks on these needs no shuffle of its own."""
-    # In order of depth the first row so far is the pixel's nearest: no group of rows is held for it.
-    nearest = F.first("z").over(W.partitionBy("frame_id", *keys, "u", "v").orderBy("z").rowsBetween(W.unboundedPreceding, 0))
-    return projected.repartition("frame_id", "v").withColumn("nearest", nearest).filter(F.col("z") <= F.col("nearest") + F.lit(tolerance)).drop("nearest")
+    Nearest depths are an aggregate that combines before it is shuffled, one row a pixel however many points it has, and a
+    hash table of them is what a task holds; points pass by unsorted."""
+    pixel = ["frame_id", *keys, "u", "v"]
+    nearest = projected.groupBy(*pixel).agg(F.min("z").alias("nearest")).hint("shuffle_hash")
+    return projected.join(nearest, pixel).filter(F.col("z") <= F.col("nearest") + F.lit(tolerance)).select(*projected.columns)
 
 
 def loose_tolerance(z_threshold: float) -> float:
@@ -37,6 +38,8 @@ def mask_words(runs: DataFrame, *keys: str) -> DataFrame:
     Runs that overlap become one set; a row has a bounded number of words however many masks there are. Written as a table, so
     that its bytes tell the planner whether it may be sent to all tasks."""
     own = runs.filter("u_start <= u_end AND u_end >= 0").select("frame_id", *keys, "v", F.greatest("u_start", F.lit(0)).alias("first"), F.col("u_end").alias("last"))
+    # One task may have read all runs: masks, of which few rows agree, are dealt before they are aggregated.
+    own = own.repartition("frame_id", *keys, "v") if keys else own
     words = own.withColumn("word", F.explode(F.sequence(F.expr("first div 64"), F.expr("last div 64"))))
     lo, hi = F.greatest(F.col("first") - 64 * F.col("word"), F.lit(0)).cast("int"), F.least(F.col("last") - 64 * F.col("word"), F.lit(63)).cast("int")
     every = F.lit(-1).cast("long")
@@ -91,13 +94,33 @@ def view_colours(counts: DataFrame) -> DataFrame:
     return counts.crossJoin(top).select("point_id", "n_views", share.alias("r"), F.lit(0.0).alias("g"), (1 - share).alias("b"))
 
 
-def patch_bands(masked: DataFrame, sigma: float, patch: int, at_least: int = 5, floor: float = 0.005) -> DataFrame:
+def depths(projected: DataFrame) -> DataFrame:
+    """frame_id, u, v, z and points: how many points have one depth at one pixel. Masks tell no more of them apart."""
+    return projected.groupBy("frame_id", "u", "v", "z").agg(F.count(F.lit(1)).alias("points"))
+
+
+PATCH = ["frame_id", "mask_id", "patch_u", "patch_v"]
+
+
+def _patched(masked: DataFrame, patch: int) -> DataFrame:
+    return masked.withColumn("patch_u", F.expr(f"u div {patch}")).withColumn("patch_v", F.expr(f"v div {patch}"))
+
+
+def patches(masked: DataFrame, patch: int, floor: float = 0.005, weight: str | None = None) -> DataFrame:
+    """n, med and mad of each mask's patches: rows, median depth and median deviation (A04). Exact. Equal depths of a patch are
+    one row with their number before they are shuffled. weight: a column of how many rows a row stands for."""
+    times = F.lit(1) if weight is None else F.col(weight)
+    rows = _patched(masked, patch).groupBy(*PATCH, "z").agg(F.sum(times).alias("times"))
+    part = W.partitionBy(*PATCH)
+    rows = rows.withColumn("n", F.sum("times").over(part)).withColumn("med", F.percentile("z", F.lit(0.5), F.col("times")).over(part))
+    rows = rows.withColumn("mad", F.greatest(F.percentile(F.abs(F.col("z") - F.col("med")), F.lit(0.5), F.col("times")).over(part), F.lit(floor)))
+    return rows.groupBy(*PATCH).agg(*[F.first(c).alias(c) for c in ("n", "med", "mad")])
+
+
+def patch_bands(masked: DataFrame, sigma: float, patch: int, at_least: int = 5, floor: float = 0.005, weight: str | None = None) -> DataFrame:
     """masked rows with lo and hi: median depth of their mask's patch, plus and minus sigma times the median deviation (P05, A04,
-    A05, J05). Exact medians; patches of fewer rows have no band. Both medians share one shuffle."""
-    part = W.partitionBy("frame_id", "mask_id", "patch_u", "patch_v")
-    rows = masked.withColumn("patch_u", F.expr(f"u div {patch}")).withColumn("patch_v", F.expr(f"v div {patch}"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(part)).withColumn("med", F.median("z").over(part))
-    rows = rows.withColumn("mad", F.greatest(F.median(F.abs(F.col("z") - F.col("med"))).over(part), F.lit(floor)))
+    A05, J05). Patches of fewer rows have no band. Rows meet their patch in a hash table, unsorted."""
+    rows = _patched(masked, patch).join(patches(masked, patch, floor, weight).hint("shuffle_hash"), PATCH)
     band = lambda sign: F.when(F.col("n") >= at_least, F.col("med") + F.lit(sign * sigma) * F.col("mad"))
     return rows.withColumn("lo", band(-1.0)).withColumn("hi", band(1.0))
 
@@ -106,16 +129,22 @@ def refine(projected: DataFrame, runs: DataFrame, chosen: DataFrame, z_threshold
     """point_id of the chosen points that the depth filters leave in any mask of any frame.
 
     The loose z-buffer is made of chosen points alone. Mask membership depends on the pixel, so a pixel's strict buffer needs
-    no point beyond those of its mask that pass the band."""
+    no point beyond those of its mask that pass the band. Depths of pixels meet the masks, points only the depths that are left."""
     if not use_band and not use_zbuffer:
         return chosen.select("point_id")
-    own = unoccluded(covered(projected, runs).join(chosen.select("point_id"), "point_id", "left_semi"), loose_tolerance(z_threshold))
-    rows = in_masks(own, runs)
+    own = materialize(unoccluded(materialize(chosen_covered(projected, runs, chosen), "chosen"), loose_tolerance(z_threshold)), "loose")
+    rows = in_masks(depths(own), runs)
     if use_band:
-        rows = patch_bands(rows, sigma, patch).filter("lo IS NULL OR z BETWEEN lo AND hi")
+        rows = patch_bands(rows, sigma, patch, weight="points").filter("lo IS NULL OR z BETWEEN lo AND hi")
     if use_zbuffer:
-        rows = unoccluded(rows, z_threshold, "mask_id")
-    return rows.select("point_id").distinct()
+        rows = unoccluded(materialize(rows.select("frame_id", "mask_id", "u", "v", "z"), "in-masks"), z_threshold, "mask_id")
+    at = ["frame_id", "u", "v", "z"]
+    return own.join(rows.select(*at).distinct(), at, "left_semi").select("point_id").distinct()
+
+
+def chosen_covered(projected: DataFrame, runs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """covered() points that were chosen."""
+    return covered(projected, runs).join(chosen.select("point_id"), "point_id", "left_semi")
 
 
 def extract(projected: DataFrame, runs: DataFrame, min_views: int, z_threshold: float = 0.05, **filters) -> DataFrame:

@@ -68,6 +68,24 @@ def test_zbuffer_and_bands(spark):
     assert (bands.med, bands.mad) == (1.0, 0.005)
 
 
+def test_masks_meet_depths_not_points(spark, monkeypatch):
+    """A crowd at one depth of a pixel is one row where masks and bands are made, and counts as many in a median."""
+    runs = spark.createDataFrame([(0, m, 5, 0, 31) for m in (1, 2)], "frame_id int, mask_id int, v int, u_start int, u_end int")
+    rows = spark.createDataFrame([(0, k, k % 2, 5, 1.0 + (k % 50 == 1) * 0.3) for k in range(200)], "frame_id int, point_id long, u int, v int, z double")
+    assert "Window" not in visibility.unoccluded(rows, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    tables, made = {}, visibility.materialize
+    monkeypatch.setattr(visibility, "materialize", lambda df, name: made(tables.setdefault(name, df), name))
+    visibility.mask_words(runs, "mask_id")  # dealt first, aggregated once: no task holds all masks
+    assert tables["mask-words"]._jdf.queryExecution().executedPlan().toString().count("partial_bit_or") == 1 and "REPARTITION_BY_COL" in tables["mask-words"]._jdf.queryExecution().executedPlan().toString()
+    met, real = [], visibility.in_masks
+    monkeypatch.setattr(visibility, "in_masks", lambda df, r: (met.append(df.count()), real(df, r))[1])
+    assert {r.point_id for r in visibility.refine(rows, runs, rows.select("point_id"), use_band=False).collect()} == {k for k in range(200) if k % 50 != 1}
+    assert visibility.refine(rows, runs, rows.select("point_id"), use_zbuffer=False).count() == 196
+    assert met == [3, 3]
+    one, many = (visibility.patch_bands(real(df, runs), 2.0, 32, **how).select("mask_id", "n", "med", "mad").distinct().collect() for df, how in ((rows, {}), (visibility.depths(rows), {"weight": "points"})))
+    assert len(one) == 2 and sorted(one) == sorted(many)
+
+
 def test_pixels_round_half_to_even(spark):
     k = projection.Intrinsics(1.0, 1.0, 0.0, 0.0, 10, 10)
     eye = [[1.0, 0.0, 0.0, 0.0], [0.0, -1.0, 0.0, 0.0], [0.0, 0.0, -1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
