@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from pointloom.operators.util import placed
-from pointloom.plans.scratch import discard
+from pointloom.plans.scratch import discard, materialize, shuffle_parts
 
 from . import records
 from .files import qualified
@@ -215,9 +215,12 @@ def _text_ranges(spark: SparkSession, files: list[tuple[str, int]], split: int)
 
 def read_ply(spark: SparkSession, path: str, columns: list[str] | None = None, split_bytes: int = records.SPLIT_BYTES) -> DataFrame:
     """Points of PLY files (S01): path, point_id (the place in the file), x, y, z and colours from 0 to 1 (null where there are
-    none), or the columns asked for. A file of more than split_bytes is read by several tasks. From stores that only Spark
-    reads, a file is one task's."""
+    none), or the columns asked for. A file of more than split_bytes is read by several tasks. A folder's files are listed and
+    their heads read by tasks, unless a text among them is longer than that. From stores that only Spark reads, a file is one
+    task's."""
     schema = T.StructType([f for f in T._parse_datatype_string(CLOUD).fields if not columns or f.name in columns])
+    if records.readable(at := qualified(spark, path)) and records.is_folder(at) and (rows := _read_folder(spark, at, schema, split_bytes)) is not None:
+        return rows
     files = records.listed(spark, path, "")
     if not files:
         return spark.createDataFrame([], schema)
@@ -228,6 +231,35 @@ def read_ply(spark: SparkSession, path: str, columns: list[str] | None = None, s
     return spark.read.format("ply").schema(schema).options(**own).load()
 
 
+def _read_folder(spark: SparkSession, folder: str, schema: T.StructType, split: int) -> DataFrame | None:
+    """Points of a folder's files, a row for each range of them dealt to tasks; None if one is a text to be divided."""
+    def ranges(batches):
+        for b in batches:
+            out = []
+            for path, size in zip(*(c.to_pylist() for c in b.columns)):
+                head = ply_header(records.first_bytes(path, _HEADER))
+                step = max(1, split // head.dtype.itemsize) if head.order else max(1, head.count)
+                out += [(path, size, k, min(step, head.count - k), not head.order) for k in range(0, head.count, step)]
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["path", "length", "first", "n", "text"])
+
+    def points(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                head = ply_header(records.first_bytes(r["path"], _HEADER))
+                if head.order:
+                    kind, start = (head,), head.start + r["first"] * head.dtype.itemsize
+                else:
+                    kind, start = (head, r["length"]), head.start
+                yield from reader.read(records.Ranges([records.Range(r["path"], r["first"], r["n"], start, kind)]))
+
+    reader = PlyReader({}, schema)
+    parts = materialize(records.found(spark, folder).mapInArrow(ranges, "path string, length long, first long, n long, text boolean"), "ply-ranges")
+    if not parts.filter(F.col("text") & (F.col("length") > split)).isEmpty():
+        return None
+    return parts.repartition(shuffle_parts(spark)).mapInArrow(lambda batches: records.joined(points(batches)), schema)
+
+
 def _whole_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     wanted = schema.fieldNames()
 
