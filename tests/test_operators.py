@@ -313,6 +313,23 @@ def test_overlaps_of_very_unlike_sizes(spark):
     assert objects.overlaps(df.limit(0), 0.1).count() == 0
 
 
+def test_overlaps_of_copies_are_found_once(spark, monkeypatch):
+    """Boxes of one place meet others as packs, over groups too; all their pairs are told."""
+    boxes = [(n, 0.3 * (n % 5) - 1.0, 0.0, -0.5, 0.3 * (n % 5), 1.0 + n % 2, 0.5) for n in range(600)]
+    df = spark.createDataFrame(boxes, "object_id long, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double").repartition(3)
+    volume = lambda b: math.prod(b[k + 3] - b[k] for k in (1, 2, 3))
+    inter = lambda a, b: math.prod(max(0.0, min(a[k + 3], b[k + 3]) - max(a[k], b[k])) for k in (1, 2, 3))
+    share = {(p[0], q[0]): inter(p, q) / min(volume(p), volume(q)) for p in boxes[:10] for q in boxes[:10]}
+    want = {(a, b): share[a % 10, b % 10] for a in range(600) for b in range(a + 1, 600) if share[a % 10, b % 10] >= 0.4}
+    met, meet = [], objects._meetings
+    monkeypatch.setattr(objects, "_meetings", lambda home, *a, **k: met.append(home.count()) or meet(home, *a, **k))
+    for cell_boxes, pack in ((1 << 16, 1 << 10), (100, 7)):
+        monkeypatch.setattr(objects, "CELL_BOXES", cell_boxes)
+        got = objects.overlaps(df, 0.4, pack=pack).collect()
+        assert len(got) == len(want) and {(x.a, x.b): x.overlap for x in got} == want
+    assert met == [10, 90]
+
+
 def test_eps_components_of_dense_cells(spark):
     r = random.Random(11)
     pts = [(n, *(r.gauss(c, 0.02) for c in r.choice(((0, 0, 0), (0.3, 0, 0), (0, 0.3, 0.1))))) for n in range(300)]
