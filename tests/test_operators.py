@@ -375,6 +375,25 @@ def test_masks_as_words(spark):
     assert sorted(x.point_id for x in visibility.covered(projected, masks).collect()) == sorted({n for n, _ in want})
 
 
+@pytest.mark.parametrize("spots", [0, 100_000])
+def test_counts_of_cells(spark, monkeypatch, spots):
+    """As cell_points() has them, whether points are broadcast or dealt; what is joined with points is counted before it is shuffled."""
+    monkeypatch.setattr(objects, "SPOTS", spots)
+    r = random.Random(5)
+    boxes = [(n, f"o{n}", n % 3, 0.5 * (n % 4), 0.25 * (n % 2), r.choice((0.4, 1.0, 1.7)), r.choice((0.4, 0.9)), 100) for n in range(40)]
+    df = spark.createDataFrame(boxes, "object_id long, source string, fragment int, lo_x double, lo_y double, size_x double, size_y double, point_count int").withColumn("footprint", F.expr("size_x * size_y"))
+    grid = objects.placements(objects.classify(df, 0.35, 0.6, 1.8), 0.35)
+    shares = [(n % 2, r.choice((0.0, 0.5, r.random())), 0.9 * r.random(), 0.0) for n in range(30)]  # fragment 2 has none
+    points = spark.createDataFrame(shares, "fragment int, x double, y double, z double")
+    own = df.join(points, "fragment").select("object_id", F.expr("lo_x + x * size_x AS x"), F.expr("lo_y + y * size_y AS y"), "z")
+    want = sorted(map(tuple, objects.cell_points(own, grid, "object_id").groupBy("placement").count().collect()))
+    found = objects.cell_counts(grid, points, "fragment")
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 40
+    plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    tests = [k for k, line in enumerate(plan) if "Join" in line and "size_x" in line and "* " in line]
+    assert tests and all("HashAggregate" in plan[k - 1] or "Project" in plan[k - 1] and "HashAggregate" in plan[k - 2] for k in tests)
+
+
 def test_points_of_cells(spark):
     grid = spark.createDataFrame([("a_g0_0", "a", "oversized", 0, 0, 2, 1), ("a_g1_0", "a", "oversized", 1, 0, 2, 1), ("b", "b", "normal", 0, 0, 1, 1)], "placement string, source string, classification string, i int, j int, n_cols int, n_rows int")
     grid = grid.withColumns({f"{k}_{c}": F.lit(v) for k, v in (("lo", 0.0), ("size", 2.0)) for c in "xy"})
