@@ -279,6 +279,39 @@ def test_suppression_pairs_no_crowd(spark, monkeypatch):
     assert [x[1] for x in whole].count(True) == 1
 
 
+def test_suppression_thins_crowds(spark, monkeypatch):
+    """Copies and crowds are decided by the best of their cells, at all sizes of runs as one box after the other would be."""
+    r = random.Random(12)
+    boxes = []
+    for n in range(400):
+        lo = [r.choice((0.0, 0.1, 1.3, 4.0, -2.7)) + r.choice((0.0, 0.0, 0.05, r.random())) for _ in range(3)]
+        size = [r.choice((0.5, 1.0, 1.5)) for _ in range(3)] if n % 40 else [6.0, 6.0, 6.0]
+        boxes.append((n, *lo, *(a + b for a, b in zip(lo, size)), size[0] * size[1], r.randrange(20)))
+    boxes += [(400 + n, *b[1:7], b[7], r.randrange(20)) for n, b in enumerate(boxes[:300])]  # copies of other quality
+    boxes += [(700, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 30), (701, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 30), (702, None, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, None)]  # overlap none
+    df = spark.createDataFrame(boxes, "object_id long, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double, footprint double, point_count int")
+
+    def overlap(a, b):
+        inter = math.prod(max(0, min(a[k + 3], b[k + 3]) - max(a[k], b[k])) for k in (1, 2, 3))
+        return inter / min(math.prod(x[k + 3] - x[k] for k in (1, 2, 3)) for x in (a, b)) if inter else 0
+
+    taken, want = [], [(700, True, None), (701, True, None), (702, True, None)]
+    for b in sorted(boxes[:700], key=lambda b: (-b[8], -b[7], b[0])):
+        rival = next((t for t in taken if overlap(b, t) >= 0.4), None)
+        want.append((b[0], rival is None, rival and rival[0]))
+        if rival is None:
+            taken.append(b)
+    paired, pairs, thinned, thin = [], objects.overlaps, [], objects._thinned
+    monkeypatch.setattr(objects, "overlaps", lambda *a: paired.append((found := pairs(*a)).count()) or found)
+    monkeypatch.setattr(objects, "_thinned", lambda *a: thinned.append(a) or thin(*a))
+    made = {}
+    for first in (1000, 12):
+        paired.clear()
+        assert sorted(map(tuple, objects.suppress(df, 0.4, first=first).collect())) == sorted(want)
+        made[first] = sum(paired)
+    assert thinned and made[12] * 4 < made[1000]
+
+
 def test_suppression_of_a_long_chain(spark):
     """Each box overlaps the next, better first: every other one is accepted, in as many jobs as a short chain takes."""
     def run(n):
