@@ -312,6 +312,19 @@ def test_suppression_thins_crowds(spark, monkeypatch):
     assert thinned and made[12] * 4 < made[1000]
 
 
+def test_first_merged_settles_the_best_only(spark, monkeypatch):
+    """All are read and ranked; verdicts on worse boxes are made only if too few of the best were merged."""
+    df = spark.range(300).selectExpr("id AS object_id", "concat('o', id) AS source", "cast((id * 37) % 100 AS int) AS point_count", "1D AS footprint", "(id % 60) * 2D AS lo_x", "0D AS lo_y", "0D AS lo_z", "(id % 60) * 2D + 1 + id / 1000D AS hi_x", "1D AS hi_y", "1D AS hi_z").repartition(4)
+    name = {r.object_id: r for r in df.collect()}
+    whole = sorted((r for r in objects.suppress(df, 0.4).filter("NOT accepted").collect()), key=lambda r: (-name[r.object_id].point_count, r.object_id))
+    settled, suppress = [], objects.suppress
+    monkeypatch.setattr(objects, "suppress", lambda b, *a: settled.append(b.count()) or suppress(b, *a))
+    for first, tried in ((100, [100]), (20, [20, 300]), (4096, [300])):
+        settled.clear()
+        got = [(r.source, r.merged_with) for r in objects.first_merged(df, 0.4, 10, first).collect()]
+        assert got == [(f"o{r.object_id}", f"o{r.merged_with}") for r in whole[:10]] and settled == tried
+
+
 def test_suppression_of_a_long_chain(spark):
     """Each box overlaps the next, better first: every other one is accepted, in as many jobs as a short chain takes."""
     def run(n):
